@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, topk, urls
+from . import chat, mixing, simhash, tokenfile, topk, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat": chat.op2_chat,
+    "op5_simhash": simhash.op5_simhash,
+    "op6_tokens": tokenfile.op6_tokens,
     "op9_urls": urls.op9_urls,
     "op10_top_k": topk.op10_top_k,
 }
