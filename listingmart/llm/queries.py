@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, simhash, tokenfile, topk, urls
+from . import chat, decontam, mixing, simhash, tokenfile, topk, toxicity, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat": chat.op2_chat,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_tokens": tokenfile.op6_tokens,
+    "op8_decontaminate": decontam.op8_decontaminate,
     "op9_urls": urls.op9_urls,
     "op10_top_k": topk.op10_top_k,
 }
