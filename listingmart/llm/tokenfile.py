@@ -24,7 +24,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -165,41 +164,80 @@ def vocabulary(path: str) -> int:
     return load_tokenizer(path).get_vocab_size()
 
 
+#: ASCII marks that end words; the tokenizer cuts a run of them from the letters before it.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write bytes with: printable Latin-1 as itself, the rest from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+class Odd(Exception):
+    """A space that another space or the end follows."""
+
+
+class Words(dict):
+    """A word that a space precedes: its ids' bytes. Bounded.
+
+    Latin letters are one piece for the tokenizer's model; marks behind them are another. All other words go
+    through the whole tokenizer.
+    """
+
+    LETTERS = byte_letters()
+
+    def __init__(self, tokenizer, kind: np.dtype, limit: int):
+        super().__init__()
+        self.tokenizer, self.model, self.kind, self.limit, self.tails = tokenizer, tokenizer.model, kind, limit, {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace():
+            raise Odd
+        if len(self) > self.limit:
+            self.clear()
+        core = word.rstrip(MARKS)
+        if not core or not core.isalpha() or max(core) >= "\u0250":
+            out = self.whole(" " + word)
+        elif len(core) < len(word):
+            tail = word[len(core) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self.whole(tail)
+            return self[core] + self.tails[tail]  # not kept: words with marks would crowd out words
+        else:
+            piece = (" " + word).encode().decode("latin-1").translate(self.LETTERS)
+            out = np.array([t.id for t in self.model.tokenize(piece)], dtype=self.kind).tobytes()
+        self[word] = out
+        return out
+
+
 class Encoder:
-    """Texts to ids with the tokenizer, each distinct word coded once while it is remembered.
+    """Texts to ids' bytes with the tokenizer, a word coded once while it is remembered.
 
     A byte-level tokenizer cuts texts before it merges, and always before a space that a non-space follows,
     so such texts may be coded word by word. Texts with other spaces after a space are coded whole.
     """
 
-    ODD = re.compile(r" (?:\s|\Z)")
-
-    def __init__(self, tokenizer, kind: np.dtype, limit: int = 600_000):
-        self.tokenizer, self.kind, self.limit = tokenizer, kind, limit
-        self.first: dict[str, bytes] = {"": b""}
-        self.later: dict[str, bytes] = {}
-        cut = json.loads(tokenizer.to_str())
-        steps = (cut["pre_tokenizer"] or {}).get("pretokenizers", [cut["pre_tokenizer"]])
-        self.by_word = cut["normalizer"] is None and all(x and x["type"] == "ByteLevel" and not x["add_prefix_space"] and x.get("use_regex", True) for x in steps)
-
-    def _code(self, texts: list[str]) -> list[bytes]:
-        return [np.array(c.ids, dtype=self.kind).tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def __init__(self, tokenizer, kind: np.dtype, limit: int = 1_500_000):
+        self.words, told = Words(tokenizer, kind, limit), json.loads(tokenizer.to_str())
+        steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [told["pre_tokenizer"]])
+        self.by_word = told["normalizer"] is None and not told["model"].get("ignore_merges") and all(x and x["type"] == "ByteLevel" and not x["add_prefix_space"] and x.get("use_regex", True) for x in steps)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [None if not self.by_word or self.ODD.search(t) else t.split(" ") for t in texts]
-        if len(self.first) + len(self.later) > self.limit:
-            self.first, self.later = {"": b""}, {}
-        heads = list({p[0] for p in parts if p} - self.first.keys())
-        self.first.update(zip(heads, self._code(heads), strict=True))
-        words: set[str] = set()
-        for p in parts:
-            if p:
-                words.update(p[1:])
-        new = list(words - self.later.keys())
-        self.later.update(zip(new, self._code([" " + w for w in new]), strict=True))
-        whole = iter(self._code([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        get = self.later.__getitem__
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) if p else next(whole) for p in parts]
+        get, whole, out = self.words.__getitem__, self.words.whole, []
+        for t in texts:
+            first, *rest = t.split(" ") if self.by_word else (t,)
+            try:
+                out.append(whole(first) + b"".join(map(get, rest)))
+            except Odd:
+                out.append(whole(t))
+        return out
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
