@@ -8,7 +8,7 @@ logistic function of its largest marginal, the expected number of toxic words an
 training documents that the field did not see.
 
 The fit uses a bounded sample: at most FIT_TOXIC and FIT_CLEAN labelled documents of up to FIT_CHARS
-characters, those whose ids hash smallest. Everything else covers all rows and whole texts. Of several
+characters, those whose ids hash smallest, and FIT_WORDS words of them for the field. Everything else covers all rows and whole texts. Of several
 labels of one id the toxic one counts; null labels don't.
 
 Defined results: a null text is an empty one, whose score comes from its length of zero alone; null ids are
@@ -20,7 +20,11 @@ not looked at elsewhere.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+import sys
+import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, table
 
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2500, 5000, 60_000
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS, FIT_WORDS = 1500, 3000, 60_000, 500_000
 THRESHOLD = 0.7
 #: Words of a batch that are tagged at once.
 STEP = 400_000
@@ -169,15 +173,16 @@ def seeds(toxic: Sequence[Sequence[str]], clean: Sequence[Sequence[str]], least:
     copies of one text share are no evidence.
     """
     n1, n0 = len(toxic), len(clean)
-    around: dict[str, set[tuple[str, str]]] = {}
+    held = Counter(f for words in toxic for f in {f for w in set(words) for f in features(w) if f[0] != "s"})
+    around: dict[str, set[int]] = {f: set() for f, k in held.items() if k >= 5}
+    del held
     for words in toxic:
         seen: set[str] = set()
         for k, w in enumerate(words):
             if w not in seen:
-                near = (words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "")
                 for f in features(w):
-                    if f[0] != "s" and f not in seen:
-                        around.setdefault(f, set()).add(near)
+                    if f in around and f not in seen:
+                        around[f].add(zlib.crc32(f"{words[k - 1] if k else ''} {words[k + 1] if k + 1 < len(words) else ''}".encode()))
                         seen.add(f)
                 seen.add(w)
     in1 = {f: len(x) for f, x in around.items() if len(x) >= 5}
@@ -200,33 +205,35 @@ def fit(rows: Sequence[tuple[str, int]], steps: int = 40, ridge: float = 0.5) ->
     if len({y for _, y in rows}) < 2:
         return None
     plain = functools.cache(normal)
-    told = [[plain(w) for w in t.split()] for t, _ in rows]
-    seed = seeds([w for w, (_, y) in zip(told, rows, strict=True) if y], [w for w, (_, y) in zip(told, rows, strict=True) if not y])
-    del told
+    told = lambda label: [[sys.intern(plain(w)) for w in t.split()] for t, y in rows if y == label]
+    seed = seeds(told(1), told(0))
+    del plain, told
     # two of three documents teach the field, as many clean as toxic; the third calibrates the score
     teach = [r for i, r in enumerate(rows) if i % 3]
     toxic = [r for r in teach if r[1]]
     clean = [r for r in teach if not r[1]][: len(toxic) + 20]
     names: dict[str, int] = {}
-    flat, owner, label, starts, n = [], [], [], [], 0
+    flat, owner, label, starts, n = array("i"), array("i"), array("b"), [], 0
     known: dict[str, tuple[list[int], bool]] = {}
-    for text, y in toxic + clean:
-        words = _WORD.findall(text)
-        if not words:
-            continue
-        starts.append(n)
-        for w in words:
-            if w not in known:
-                f = features(normal(w))
-                known[w] = [names.setdefault(x, len(names)) for x in f], not seed.isdisjoint(f)
-            own, hit = known[w]
-            flat.extend(own)
-            owner.extend([n] * len(own))
-            label.append(hit and bool(y))
-            n += 1
+    for pair in itertools.zip_longest(toxic, clean):
+        for text, y in filter(None, pair):
+            words = _WORD.findall(text)
+            if not words or n > FIT_WORDS:
+                continue
+            starts.append(n)
+            for w in words:
+                if w not in known:
+                    f = features(normal(w))
+                    known[w] = [names.setdefault(x, len(names)) for x in f], not seed.isdisjoint(f)
+                own, hit = known[w]
+                flat.extend(own)
+                owner.extend([n] * len(own))
+                label.append(hit and bool(y))
+                n += 1
     if not any(label):
         return None
-    flat, owner, y, starts = np.array(flat, np.int32), np.array(owner, np.int32), np.array(label, np.float64), np.array(starts)
+    del known
+    flat, owner, y, starts = np.array(flat), np.array(owner), np.array(label, np.float64), np.array(starts)
     # a feature of few places says nothing of its own; it shares what the others learn
     often = np.bincount(flat, minlength=len(names))[flat] >= 3
     flat, owner = flat[often], owner[often]
