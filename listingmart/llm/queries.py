@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, simhash, tokenfile, topk, toxicity, urls
+from . import chat, decontam, lm, mixing, simhash, tokenfile, topk, toxicity, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat": chat.op2_chat,
+    "op3_lm_score": lm.op3_lm_score,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_tokens": tokenfile.op6_tokens,
