@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, lm, mixing, simhash, tokenfile, topk, toxicity, urls
+from . import chat, decontam, lm, mixing, pii, simhash, tokenfile, topk, toxicity, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_tokens": tokenfile.op6_tokens,
+    "op7_pii": pii.op7_pii,
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_urls": urls.op9_urls,
     "op10_top_k": topk.op10_top_k,

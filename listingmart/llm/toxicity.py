@@ -291,8 +291,8 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) ->
         return []
     ids = docs.sparkSession.createDataFrame(picked, "doc_id long, _y int")  # at most FIT_TOXIC + FIT_CLEAN rows
     rows = docs.select("doc_id", "text").filter(F.length("text").between(1, FIT_CHARS)).join(F.broadcast(ids), "doc_id")
-    # repeated ids cannot make it larger than the bound
-    return [(r["text"], r["_y"]) for r in rows.select("text", "_y").limit(2 * (FIT_TOXIC + FIT_CLEAN)).collect()]
+    # one text an id, so repeated ids cannot make it larger than the bound
+    return [(r["text"], r["_y"]) for r in rows.groupBy("doc_id", "_y").agg(F.min("text").alias("text")).collect()]
 
 
 def spans(text: str, marginal: np.ndarray, least: float = 0.5) -> list[dict]:
