@@ -45,6 +45,11 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def row_key(df: DataFrame, columns: list[str]) -> Column:
+    """A 64-bit key of a row's values; equal rows share it."""
+    return F.xxhash64(*(df[c] for c in columns), *(df[c].isNull() for c in columns))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -52,15 +57,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, computes once.
 
-    The files outlive lost executors. They stay until release() or until the folder's owner drops them.
+    The files outlive lost executors. They stay in a folder of this application's id until the shared folder's
+    owner drops it; they hold numbers and links, not texts.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Drop this application's scratch tables. Call it only when no live DataFrame still reads them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

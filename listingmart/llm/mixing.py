@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, table
+from .common import materialize, n_words, row_key, table
 
 CHUNKS = 1024
 
@@ -178,5 +178,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     return out.unionByName(none), manifest
 
 
+def resampled(docs: DataFrame, **how) -> DataFrame:
+    """The mix as whole documents, all columns: each row as often as the mix takes its words, rounded."""
+    keyed = docs.withColumn("_key", row_key(docs, docs.columns))
+    taken = mix(keyed, carry=("_key",), **how)[0].filter("size > 0")
+    times = taken.groupBy("_key").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("long").alias("_times"), F.count(F.lit(1)).alias("_rows")).filter("_times > 0")
+    same = Window.partitionBy("_key").orderBy("_key")  # rows that are equal in all columns share their times
+    rows = keyed.join(times, "_key").withColumn("_n", F.row_number().over(same))
+    rows = rows.withColumn("_own", F.expr("_times div _rows + if(_n <= _times % _rows, 1, 0)")).filter("_own > 0")
+    return rows.withColumn("_copy", F.explode(F.expr("sequence(1L, _own)"))).select(*docs.columns)
+
+
 def op1_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -20,10 +20,10 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, row_key, table
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Comparisons of a tile pair that is not cut further.
@@ -164,12 +164,30 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, fp and component: the smallest fingerprint that links reach."""
-    marked = materialize(fingerprints(docs, carry), "fingerprints")
+def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, component (the smallest fingerprint that links reach) of the distinct fingerprints."""
     fps = marked.select("fp").distinct()
     roots = components(linked(fps, radius))
-    return marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(*carry, "fp", F.coalesce("root", "fp").alias("component"))
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, component_id: the smallest id that links reach."""
+    marked = materialize(fingerprints(docs, ("doc_id",)), "fingerprints")
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("low")).join(classes(marked, radius), "fp")
+    ids = least.groupBy("component").agg(F.min("low").alias("component_id"))
+    return marked.join(least.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, all columns: the one of smallest id, null ids last, then of smallest key."""
+    keyed = docs.withColumn("_key", row_key(docs, docs.columns))
+    marked = materialize(fingerprints(keyed, ("doc_id", "_key")), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    best = marked.groupBy("fp").agg(F.min(first).alias("best")).join(classes(marked, radius), "fp")
+    kept = best.groupBy("component").agg(F.min("best").alias("best")).select("best._key").distinct()
+    same = Window.partitionBy("_key").orderBy("_key")  # rows that are equal in all columns
+    return keyed.join(kept, "_key").withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(*docs.columns)
 
 
 def hexed(fp: Column) -> Column:
@@ -178,6 +196,4 @@ def hexed(fp: Column) -> Column:
 
 def op5_simhash(spark, sf_dir):
     docs = near_duplicates(table(spark, sf_dir, "documents"))
-    by_fp = docs.groupBy("component", "fp").agg(F.min("doc_id").alias("low"))
-    least = by_fp.groupBy("component").agg(F.min("low").alias("component_id"))
-    return docs.join(least, "component").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
+    return docs.select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
