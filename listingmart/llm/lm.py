@@ -41,7 +41,7 @@ DEPTH, SHARE, GAIN, DELTA = 3, 2e-4, 20.0, 0.1
 #: What the shorter context's distribution weighs in a state's, against its own counts; the best is chosen by state.
 WEIGHTS = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 #: Words of a part; training symbols for each bucket.
-PART, BUCKET = 1_500_000, 3_000_000
+PART, BUCKET = 600_000, 1_500_000
 FOLDS = 10
 END = b" "  # no word holds a space
 _pack, _unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
@@ -96,15 +96,15 @@ def contexts(word: np.ndarray, fresh: np.ndarray, codes: dict[int, dict]) -> lis
     word: candidate number of each place's word or -1; fresh: places since the document's start.
     codes[d]: sorted keys (shorter context's number, word's number) and their context numbers.
     """
-    out, before = [], np.full(len(word), -1, np.int64)
+    out, before = [], np.full(len(word), -1, np.int32)
     for d in sorted(codes):
         # the word d places back opens the context; the shorter context before the place is its suffix
-        opens = np.full(len(word), -1, np.int64)
+        opens = np.full(len(word), -1, np.int32)
         opens[d:] = word[:-d]
         able = (fresh >= d) & (opens >= 0) & ((before >= 0) if d > 1 else True)
-        now = np.full(len(word), -1, np.int64)
+        now = np.full(len(word), -1, np.int32)
         at = np.flatnonzero(able)
-        key = opens[at] if d == 1 else before[at] * (1 << 31) + opens[at]
+        key = opens[at].astype(np.int64) if d == 1 else before[at].astype(np.int64) * (1 << 31) + opens[at]
         keys, numbers = codes[d]["keys"], codes[d]["numbers"]
         if len(keys):
             place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
@@ -203,20 +203,19 @@ def layout(coded: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, local: np.n
     """The part's distinct pairs in sending order (bucket, hash, context), and each place's pairs as places in that order."""
     fresh = np.arange(len(coded)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     deep = contexts(local[coded], fresh, tree.codes)
-    every = [coded.astype(np.int64), *(np.where(c >= 0, (c << 32) | coded, -1) for c in deep)]
-    flat = np.concatenate([e[e >= 0] for e in every])
-    pairs, inverse = np.unique(flat, return_inverse=True)
+    there = [np.arange(len(coded)), *(np.flatnonzero(c >= 0) for c in deep)]
+    pairs, inverse = np.unique(np.concatenate([coded.astype(np.int64), *((c[at].astype(np.int64) << 32) | coded[at] for c, at in zip(deep, there[1:], strict=True))]), return_inverse=True)
+    del deep, fresh
     state, word = pairs >> 32, pairs & 0xFFFFFFFF
     bucket = bucket_of(hashes[word], state, tree, buckets)
     order = np.lexsort((state, hashes[word], bucket))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     places, lo = [], 0
-    for e in every:
-        own = np.full(len(e), -1, np.int64)
-        n = int((e >= 0).sum())
-        own[e >= 0] = rank[inverse[lo : lo + n]]
-        lo += n
+    for at in there:
+        own = np.full(len(coded), -1, np.int32)
+        own[at] = rank[inverse[lo : lo + len(at)]]
+        lo += len(at)
         places.append(own)
     return state[order], word[order], bucket[order], places
 
