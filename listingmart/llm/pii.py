@@ -116,12 +116,25 @@ def patterns(x: Column) -> Column:
     return F.filter(named, lambda p: F.length(F.trim(F.substr(p, F.lit(3)))) > 0)
 
 
-def word_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(word, total) of the wanted words over all texts."""
-    words = docs.select(F.explode(F.split(F.lower("text"), EDGE)).alias("word"))
+def words_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.explode(F.split(F.lower("text"), EDGE)).alias("word"))
+
+
+def specific(useful: DataFrame, docs: DataFrame) -> DataFrame:
+    """(kind, pattern) of the patterns that are specific. Common words fail on the documents with a digit or an at sign
+    already, whose words are summed first; the few words left are counted over all documents."""
+    def passing(totals: DataFrame) -> DataFrame:
+        rows = useful.join(totals, "word").groupBy("kind", "pattern", "places").agg(F.min("total").alias("total"))
+        return rows.filter(F.col("places") >= SPECIFIC * F.col("total")).select("kind", "pattern")
+
+    total = F.count(F.lit(1)).alias("total")
+    some = words_of(docs.filter(F.rlike("text", F.lit("[0-9@]")))).groupBy("word").agg(total)
+    left = materialize(useful.join(passing(some), ["kind", "pattern"], "left_semi"), "pii-rare")
+    wanted = left.select("word").distinct()
+    words = words_of(docs)
     if wanted.limit(SENT + 1).count() <= SENT:  # the size is checked
-        return words.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("total")).join(wanted, "word", "left_semi")
+        return passing(words.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(total))
+    return passing(words.groupBy("word").agg(total).join(wanted, "word", "left_semi"))
 
 
 def confident_patterns(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame] | None:
@@ -134,9 +147,7 @@ def confident_patterns(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS)
     useful = materialize(useful.select("kind", "pattern", "places", F.explode(F.split(F.substr("pattern", F.lit(4)), " ")).alias("word")), "pii-useful")
     if useful.isEmpty():
         return None
-    totals = word_counts(docs, useful.select("word").distinct())
-    useful = useful.join(totals, "word").groupBy("kind", "pattern", "places").agg(F.min("total").alias("total")).filter(F.col("places") >= SPECIFIC * F.col("total"))
-    links = materialize(links.join(useful.select("kind", "pattern"), ["kind", "pattern"], "left_semi"), "pii-links")
+    links = materialize(links.join(specific(useful, docs), ["kind", "pattern"], "left_semi"), "pii-links")
     if links.isEmpty():
         return None
     scores = links.groupBy("kind", "m").agg(F.max("seed").alias("score"))
