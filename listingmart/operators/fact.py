@@ -52,7 +52,7 @@ def build_fact(staging: DataFrame, strict_prefix: bool = False, check: bool = Tr
         check_ids(rows)
     province, district = extract_location(F.col("location"), strict_prefix)
     out = rows.withColumns({
-        "listing_id": F.col("id"), "province": known(province), "district": known(district), "detail_url": blank_to_null(F.col("detail_url")),
+        "listing_id": F.col("id"), "province": known(province), "district": known(district), "detail_url": blank_to_null(strip(F.col("detail_url"))),
         "price_per_m2": F.col("price_million_vnd") / F.col("area_m2")})
     return out.select(*(f.name for f in FACT))
 
