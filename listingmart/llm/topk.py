@@ -11,7 +11,7 @@ which a window cuts to k. Blocks hold equal row counts whatever the values are.
 
 Defined results: rows with a null id, a null vector, or a null or non-finite component take no part;
 vectors of different lengths don't pair; of rows with one id the smallest vector is the query, and none
-of them is its candidate; ties go to the smaller id; an empty table gives an empty result; further columns
+of them is its candidate; ties go to the smaller id; components and scores are held to 64-bit integers; an empty table gives an empty result; further columns
 are not looked at.
 """
 
@@ -40,10 +40,16 @@ def choose_pivots(rows: np.ndarray, count: int = PIVOTS) -> np.ndarray:
     return rows[chosen]
 
 
+def _wide_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Through Python's integers, held to 64 bits at the end."""
+    whole = np.vectorize(int, otypes=[object])
+    return np.array([max(-(2**63), min(2**63 - 1, x)) for x in whole(a) @ whole(b)], dtype=np.int64) if len(a) else np.empty(0, np.int64)
+
+
 def search_block(q: np.ndarray, q_ids: np.ndarray, q_far: np.ndarray, c: np.ndarray, c_ids: np.ndarray, c_far: np.ndarray, top: float, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query's place, candidate ids, scores) of the k best of the block, ties to smaller ids. *_far: distances to the pivots."""
     wide = max(np.abs(q).max(initial=0), 1) * max(np.abs(c).max(initial=0), 1) * q.shape[1] >= 2**53
-    exact = (lambda a, b: (a.astype(np.int64).astype(object) @ b.astype(np.int64).astype(object)).astype(np.int64)) if wide else (lambda a, b: (a @ b).astype(np.int64))
+    exact = _wide_products if wide else lambda a, b: (a @ b).astype(np.int64)
     columns = np.ascontiguousarray(c_far.T)
     for i in range(len(q)):
         low = np.zeros(len(c))
