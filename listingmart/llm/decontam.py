@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept, table
 
 K1, B, SHINGLE = 1.2, 0.75, 5
 THRESHOLD, OVERLAP = 0.5, 0.8
@@ -142,7 +142,7 @@ class Terms(dict):
         self.known = known
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         plain = _NOISE.sub("", word.decode("utf-8", "surrogatepass").lower())
         self[word] = out = self.known.get(plain, -1) if plain else -2
@@ -242,6 +242,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
         held = spark.sparkContext.broadcast(matcher)
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            kept("decontamination", dict)  # drops what other operators left
             terms = Terms(held.value.known)
             for b in batches:
                 found = held.value.matches(b["text"].fillna("").tolist(), terms)
@@ -261,6 +262,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
         held = docs.sparkSession.sparkContext.broadcast(matcher)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            kept("decontamination", dict)  # drops what other operators left
             terms = Terms(held.value.known)
             for b in batches:
                 found = held.value.matches([t or "" for t in b.column("text").to_pylist()], terms)

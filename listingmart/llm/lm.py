@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import kept, materialize, table
 
 DEPTH, SHARE, GAIN, DELTA = 3, 2e-4, 20.0, 0.1
 #: What the shorter context's distribution weighs in a state's, against its own counts; the best is chosen by state.
@@ -229,6 +229,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, g
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, task = held.value, TaskContext.get().partitionId()
+        kept("lm", dict)  # drops what other operators left
         for k, (ids, sizes, coded, numbers) in enumerate(parts(batches)):
             names = list(numbers)
             order = np.argsort(-np.bincount(coded, minlength=len(names)), kind="stable")
@@ -306,13 +307,13 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, g
             size[r["state"]], worth[r["state"]] = r["n"], r["gain"]
     mass = tree.guess[:, None] * np.array(WEIGHTS)
     worth = worth - size[:, None] * np.log(np.maximum(size[:, None] - 1 + mass, 1e-9))
-    kept, mass = worth.max(axis=1) >= gain, np.take_along_axis(mass, worth.argmax(axis=1)[:, None], axis=1).ravel()
-    kept[0] = False
+    stays, mass = worth.max(axis=1) >= gain, np.take_along_axis(mass, worth.argmax(axis=1)[:, None], axis=1).ravel()
+    stays[0] = False
     total = int(size[0])
-    verdict = spark.sparkContext.broadcast((kept, size, mass))  # three numbers a candidate
+    verdict = spark.sparkContext.broadcast((stays, size, mass))  # three numbers a candidate
 
     def finish(g: pd.DataFrame) -> pd.DataFrame:
-        tree, (kept, size, mass) = held.value, verdict.value
+        tree, (stays, size, mass) = held.value, verdict.value
         me = g[g["bucket"] == -1].iloc[0]
         coded, sizes, hashes, local = (unpacked(me[x], k) for x, k in zip("abcd", ("<i4", "<i4", "<u8", "<i4"), strict=True))
         ids, null = unpacked(me["e"], "<i8"), unpacked(me["f"], "?")
@@ -325,14 +326,14 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, g
         p = base.copy()
         for own in places[1:]:
             at = np.flatnonzero(own >= 0)
-            at = at[kept[state[own[at]]]]
+            at = at[stays[state[own[at]]]]
             here = own[at]
             p[at] = (sums[here] + mass[state[here]] * p[at]) / (size[state[here]] + mass[state[here]])
         ids = pd.array(ids, dtype="Int64")
         ids[null] = pd.NA
         return pd.DataFrame({
             "doc_id": ids, "held_out": [is_held_out(i) for i in ids], "n_tokens": sizes, "n_known": np.add.reduceat((sums[places[0]] > 0).astype(np.int64), starts), "train_tokens": total,
-            "base_score": np.add.reduceat(np.log10(base), starts), "score": np.add.reduceat(np.log10(p), starts), "n_states": int(kept.sum())})
+            "base_score": np.add.reduceat(np.log10(base), starts), "score": np.add.reduceat(np.log10(p), starts), "n_states": int(stays.sum())})
 
     blank = [F.lit(None).cast("binary").alias(x) for x in "bcdef"]
     both = coded.filter("bucket = -1").unionByName(totals.filter("bucket >= 0").select("part", "bucket", "a", *blank))

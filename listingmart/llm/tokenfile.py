@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path, table
+from .common import kept, materialize, scratch_path, table
 
 MAGIC, SAMPLE, END_ID = b"EFTOKEN1", 256, 0
 TOKENIZER = "byte_bpe_50k.json"
@@ -224,7 +224,7 @@ class Encoder:
     so such texts may be coded word by word. Texts with other spaces after a space are coded whole.
     """
 
-    def __init__(self, tokenizer, kind: np.dtype, limit: int = 1_500_000):
+    def __init__(self, tokenizer, kind: np.dtype, limit: int = 1_000_000):
         self.words, told = Words(tokenizer, kind, limit), json.loads(tokenizer.to_str())
         steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [told["pre_tokenizer"]])
         self.by_word = told["normalizer"] is None and not told["model"].get("ignore_merges") and all(x and x["type"] == "ByteLevel" and not x["add_prefix_space"] and x.get("use_regex", True) for x in steps)
@@ -240,14 +240,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, kind: np.dtype) -> Encoder:
     """This worker's encoder; what it remembers serves later tasks too."""
-    if (key := (path, kind.str)) not in _encoders:
-        _encoders[key] = Encoder(load_tokenizer(path), kind)
-    return _encoders[key]
+    return kept(f"encoder {path} {kind.str}", lambda: Encoder(load_tokenizer(path), kind))
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:

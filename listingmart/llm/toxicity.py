@@ -26,7 +26,7 @@ import sys
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, kept, table
 
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS, FIT_WORDS = 1500, 3000, 60_000, 500_000
 THRESHOLD = 0.7
 #: Words of a batch that are tagged at once.
-STEP = 400_000
+STEP = 100_000
 _NOISE = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -124,29 +124,32 @@ class Tagger:
     def emission(self, word: str) -> float:
         return self.bias + sum(self.weights.get(f, 0.0) for f in features(normal(word)))
 
-    def summary(self, texts: Sequence[str], memo: Memo | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Per text: largest marginal, log of one plus the expected toxic words, their share; and the words' marginals."""
-        memo = Memo(self) if memo is None else memo
-        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        out, marginals = np.zeros((len(texts), 3)), [np.empty(0)] * len(texts)
-        lo = 0
-        while lo < len(texts):
-            hi, total = lo, 0
-            while hi < len(texts) and (hi == lo or total + sizes[hi] <= STEP):
-                total, hi = total + int(sizes[hi]), hi + 1
-            own = [i for i in range(lo, hi) if sizes[i]]
-            lo = hi
-            if not own:
-                continue
-            emit = np.concatenate([np.fromiter(map(memo.__getitem__, words[i]), np.float64, sizes[i]) for i in own])
-            starts = np.concatenate([[0], np.cumsum(sizes[own])[:-1]]).astype(np.int64)
-            p = scan(emit, starts, self.move, self.begin)[0]
-            mass = np.add.reduceat(p, starts)
-            out[own] = np.stack([np.maximum.reduceat(p, starts), np.log1p(mass), mass / sizes[own]], axis=1)
-            for i, part in zip(own, np.split(p, starts[1:]), strict=True):
-                marginals[i] = part
-        return out, marginals
+    def tagged(self, texts: Sequence[str], memo: Memo) -> Iterator[tuple[int, np.ndarray]]:
+        """(place, marginals of the words) of the texts that have words, STEP words at a time."""
+        own, emits, total = [], [], 0
+        for i, text in enumerate(texts):
+            words = text.encode("utf-8", "surrogatepass").lower().split()
+            if words:
+                own.append(i)
+                emits.append(np.fromiter(map(memo.__getitem__, words), np.float64, len(words)))
+                total += len(words)
+            del words
+            if own and (total >= STEP or i + 1 == len(texts)):
+                starts = np.cumsum([0, *map(len, emits)])[:-1]
+                p = scan(np.concatenate(emits), starts, self.move, self.begin)[0]
+                yield from zip(own, np.split(p, starts[1:]), strict=True)
+                own, emits, total = [], [], 0
+
+    def summary(self, texts: Sequence[str], memo: Memo | None = None, found: Callable[[int, np.ndarray], None] | None = None) -> np.ndarray:
+        """Per text: largest marginal, log of one plus the expected toxic words, their share. found gets the
+        marginals of texts with a word that is likelier toxic than not."""
+        out = np.zeros((len(texts), 3))
+        for i, p in self.tagged(texts, Memo(self) if memo is None else memo):
+            mass = p.sum()
+            out[i] = p.max(), np.log1p(mass), mass / len(p)
+            if found is not None and out[i, 0] >= 0.5:
+                found(i, p)
+        return out
 
     def score(self, summary: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit[0] + summary @ self.logit[1:], -500, 500)))
@@ -160,7 +163,7 @@ class Memo(dict):
         self.tagger = tagger
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = out = self.tagger.emission(word.decode("utf-8", "surrogatepass"))
         return out
@@ -263,7 +266,7 @@ def fit(rows: Sequence[tuple[str, int]], steps: int = 40, ridge: float = 0.5) ->
     held = [r for i, r in enumerate(rows) if i % 3 == 0]
     if len({y for _, y in held}) < 2:
         held = rows
-    x = tagger.summary([t for t, _ in held])[0]
+    x = tagger.summary([t for t, _ in held])
     tagger.logit = logistic(x, np.array([y for _, y in held], float))
     return tagger
 
@@ -307,15 +310,16 @@ def score_documents(docs: DataFrame, tagger: Tagger | None, threshold: float = T
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = held.value
+        kept("toxicity", dict)  # drops what other operators left
         memo = Memo(tagger) if tagger else None
         for b in batches:
             texts = b["text"].fillna("").tolist()
             if tagger is None:
                 yield b[["doc_id"]].assign(score=0.0, predicted=0, spans=[[] for _ in texts])
                 continue
-            x, marginals = tagger.summary(texts, memo)
-            score = tagger.score(x)
-            yield b[["doc_id"]].assign(score=score, predicted=(score >= threshold).astype("int32"), spans=[spans(t, m) for t, m in zip(texts, marginals, strict=True)])
+            hot: list[list[dict]] = [[] for _ in texts]
+            score = tagger.score(tagger.summary(texts, memo, lambda i, p, texts=texts, hot=hot: hot[i].extend(spans(texts[i], p))))
+            yield b[["doc_id"]].assign(score=score, predicted=(score >= threshold).astype("int32"), spans=hot)
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
 
@@ -328,10 +332,11 @@ def clean_documents(docs: DataFrame, tagger: Tagger | None, threshold: float = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = held.value
+        kept("toxicity", dict)  # drops what other operators left
         memo = Memo(tagger)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array(tagger.score(tagger.summary(texts, memo)[0]) < threshold))
+            yield b.filter(pa.array(tagger.score(tagger.summary(texts, memo)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
