@@ -271,6 +271,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         if writer is not None:
             writer.close()
             out.close()
+            if fs.get_file_info(name).type.name != "NotFound":
+                fs.delete_file(name)  # a task that ran before; its bytes are the same
             fs.move(attempt, name)
             yield pd.DataFrame({"shard": [context.partitionId()], "path": [name], "docs": [len(writer.starts) - 1], "tokens": [writer.at]})
 
