@@ -122,12 +122,12 @@ def linear_frame(base: DataFrame, ref: MarketReference, keep_top: int = 50, incl
     """Id, numeric predictors, one 0/1 column a level of province, kept district and age bucket, and target."""
     rows = top_or_other(apply_reference(base, ref), "district", keep_top, "district_for_ohe")
     numeric = [c for c in predictors(include_optional) if c not in CATEGORICAL]
-    hot = []
-    for c in ("province", "district_for_ohe", "timeline_bucket"):
-        levels = [r[0] for r in rows.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c).limit(max_levels + 1).collect()]
-        if len(levels) > max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels")
-        hot += [(F.col(c) == v).cast("int").alias(f"{c}_{v}") for v in levels]
+    columns = ["province", "district_for_ohe", "timeline_bucket"]
+    pairs = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns))).alias("x")).select("x.*")
+    found = pairs.filter("v is not null").distinct().orderBy("c", "v").limit(max_levels + 1).collect()
+    if len(found) > max_levels:
+        raise ValueError(f"more than {max_levels} levels")
+    hot = [(F.col(c) == r["v"]).cast("int").alias(f"{c}_{r['v']}") for c in columns for r in found if r["c"] == c]
     return rows.select("listing_id", *numeric, *hot, TARGET)
 
 
