@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import MART, bucket
 from ..functions.stats import fences, lower_median, median, quantiles
+from ..operators.quantiles import exact_quantiles
 
 IMPUTED = ("bedrooms", "bathrooms", "floors")
 FENCED = {"price": "price_million_vnd", "area": "area_m2", "price_per_m2": "price_per_m2"}
@@ -29,9 +30,13 @@ def impute(rows: DataFrame, min_observed: int = MIN_OBSERVED) -> DataFrame:
     return rows
 
 
-def bounds(fact: DataFrame) -> DataFrame:
-    """One row: quartiles of the fenced columns, all in one pass."""
-    q = fact.agg(*(quantiles(c, (0.25, 0.75)).alias(name) for name, c in FENCED.items()))
+def bounds(fact: DataFrame, distributed: bool = False) -> DataFrame:
+    """One row: quartiles of the fenced columns. distributed: in two passes over fact (a table, best) that need no
+    reducer with all distinct values; else one aggregate."""
+    if distributed:
+        q = exact_quantiles(fact, {c: (0.25, 0.75) for c in FENCED.values()}).withColumnsRenamed({c: name for name, c in FENCED.items()})
+    else:
+        q = fact.agg(*(quantiles(c, (0.25, 0.75)).alias(name) for name, c in FENCED.items()))
     return q.select(*(F.get(name, F.lit(k)).alias(f"{name}_q{1 + 2 * k}") for name in FENCED for k in (0, 1)))
 
 
@@ -55,11 +60,11 @@ def flag_outliers(rows: DataFrame) -> DataFrame:
     return rows.withColumn("is_outlier_any", any_).withColumn("is_robust_train_candidate", ~any_)
 
 
-def avm_mart(fact: DataFrame, dim: DataFrame) -> DataFrame:
+def avm_mart(fact: DataFrame, dim: DataFrame, distributed: bool = False) -> DataFrame:
     """Statistics are computed once a level and joined back; all joined sides hold one row a location or one row."""
     district = observed_stats(fact, "district", ["province", "district"], medians=True)
     province = observed_stats(fact, "province", ["province"])
-    one = observed_stats(fact, "global", []).crossJoin(bounds(fact))
+    one = observed_stats(fact, "global", []).crossJoin(bounds(fact, distributed))
     rows = fact.withColumn("time_bucket", bucket(F.col("timeline_hours"), MART)).crossJoin(F.broadcast(one))  # one row
     rows = rows.join(district, ["province", "district"], "left").join(province, "province", "left").join(dim, ["province", "district"], "left")
     rows = flag_outliers(impute(rows))

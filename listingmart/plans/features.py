@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import USER, bucket
 from ..functions.stats import median, quantiles
+from ..operators.quantiles import exact_quantiles
 
 VERSION = "phase3_v1"
 TARGETS = {"price_million_vnd": "target_price_million_vnd", "price_per_m2": "target_price_per_m2"}
@@ -19,21 +20,21 @@ def refs(avm: DataFrame, level: str, keys: list[str], total: DataFrame) -> DataF
     return out.crossJoin(F.broadcast(total)).withColumn(f"{level}_frequency_ref", share).drop("_total")
 
 
-def feature_quantiles(avm: DataFrame) -> DataFrame:
-    """One row; all quantiles of a column come from one aggregate."""
-    q = avm.agg(
-        quantiles("timeline_hours", (0.5, 0.99)).alias("t"), quantiles("area_m2", (0.5, 0.75, 0.99)).alias("a"),
-        *(quantiles(f"{c}_imputed", (0.99,)).alias(c) for c in ("bedrooms", "bathrooms", "floors")))
-    at = lambda c, k: F.get(c, F.lit(k))
-    return q.select(
-        at("t", 0).alias("timeline_p50"), at("t", 1).alias("timeline_p99"), at("a", 0).alias("area_p50"), at("a", 1).alias("area_p75"), at("a", 2).alias("area_p99"),
-        *(at(c, 0).alias(f"{c}_p99") for c in ("bedrooms", "bathrooms", "floors")))
+QUANTILES = {"timeline_hours": (0.5, 0.99), "area_m2": (0.5, 0.75, 0.99), "bedrooms_imputed": (0.99,), "bathrooms_imputed": (0.99,), "floors_imputed": (0.99,)}
 
 
-def feature_mart(avm: DataFrame) -> DataFrame:
+def feature_quantiles(avm: DataFrame, distributed: bool = False) -> DataFrame:
+    """One row; all quantiles of a column come from one aggregate, or (distributed) from two passes without a large reducer."""
+    q = exact_quantiles(avm, QUANTILES) if distributed else avm.agg(*(quantiles(c, p).alias(c) for c, p in QUANTILES.items()))
+    names = {"timeline_p50": ("timeline_hours", 0), "timeline_p99": ("timeline_hours", 1), "area_p50": ("area_m2", 0), "area_p75": ("area_m2", 1), "area_p99": ("area_m2", 2)}
+    names |= {f"{c}_p99": (f"{c}_imputed", 0) for c in ("bedrooms", "bathrooms", "floors")}
+    return q.select(*(F.get(c, F.lit(k)).alias(name) for name, (c, k) in names.items()))
+
+
+def feature_mart(avm: DataFrame, distributed: bool = False) -> DataFrame:
     c = F.col
     total = avm.agg(F.count(F.lit(1)).alias("_total"))
-    rows = avm.crossJoin(F.broadcast(feature_quantiles(avm)))  # one row
+    rows = avm.crossJoin(F.broadcast(feature_quantiles(avm, distributed)))  # one row
     rows = rows.join(refs(avm, "province", ["province"], total), "province", "left").join(refs(avm, "district", ["province", "district"], total), ["province", "district"], "left")
     ratio = lambda name: F.try_divide(c(f"district_median_{name}_ref"), c(f"province_median_{name}_ref"))
     hours = F.coalesce(c("timeline_hours").cast("double"), c("timeline_p50"))

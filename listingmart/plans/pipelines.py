@@ -43,7 +43,7 @@ def run_load(spark: SparkSession, raw: DataFrame, root: str, limits: quality.Thr
         counts["fact_rows"] = fact.count()
         if not skip_marts:
             counts["mart_market_analytics_rows"] = house.replace(stamped(market.market_mart(fact)), "mart_market_analytics").count()
-            counts["mart_avm_features_rows"] = house.replace(stamped(avm.avm_mart(fact, dim)), "mart_avm_features").count()
+            counts["mart_avm_features_rows"] = house.replace(stamped(avm.avm_mart(fact, dim, distributed=True)), "mart_avm_features").count()
     except Exception as e:
         log.finish(run, "failed", counts, found, str(e)[:2000])
         raise
@@ -92,7 +92,7 @@ def run_explore(spark: SparkSession, root: str, out: str, min_district_listings:
 def run_features(spark: SparkSession, root: str, out: str | None = None) -> dict:
     """Feature mart, catalog and summary."""
     house = Warehouse(spark, root)
-    mart = house.replace(stamped(features.feature_mart(house.read("mart_avm_features").drop("refreshed_at"))), "mart_avm_features_final")
+    mart = house.replace(stamped(features.feature_mart(house.read("mart_avm_features").drop("refreshed_at"), distributed=True)), "mart_avm_features_final")
     summary = eda.feature_summary(mart).first().asDict()
     if out:
         for name, df in catalog.tables(spark).items():

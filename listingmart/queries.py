@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import buckets, location, stats, text
 from .operators import checks, encoders, quality
 from .operators import fact as facts
+from .operators.quantiles import exact_quantiles
 from .operators.staging import build_staging
 from .plans import avm, eda, features, market, profile
 from .sources.testdata import STAGING_SQL, raw_text, staging
@@ -184,6 +185,14 @@ def _(spark, d):
     return near(row.select(*(v.alias(k) for k, v in names.items())), *names)
 
 
+@add("global_quantiles_distributed", SQL["global_quantiles"])
+def _(spark, d):
+    at = (0.25, 0.5, 0.75, 0.95, 0.99, 0.995)
+    row = exact_quantiles(fact(spark, d), dict.fromkeys(_FENCED, at))
+    names = {f"{c}_p{round(p * 1000)}": F.get(c, F.lit(k)) for c in _FENCED for k, p in enumerate(at)}
+    return near(row.select(*(v.alias(k) for k, v in names.items())), *names)
+
+
 _BOUND = {"price": "price_million_vnd", "area": "area_m2", "price_per_m2": "price_per_m2"}
 _BOUNDS = [f"{n}_{x}" for n in _BOUND for x in ("q1", "q3", "low", "high")]
 

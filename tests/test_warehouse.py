@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingmart.operators import checks, encoders, fact, quality
+from listingmart.operators.quantiles import exact_quantiles
 from listingmart.operators.staging import build_staging, build_staging_strict
 from listingmart.plans import avm, eda, features, market, pipelines, profile
 from listingmart.schemas import RAW_COLUMNS, STAGING
@@ -84,6 +85,16 @@ def frame(spark, *rows):
     return spark.createDataFrame(list(rows), "listing_id string, province string, district string, target_price_million_vnd double, target_price_per_m2 double")
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 999, 30_000])
+def test_exact_quantiles(spark, n):
+    rows = spark.range(n).select(F.when(F.col("id") % 7 != 3, F.rand(1) * 1000).alias("x"), (F.col("id") % 5).cast("int").alias("y"), F.lit(None).cast("double").alias("z"))
+    at = (0.0, 0.01, 0.25, 0.5, 0.75, 0.995, 1.0)
+    got = exact_quantiles(rows, {"x": at, "y": (0.5,), "z": (0.5,)}).first()
+    want = rows.agg(*(F.percentile(c, F.array(*map(F.lit, p))).alias(c) for c, p in (("x", at), ("y", (0.5,)), ("z", (0.5,))))).first()
+    for c in ("x", "y", "z"):
+        assert got[c] == ([None] * len(got[c]) if want[c] is None else pytest.approx(want[c], rel=1e-12))
+
+
 def test_encoder_unseen(spark):
     ref = encoders.fit_reference(frame(spark, ("1", "P", "D", 10.0, 0.0), ("2", "P", "D", 30.0, 0.0), ("3", None, None, 5.0, 1.0)))
     got = {r["listing_id"]: r for r in encoders.apply_reference(frame(spark, ("a", "P", "new", 0.0, 0.0), ("b", "new", "new", 0.0, 0.0), ("c", " P ", "D", 0.0, 0.0)), ref).collect()}
