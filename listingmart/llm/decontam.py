@@ -142,7 +142,7 @@ class Terms(dict):
         self.known = known
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 600_000:
             self.clear()
         plain = _NOISE.sub("", word.decode("utf-8", "surrogatepass").lower())
         self[word] = out = self.known.get(plain, -1) if plain else -2
