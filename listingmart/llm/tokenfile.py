@@ -25,7 +25,9 @@ import functools
 import json
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,42 +182,69 @@ class Odd(Exception):
 
 
 class Words(dict):
-    """A word that a space precedes: its ids' bytes. Bounded.
+    """A word (with or without a space before it): its ids' bytes. Bounded.
 
-    Latin letters are one piece for the tokenizer's model; marks behind them are another. All other words go
-    through the whole tokenizer.
+    Latin letters are one piece for the tokenizer's model; marks behind them are another, and so is a line end between
+    two words. All other words go through the whole tokenizer.
     """
 
     LETTERS = byte_letters()
 
-    def __init__(self, tokenizer, kind: np.dtype, limit: int):
+    def __init__(self, tokenizer, kind: np.dtype, limit: int, space: str = " "):
         super().__init__()
-        self.tokenizer, self.model, self.kind, self.limit, self.tails = tokenizer, tokenizer.model, kind, limit, {}
+        self.tokenizer, self.model, self.limit, self.space = tokenizer, tokenizer.model, limit, space
+        self.kind = "H" if kind.itemsize == 2 else "I"
+        self.tails: dict[str, bytes] = {}
+        self.marked: dict[str, bytes] = {}
+        self.bare = Words(tokenizer, kind, limit // 8, "") if space else None
+
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(self.kind, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace():
+        if (out := self.marked.get(word)) is not None:
+            return out
+        if self.space and (not word or word[0].isspace()):
             raise Odd
-        if len(self) > self.limit:
-            self.clear()
         core = word.rstrip(MARKS)
-        if not core or not core.isalpha() or max(core) >= "\u0250":
-            out = self.whole(" " + word)
+        if not core.isalpha() or not core.isascii() and max(core) >= "\u0250":
+            if self.space and "\n" in word:
+                return self.lines(word)
+            out = self.whole(self.space + word)
         elif len(core) < len(word):
             tail = word[len(core) :]
             if tail not in self.tails:
                 if len(self.tails) > 10_000:
                     self.tails.clear()
                 self.tails[tail] = self.whole(tail)
-            return self[core] + self.tails[tail]  # not kept: words with marks would crowd out words
+            if len(self.marked) > self.limit // 4:
+                self.marked.clear()
+            self.marked[word] = out = self[core] + self.tails[tail]
+            return out
         else:
-            piece = (" " + word).encode().decode("latin-1").translate(self.LETTERS)
-            out = np.array([t.id for t in self.model.tokenize(piece)], dtype=self.kind).tobytes()
+            piece = (self.space + word).encode().decode("latin-1").translate(self.LETTERS)
+            out = self.packed([t.id for t in self.model.tokenize(piece)])
+        if len(self) > self.limit:
+            self.clear()
         self[word] = out
         return out
 
+    def lines(self, word: str) -> bytes:
+        """Words that single line ends part. Such words are seldom met again, so only their parts are kept."""
+        first, *rest = word.split("\n")
+        if not first or any(not w or w[0].isspace() or w[-1].isspace() for w in (first, *rest)):
+            return self.whole(self.space + word)
+        if "\n" not in self.tails:
+            self.tails["\n"] = self.whole("\n")
+        end = self.tails["\n"]
+        return self[first] + b"".join(end + self.bare[w] for w in rest)
+
 
 class Encoder:
     """Texts to ids' bytes with the tokenizer, a word coded once while it is remembered.
@@ -224,7 +253,7 @@ class Encoder:
     so such texts may be coded word by word. Texts with other spaces after a space are coded whole.
     """
 
-    def __init__(self, tokenizer, kind: np.dtype, limit: int = 1_000_000):
+    def __init__(self, tokenizer, kind: np.dtype, limit: int = 800_000):
         self.words, told = Words(tokenizer, kind, limit), json.loads(tokenizer.to_str())
         steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [told["pre_tokenizer"]])
         self.by_word = told["normalizer"] is None and not told["model"].get("ignore_merges") and all(x and x["type"] == "ByteLevel" and not x["add_prefix_space"] and x.get("use_regex", True) for x in steps)
