@@ -1,21 +1,23 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 Symbols are lower-cased words and an end symbol. The tree's states are contexts: up to DEPTH words that
-precede a symbol within its document. Candidates are contexts that make at least SHARE of some part's
-context places. A candidate is kept if its divergence from the next shorter context, measured as the
-leave-one-out log-likelihood gain of its next-symbol counts at the best of WEIGHTS, reaches GAIN. A symbol is scored in the longest
-kept suffix of its history; distributions are smoothed along the kept suffixes:
+precede a symbol within its document. Every context of two training places or more is judged (one of a single
+place gains nothing, so it cannot pass). It is kept if its divergence from the next shorter context, measured
+as the leave-one-out log-likelihood gain of its next-symbol counts at the best of WEIGHTS, reaches GAIN. A
+symbol is scored in the longest kept suffix of its history; distributions are smoothed along the kept suffixes:
 
     P(w | s) = (c(s, w) + a * P(w | shorter s)) / (c(s) + a),   P(w) = (c(w) + d) / (N + d * (V + 1))
 
 so each is a distribution over the V known symbols and one for all unknown ones.
 
-Counts of all (context, symbol) pairs stay distributed. Documents are coded in parts of at most PART words
-(local word numbers, most frequent first), kept in the shared folder; each part sends its distinct pairs and
-their training counts, once, to buckets by the symbol's hash, and a bucket answers each part with the totals.
-So a pair's load is one row a part, whatever its frequency; pairs of very frequent symbols are dealt by the
-context's last word too. The driver holds the candidates and their sums only: a share of SHARE bounds them
-by DEPTH / SHARE.
+Contexts and counts stay distributed and grow with the corpus. c(s, w) is the count of the gram s w, and c(s),
+as something always follows s, that of the gram s: all are gram counts, and a place reads its context's from
+the place before. Documents are coded in parts of at most PART words, kept in the shared folder. In three
+rounds each part sends its distinct grams' hashes, once, to buckets by hash, and a bucket answers each part:
+the counts of one and two words; those of longer grams whose context can still have two places; and, from the
+gains summed over all parts, the verdict on each context. A gram's load is one row a part, whatever its
+frequency. A context that has one symbol but for one place at most is judged where that symbol stands, and only
+told to others; gains travel as 32-bit floats. The driver holds totals only.
 
 Defined results: null texts are empty and have the end symbol alone; null ids count as the empty text for the
 fold (held out); equal rows score equally and each counts; without training text all counts are zero; an
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, materialize, table
 
-DEPTH, SHARE, GAIN, DELTA = 3, 2e-4, 20.0, 0.1
+DEPTH, GAIN, DELTA = 3, 20.0, 0.1
 #: What the shorter context's distribution weighs in a state's, against its own counts; the best is chosen by state.
 WEIGHTS = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 #: Words of a part; training symbols for each bucket.
@@ -48,11 +50,22 @@ _pack, _unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecom
 
 
 def packed(a: np.ndarray) -> bytes:
-    return _pack(np.ascontiguousarray(a).tobytes())
+    """All first bytes of the values, all second ones, and so on, compressed."""
+    a = np.ascontiguousarray(a)
+    return _pack(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
 
 
 def unpacked(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(_unpack(b), dtype=kind)
+    columns = np.frombuffer(_unpack(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(columns.T).reshape(-1).view(kind)
+
+
+def packed_sorted(hashes: np.ndarray) -> bytes:
+    return packed(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def unpacked_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b, "<u8"), dtype=np.uint64)
 
 
 class Numbers(dict):
@@ -90,254 +103,272 @@ def parts(batches: Iterator[pd.DataFrame], size: int = PART) -> Iterator[tuple[l
         yield ids, np.array(sizes), np.concatenate(coded), numbers
 
 
-def contexts(word: np.ndarray, fresh: np.ndarray, codes: dict[int, dict]) -> list[np.ndarray]:
-    """For each depth, the number of the candidate context before each place, or -1.
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
-    word: candidate number of each place's word or -1; fresh: places since the document's start.
-    codes[d]: sorted keys (shorter context's number, word's number) and their context numbers.
+class Part:
+    """The symbols of a part, the hashes of the grams that end at each place, and the grams it asks about.
+
+    Whatever is asked about is a list of (words of the gram, places where it ends).
     """
-    out, before = [], np.full(len(word), -1, np.int32)
-    for d in sorted(codes):
-        # the word d places back opens the context; the shorter context before the place is its suffix
-        opens = np.full(len(word), -1, np.int32)
-        opens[d:] = word[:-d]
-        able = (fresh >= d) & (opens >= 0) & ((before >= 0) if d > 1 else True)
-        now = np.full(len(word), -1, np.int32)
-        at = np.flatnonzero(able)
-        key = opens[at].astype(np.int64) if d == 1 else before[at].astype(np.int64) * (1 << 31) + opens[at]
-        keys, numbers = codes[d]["keys"], codes[d]["numbers"]
-        if len(keys):
-            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[place] == key
-            now[at[hit]] = numbers[place[hit]]
-        out.append(now)
-        before = now
+
+    def __init__(self, row, depth: int, least: float):
+        self.depth, self.least = depth, least
+        coded, self.sizes, hashes = unpacked(row["a"], "<i4"), unpacked(row["b"], "<i4").astype(np.int64), unpacked(row["c"], "<u8")
+        ids, null = unpacked(row["e"], "<i8"), unpacked(row["f"], "?")
+        self.ids = [None if x else int(i) for i, x in zip(ids, null, strict=True)]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.fresh = np.arange(len(coded)) - np.repeat(self.starts, self.sizes)
+        self.train = np.repeat([not is_held_out(i) for i in self.ids], self.sizes)
+        self.gram = [None, hashes[coded]]
+        for k in range(2, depth + 2):
+            longer = np.zeros(len(coded), np.uint64)
+            longer[k - 1 :] = mixed(self.gram[k - 1][k - 1 :] * np.uint64(0x9E3779B97F4A7C15) + self.gram[1][: 1 - k] + np.uint64(k))
+            self.gram.append(longer)
+        self.n = [None, *(np.zeros(len(coded), np.int64) for _ in range(depth + 1))]  # counts of the grams
+
+    def short(self) -> list[tuple[int, np.ndarray]]:
+        return [(1, np.arange(len(self.fresh))), (2, np.flatnonzero(self.fresh >= 1))]
+
+    def long(self) -> list[tuple[int, np.ndarray]]:
+        """Grams of three words or more whose context's word pairs all have the least count, as the context's own is no higher."""
+        often, out = self.n[2] >= self.least, []
+        for k in range(3, self.depth + 2):
+            able = self.fresh >= k - 1
+            for j in range(1, k - 1):
+                able[j:] &= often[:-j]
+            out.append((k, np.flatnonzero(able)))
+        return out
+
+    def contexts(self) -> list[tuple[int, np.ndarray]]:
+        """Contexts that are judged; the symbol in question is at the next place."""
+        return [(d, np.flatnonzero((self.fresh[1:] >= d) & (self.n[d][:-1] >= self.least))) for d in range(1, self.depth + 1)]
+
+    def distinct(self, asked: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The hashes, each once and in order, and of each list's places the positions among them."""
+        kinds, inverse = np.unique(np.concatenate([self.gram[k][at] for k, at in asked] or [np.zeros(0, np.uint64)]), return_inverse=True)
+        return kinds, np.split(inverse, np.cumsum([len(at) for _, at in asked])[:-1])
+
+    def told(self, answers: pd.DataFrame, asked: list[tuple[int, np.ndarray]]) -> None:
+        if sum(len(at) for _, at in asked):
+            sums = np.concatenate([unpacked(x, "<i8") for x in answers.sort_values("bucket")["a"]])
+            for (k, at), own in zip(asked, self.distinct(asked)[1], strict=True):
+                self.n[k][at] = sums[own]
+
+    def counted(self, asked: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct hashes, their training counts here, and which are of single words."""
+        kinds, places = self.distinct(asked)
+        counts, single = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), bool)
+        for (k, at), own in zip(asked, places, strict=True):
+            counts += np.bincount(own[self.train[at]], minlength=len(kinds))
+            single[own] |= k == 1
+        return kinds, counts, single
+
+    def weighed(self, total: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By depth: words, where contexts end, their counts, those of the symbols after them and these symbols' chances after the shorter context."""
+        chance = np.maximum(self.n[1], 1) / max(total, 1)
+        for d, at in self.contexts():
+            about, c, above = self.n[d][at], self.n[d + 1][at + 1], chance[at + 1]
+            yield d, at, about, c, above
+            chance[at + 1] = (c + about * above) / (2 * about)
+
+    def verdicts(self, total: int, gain: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """What is known here: where all or all but one of a context's symbols are the one at hand; else -1."""
+        out = []
+        for d, at, about, c, above in self.weighed(total):
+            verdict = np.full(len(at), -1, np.int8)
+            clear = np.flatnonzero((c > 0) & (about - c <= 1))
+            verdict[clear] = 0
+            again = clear[c[clear] > 1]
+            worth = worth_of(about[again], c[again], [c[again] * (np.log(c[again] - 1 + w * about[again] * above[again]) - np.log(above[again])) for w in WEIGHTS])
+            verdict[again] = verdict_of(worth, gain)
+            out.append((d, at, verdict))
+        return out
+
+    def asked(self, known: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
+        """Contexts to ask about or to tell: all but those known to go, which is also what no news means."""
+        return [(d, at[verdict != 0]) for d, at, verdict in known]
+
+    def gains(self, total: int, gain: float) -> tuple[np.ndarray, ...]:
+        """The distinct contexts asked or told, told verdicts or 0, counts, and of the places here whose symbol follows twice or more: how many, and their gains by weight."""
+        known = self.verdicts(total, gain)
+        kinds, places = self.distinct(self.asked(known))
+        told, size, repeats, gains = np.zeros(len(kinds), np.int8), np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64), np.zeros((len(kinds), len(WEIGHTS)))
+        for (d, at, about, c, above), (_, _, verdict), own in zip(self.weighed(total), known, places, strict=True):
+            told[own[verdict[verdict != 0] > 0]] = verdict[verdict > 0]
+            open_ = verdict[verdict != 0] < 0
+            at, about, c, above, own = at[verdict < 0], about[verdict < 0], c[verdict < 0], above[verdict < 0], own[open_]
+            size[own] = about
+            again = self.train[at + 1] & (c > 1)
+            mine, less = own[again], c[again] - 1
+            mass, rare = about[again] * above[again], np.log(above[again])
+            repeats += np.bincount(mine, minlength=len(kinds))
+            for k, weight in enumerate(WEIGHTS):
+                gains[:, k] += np.bincount(mine, weights=np.log(less + weight * mass) - rare, minlength=len(kinds))
+        return kinds, told, size, repeats, gains
+
+    def scores(self, verdicts: pd.DataFrame, total: int, known: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each place's chance by its word alone, and in its longest kept context."""
+        base = (self.n[1] + DELTA) / (total + DELTA * (known + 1))
+        p, asked = base.copy(), self.asked(self.verdicts(total, gain))
+        if sum(len(at) for _, at in asked):
+            verdict = np.concatenate([unpacked(x, "<i1") for x in verdicts.sort_values("bucket")["a"]])
+            for (d, at), own in zip(asked, self.distinct(asked)[1], strict=True):
+                stays = verdict[own] > 0
+                at, size = at[stays], self.n[d][at[stays]]
+                mass = size * np.array(WEIGHTS)[verdict[own[stays]] - 1]
+                p[at + 1] = (self.n[d + 1][at + 1] + mass * p[at + 1]) / (size + mass)
+        return base, p
+
+
+def worth_of(size: np.ndarray, repeats: np.ndarray, gains: list[np.ndarray]) -> np.ndarray:
+    """Gains by weight. A symbol that follows only once adds log(weight * size), whatever its chance."""
+    return np.stack([g + (size - repeats) * np.log(w * size) - size * np.log(size - 1 + w * size) for w, g in zip(WEIGHTS, gains, strict=True)], axis=1)
+
+
+def verdict_of(worth: np.ndarray, gain: float) -> np.ndarray:
+    """The number of the best weight, from 1, or 0."""
+    return np.where(worth.max(axis=1) >= gain, worth.argmax(axis=1) + 1, 0).astype(np.int8)
+
+
+def ranges(kinds: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted hashes: a bucket is a range of hashes."""
+    bucket = ((kinds >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1)).tolist()
+    return [(int(bucket[lo]), lo, hi) for lo, hi in zip(cuts, [*cuts, len(kinds)][1:], strict=True)]
+
+
+SENT = "part string, bucket int, a binary, b binary, c binary, d binary, e binary"
+
+
+def sent(part: str, rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([(part, *r, *[None] * (6 - len(r))) for r in rows], columns=["part", "bucket", "a", "b", "c", "d", "e"])
+
+
+def send_counts(part: str, me: Part, asked: list[tuple[int, np.ndarray]], buckets: int) -> pd.DataFrame:
+    kinds, counts, single = me.counted(asked)
+    return sent(part, [(b, packed_sorted(kinds[lo:hi]), packed(counts[lo:hi].astype(np.int32)), packed(single[lo:hi])) for b, lo, hi in ranges(kinds, buckets)])
+
+
+def send_gains(part: str, me: Part, total: int, gain: float, buckets: int) -> pd.DataFrame:
+    kinds, told, size, repeats, gains = me.gains(total, gain)
+    rows = []
+    for b, lo, hi in ranges(kinds, buckets):
+        at = np.flatnonzero(repeats[lo:hi])
+        own = lo + at
+        rows.append((b, packed_sorted(kinds[lo:hi]), packed(told[lo:hi]), packed(at.astype(np.int32)), packed(np.stack([size[own], repeats[own]])), packed(gains[own].astype(np.float32).T)))
+    return sent(part, rows)
+
+
+def asked_here(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts' rows in order, the distinct hashes, each sent hash's position among them, and where each part's begin."""
+    g = g.sort_values("part")
+    hashes = [unpacked_sorted(a) for a in g["a"]]
+    kinds, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    return g, kinds, place, np.cumsum([0, *map(len, hashes)])
+
+
+def add_up(g: pd.DataFrame) -> pd.DataFrame:
+    """Each part's grams with their counts over all parts; n: single words with a count."""
+    g, kinds, place, starts = asked_here(g)
+    sums = np.bincount(place, weights=np.concatenate([unpacked(b, "<i4") for b in g["b"]]), minlength=len(kinds)).astype(np.int64)
+    single = np.zeros(len(kinds), bool)
+    single[place] = np.concatenate([unpacked(c, "?") for c in g["c"]])
+    out = pd.DataFrame({"part": g["part"].to_numpy(), "bucket": g["bucket"].to_numpy(), "a": [packed(x) for x in np.split(sums[place], starts[1:-1])], "n": 0})
+    out.loc[0, "n"] = int((single & (sums > 0)).sum())
     return out
 
 
-def candidates(docs: DataFrame, depth: int, share: float) -> tuple[dict[int, list[tuple]], int, dict[tuple, int]]:
-    """Frequent contexts as word tuples by depth, the training symbols, and each candidate's count (in the parts where it is frequent)."""
+def judge(g: pd.DataFrame, gain: float) -> pd.DataFrame:
+    """Each part's contexts with the number of the weight they are kept with, from 1, or 0; n: kept contexts."""
+    g, kinds, place, starts = asked_here(g)
+    verdict = np.zeros(len(kinds), np.int8)
+    np.maximum.at(verdict, place, np.concatenate([unpacked(b, "<i1") for b in g["b"]]))
+    at = place[np.concatenate([lo + unpacked(c, "<i4") for lo, c in zip(starts, g["c"], strict=False)])]
+    counts = np.concatenate([unpacked(d, "<i8").reshape(2, -1) for d in g["d"]], axis=1)
+    terms = np.concatenate([unpacked(e, "<f4").reshape(len(WEIGHTS), -1) for e in g["e"]], axis=1)
+    open_, at = np.unique(at, return_inverse=True)
+    size = np.zeros(len(open_), np.int64)
+    size[at] = counts[0]
+    verdict[open_] = verdict_of(worth_of(size, np.bincount(at, weights=counts[1], minlength=len(open_)), [np.bincount(at, weights=t, minlength=len(open_)) for t in terms]), gain)
+    out = pd.DataFrame({"part": g["part"].to_numpy(), "bucket": g["bucket"].to_numpy(), "a": [packed(x) for x in np.split(verdict[place], starts[1:-1])], "n": 0})
+    out.loc[0, "n"] = int((verdict > 0).sum())
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, sizes, coded, numbers in parts(batches):
-            train = np.repeat([not is_held_out(i) for i in ids], sizes)
-            n = int(train.sum())
-            names = list(numbers)
-            rows = [("", 0, n)]
-            least = max(2, share * n)
-            fresh = np.arange(len(coded)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            counts = np.bincount(coded[train], minlength=len(names))
-            counts[numbers[END]] = 0  # nothing follows it
-            often = np.flatnonzero(counts >= least)
-            local = np.full(len(names), -1, np.int64)
-            local[often] = np.arange(len(often))
-            word, state = local[coded], local[coded]
-            grams = {k: (names[often[k]],) for k in range(len(often))}
-            rows += [(b" ".join(g).hex(), 1, int(counts[often[k]])) for k, g in grams.items()]
-            for d in range(2, depth + 1):
-                # a d-word context: the word d - 1 places back, then the context that ends here
-                able = np.zeros(len(coded), bool)
-                able[d - 1 :] = (state[d - 1 :] >= 0) & (word[: len(word) - d + 1] >= 0)
-                able &= (fresh >= d - 1) & train
-                at = np.flatnonzero(able)
-                key = state[at] * (1 << 31) + word[at - d + 1]
-                kinds, place, c = np.unique(key, return_inverse=True, return_counts=True)
-                kept = np.flatnonzero(c >= least)
-                to = np.full(len(kinds), -1, np.int64)
-                to[kept] = np.arange(len(kept))
-                longer = {int(to[k]): (names[often[int(kinds[k] & ((1 << 31) - 1))]], *grams[int(kinds[k] >> 31)]) for k in kept}
-                rows += [(b" ".join(g).hex(), d, int(c[kept[k]])) for k, g in longer.items()]
-                grams, state = longer, np.full(len(coded), -1, np.int64)
-                state[at] = to[place]
-            yield pd.DataFrame(rows, columns=["gram", "depth", "n"])
-
-    counted = docs.select("doc_id", "text").mapInPandas(run, "gram string, depth int, n long").groupBy("gram", "depth").agg(F.sum("n").alias("n"))
-    counted = materialize(counted, "lm-contexts")
-    total = counted.filter("depth = 0").agg(F.sum("n")).first()[0] or 0
-    # a share of the training symbols: at most 1 / share rows of each depth
-    rows = counted.filter((F.col("depth") > 0) & (F.col("n") >= share * total)).collect()
-    count = {tuple(bytes.fromhex(r["gram"]).split(b" ")): r["n"] for r in rows}
-    grams: dict[int, list[tuple]] = {}
-    for d in range(1, depth + 1):
-        shorter = set(grams[d - 1]) if d > 1 else set()
-        grams[d] = sorted(g for g in count if len(g) == d and (d == 1 or g[1:] in shorter and g[:1] in count))
-    return grams, int(total), count
-
-
-class Tree:
-    """Candidate contexts, numbered from 1; 0 is the empty one."""
-
-    def __init__(self, grams: dict[int, list[tuple]], total: int, count: dict[tuple, int]):
-        self.total, self.depth = total, max(grams)
-        self.number = {g: k + 1 for k, g in enumerate(g for d in sorted(grams) for g in grams[d])}
-        self.word = {g[0]: k for k, g in enumerate(grams[1])}
-        self.parent, self.last = np.zeros(len(self.number) + 1, np.int64), np.zeros(len(self.number) + 1, np.int64)
-        self.guess = np.full(len(self.number) + 1, float(max(total, 1)))
-        for g, k in self.number.items():
-            self.parent[k], self.last[k], self.guess[k] = self.number.get(g[1:], 0), self.number[g[-1:]], count[g]
-        self.codes = {}
-        for d in sorted(grams):
-            keys = np.array([self.word[g[0]] if d == 1 else self.number[g[1:]] * (1 << 31) + self.word[g[0]] for g in grams[d]], np.int64)
-            order = np.argsort(keys)
-            self.codes[d] = {"keys": keys[order], "numbers": np.array([self.number[g] for g in grams[d]], np.int64)[order]}
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.word], np.uint64)
-        order = np.argsort(hashes)
-        self.often, self.often_count = hashes[order], np.array([count[(w,)] for w in self.word], float)[order]
-
-    def hot(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether a symbol is a candidate context, and its count if so."""
-        if not len(self.often):
-            return np.zeros(len(hashes), bool), np.zeros(len(hashes))
-        at = np.minimum(np.searchsorted(self.often, hashes), len(self.often) - 1)
-        return self.often[at] == hashes, self.often_count[at]
-
-
-def bucket_of(hashes: np.ndarray, state: np.ndarray, tree: Tree, buckets: int) -> np.ndarray:
-    """By the symbol's hash; of a frequent symbol by the context's last word too. All suffixes of a context meet."""
-    with np.errstate(over="ignore"):
-        mixed = np.where(tree.hot(hashes)[0], hashes ^ (tree.last[state].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), hashes)
-    return ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(buckets)).astype(np.int64)
-
-
-def layout(coded: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, local: np.ndarray, tree: Tree, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The part's distinct pairs in sending order (bucket, hash, context), and each place's pairs as places in that order."""
-    fresh = np.arange(len(coded)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    deep = contexts(local[coded], fresh, tree.codes)
-    there = [np.arange(len(coded)), *(np.flatnonzero(c >= 0) for c in deep)]
-    pairs, inverse = np.unique(np.concatenate([coded.astype(np.int64), *((c[at].astype(np.int64) << 32) | coded[at] for c, at in zip(deep, there[1:], strict=True))]), return_inverse=True)
-    del deep, fresh
-    state, word = pairs >> 32, pairs & 0xFFFFFFFF
-    bucket = bucket_of(hashes[word], state, tree, buckets)
-    order = np.lexsort((state, hashes[word], bucket))
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    places, lo = [], 0
-    for at in there:
-        own = np.full(len(coded), -1, np.int32)
-        own[at] = rank[inverse[lo : lo + len(at)]]
-        lo += len(at)
-        places.append(own)
-    return state[order], word[order], bucket[order], places
-
-
-def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, gain: float = GAIN) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_states: kept contexts."""
-    spark = docs.sparkSession
-    tree = Tree(*candidates(docs, depth, share))
-    held = spark.sparkContext.broadcast(tree)  # at most depth / share contexts
-    buckets = max(12, -(-tree.total // BUCKET))
+
+def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, gain: float = GAIN, part: int = PART) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_states: kept contexts.
+
+    share: a caller may ask for contexts that make this share of the training symbols only; none is left out otherwise.
+    """
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, task = held.value, TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         kept("lm", dict)  # drops what other operators left
-        for k, (ids, sizes, coded, numbers) in enumerate(parts(batches)):
+        for k, (ids, sizes, coded, numbers) in enumerate(parts(batches, part)):
             names = list(numbers)
             order = np.argsort(-np.bincount(coded, minlength=len(names)), kind="stable")
             to = np.empty(len(order), np.int32)
             to[order] = np.arange(len(order), dtype=np.int32)
-            coded, names = to[coded], [names[i] for i in order]
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
-            local = np.fromiter((tree.word.get(w, -1) for w in names), np.int64, len(names))
-            out = np.array([is_held_out(i) for i in ids])
-            state, word, bucket, places = layout(coded, sizes, hashes, local, tree, buckets)
-            train = np.repeat(~out, sizes)
-            counts = np.zeros(len(state), np.int64)
-            for own in places:
-                counts += np.bincount(own[train & (own >= 0)], minlength=len(state))
-            part = f"{task}-{k}"
-            null = np.array([i is None for i in ids])
-            yield pd.DataFrame({"part": [part], "bucket": [-1], "a": [packed(coded)], "b": [packed(sizes.astype(np.int32))], "c": [packed(hashes)], "d": [packed(local.astype(np.int32))], "e": [packed(np.array([i or 0 for i in ids], np.int64))], "f": [packed(null)]})
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                h = hashes[word[lo:hi]]
-                first = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
-                yield pd.DataFrame({"part": [part], "bucket": [int(bucket[lo])], "a": [packed(h[first])], "b": [packed(np.diff(np.append(first, hi - lo)).astype(np.int32))], "c": [packed(state[lo:hi].astype(np.int32))], "d": [packed(counts[lo:hi].astype(np.int32))], "e": [None], "f": [None]})
-
-    shape = "part string, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
+            hashes = np.fromiter((xxhash.xxh64_intdigest(names[i]) for i in order), np.uint64, len(names))
+            n = int(sizes[[not is_held_out(i) for i in ids]].sum())
+            yield pd.DataFrame({"part": [f"{task}-{k}"], "bucket": [-1], "a": [packed(to[coded])], "b": [packed(sizes.astype(np.int32))], "c": [packed(hashes)], "e": [packed(np.array([i or 0 for i in ids], np.int64))], "f": [packed(np.array([i is None for i in ids]))], "n": [n]})
+
+    shape = "part string, bucket int, a binary, b binary, c binary, e binary, f binary, n long"
     coded = materialize(docs.select("doc_id", "text").mapInPandas(code, shape), "lm-parts")
+    total = int(coded.agg(F.sum("n")).first()[0] or 0)
+    buckets, least = max(12, -(-total // BUCKET)), max(2, share * total)
+    answer = "part string, bucket int, a binary, n long"
+
+    def with_answers(*answers: DataFrame) -> DataFrame:
+        """Rows of the parts and of the rounds' answers, by part."""
+        out = coded.withColumn("round", F.lit(-1))
+        for k, a in enumerate(answers):
+            out = out.unionByName(a.withColumn("round", F.lit(k)), allowMissingColumns=True)
+        return out.groupBy("part")
+
+    def part_of(g: pd.DataFrame, rounds: int) -> Part:
+        """A part with the counts of so many rounds."""
+        me = Part(g[g["round"] == -1].iloc[0], depth, least)
+        for k in range(rounds):
+            me.told(g[g["round"] == k], me.long() if k else me.short())
+        return me
+
+    def send_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, row in b.iterrows():
+                me = Part(row, depth, least)
+                yield send_counts(row["part"], me, me.short(), buckets)
+
+    def send_long(g: pd.DataFrame) -> pd.DataFrame:
+        me = part_of(g, 1)
+        return send_counts(g["part"].iloc[0], me, me.long(), buckets)
+
+    def send_contexts(g: pd.DataFrame) -> pd.DataFrame:
+        return send_gains(g["part"].iloc[0], part_of(g, 2), total, gain, buckets)
+
+    def stored(df: DataFrame, label: str) -> DataFrame:
+        out = materialize(df, label)
+        df.sparkSession.sparkContext._jvm.System.gc()  # Spark drops a round's shuffle files once nothing refers to them
+        return out
 
-    def total_up(g: pd.DataFrame) -> pd.DataFrame:
-        tree = held.value
-        sent = [(unpacked(a, "<u8"), unpacked(b, "<i4"), unpacked(c, "<i4"), unpacked(d, "<i4")) for a, b, c, d in zip(g["a"], g["b"], g["c"], g["d"], strict=True)]
-        hashes = np.concatenate([np.repeat(a, b) for a, b, _, _ in sent])
-        state = np.concatenate([c for _, _, c, _ in sent]).astype(np.int64)
-        kinds, symbol = np.unique(hashes, return_inverse=True)
-        wide = len(tree.parent)
-        pairs, pair = np.unique(symbol * wide + state, return_inverse=True)
-        sums = np.bincount(pair, weights=np.concatenate([d for _, _, _, d in sent])).astype(np.int64)
-        lengths = np.cumsum([len(c) for _, _, c, _ in sent])[:-1]
-        answers = [(p, packed(x.astype(np.int64))) for p, x in zip(g["part"], np.split(sums[pair], lengths), strict=True)]
-        # evidence: chances along the suffixes, by depth; a parent's pair is in this bucket, a frequent symbol's own count is known
-        symbol, state = pairs // wide, pairs % wide
-        hot, known = tree.hot(kinds)
-        root = np.zeros(len(kinds))
-        root[symbol[state == 0]] = sums[state == 0]
-        chance = np.where(hot, known, np.maximum(root, 1))[symbol] / tree.guess[0]
-        above, gains = chance.copy(), np.zeros((wide, len(WEIGHTS)))
-        level = np.zeros(wide, np.int64)
-        for k in range(1, wide):
-            level[k] = level[tree.parent[k]] + 1
-        for d in range(1, tree.depth + 1):
-            at = np.flatnonzero((level[state] == d) & (sums > 0))
-            if not len(at):
-                break
-            if d > 1:
-                up = symbol[at] * wide + tree.parent[state[at]]
-                above[at] = chance[np.searchsorted(pairs, up)]
-            c, about = sums[at], tree.guess[state[at]]
-            for k, weight in enumerate(WEIGHTS):
-                gains[:, k] += np.bincount(state[at], weights=c * (np.log(c - 1 + weight * about * above[at]) - np.log(above[at])), minlength=wide)
-            chance[at] = (c + about * above[at]) / (np.maximum(about, c) + about)
-        totals = np.bincount(state, weights=sums, minlength=wide)
-        told = np.flatnonzero(totals)
-        known_here = int(((state == 0) & (sums > 0)).sum())
-        return pd.concat([
-            pd.DataFrame({"part": [p for p, _ in answers], "bucket": int(g["bucket"].iloc[0]), "a": [x for _, x in answers], "state": -1, "gain": None, "n": 0}),
-            pd.DataFrame({"part": None, "bucket": -2, "a": None, "state": told, "gain": gains[told].tolist(), "n": totals[told].astype(np.int64)}),
-            pd.DataFrame({"part": [None], "bucket": [-3], "a": [None], "state": [-1], "gain": [None], "n": [known_here]}),
-        ])
-
-    totals = materialize(coded.filter("bucket >= 0").groupBy("bucket").applyInPandas(total_up, "part string, bucket int, a binary, state int, gain array<double>, n long"), "lm-totals")
-    summed = F.array(*(F.sum(F.col("gain")[k]) for k in range(len(WEIGHTS)))).alias("gain")
-    evidence = totals.filter("bucket < -1").groupBy("bucket", "state").agg(summed, F.sum("n").alias("n")).collect()
-    known_symbols = sum(r["n"] for r in evidence if r["bucket"] == -3)
-    size, worth = np.zeros(len(tree.parent)), np.full((len(tree.parent), len(WEIGHTS)), -np.inf)
-    for r in evidence:
-        if r["bucket"] == -2:
-            size[r["state"]], worth[r["state"]] = r["n"], r["gain"]
-    mass = tree.guess[:, None] * np.array(WEIGHTS)
-    worth = worth - size[:, None] * np.log(np.maximum(size[:, None] - 1 + mass, 1e-9))
-    stays, mass = worth.max(axis=1) >= gain, np.take_along_axis(mass, worth.argmax(axis=1)[:, None], axis=1).ravel()
-    stays[0] = False
-    total = int(size[0])
-    verdict = spark.sparkContext.broadcast((stays, size, mass))  # three numbers a candidate
+    short = stored(coded.mapInPandas(send_short, SENT).groupBy("bucket").applyInPandas(add_up, answer), "lm-short")
+    known = int(short.agg(F.sum("n")).first()[0] or 0)
+    long = stored(with_answers(short).applyInPandas(send_long, SENT).groupBy("bucket").applyInPandas(add_up, answer), "lm-long")
+    verdicts = stored(with_answers(short, long).applyInPandas(send_contexts, SENT).groupBy("bucket").applyInPandas(lambda g: judge(g, gain), answer), "lm-verdicts")
+    states = int(verdicts.agg(F.sum("n")).first()[0] or 0)
 
     def finish(g: pd.DataFrame) -> pd.DataFrame:
-        tree, (stays, size, mass) = held.value, verdict.value
-        me = g[g["bucket"] == -1].iloc[0]
-        coded, sizes, hashes, local = (unpacked(me[x], k) for x, k in zip("abcd", ("<i4", "<i4", "<u8", "<i4"), strict=True))
-        ids, null = unpacked(me["e"], "<i8"), unpacked(me["f"], "?")
-        sizes, local = sizes.astype(np.int64), local.astype(np.int64)
-        state, _, _, places = layout(coded, sizes, hashes, local, tree, buckets)
-        sums = np.concatenate([unpacked(x, "<i8") for x in g[g["bucket"] >= 0].sort_values("bucket")["a"]])
-        starts = np.cumsum(sizes) - sizes
-        below = total + DELTA * (known_symbols + 1)
-        base = (sums[places[0]] + DELTA) / below
-        p = base.copy()
-        for own in places[1:]:
-            at = np.flatnonzero(own >= 0)
-            at = at[stays[state[own[at]]]]
-            here = own[at]
-            p[at] = (sums[here] + mass[state[here]] * p[at]) / (size[state[here]] + mass[state[here]])
-        ids = pd.array(ids, dtype="Int64")
-        ids[null] = pd.NA
+        me = part_of(g, 2)
+        base, p = me.scores(g[g["round"] == 2], total, known, gain)
         return pd.DataFrame({
-            "doc_id": ids, "held_out": [is_held_out(i) for i in ids], "n_tokens": sizes, "n_known": np.add.reduceat((sums[places[0]] > 0).astype(np.int64), starts), "train_tokens": total,
-            "base_score": np.add.reduceat(np.log10(base), starts), "score": np.add.reduceat(np.log10(p), starts), "n_states": int(stays.sum())})
+            "doc_id": pd.array(me.ids, dtype="Int64"), "held_out": [is_held_out(i) for i in me.ids], "n_tokens": me.sizes, "n_known": np.add.reduceat((me.n[1] > 0).astype(np.int64), me.starts), "train_tokens": total,
+            "base_score": np.add.reduceat(np.log10(base), me.starts), "score": np.add.reduceat(np.log10(p), me.starts), "n_states": states})
 
-    blank = [F.lit(None).cast("binary").alias(x) for x in "bcdef"]
-    both = coded.filter("bucket = -1").unionByName(totals.filter("bucket >= 0").select("part", "bucket", "a", *blank))
-    return both.groupBy("part").applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_states int")
+    return with_answers(short, long, verdicts).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_states int")
 
 
 def op3_lm_score(spark, sf_dir):

@@ -136,3 +136,57 @@ def test_toxicity_awkward(spark, awkward, nothing):
     assert kept.columns == awkward.columns and kept.count() == (rows.score < 0.7).sum() >= 9
     labels = spark.createDataFrame([(1, None), (1, 1), (1, 0), (None, 1), (6, 0)], "doc_id long, toxic int")
     assert all(y in (0, 1) for _, y in toxicity.sample(awkward, labels)) and toxicity.sample(nothing, labels) == []
+
+
+def brute_force(docs, depth, gain):
+    """Scores and kept contexts by the definition, from direct counts of every context."""
+    follow, doc_tokens = collections.defaultdict(collections.Counter), [(i, tokens(x)) for i, x in docs]
+    for i, t in doc_tokens:
+        if not held_out(i):
+            for k, w in enumerate(t):
+                for d in range(min(k, depth) + 1):
+                    follow[tuple(t[k - d : k])][w] += 1
+    total, v = sum(follow[()].values()), len(follow[()])
+
+    def chance(s, w):
+        if not s:
+            return follow[()][w] / total
+        n = sum(follow[s].values())
+        return (follow[s][w] + n * chance(s[1:], w)) / (2 * n)
+
+    states = {}
+    for s in list(follow):
+        n = sum(follow[s].values())
+        if s and n > 1:
+            worth = [sum(c * (math.log(c - 1 + a * n * (p := chance(s[1:], w))) - math.log(p)) for w, c in follow[s].items()) - n * math.log(n - 1 + a * n) for a in lm.WEIGHTS]
+            if max(worth) >= gain:
+                states[s] = (n, n * lm.WEIGHTS[worth.index(max(worth))])
+    out = {}
+    for i, t in doc_tokens:
+        out[i] = 0.0
+        for k, w in enumerate(t):
+            p = (follow[()][w] + 0.1) / (total + 0.1 * (v + 1))
+            for d in range(1, min(k, depth) + 1):
+                if (s := tuple(t[k - d : k])) in states:
+                    n, mass = states[s]
+                    p = (follow[s][w] + mass * p) / (n + mass)
+            out[i] += math.log10(p)
+    return out, states
+
+
+def rare_phrase():
+    """60 000 symbols; a phrase in 12 documents, far from every 5000th symbol, and the rest without order."""
+    rng = np.random.default_rng(3)
+    rows = [[f"v{x}" for x in rng.integers(3000, size=199)] for _ in range(300)]
+    for i in range(0, 300, 25):
+        rows[i][50:56] = "one rare phrase of six words".split()
+    return [(i, " ".join(t)) for i, t in enumerate(rows)]
+
+
+def test_contexts_do_not_need_a_share_of_the_corpus(spark):
+    docs = rare_phrase()
+    want, states = brute_force(docs, 3, lm.GAIN)
+    assert (b"one", b"rare", b"phrase") in states or (b"rare",) in states
+    rows = lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).toPandas()
+    assert rows.n_states.iloc[0] == len(states)
+    assert [want[i] for i in rows.doc_id] == pytest.approx(rows.score.tolist(), abs=1e-8)
