@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialize, n_words, row_key, table
 
 CHUNKS = 1024
+#: A whole copy of a document, in the fractions that are carried.
+ONE = 1 << 20
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: float) -> list[float]:
@@ -179,10 +181,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 
 def resampled(docs: DataFrame, **how) -> DataFrame:
-    """The mix as whole documents, all columns: each row as often as the mix takes its words, rounded."""
+    """The mix as whole documents, all columns: each row as often as the mix takes its words, rounded with the rest carried.
+
+    Along each source, by length class, the running sum of taken / size is rounded; a row's copies are the steps
+    it makes. So a source's words meet its target to about a document, however long its documents are.
+    """
     keyed = docs.withColumn("_key", row_key(docs, docs.columns))
-    taken = mix(keyed, carry=("_key",), **how)[0].filter("size > 0")
-    times = taken.groupBy("_key").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("long").alias("_times"), F.count(F.lit(1)).alias("_rows")).filter("_times > 0")
+    taken = mix(keyed, carry=("_key",), **how)[0].filter("size > 0").select("_key", "source", "size", "taken")
+    taken = taken.withColumns({"_part": F.expr(f"taken * {ONE}L div size"), "_class": F.floor(F.log2("size")).cast("int"), "_chunk": F.pmod("_key", F.lit(CHUNKS)).cast("int")})
+    taken = materialize(taken, "mix-taken")
+    place = ["source", "_class", "_chunk"]
+    ahead = Window.partitionBy("source").orderBy("_class", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    heads = taken.groupBy(*place).agg(F.sum("_part").alias("_sum")).withColumn("_head", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
+    heads = heads.select(*(F.col(c).alias(f"_h{c}") for c in place), "_head")
+    inside = Window.partitionBy(*place).orderBy("_key", "size", "taken").rowsBetween(Window.unboundedPreceding, 0)
+    stepped = taken.withColumn("_upto", F.sum("_part").over(inside)).join(heads, F.col("source").eqNullSafe(F.col("_hsource")) & (F.col("_class") == F.col("_h_class")) & (F.col("_chunk") == F.col("_h_chunk")))
+    upto = f"_head + _upto + {ONE // 2}"
+    stepped = stepped.withColumn("_copies", F.expr(f"({upto}) div {ONE} - ({upto} - _part) div {ONE}"))
+    times = stepped.groupBy("_key").agg(F.sum("_copies").cast("long").alias("_times"), F.count(F.lit(1)).alias("_rows")).filter("_times > 0")
     same = Window.partitionBy("_key").orderBy("_key")  # rows that are equal in all columns share their times
     rows = keyed.join(times, "_key").withColumn("_n", F.row_number().over(same))
     rows = rows.withColumn("_own", F.expr("_times div _rows + if(_n <= _times % _rows, 1, 0)")).filter("_own > 0")

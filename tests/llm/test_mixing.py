@@ -78,3 +78,11 @@ def test_awkward(awkward, nothing):
     again = mixing.resampled(awkward, block=64)
     assert again.columns == awkward.columns and again.filter("text is null").count() == 0
     assert mixing.resampled(nothing).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.2, 0.33, 0.65, 1.4])
+def test_whole_documents_meet_the_target(spark, share):
+    """Documents of many blocks are all taken at about the source's ratio; some must go and some stay."""
+    docs = spark.createDataFrame([(i, "w " * (2000 + i % 7), "s" if i % 2 else None) for i in range(120)], "doc_id long, text string, source string")
+    got = mixing.resampled(docs, weights=(1, 1), share=share, block=16).groupBy("source").agg({"text": "count"}).collect()
+    assert {r[0]: r[1] for r in got} == pytest.approx({"s": 60 * share, None: 60 * share}, abs=1.01)
