@@ -45,6 +45,7 @@ WEIGHTS = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 #: Words of a part; training symbols for each bucket.
 PART, BUCKET = 600_000, 1_500_000
 FOLDS = 10
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 END = b" "  # no word holds a space
 _pack, _unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 
@@ -317,6 +318,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, gai
             n = int(sizes[[not is_held_out(i) for i in ids]].sum())
             yield pd.DataFrame({"part": [f"{task}-{k}"], "bucket": [-1], "a": [packed(to[coded])], "b": [packed(sizes.astype(np.int32))], "c": [packed(hashes)], "e": [packed(np.array([i or 0 for i in ids], np.int64))], "f": [packed(np.array([i is None for i in ids]))], "n": [n]})
 
+    spark = docs.sparkSession
     shape = "part string, bucket int, a binary, b binary, c binary, e binary, f binary, n long"
     coded = materialize(docs.select("doc_id", "text").mapInPandas(code, shape), "lm-parts")
     total = int(coded.agg(F.sum("n")).first()[0] or 0)
@@ -351,9 +353,13 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, gai
         return send_gains(g["part"].iloc[0], part_of(g, 2), total, gain, buckets)
 
     def stored(df: DataFrame, label: str) -> DataFrame:
-        out = materialize(df, label)
-        df.sparkSession.sparkContext._jvm.System.gc()  # Spark drops a round's shuffle files once nothing refers to them
-        return out
+        """materialize(), and a round's shuffle files go when it is done."""
+        before = spark.conf.get(CLEAN, "false")
+        spark.conf.set(CLEAN, "true")
+        try:
+            return materialize(df, label)
+        finally:
+            spark.conf.set(CLEAN, before)
 
     short = stored(coded.mapInPandas(send_short, SENT).groupBy("bucket").applyInPandas(add_up, answer), "lm-short")
     known = int(short.agg(F.sum("n")).first()[0] or 0)
