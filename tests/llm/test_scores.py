@@ -190,3 +190,11 @@ def test_contexts_do_not_need_a_share_of_the_corpus(spark):
     rows = lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).toPandas()
     assert rows.n_states.iloc[0] == len(states)
     assert [want[i] for i in rows.doc_id] == pytest.approx(rows.score.tolist(), abs=1e-8)
+
+
+def test_contexts_count_over_all_parts(spark):
+    """A context is spread thinly over the parts; a caller's share is of the whole corpus, however files fall into parts."""
+    docs = spark.createDataFrame(rare_phrase(), "doc_id long, text string")
+    one, many = (lm.score_documents(docs.repartition(k), share=2.5e-4 / 1.5, gain=5.0, part=n).toPandas().sort_values("doc_id") for k, n in ((1, 10**6), (6, 300)))
+    assert one.n_states.iloc[0] == many.n_states.iloc[0] > 0
+    assert one.score.tolist() == pytest.approx(many.score.tolist(), abs=1e-8)
