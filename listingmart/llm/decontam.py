@@ -195,7 +195,7 @@ class Matcher:
             doc = np.repeat(np.arange(len(sizes)), count)
             starts = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * stride + (ends - sizes)[doc]
             stops = np.minimum(starts + size, ends[doc])
-            running = np.concatenate([[0.0], np.cumsum(best.max(axis=1)[ids])])
+            running = np.concatenate([[0.0], np.cumsum(best.max(axis=1)[ids], dtype=np.float64)])
             kept = np.flatnonzero(running[stops] - running[starts] >= least)
             if not len(kept):
                 continue

@@ -163,3 +163,13 @@ def test_character_model():
     ratio = urls.Ratio(good, bad)
     assert ratio.score("aaab") > 0 > ratio.score("xyz")
     assert urls.calibrated([(1.0, True), (2.0, True), (-1.0, False)]) == 0.0
+
+
+def test_copy_late_in_a_very_long_text():
+    """A sum of 32 bits adds two steps of 1/64 for each impact of 1/26 here, and the copy would stay below the threshold."""
+    matcher = decontam.Matcher([(1, " ".join(f"w{i}" for i in range(26)))], threshold=0.9)
+    before = np.full(11_000_000, -1, np.int32)
+    before[::3] = 0
+    out = [[]]
+    matcher._match([np.concatenate([before, np.full(200, -1, np.int32), np.arange(26, dtype=np.int32), np.full(200, -1, np.int32)])], [0], out)
+    assert [m["item_id"] for m in out[0]] == [1]
