@@ -12,12 +12,20 @@ so each is a distribution over the V known symbols and one for all unknown ones.
 
 Contexts and counts stay distributed and grow with the corpus. c(s, w) is the count of the gram s w, and c(s),
 as something always follows s, that of the gram s: all are gram counts, and a place reads its context's from
-the place before. Documents are coded in parts of at most PART words, kept in the shared folder. In three
-rounds each part sends its distinct grams' hashes, once, to buckets by hash, and a bucket answers each part:
-the counts of one and two words; those of longer grams whose context can still have two places; and, from the
-gains summed over all parts, the verdict on each context. A gram's load is one row a part, whatever its
-frequency. A context that has one symbol but for one place at most is judged where that symbol stands, and only
-told to others; gains travel as 32-bit floats. The driver holds totals only.
+the place before. Documents are coded in parts of at least PART words (a document is never cut), each a file in
+the shared folder. In three rounds each part sends what it asks about to buckets by hash, and a bucket answers
+each part:
+
+1. the counts of single words, and of each word pair whether another part has it too. For this a pair's hash is
+   cut to a few bits more than the corpus has pairs; a pair taken for another only costs a question later.
+2. the counts of longer grams and pairs, but only of those whose pairs are all met elsewhere: a gram with a pair
+   of this part alone is itself of this part alone and counted here.
+3. the verdict on each context, from its gains summed over all parts; contexts of one part are judged there, and
+   one that has a single symbol but for one place at most is judged where that symbol stands.
+
+Gains are summed as whole numbers of 1 / UNIT, so the model is the same however documents fall into parts. A
+gram's load is one entry a part, whatever its frequency. What a part has learnt is a further file beside its first;
+rows name the files that their attempt wrote, so repeated and lost tasks do no harm. The driver holds totals only.
 
 Defined results: null texts are empty and have the end symbol alone; null ids count as the empty text for the
 fold (held out); equal rows score equally and each counts; without training text all counts are zero; an
@@ -26,24 +34,29 @@ empty table gives an empty result; further columns are not looked at.
 
 from __future__ import annotations
 
+import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, materialize, table
+from .common import kept, materialize, scratch_path, shared_files, table
 
 DEPTH, GAIN, DELTA = 3, 20.0, 0.1
 #: What the shorter context's distribution weighs in a state's, against its own counts; the best is chosen by state.
 WEIGHTS = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
-#: Words of a part; training symbols for each bucket.
-PART, BUCKET = 600_000, 1_500_000
+#: Gains are whole numbers of 1 / UNIT.
+UNIT = 1 << 16
+#: Words of a part; training symbols for each bucket; tasks that parts are dealt to at most.
+PART, BUCKET, TASKS = 600_000, 1_500_000, 20_000
 FOLDS = 10
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 END = b" "  # no word holds a space
@@ -58,7 +71,7 @@ def packed(a: np.ndarray) -> bytes:
 
 def unpacked(b: bytes, kind: str) -> np.ndarray:
     columns = np.frombuffer(_unpack(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(columns.T).reshape(-1).view(kind)
+    return np.array(columns.T, order="C").reshape(-1).view(kind)
 
 
 def packed_sorted(hashes: np.ndarray) -> bytes:
@@ -83,17 +96,17 @@ def symbols(text: str | None) -> list[bytes]:
     return found
 
 
-def is_held_out(doc_id) -> bool:
-    return zlib.crc32(b"" if doc_id is None or pd.isna(doc_id) else str(int(doc_id)).encode()) % FOLDS == 0
+def is_held_out(doc_id: int | None) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == 0
 
 
-def parts(batches: Iterator[pd.DataFrame], size: int = PART) -> Iterator[tuple[list, np.ndarray, np.ndarray, Numbers]]:
+def parts(batches: Iterator[pa.RecordBatch], size: int = PART) -> Iterator[tuple[list, np.ndarray, np.ndarray, Numbers]]:
     """(ids, symbols of each document, word numbers end to end, numbering) of runs of documents."""
     ids, sizes, coded, total, numbers = [], [], [], 0, Numbers()
     for b in batches:
-        for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
+        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             found = symbols(text)
-            ids.append(None if pd.isna(doc_id) else int(doc_id))
+            ids.append(doc_id)
             sizes.append(len(found))
             coded.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
             total += len(found)
@@ -110,17 +123,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Folder:
+    """Files of the shared folder. Each write has a name of its own, which the rows of its attempt carry."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+
+    def put(self, *fields: bytes) -> str:
+        fs, top = shared_files(self.uri)
+        fs.create_dir(top, recursive=True)
+        name = uuid.uuid4().hex
+        with fs.open_output_stream(f"{top}/{name}") as f:
+            f.write(struct.pack(f"<{1 + len(fields)}Q", len(fields), *map(len, fields)))
+            for x in fields:
+                f.write(x)
+        return name
+
+    def get(self, name: str) -> list[bytes]:
+        fs, top = shared_files(self.uri)
+        with fs.open_input_stream(f"{top}/{name}") as f:
+            (n,) = struct.unpack("<Q", f.read(8))
+            sizes = struct.unpack(f"<{n}Q", f.read(8 * n))
+            return [f.read(k) for k in sizes]
+
+
+Asked = list[tuple[int, np.ndarray]]
+
+
 class Part:
-    """The symbols of a part, the hashes of the grams that end at each place, and the grams it asks about.
+    """The symbols of a part, the hashes of the grams that end at each place, their training counts as far as they
+    are known, and the grams it asks about.
 
-    Whatever is asked about is a list of (words of the gram, places where it ends).
+    Whatever is asked about is a list of (words of the gram, places where it ends). `state` names the part's files.
     """
 
-    def __init__(self, row, depth: int, least: float):
-        self.depth, self.least = depth, least
-        coded, self.sizes, hashes = unpacked(row["a"], "<i4"), unpacked(row["b"], "<i4").astype(np.int64), unpacked(row["c"], "<u8")
-        ids, null = unpacked(row["e"], "<i8"), unpacked(row["f"], "?")
-        self.ids = [None if x else int(i) for i, x in zip(ids, null, strict=True)]
+    def __init__(self, folder: Folder, state: str, depth: int, least: float):
+        self.folder, self.state, self.depth, self.least = folder, state, depth, least
+        files = [folder.get(name) for name in state.split()]
+        a, b, c, d, e = files[0]
+        coded, self.sizes, hashes = unpacked(a, "<i4"), unpacked(b, "<i4").astype(np.int64), unpacked(c, "<u8")
+        self.ids = [None if x else int(i) for i, x in zip(unpacked(d, "<i8"), unpacked(e, "?"), strict=True)]
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.fresh = np.arange(len(coded)) - np.repeat(self.starts, self.sizes)
         self.train = np.repeat([not is_held_out(i) for i in self.ids], self.sizes)
@@ -129,44 +171,81 @@ class Part:
             longer = np.zeros(len(coded), np.uint64)
             longer[k - 1 :] = mixed(self.gram[k - 1][k - 1 :] * np.uint64(0x9E3779B97F4A7C15) + self.gram[1][: 1 - k] + np.uint64(k))
             self.gram.append(longer)
-        self.n = [None, *(np.zeros(len(coded), np.int64) for _ in range(depth + 1))]  # counts of the grams
-
-    def short(self) -> list[tuple[int, np.ndarray]]:
-        return [(1, np.arange(len(self.fresh))), (2, np.flatnonzero(self.fresh >= 1))]
-
-    def long(self) -> list[tuple[int, np.ndarray]]:
-        """Grams of three words or more whose context's word pairs all have the least count, as the context's own is no higher."""
-        often, out = self.n[2] >= self.least, []
+        self.n = [None, *(np.zeros(len(coded), np.int64) for _ in range(depth + 1))]
+        self.met = np.zeros(len(coded), bool)  # the pair that ends here may be in another part
+        if len(files) > 1:
+            n1, met, n2 = files[1]
+            self.n[1], self.n[2] = unpacked(n1, "<i8")[coded], unpacked(n2, "<i8")
+            self.met = np.unpackbits(unpacked(met, "u1"), count=len(coded)).astype(bool)
+        if len(files) > 2:
+            for k in range(2, depth + 2):
+                self.n[k] = unpacked(files[2][k - 2], "<i8")
+        self.coded, self.words = coded, len(hashes)
+
+    def keep(self, *fields: np.ndarray) -> None:
+        self.state += " " + self.folder.put(*map(packed, fields))
+
+    def single(self) -> Asked:
+        return [(1, np.arange(len(self.fresh)))]
+
+    def pairs(self) -> Asked:
+        return [(2, np.flatnonzero(self.fresh >= 1))]
+
+    def grams(self) -> tuple[Asked, Asked]:
+        """Pairs, and grams of three words or more whose context's pairs can all have the least count, as the context's
+        own is no higher: those to ask about, and those that this part can count."""
+        able = self.met | (self.n[2] >= self.least)
+        (_, at), elsewhere = self.pairs()[0], self.met
+        asked, own = [(2, at[elsewhere[at]])], []
         for k in range(3, self.depth + 2):
-            able = self.fresh >= k - 1
+            fits, out = self.fresh >= k - 1, self.met.copy()
             for j in range(1, k - 1):
-                able[j:] &= often[:-j]
-            out.append((k, np.flatnonzero(able)))
-        return out
-
-    def contexts(self) -> list[tuple[int, np.ndarray]]:
-        """Contexts that are judged; the symbol in question is at the next place."""
-        return [(d, np.flatnonzero((self.fresh[1:] >= d) & (self.n[d][:-1] >= self.least))) for d in range(1, self.depth + 1)]
+                fits[j:] &= able[:-j]
+                out[j:] &= self.met[:-j]
+            asked.append((k, np.flatnonzero(fits & out)))
+            own.append((k, np.flatnonzero(fits & ~out)))
+        return asked, own
 
-    def distinct(self, asked: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    def distinct(self, asked: Asked) -> tuple[np.ndarray, list[np.ndarray]]:
         """The hashes, each once and in order, and of each list's places the positions among them."""
         kinds, inverse = np.unique(np.concatenate([self.gram[k][at] for k, at in asked] or [np.zeros(0, np.uint64)]), return_inverse=True)
         return kinds, np.split(inverse, np.cumsum([len(at) for _, at in asked])[:-1])
 
-    def told(self, answers: pd.DataFrame, asked: list[tuple[int, np.ndarray]]) -> None:
-        if sum(len(at) for _, at in asked):
-            sums = np.concatenate([unpacked(x, "<i8") for x in answers.sort_values("bucket")["a"]])
-            for (k, at), own in zip(asked, self.distinct(asked)[1], strict=True):
-                self.n[k][at] = sums[own]
-
-    def counted(self, asked: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct hashes, their training counts here, and which are of single words."""
+    def counted(self, asked: Asked) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The distinct hashes, their training counts here, and the places' positions among them."""
         kinds, places = self.distinct(asked)
-        counts, single = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), bool)
-        for (k, at), own in zip(asked, places, strict=True):
+        counts = np.zeros(len(kinds), np.int64)
+        for (_, at), own in zip(asked, places, strict=True):
             counts += np.bincount(own[self.train[at]], minlength=len(kinds))
-            single[own] |= k == 1
-        return kinds, counts, single
+        return kinds, counts, places
+
+    def learn_words(self, answers: pd.DataFrame) -> None:
+        """What round 1 told; pairs that no other part has are counted here."""
+        sums, own = joined(answers["a"], "<i8"), self.distinct(self.single())[1][0]
+        of_word = np.zeros(self.words, np.int64)
+        of_word[self.coded] = sums[own]
+        self.n[1] = sums[own]
+        _, counts, places = self.counted(self.pairs())
+        met = np.concatenate([np.unpackbits(unpacked(x, "u1"), count=k) for x, k in zip(answers["b"], answers["size"], strict=True)]).astype(bool)
+        (_, at), own = self.pairs()[0], places[0]
+        self.met[at] = met[own]
+        self.n[2][at] = np.where(met[own], 0, counts[own])
+        self.keep(of_word, np.packbits(self.met), self.n[2])
+
+    def learn_grams(self, answers: pd.DataFrame) -> None:
+        """What round 2 told, beside the counts of this part's own grams."""
+        asked, mine = self.grams()
+        _, counts, places = self.counted(mine)
+        for (k, at), own in zip(mine, places, strict=True):
+            self.n[k][at] = counts[own]
+        sums = joined(answers["a"], "<i8")
+        for (k, at), own in zip(asked, self.distinct(asked)[1], strict=True):
+            self.n[k][at] = sums[own]
+        self.keep(*self.n[2:])
+
+    def contexts(self) -> Asked:
+        """Contexts that are judged; the symbol in question is at the next place."""
+        return [(d, np.flatnonzero((self.fresh[1:] >= d) & (self.n[d][:-1] >= self.least))) for d in range(1, self.depth + 1)]
 
     def weighed(self, total: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """By depth: words, where contexts end, their counts, those of the symbols after them and these symbols' chances after the shorter context."""
@@ -176,137 +255,205 @@ class Part:
             yield d, at, about, c, above
             chance[at + 1] = (c + about * above) / (2 * about)
 
-    def verdicts(self, total: int, gain: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """What is known here: where all or all but one of a context's symbols are the one at hand; else -1."""
-        out = []
-        for d, at, about, c, above in self.weighed(total):
-            verdict = np.full(len(at), -1, np.int8)
-            clear = np.flatnonzero((c > 0) & (about - c <= 1))
-            verdict[clear] = 0
-            again = clear[c[clear] > 1]
-            worth = worth_of(about[again], c[again], [c[again] * (np.log(c[again] - 1 + w * about[again] * above[again]) - np.log(above[again])) for w in WEIGHTS])
-            verdict[again] = verdict_of(worth, gain)
-            out.append((d, at, verdict))
+    def here_only(self, d: int, at: np.ndarray) -> np.ndarray:
+        """Whether a pair of the context is in no other part."""
+        out = np.zeros(len(at), bool)
+        for j in range(d - 1):
+            out |= ~self.met[at - j]
         return out
 
-    def asked(self, known: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
-        """Contexts to ask about or to tell: all but those known to go, which is also what no news means."""
-        return [(d, at[verdict != 0]) for d, at, verdict in known]
+    def verdicts(self, total: int, gain: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By depth: words, places, verdicts (-1: not known here), whether no other part has the context, and of the places
+        where a symbol follows that does so twice or more in training: their positions, counts of contexts and gains."""
+        for d, at, about, c, above in self.weighed(total):
+            verdict, closed = np.full(len(at), -1, np.int8), self.here_only(d, at)
+            again = np.flatnonzero(c > 1)
+            terms = terms_of(about[again], c[again], above[again])
+            verdict[(c > 0) & (about - c <= 1)] = 0
+            clear = about[again] - c[again] <= 1
+            verdict[again[clear]] = verdict_of(about[again[clear]], c[again[clear]], terms[clear] * c[again[clear], None], gain)
+            seen = self.train[at[again] + 1]
+            again, terms = again[seen], terms[seen]
+            left = np.flatnonzero(closed)
+            if len(left):
+                kinds, of = np.unique(self.gram[d][at[left]], return_inverse=True)
+                of_place = np.full(len(at), -1)
+                of_place[left] = of
+                size = np.zeros(len(kinds), np.int64)
+                size[of] = about[left]
+                mine = of_place[again] >= 0
+                verdict[left] = verdict_of(size, *summed(of_place[again[mine]], np.ones(mine.sum(), np.int64), terms[mine], len(kinds)), gain)[of]
+            yield d, at, verdict, closed, again, about, terms
+
+    def asked(self, known: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[Asked, list[np.ndarray]]:
+        """Contexts to ask about or to tell: of other parts too, and not known to go, which is also what no news means."""
+        at = [np.flatnonzero((verdict != 0) & ~closed) for _, _, verdict, closed in known]
+        return [(d, places[x]) for (d, places, _, _), x in zip(known, at, strict=True)], at
 
     def gains(self, total: int, gain: float) -> tuple[np.ndarray, ...]:
-        """The distinct contexts asked or told, told verdicts or 0, counts, and of the places here whose symbol follows twice or more: how many, and their gains by weight."""
-        known = self.verdicts(total, gain)
-        kinds, places = self.distinct(self.asked(known))
-        told, size, repeats, gains = np.zeros(len(kinds), np.int8), np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64), np.zeros((len(kinds), len(WEIGHTS)))
-        for (d, at, about, c, above), (_, _, verdict), own in zip(self.weighed(total), known, places, strict=True):
-            told[own[verdict[verdict != 0] > 0]] = verdict[verdict > 0]
-            open_ = verdict[verdict != 0] < 0
-            at, about, c, above, own = at[verdict < 0], about[verdict < 0], c[verdict < 0], above[verdict < 0], own[open_]
-            size[own] = about
-            again = self.train[at + 1] & (c > 1)
-            mine, less = own[again], c[again] - 1
-            mass, rare = about[again] * above[again], np.log(above[again])
-            repeats += np.bincount(mine, minlength=len(kinds))
-            for k, weight in enumerate(WEIGHTS):
-                gains[:, k] += np.bincount(mine, weights=np.log(less + weight * mass) - rare, minlength=len(kinds))
-        return kinds, told, size, repeats, gains
+        """The distinct contexts asked or told, told verdicts or 0, counts, and of the places here whose symbol follows twice or
+        more: how many, and their gains by weight; then the number of kept contexts that no other part has."""
+        judged = list(self.verdicts(total, gain))
+        own_states = sum(len(np.unique(self.gram[d][at[closed & (verdict > 0)]])) for d, at, verdict, closed, *_ in judged)
+        asked, chosen = self.asked([j[:4] for j in judged])
+        kinds, places = self.distinct(asked)
+        n = len(kinds)
+        told, size, repeats, sums = np.zeros(n, np.int8), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, len(WEIGHTS)), np.int64)
+        for (_, at, verdict, _, again, about, terms), x, own in zip(judged, chosen, places, strict=True):
+            np.maximum.at(told, own, verdict[x])
+            size[own] = about[x]
+            position = np.full(len(at), -1)
+            position[x[verdict[x] < 0]] = own[verdict[x] < 0]
+            mine = position[again] >= 0
+            more, of = summed(position[again[mine]], np.ones(mine.sum(), np.int64), terms[mine], n)
+            repeats, sums = repeats + more, sums + of
+        return kinds, told, size, repeats, sums, own_states
 
     def scores(self, verdicts: pd.DataFrame, total: int, known: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
         """Each place's chance by its word alone, and in its longest kept context."""
         base = (self.n[1] + DELTA) / (total + DELTA * (known + 1))
-        p, asked = base.copy(), self.asked(self.verdicts(total, gain))
-        if sum(len(at) for _, at in asked):
-            verdict = np.concatenate([unpacked(x, "<i1") for x in verdicts.sort_values("bucket")["a"]])
-            for (d, at), own in zip(asked, self.distinct(asked)[1], strict=True):
-                stays = verdict[own] > 0
-                at, size = at[stays], self.n[d][at[stays]]
-                mass = size * np.array(WEIGHTS)[verdict[own[stays]] - 1]
-                p[at + 1] = (self.n[d + 1][at + 1] + mass * p[at + 1]) / (size + mass)
+        p, judged = base.copy(), [j[:4] for j in self.verdicts(total, gain)]
+        asked, chosen = self.asked(judged)
+        told = joined(verdicts["a"], "<i1")
+        for (d, at, verdict, _), x, own in zip(judged, chosen, self.distinct(asked)[1], strict=True):
+            verdict[x] = told[own]
+            stays = verdict > 0
+            at, size = at[stays], self.n[d][at[stays]]
+            mass = size * np.array(WEIGHTS)[verdict[stays] - 1]
+            p[at + 1] = (self.n[d + 1][at + 1] + mass * p[at + 1]) / (size + mass)
         return base, p
 
 
-def worth_of(size: np.ndarray, repeats: np.ndarray, gains: list[np.ndarray]) -> np.ndarray:
-    """Gains by weight. A symbol that follows only once adds log(weight * size), whatever its chance."""
-    return np.stack([g + (size - repeats) * np.log(w * size) - size * np.log(size - 1 + w * size) for w, g in zip(WEIGHTS, gains, strict=True)], axis=1)
+def terms_of(size: np.ndarray, c: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """What a place adds to its context's gain at each weight, where the symbol follows c times, in whole UNITs."""
+    rare = np.log(above)
+    return np.stack([np.rint((np.log(c - 1 + w * size * above) - rare) * UNIT) for w in WEIGHTS], axis=1).astype(np.int64)
+
+
+def summed(at: np.ndarray, repeats: np.ndarray, terms: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Repeats and terms by position, as exact whole numbers."""
+    count, sums = np.zeros(n, np.int64), np.zeros((n, terms.shape[1]), np.int64)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        to = at[order][first]
+        count[to], sums[to] = np.add.reduceat(repeats[order], first), np.add.reduceat(terms[order], first, axis=0)
+    return count, sums
+
+
+def verdict_of(size: np.ndarray, repeats: np.ndarray, sums: np.ndarray, gain: float) -> np.ndarray:
+    """The number of the best weight, from 1, or 0. A symbol that follows only once adds log(weight * size), whatever its chance."""
+    w, size = np.array(WEIGHTS), size[:, None]
+    worth = sums / UNIT + (size - repeats[:, None]) * np.log(w * size) - size * np.log(size - 1 + w * size)
+    return np.where(worth.max(axis=1, initial=-np.inf) >= gain, worth.argmax(axis=1) + 1, 0).astype(np.int8)
 
 
-def verdict_of(worth: np.ndarray, gain: float) -> np.ndarray:
-    """The number of the best weight, from 1, or 0."""
-    return np.where(worth.max(axis=1) >= gain, worth.argmax(axis=1) + 1, 0).astype(np.int8)
+def joined(packs: pd.Series, kind: str) -> np.ndarray:
+    return np.concatenate([unpacked(x, kind) for x in packs] or [np.zeros(0, kind)])
 
 
 def ranges(kinds: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted hashes: a bucket is a range of hashes."""
-    bucket = ((kinds >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1)).tolist()
-    return [(int(bucket[lo]), lo, hi) for lo, hi in zip(cuts, [*cuts, len(kinds)][1:], strict=True)]
+    """(bucket, from, to) of sorted hashes: a bucket is a range of hashes. The first bucket is always there."""
+    bucket = (((kinds >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    out = [(int(bucket[lo]), lo, hi) for lo, hi in zip(cuts, [*cuts, len(kinds)][1:], strict=True)]
+    return out if out and out[0][0] == 0 else [(0, 0, 0), *out]
 
 
-SENT = "part string, bucket int, a binary, b binary, c binary, d binary, e binary"
+SENT = "part string, state string, bucket int, a binary, b binary, c binary, d binary, e binary, n long"
+ANSWER = "part string, state string, bucket int, a binary, b binary, size long, n long"
 
 
-def sent(part: str, rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(part, *r, *[None] * (6 - len(r))) for r in rows], columns=["part", "bucket", "a", "b", "c", "d", "e"])
+def sent(part: str, state: str, rows: list[tuple], n: int = 0) -> pd.DataFrame:
+    """n stands in the first row."""
+    full = [(part, state, *r, *[None] * (6 - len(r)), 0 if k else n) for k, r in enumerate(rows)]
+    return pd.DataFrame(full, columns=["part", "state", "bucket", "a", "b", "c", "d", "e", "n"])
 
 
-def send_counts(part: str, me: Part, asked: list[tuple[int, np.ndarray]], buckets: int) -> pd.DataFrame:
-    kinds, counts, single = me.counted(asked)
-    return sent(part, [(b, packed_sorted(kinds[lo:hi]), packed(counts[lo:hi].astype(np.int32)), packed(single[lo:hi])) for b, lo, hi in ranges(kinds, buckets)])
+def send_words(part: str, me: Part, buckets: int, bits: int) -> pd.DataFrame:
+    """Words with their counts, and the pairs' cut hashes."""
+    kinds, counts, _ = me.counted(me.single())
+    pairs = me.distinct(me.pairs())[0]
+    cut = pairs >> np.uint64(64 - bits)
+    words, none = {b: (lo, hi) for b, lo, hi in ranges(kinds, buckets)}, (0, 0)
+    seconds = {b: (lo, hi) for b, lo, hi in ranges(pairs, buckets)}
+    rows = []
+    for b in sorted({*words, *seconds}):
+        (lo, hi), (first, last) = words.get(b, none), seconds.get(b, none)
+        rows.append((b, packed_sorted(kinds[lo:hi]), packed(counts[lo:hi]), packed_sorted(cut[first:last])))
+    return sent(part, me.state, rows)
+
+
+def send_counts(part: str, me: Part, buckets: int) -> pd.DataFrame:
+    kinds, counts, _ = me.counted(me.grams()[0])
+    return sent(part, me.state, [(b, packed_sorted(kinds[lo:hi]), packed(counts[lo:hi])) for b, lo, hi in ranges(kinds, buckets)])
 
 
 def send_gains(part: str, me: Part, total: int, gain: float, buckets: int) -> pd.DataFrame:
-    kinds, told, size, repeats, gains = me.gains(total, gain)
+    kinds, told, size, repeats, sums, states = me.gains(total, gain)
     rows = []
     for b, lo, hi in ranges(kinds, buckets):
         at = np.flatnonzero(repeats[lo:hi])
         own = lo + at
-        rows.append((b, packed_sorted(kinds[lo:hi]), packed(told[lo:hi]), packed(at.astype(np.int32)), packed(np.stack([size[own], repeats[own]])), packed(gains[own].astype(np.float32).T)))
-    return sent(part, rows)
+        rows.append((b, packed_sorted(kinds[lo:hi]), packed(told[lo:hi]), packed(at.astype(np.int32)), packed(np.stack([size[own], repeats[own]])), packed(sums[own].T)))
+    return sent(part, me.state, rows, states)
 
 
-def asked_here(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
-    """The parts' rows in order, the distinct hashes, each sent hash's position among them, and where each part's begin."""
-    g = g.sort_values("part")
-    hashes = [unpacked_sorted(a) for a in g["a"]]
+def asked_here(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, each sent hash's position among them, and where each row's begin."""
     kinds, place = np.unique(np.concatenate(hashes), return_inverse=True)
-    return g, kinds, place, np.cumsum([0, *map(len, hashes)])
+    return kinds, place, np.cumsum([0, *map(len, hashes)])
 
 
-def add_up(g: pd.DataFrame) -> pd.DataFrame:
-    """Each part's grams with their counts over all parts; n: single words with a count."""
-    g, kinds, place, starts = asked_here(g)
-    sums = np.bincount(place, weights=np.concatenate([unpacked(b, "<i4") for b in g["b"]]), minlength=len(kinds)).astype(np.int64)
-    single = np.zeros(len(kinds), bool)
-    single[place] = np.concatenate([unpacked(c, "?") for c in g["c"]])
-    out = pd.DataFrame({"part": g["part"].to_numpy(), "bucket": g["bucket"].to_numpy(), "a": [packed(x) for x in np.split(sums[place], starts[1:-1])], "n": 0})
-    out.loc[0, "n"] = int((single & (sums > 0)).sum())
+def answered(g: pd.DataFrame, a: list[bytes], n: int, b: list[bytes] | None = None, size: list[int] | None = None) -> pd.DataFrame:
+    """A row for each of the parts' rows; n stands in the first."""
+    out = pd.DataFrame({"part": g["part"], "state": g["state"], "bucket": g["bucket"], "a": a, "b": b or [b""] * len(g), "size": size or 0, "n": 0})
+    out.iloc[0, -1] = n
     return out
 
 
+def add_words(g: pd.DataFrame) -> pd.DataFrame:
+    """Words with their counts over all parts, n: those with a count; and which pairs are sent twice or more, by their cut hashes."""
+    kinds, place, starts = asked_here([unpacked_sorted(a) for a in g["a"]])
+    sums, _ = summed(place, joined(g["b"], "<i8"), np.zeros((len(place), 0), np.int64), len(kinds))
+    pairs, at, begins = asked_here([unpacked_sorted(c) for c in g["c"]])
+    met = (np.bincount(at, minlength=len(pairs)) > 1)[at]
+    sizes = np.diff(begins).tolist()
+    flags = [packed(np.packbits(x)) for x in np.split(met, begins[1:-1])]
+    return answered(g, [packed(x) for x in np.split(sums[place], starts[1:-1])], int((sums > 0).sum()), flags, sizes)
+
+
+def add_up(g: pd.DataFrame) -> pd.DataFrame:
+    """Each part's grams with their counts over all parts."""
+    kinds, place, starts = asked_here([unpacked_sorted(a) for a in g["a"]])
+    sums, _ = summed(place, joined(g["b"], "<i8"), np.zeros((len(place), 0), np.int64), len(kinds))
+    return answered(g, [packed(x) for x in np.split(sums[place], starts[1:-1])], 0)
+
+
 def judge(g: pd.DataFrame, gain: float) -> pd.DataFrame:
     """Each part's contexts with the number of the weight they are kept with, from 1, or 0; n: kept contexts."""
-    g, kinds, place, starts = asked_here(g)
+    kinds, place, starts = asked_here([unpacked_sorted(a) for a in g["a"]])
     verdict = np.zeros(len(kinds), np.int8)
-    np.maximum.at(verdict, place, np.concatenate([unpacked(b, "<i1") for b in g["b"]]))
+    np.maximum.at(verdict, place, joined(g["b"], "<i1"))
     at = place[np.concatenate([lo + unpacked(c, "<i4") for lo, c in zip(starts, g["c"], strict=False)])]
     counts = np.concatenate([unpacked(d, "<i8").reshape(2, -1) for d in g["d"]], axis=1)
-    terms = np.concatenate([unpacked(e, "<f4").reshape(len(WEIGHTS), -1) for e in g["e"]], axis=1)
+    terms = np.concatenate([unpacked(e, "<i8").reshape(len(WEIGHTS), -1) for e in g["e"]], axis=1)
     open_, at = np.unique(at, return_inverse=True)
     size = np.zeros(len(open_), np.int64)
     size[at] = counts[0]
-    verdict[open_] = verdict_of(worth_of(size, np.bincount(at, weights=counts[1], minlength=len(open_)), [np.bincount(at, weights=t, minlength=len(open_)) for t in terms]), gain)
-    out = pd.DataFrame({"part": g["part"].to_numpy(), "bucket": g["bucket"].to_numpy(), "a": [packed(x) for x in np.split(verdict[place], starts[1:-1])], "n": 0})
-    out.loc[0, "n"] = int((verdict > 0).sum())
-    return out
+    verdict[open_] = verdict_of(size, *summed(at, counts[1], terms.T, len(open_)), gain)
+    return answered(g, [packed(x) for x in np.split(verdict[place], starts[1:-1])], int((verdict > 0).sum() + g["n"].sum()))
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, gain: float = GAIN, part: int = PART) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, gain: float = GAIN, part: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_states: kept contexts.
 
     share: a caller may ask for contexts that make this share of the training symbols only; none is left out otherwise.
     """
+    spark, part = docs.sparkSession, part or PART
+    folder = Folder(scratch_path(spark, "lm-files"))
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         kept("lm", dict)  # drops what other operators left
         for k, (ids, sizes, coded, numbers) in enumerate(parts(batches, part)):
@@ -316,65 +463,64 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, gai
             to[order] = np.arange(len(order), dtype=np.int32)
             hashes = np.fromiter((xxhash.xxh64_intdigest(names[i]) for i in order), np.uint64, len(names))
             n = int(sizes[[not is_held_out(i) for i in ids]].sum())
-            yield pd.DataFrame({"part": [f"{task}-{k}"], "bucket": [-1], "a": [packed(to[coded])], "b": [packed(sizes.astype(np.int32))], "c": [packed(hashes)], "e": [packed(np.array([i or 0 for i in ids], np.int64))], "f": [packed(np.array([i is None for i in ids]))], "n": [n]})
-
-    spark = docs.sparkSession
-    shape = "part string, bucket int, a binary, b binary, c binary, e binary, f binary, n long"
-    coded = materialize(docs.select("doc_id", "text").mapInPandas(code, shape), "lm-parts")
-    total = int(coded.agg(F.sum("n")).first()[0] or 0)
+            null = np.array([i is None for i in ids])
+            state = folder.put(packed(to[coded]), packed(sizes.astype(np.int32)), packed(hashes), packed(np.array([i or 0 for i in ids], np.int64)), packed(null))
+            yield pa.RecordBatch.from_pydict({"part": [f"{task}-{k}"], "state": [state], "n": pa.array([n], pa.int64())})
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(code, "part string, state string, n long")
+    coded = materialize(found, "lm-parts")
+    sums = coded.agg(F.sum("n"), F.count(F.lit(1))).first()
+    total, tasks = int(sums[0] or 0), min(max(1, sums[1]), TASKS)
     buckets, least = max(12, -(-total // BUCKET)), max(2, share * total)
-    answer = "part string, bucket int, a binary, n long"
-
-    def with_answers(*answers: DataFrame) -> DataFrame:
-        """Rows of the parts and of the rounds' answers, by part."""
-        out = coded.withColumn("round", F.lit(-1))
-        for k, a in enumerate(answers):
-            out = out.unionByName(a.withColumn("round", F.lit(k)), allowMissingColumns=True)
-        return out.groupBy("part")
-
-    def part_of(g: pd.DataFrame, rounds: int) -> Part:
-        """A part with the counts of so many rounds."""
-        me = Part(g[g["round"] == -1].iloc[0], depth, least)
-        for k in range(rounds):
-            me.told(g[g["round"] == k], me.long() if k else me.short())
-        return me
-
-    def send_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bits = min(48, max(32, total.bit_length() + 5))
+
+    def opened(g: pd.DataFrame) -> tuple[pd.DataFrame, Part]:
+        """The answers by bucket, and the part. If a task ran twice, the files of either attempt say the same."""
+        g = g.sort_values("bucket")
+        return g, Part(folder, g["state"].min(), depth, least)
+
+    def send_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for _, row in b.iterrows():
-                me = Part(row, depth, least)
-                yield send_counts(row["part"], me, me.short(), buckets)
+            for name, state in zip(b["part"], b["state"], strict=True):
+                yield send_words(name, Part(folder, state, depth, least), buckets, bits)
 
-    def send_long(g: pd.DataFrame) -> pd.DataFrame:
-        me = part_of(g, 1)
-        return send_counts(g["part"].iloc[0], me, me.long(), buckets)
+    def send_second(g: pd.DataFrame) -> pd.DataFrame:
+        g, me = opened(g)
+        me.learn_words(g)
+        return send_counts(g["part"].iloc[0], me, buckets)
 
-    def send_contexts(g: pd.DataFrame) -> pd.DataFrame:
-        return send_gains(g["part"].iloc[0], part_of(g, 2), total, gain, buckets)
+    def send_third(g: pd.DataFrame) -> pd.DataFrame:
+        g, me = opened(g)
+        me.learn_grams(g)
+        return send_gains(g["part"].iloc[0], me, total, gain, buckets)
 
-    def stored(df: DataFrame, label: str) -> DataFrame:
-        """materialize(), and a round's shuffle files go when it is done."""
+    def by_part(answers: DataFrame, run, shape: str) -> DataFrame:
+        return answers.repartition(tasks, "part").groupBy("part").applyInPandas(run, shape)
+
+    def by_bucket(rows: DataFrame, run, label: str) -> DataFrame:
+        """The answers as a table; a round's shuffle files go when it is done."""
         before = spark.conf.get(CLEAN, "false")
         spark.conf.set(CLEAN, "true")
         try:
-            return materialize(df, label)
+            return materialize(rows.groupBy("bucket").applyInPandas(run, ANSWER), label)
         finally:
             spark.conf.set(CLEAN, before)
 
-    short = stored(coded.mapInPandas(send_short, SENT).groupBy("bucket").applyInPandas(add_up, answer), "lm-short")
-    known = int(short.agg(F.sum("n")).first()[0] or 0)
-    long = stored(with_answers(short).applyInPandas(send_long, SENT).groupBy("bucket").applyInPandas(add_up, answer), "lm-long")
-    verdicts = stored(with_answers(short, long).applyInPandas(send_contexts, SENT).groupBy("bucket").applyInPandas(lambda g: judge(g, gain), answer), "lm-verdicts")
+    words = by_bucket(coded.select("part", "state").repartition(tasks).mapInPandas(send_first, SENT), add_words, "lm-words")
+    known = int(words.agg(F.sum("n")).first()[0] or 0)
+    grams = by_bucket(by_part(words, send_second, SENT), add_up, "lm-grams")
+    verdicts = by_bucket(by_part(grams, send_third, SENT), lambda g: judge(g, gain), "lm-verdicts")
+
     states = int(verdicts.agg(F.sum("n")).first()[0] or 0)
 
     def finish(g: pd.DataFrame) -> pd.DataFrame:
-        me = part_of(g, 2)
-        base, p = me.scores(g[g["round"] == 2], total, known, gain)
+        g, me = opened(g)
+        base, p = me.scores(g, total, known, gain)
         return pd.DataFrame({
             "doc_id": pd.array(me.ids, dtype="Int64"), "held_out": [is_held_out(i) for i in me.ids], "n_tokens": me.sizes, "n_known": np.add.reduceat((me.n[1] > 0).astype(np.int64), me.starts), "train_tokens": total,
             "base_score": np.add.reduceat(np.log10(base), me.starts), "score": np.add.reduceat(np.log10(p), me.starts), "n_states": states})
 
-    return with_answers(short, long, verdicts).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_states int")
+    return by_part(verdicts, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_states long")
 
 
 def op3_lm_score(spark, sf_dir):
