@@ -23,7 +23,8 @@ each part:
 3. the verdict on each context, from its gains summed over all parts; contexts of one part are judged there, and
    one that has a single symbol but for one place at most is judged where that symbol stands.
 
-Gains are summed as whole numbers of 1 / UNIT, so the model is the same however documents fall into parts. A
+Grams of two words and more go by hashes of as many bits as give one in a million of them another one's counts, at
+any size of the corpus; single words by 64 bits. Gains are summed as whole numbers of 1 / UNIT, so the model is the same however documents fall into parts. A
 gram's load is one entry a part, whatever its frequency. What a part has learnt is a further file beside its first;
 rows name the files that their attempt wrote, so repeated and lost tasks do no harm. The driver holds totals only.
 
@@ -155,10 +156,11 @@ class Part:
     are known, and the grams it asks about.
 
     Whatever is asked about is a list of (words of the gram, places where it ends). `state` names the part's files.
+    Hashes of grams of two words and more, and of contexts, have `width` bits.
     """
 
-    def __init__(self, folder: Folder, state: str, depth: int, least: float):
-        self.folder, self.state, self.depth, self.least = folder, state, depth, least
+    def __init__(self, folder: Folder, state: str, depth: int, least: float, width: int = 64):
+        self.folder, self.state, self.depth, self.least, self.width = folder, state, depth, least, width
         files = [folder.get(name) for name in state.split()]
         a, b, c, d, e = files[0]
         coded, self.sizes, hashes = unpacked(a, "<i4"), unpacked(b, "<i4").astype(np.int64), unpacked(c, "<u8")
@@ -171,6 +173,8 @@ class Part:
             longer = np.zeros(len(coded), np.uint64)
             longer[k - 1 :] = mixed(self.gram[k - 1][k - 1 :] * np.uint64(0x9E3779B97F4A7C15) + self.gram[1][: 1 - k] + np.uint64(k))
             self.gram.append(longer)
+        cut = [None, *(g >> np.uint64(64 - width) for g in self.gram[1:])]
+        self.gram, self.context = [None, self.gram[1], *cut[2:]], cut
         self.n = [None, *(np.zeros(len(coded), np.int64) for _ in range(depth + 1))]
         self.met = np.zeros(len(coded), bool)  # the pair that ends here may be in another part
         if len(files) > 1:
@@ -206,9 +210,10 @@ class Part:
             own.append((k, np.flatnonzero(fits & ~out)))
         return asked, own
 
-    def distinct(self, asked: Asked) -> tuple[np.ndarray, list[np.ndarray]]:
+    def distinct(self, asked: Asked, contexts: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
         """The hashes, each once and in order, and of each list's places the positions among them."""
-        kinds, inverse = np.unique(np.concatenate([self.gram[k][at] for k, at in asked] or [np.zeros(0, np.uint64)]), return_inverse=True)
+        hashes = self.context if contexts else self.gram
+        kinds, inverse = np.unique(np.concatenate([hashes[k][at] for k, at in asked] or [np.zeros(0, np.uint64)]), return_inverse=True)
         return kinds, np.split(inverse, np.cumsum([len(at) for _, at in asked])[:-1])
 
     def counted(self, asked: Asked) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -276,7 +281,7 @@ class Part:
             again, terms = again[seen], terms[seen]
             left = np.flatnonzero(closed)
             if len(left):
-                kinds, of = np.unique(self.gram[d][at[left]], return_inverse=True)
+                kinds, of = np.unique(self.context[d][at[left]], return_inverse=True)
                 of_place = np.full(len(at), -1)
                 of_place[left] = of
                 size = np.zeros(len(kinds), np.int64)
@@ -294,9 +299,9 @@ class Part:
         """The distinct contexts asked or told, told verdicts or 0, counts, and of the places here whose symbol follows twice or
         more: how many, and their gains by weight; then the number of kept contexts that no other part has."""
         judged = list(self.verdicts(total, gain))
-        own_states = sum(len(np.unique(self.gram[d][at[closed & (verdict > 0)]])) for d, at, verdict, closed, *_ in judged)
+        own_states = sum(len(np.unique(self.context[d][at[closed & (verdict > 0)]])) for d, at, verdict, closed, *_ in judged)
         asked, chosen = self.asked([j[:4] for j in judged])
-        kinds, places = self.distinct(asked)
+        kinds, places = self.distinct(asked, contexts=True)
         n = len(kinds)
         told, size, repeats, sums = np.zeros(n, np.int8), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, len(WEIGHTS)), np.int64)
         for (_, at, verdict, _, again, about, terms), x, own in zip(judged, chosen, places, strict=True):
@@ -315,7 +320,7 @@ class Part:
         p, judged = base.copy(), [j[:4] for j in self.verdicts(total, gain)]
         asked, chosen = self.asked(judged)
         told = joined(verdicts["a"], "<i1")
-        for (d, at, verdict, _), x, own in zip(judged, chosen, self.distinct(asked)[1], strict=True):
+        for (d, at, verdict, _), x, own in zip(judged, chosen, self.distinct(asked, contexts=True)[1], strict=True):
             verdict[x] = told[own]
             stays = verdict > 0
             at, size = at[stays], self.n[d][at[stays]]
@@ -352,9 +357,9 @@ def joined(packs: pd.Series, kind: str) -> np.ndarray:
     return np.concatenate([unpacked(x, kind) for x in packs] or [np.zeros(0, kind)])
 
 
-def ranges(kinds: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted hashes: a bucket is a range of hashes. The first bucket is always there."""
-    bucket = (((kinds >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+def ranges(kinds: np.ndarray, buckets: int, width: int = 64) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted hashes of so many bits: a bucket is a range of hashes. The first bucket is always there."""
+    bucket = (((kinds >> np.uint64(width - 32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
     out = [(int(bucket[lo]), lo, hi) for lo, hi in zip(cuts, [*cuts, len(kinds)][1:], strict=True)]
     return out if out and out[0][0] == 0 else [(0, 0, 0), *out]
@@ -374,9 +379,9 @@ def send_words(part: str, me: Part, buckets: int, bits: int) -> pd.DataFrame:
     """Words with their counts, and the pairs' cut hashes."""
     kinds, counts, _ = me.counted(me.single())
     pairs = me.distinct(me.pairs())[0]
-    cut = pairs >> np.uint64(64 - bits)
+    cut = pairs >> np.uint64(me.width - bits)
     words, none = {b: (lo, hi) for b, lo, hi in ranges(kinds, buckets)}, (0, 0)
-    seconds = {b: (lo, hi) for b, lo, hi in ranges(pairs, buckets)}
+    seconds = {b: (lo, hi) for b, lo, hi in ranges(pairs, buckets, me.width)}
     rows = []
     for b in sorted({*words, *seconds}):
         (lo, hi), (first, last) = words.get(b, none), seconds.get(b, none)
@@ -386,13 +391,13 @@ def send_words(part: str, me: Part, buckets: int, bits: int) -> pd.DataFrame:
 
 def send_counts(part: str, me: Part, buckets: int) -> pd.DataFrame:
     kinds, counts, _ = me.counted(me.grams()[0])
-    return sent(part, me.state, [(b, packed_sorted(kinds[lo:hi]), packed(counts[lo:hi])) for b, lo, hi in ranges(kinds, buckets)])
+    return sent(part, me.state, [(b, packed_sorted(kinds[lo:hi]), packed(counts[lo:hi])) for b, lo, hi in ranges(kinds, buckets, me.width)])
 
 
 def send_gains(part: str, me: Part, total: int, gain: float, buckets: int) -> pd.DataFrame:
     kinds, told, size, repeats, sums, states = me.gains(total, gain)
     rows = []
-    for b, lo, hi in ranges(kinds, buckets):
+    for b, lo, hi in ranges(kinds, buckets, me.width):
         at = np.flatnonzero(repeats[lo:hi])
         own = lo + at
         rows.append((b, packed_sorted(kinds[lo:hi]), packed(told[lo:hi]), packed(at.astype(np.int32)), packed(np.stack([size[own], repeats[own]])), packed(sums[own].T)))
@@ -472,17 +477,17 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, gai
     sums = coded.agg(F.sum("n"), F.count(F.lit(1))).first()
     total, tasks = int(sums[0] or 0), min(max(1, sums[1]), TASKS)
     buckets, least = max(12, -(-total // BUCKET)), max(2, share * total)
-    bits = min(48, max(32, total.bit_length() + 5))
+    bits, width = min(48, max(32, total.bit_length() + 5)), min(64, max(48, total.bit_length() + 20))
 
     def opened(g: pd.DataFrame) -> tuple[pd.DataFrame, Part]:
         """The answers by bucket, and the part. If a task ran twice, the files of either attempt say the same."""
         g = g.sort_values("bucket")
-        return g, Part(folder, g["state"].min(), depth, least)
+        return g, Part(folder, g["state"].min(), depth, least, width)
 
     def send_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, state in zip(b["part"], b["state"], strict=True):
-                yield send_words(name, Part(folder, state, depth, least), buckets, bits)
+                yield send_words(name, Part(folder, state, depth, least, width), buckets, bits)
 
     def send_second(g: pd.DataFrame) -> pd.DataFrame:
         g, me = opened(g)
