@@ -1,16 +1,16 @@
-"""Helpers shared by the operators: shared scratch tables, word rules, folds."""
+"""Helpers shared by the operators: shared tables and files, word rules, folds, keys."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, materialize, scratch_path, scratch_root
+
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "discard", "fold", "fresh", "kept", "materialize", "n_words", "row_key", "scratch_path", "scratch_root", "shared_files", "table"]
+
 #: A word is a run of anything but these six ASCII space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,28 +42,21 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only a local-mode session may do without one; it gets a temporary folder, dropped at exit.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="listingmart-")
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+def fresh(names: Iterable[str], taken: Iterable[str]) -> list[str]:
+    """The names, each with as many underscores before it as it needs not to clash with a taken one; case does not tell apart."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def row_key(df: DataFrame, columns: list[str]) -> Column:
-    """A 64-bit key of a row's values; equal rows share it."""
-    return F.xxhash64(*(df[c] for c in columns), *(df[c].isNull() for c in columns))
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A 128-bit key of a row's values as a text; equal rows share it."""
+    half = lambda seed: F.xxhash64(F.lit(seed), *(df[c] for c in columns), *(df[c].isNull() for c in columns))
+    return F.concat_ws(":", F.hex(half(1)), F.hex(half(2)))
 
 
 def shared_files(uri: str):
@@ -71,15 +64,3 @@ def shared_files(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, computes once.
-
-    The files outlive lost executors. They stay in a folder of this application's id until the shared folder's
-    owner drops it; they hold numbers and links, not texts.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

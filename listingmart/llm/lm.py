@@ -16,12 +16,12 @@ the place before. Documents are coded in parts of at least PART words (a documen
 the shared folder. In three rounds each part sends what it asks about to buckets by hash, and a bucket answers
 each part:
 
-1. the counts of single words, and of each word pair whether another part has it too. For this a pair's hash is
-   cut to a few bits more than the corpus has pairs; a pair taken for another only costs a question later.
-2. the counts of longer grams and pairs, but only of those whose pairs are all met elsewhere: a gram with a pair
-   of this part alone is itself of this part alone and counted here.
-3. the verdict on each context, from its gains summed over all parts; contexts of one part are judged there, and
-   one that has a single symbol but for one place at most is judged where that symbol stands.
+1. the counts of single words, and of each two and three words whether another part has them too. For this their
+   hashes are cut to a few bits more than the corpus has symbols; grams taken for others only cost a question later.
+2. the counts of longer grams, but only of those whose twos and threes are all met elsewhere: any other gram is of
+   this part alone and counted here. Of the parts that ask about a gram one is told that it speaks for it.
+3. the verdict on each context, from its symbols' gains, each sent by the part that speaks for it. Contexts of one
+   part are judged there, and one that has a single symbol but for one place at most where that symbol stands.
 
 Grams of two words and more go by hashes of as many bits as give one in a million of them another one's counts, at
 any size of the corpus; single words by 64 bits. Gains are summed as whole numbers of 1 / UNIT, so the model is the same however documents fall into parts. A
@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, materialize, scratch_path, shared_files, table
+from .common import discard, kept, materialize, scratch_path, shared_files, table
 
 DEPTH, GAIN, DELTA = 3, 20.0, 0.1
 #: What the shorter context's distribution weighs in a state's, against its own counts; the best is chosen by state.
@@ -151,64 +151,75 @@ class Folder:
 Asked = list[tuple[int, np.ndarray]]
 
 
+def flags(x: np.ndarray) -> bytes:
+    return struct.pack("<Q", len(x)) + packed(np.packbits(x))
+
+
+def unflagged(b: bytes) -> np.ndarray:
+    return np.unpackbits(unpacked(b[8:], "u1"), count=struct.unpack_from("<Q", b)[0]).astype(bool)
+
+
 class Part:
     """The symbols of a part, the hashes of the grams that end at each place, their training counts as far as they
     are known, and the grams it asks about.
 
     Whatever is asked about is a list of (words of the gram, places where it ends). `state` names the part's files.
-    Hashes of grams of two words and more, and of contexts, have `width` bits.
+    Hashes of grams of two words and more, and of contexts, have `width` bits. whole[k]: places where a gram of k
+    words ends that other parts may have; lead[k]: one place of each gram that this part speaks for.
     """
 
     def __init__(self, folder: Folder, state: str, depth: int, least: float, width: int = 64):
         self.folder, self.state, self.depth, self.least, self.width = folder, state, depth, least, width
         files = [folder.get(name) for name in state.split()]
         a, b, c, d, e = files[0]
-        coded, self.sizes, hashes = unpacked(a, "<i4"), unpacked(b, "<i4").astype(np.int64), unpacked(c, "<u8")
+        self.coded, self.sizes, hashes = unpacked(a, "<i4"), unpacked(b, "<i4").astype(np.int64), unpacked(c, "<u8")
         self.ids = [None if x else int(i) for i, x in zip(unpacked(d, "<i8"), unpacked(e, "?"), strict=True)]
+        n, self.words, self.longest = len(self.coded), len(hashes), depth + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.fresh = np.arange(len(coded)) - np.repeat(self.starts, self.sizes)
+        self.fresh = np.arange(n) - np.repeat(self.starts, self.sizes)
         self.train = np.repeat([not is_held_out(i) for i in self.ids], self.sizes)
-        self.gram = [None, hashes[coded]]
-        for k in range(2, depth + 2):
-            longer = np.zeros(len(coded), np.uint64)
+        self.gram = [None, hashes[self.coded]]
+        for k in range(2, self.longest + 1):
+            longer = np.zeros(n, np.uint64)
             longer[k - 1 :] = mixed(self.gram[k - 1][k - 1 :] * np.uint64(0x9E3779B97F4A7C15) + self.gram[1][: 1 - k] + np.uint64(k))
             self.gram.append(longer)
         cut = [None, *(g >> np.uint64(64 - width) for g in self.gram[1:])]
         self.gram, self.context = [None, self.gram[1], *cut[2:]], cut
-        self.n = [None, *(np.zeros(len(coded), np.int64) for _ in range(depth + 1))]
-        self.met = np.zeros(len(coded), bool)  # the pair that ends here may be in another part
+        kinds = range(self.longest + 1)
+        self.n = [np.zeros(n, np.int64) for _ in kinds]
+        self.whole, self.lead = [np.zeros(n, bool) for _ in kinds], [np.zeros(n, bool) for _ in kinds]
         if len(files) > 1:
-            n1, met, n2 = files[1]
-            self.n[1], self.n[2] = unpacked(n1, "<i8")[coded], unpacked(n2, "<i8")
-            self.met = np.unpackbits(unpacked(met, "u1"), count=len(coded)).astype(bool)
-        if len(files) > 2:
-            for k in range(2, depth + 2):
-                self.n[k] = unpacked(files[2][k - 2], "<i8")
-        self.coded, self.words = coded, len(hashes)
-
-    def keep(self, *fields: np.ndarray) -> None:
-        self.state += " " + self.folder.put(*map(packed, fields))
-
-    def single(self) -> Asked:
-        return [(1, np.arange(len(self.fresh)))]
-
-    def pairs(self) -> Asked:
-        return [(2, np.flatnonzero(self.fresh >= 1))]
-
-    def grams(self) -> tuple[Asked, Asked]:
-        """Pairs, and grams of three words or more whose context's pairs can all have the least count, as the context's
-        own is no higher: those to ask about, and those that this part can count."""
-        able = self.met | (self.n[2] >= self.least)
-        (_, at), elsewhere = self.pairs()[0], self.met
-        asked, own = [(2, at[elsewhere[at]])], []
-        for k in range(3, self.depth + 2):
-            fits, out = self.fresh >= k - 1, self.met.copy()
-            for j in range(1, k - 1):
-                fits[j:] &= able[:-j]
-                out[j:] &= self.met[:-j]
-            asked.append((k, np.flatnonzero(fits & out)))
-            own.append((k, np.flatnonzero(fits & ~out)))
-        return asked, own
+            self.n[1] = unpacked(files[1][0], "<i8")[self.coded]
+            self.whole[2:4] = [unflagged(x) for x in files[1][1:3]]
+            self._spread()
+            counts = files[1][3:] if len(files) == 2 else files[2]
+            self.n[2:] = [unpacked(x, "<i8") for x in counts[:depth]]
+            self.lead[2:] = [unflagged(x) for x in counts[depth:]]
+        self.known = [(unpacked(a, "<i1"), unflagged(b)) for a, b in zip(files[3][:depth], files[3][depth:], strict=True)] if len(files) > 3 else []
+
+    def _spread(self) -> None:
+        """Longer grams may be elsewhere if all their threes may."""
+        self.whole[3][1:] &= self.whole[2][1:] & self.whole[2][:-1]
+        for k in range(4, self.longest + 1):
+            self.whole[k][1:] = self.whole[k - 1][1:] & self.whole[k - 1][:-1]
+            self.whole[k] &= self.fresh >= k - 1
+
+    def keep(self, *fields: bytes) -> None:
+        self.state += " " + self.folder.put(*fields)
+
+    def keep_counts(self, *first: bytes) -> None:
+        ks = range(2, self.longest + 1)
+        self.keep(*first, *(packed(self.n[k]) for k in ks), *(flags(self.lead[k]) for k in ks))
+
+    def all_of(self, k: int) -> Asked:
+        return [(k, np.flatnonzero(self.fresh >= k - 1))]
+
+    def grams(self) -> Asked:
+        """What other parts are asked about: grams that they may have and whose context can have the least count."""
+        out = [(2, np.flatnonzero(self.whole[2]))]
+        for k in range(3, self.longest + 1):
+            out.append((k, np.flatnonzero(self.whole[k])))
+        return out
 
     def distinct(self, asked: Asked, contexts: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
         """The hashes, each once and in order, and of each list's places the positions among them."""
@@ -224,29 +235,42 @@ class Part:
             counts += np.bincount(own[self.train[at]], minlength=len(kinds))
         return kinds, counts, places
 
+    def first_places(self, k: int, at: np.ndarray, own: np.ndarray, chosen: np.ndarray) -> None:
+        """lead[k] at the last listed place of each chosen kind."""
+        place = np.full(len(chosen), -1)
+        place[own] = at
+        self.lead[k][place[chosen & (place >= 0)]] = True
+
     def learn_words(self, answers: pd.DataFrame) -> None:
-        """What round 1 told; pairs that no other part has are counted here."""
-        sums, own = joined(answers["a"], "<i8"), self.distinct(self.single())[1][0]
+        """What round 1 told; grams that no other part has are counted here."""
+        sums, own = joined(answers["a"], "<i8"), self.distinct(self.all_of(1))[1][0]
         of_word = np.zeros(self.words, np.int64)
         of_word[self.coded] = sums[own]
         self.n[1] = sums[own]
-        _, counts, places = self.counted(self.pairs())
-        met = np.concatenate([np.unpackbits(unpacked(x, "u1"), count=k) for x, k in zip(answers["b"], answers["size"], strict=True)]).astype(bool)
-        (_, at), own = self.pairs()[0], places[0]
-        self.met[at] = met[own]
-        self.n[2][at] = np.where(met[own], 0, counts[own])
-        self.keep(of_word, np.packbits(self.met), self.n[2])
+        for k, told in ((2, answers["b"]), (3, answers["c"])):
+            if k <= self.longest:
+                (_, at), own = self.all_of(k)[0], self.distinct(self.all_of(k))[1][0]
+                self.whole[k][at] = np.concatenate([unflagged(x) for x in told])[own]
+        self._spread()
+        able = np.ones(len(self.coded), bool)
+        for k in range(2, self.longest + 1):
+            fits = (self.fresh >= k - 1) & ~self.whole[k]
+            fits[1:] &= able[:-1]
+            at = np.flatnonzero(fits)
+            kinds, counts, places = self.counted([(k, at)])
+            self.n[k][at] = counts[places[0]]
+            self.first_places(k, at, places[0], np.ones(len(kinds), bool))
+            able = self.whole[k] | (self.n[k] >= self.least)
+        self.keep_counts(packed(of_word), flags(self.whole[2]), flags(self.whole[3]))
 
     def learn_grams(self, answers: pd.DataFrame) -> None:
         """What round 2 told, beside the counts of this part's own grams."""
-        asked, mine = self.grams()
-        _, counts, places = self.counted(mine)
-        for (k, at), own in zip(mine, places, strict=True):
-            self.n[k][at] = counts[own]
-        sums = joined(answers["a"], "<i8")
+        asked = self.grams()
+        sums, speaks = joined(answers["a"], "<i8"), np.concatenate([unflagged(x) for x in answers["b"]])
         for (k, at), own in zip(asked, self.distinct(asked)[1], strict=True):
             self.n[k][at] = sums[own]
-        self.keep(*self.n[2:])
+            self.first_places(k, at, own, speaks)
+        self.keep_counts()
 
     def contexts(self) -> Asked:
         """Contexts that are judged; the symbol in question is at the next place."""
@@ -261,67 +285,62 @@ class Part:
             chance[at + 1] = (c + about * above) / (2 * about)
 
     def here_only(self, d: int, at: np.ndarray) -> np.ndarray:
-        """Whether a pair of the context is in no other part."""
-        out = np.zeros(len(at), bool)
-        for j in range(d - 1):
-            out |= ~self.met[at - j]
-        return out
+        """Whether no other part has the context."""
+        return np.zeros(len(at), bool) if d == 1 else ~self.whole[d][at]
 
-    def verdicts(self, total: int, gain: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """By depth: words, places, verdicts (-1: not known here), whether no other part has the context, and of the places
-        where a symbol follows that does so twice or more in training: their positions, counts of contexts and gains."""
+    def verdicts(self, total: int, gain: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By depth: words, places, verdicts (-1: not known here), whether no other part has the context, their counts, and of
+        the places that speak for a symbol that follows twice or more: positions, the symbols' counts and gains."""
         for d, at, about, c, above in self.weighed(total):
             verdict, closed = np.full(len(at), -1, np.int8), self.here_only(d, at)
-            again = np.flatnonzero(c > 1)
-            terms = terms_of(about[again], c[again], above[again])
-            verdict[(c > 0) & (about - c <= 1)] = 0
-            clear = about[again] - c[again] <= 1
-            verdict[again[clear]] = verdict_of(about[again[clear]], c[again[clear]], terms[clear] * c[again[clear], None], gain)
-            seen = self.train[at[again] + 1]
-            again, terms = again[seen], terms[seen]
+            clear = (c > 0) & (about - c <= 1)
+            verdict[clear] = 0
+            again = np.flatnonzero(clear & (c > 1))
+            verdict[again] = verdict_of(about[again], c[again], terms_of(about[again], c[again], above[again]) * c[again, None], gain)
+            again = np.flatnonzero((c > 1) & self.lead[d + 1][at + 1] & (closed | ~clear))
+            size, terms = c[again], terms_of(about[again], c[again], above[again]) * c[again, None]
             left = np.flatnonzero(closed)
             if len(left):
                 kinds, of = np.unique(self.context[d][at[left]], return_inverse=True)
-                of_place = np.full(len(at), -1)
-                of_place[left] = of
-                size = np.zeros(len(kinds), np.int64)
-                size[of] = about[left]
-                mine = of_place[again] >= 0
-                verdict[left] = verdict_of(size, *summed(of_place[again[mine]], np.ones(mine.sum(), np.int64), terms[mine], len(kinds)), gain)[of]
-            yield d, at, verdict, closed, again, about, terms
-
-    def asked(self, known: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[Asked, list[np.ndarray]]:
-        """Contexts to ask about or to tell: of other parts too, and not known to go, which is also what no news means."""
-        at = [np.flatnonzero((verdict != 0) & ~closed) for _, _, verdict, closed in known]
-        return [(d, places[x]) for (d, places, _, _), x in zip(known, at, strict=True)], at
+                of_place, whole_size = np.full(len(at), -1), np.zeros(len(kinds), np.int64)
+                of_place[left], whole_size[of] = of, about[left]
+                mine = closed[again]
+                verdict[left] = verdict_of(whole_size, *summed(of_place[again[mine]], size[mine], terms[mine], len(kinds)), gain)[of]
+                again, size, terms = again[~mine], size[~mine], terms[~mine]
+            yield d, at, verdict, closed, about, again, size, terms
 
     def gains(self, total: int, gain: float) -> tuple[np.ndarray, ...]:
-        """The distinct contexts asked or told, told verdicts or 0, counts, and of the places here whose symbol follows twice or
-        more: how many, and their gains by weight; then the number of kept contexts that no other part has."""
-        judged = list(self.verdicts(total, gain))
-        own_states = sum(len(np.unique(self.context[d][at[closed & (verdict > 0)]])) for d, at, verdict, closed, *_ in judged)
-        asked, chosen = self.asked([j[:4] for j in judged])
+        """The distinct contexts asked about or told of, told verdicts or 0, counts, and of the symbols spoken for here: their
+        places' number, and their gains by weight; then the number of kept contexts that no other part has.
+
+        A verdict of 0 is not told, as no news means the same."""
+        judged, asked, chosen, states = list(self.verdicts(total, gain)), [], [], 0
+        for d, at, verdict, closed, *_ in judged:
+            x = np.flatnonzero(~closed & ((verdict < 0) | (verdict > 0) & self.lead[d + 1][at + 1]))
+            asked.append((d, at[x]))
+            chosen.append(x)
+            states += len(np.unique(self.context[d][at[closed & (verdict > 0)]]))
+        self.keep(*(packed(j[2]) for j in judged), *(flags(np.isin(np.arange(len(j[1])), x, assume_unique=True)) for j, x in zip(judged, chosen, strict=True)))
         kinds, places = self.distinct(asked, contexts=True)
         n = len(kinds)
         told, size, repeats, sums = np.zeros(n, np.int8), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, len(WEIGHTS)), np.int64)
-        for (_, at, verdict, _, again, about, terms), x, own in zip(judged, chosen, places, strict=True):
+        for (_, at, verdict, _, about, again, c, terms), x, own in zip(judged, chosen, places, strict=True):
             np.maximum.at(told, own, verdict[x])
             size[own] = about[x]
             position = np.full(len(at), -1)
-            position[x[verdict[x] < 0]] = own[verdict[x] < 0]
-            mine = position[again] >= 0
-            more, of = summed(position[again[mine]], np.ones(mine.sum(), np.int64), terms[mine], n)
+            position[x] = own
+            more, of = summed(position[again], c, terms, n)
             repeats, sums = repeats + more, sums + of
-        return kinds, told, size, repeats, sums, own_states
+        return kinds, told, size, repeats, sums, states
 
-    def scores(self, verdicts: pd.DataFrame, total: int, known: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, verdicts: pd.DataFrame, total: int, known: int) -> tuple[np.ndarray, np.ndarray]:
         """Each place's chance by its word alone, and in its longest kept context."""
         base = (self.n[1] + DELTA) / (total + DELTA * (known + 1))
-        p, judged = base.copy(), [j[:4] for j in self.verdicts(total, gain)]
-        asked, chosen = self.asked(judged)
+        p, contexts = base.copy(), self.contexts()
+        asked = [(d, at[chosen]) for (d, at), (_, chosen) in zip(contexts, self.known, strict=True)]
         told = joined(verdicts["a"], "<i1")
-        for (d, at, verdict, _), x, own in zip(judged, chosen, self.distinct(asked, contexts=True)[1], strict=True):
-            verdict[x] = told[own]
+        for (d, at), (verdict, chosen), own in zip(contexts, self.known, self.distinct(asked, contexts=True)[1], strict=True):
+            verdict[chosen] = told[own]
             stays = verdict > 0
             at, size = at[stays], self.n[d][at[stays]]
             mass = size * np.array(WEIGHTS)[verdict[stays] - 1]
@@ -366,7 +385,7 @@ def ranges(kinds: np.ndarray, buckets: int, width: int = 64) -> list[tuple[int,
 
 
 SENT = "part string, state string, bucket int, a binary, b binary, c binary, d binary, e binary, n long"
-ANSWER = "part string, state string, bucket int, a binary, b binary, size long, n long"
+ANSWER = "part string, state string, bucket int, a binary, b binary, c binary, n long"
 
 
 def sent(part: str, state: str, rows: list[tuple], n: int = 0) -> pd.DataFrame:
@@ -376,21 +395,20 @@ def sent(part: str, state: str, rows: list[tuple], n: int = 0) -> pd.DataFrame:
 
 
 def send_words(part: str, me: Part, buckets: int, bits: int) -> pd.DataFrame:
-    """Words with their counts, and the pairs' cut hashes."""
-    kinds, counts, _ = me.counted(me.single())
-    pairs = me.distinct(me.pairs())[0]
-    cut = pairs >> np.uint64(me.width - bits)
-    words, none = {b: (lo, hi) for b, lo, hi in ranges(kinds, buckets)}, (0, 0)
-    seconds = {b: (lo, hi) for b, lo, hi in ranges(pairs, buckets, me.width)}
+    """Words with their counts, and the cut hashes of grams of two and three words."""
+    kinds, counts, _ = me.counted(me.all_of(1))
+    longer = [me.distinct(me.all_of(k))[0] for k in (2, 3)] if me.longest > 2 else [me.distinct(me.all_of(2))[0], np.zeros(0, np.uint64)]
+    cut = [x >> np.uint64(me.width - bits) for x in longer]
+    found = [{b: (lo, hi) for b, lo, hi in ranges(x, buckets, w)} for x, w in ((kinds, 64), (longer[0], me.width), (longer[1], me.width))]
     rows = []
-    for b in sorted({*words, *seconds}):
-        (lo, hi), (first, last) = words.get(b, none), seconds.get(b, none)
-        rows.append((b, packed_sorted(kinds[lo:hi]), packed(counts[lo:hi]), packed_sorted(cut[first:last])))
+    for b in sorted(set().union(*found)):
+        (lo, hi), *more = (f.get(b, (0, 0)) for f in found)
+        rows.append((b, packed_sorted(kinds[lo:hi]), packed(counts[lo:hi]), *(packed_sorted(x[i:j]) for x, (i, j) in zip(cut, more, strict=True))))
     return sent(part, me.state, rows)
 
 
 def send_counts(part: str, me: Part, buckets: int) -> pd.DataFrame:
-    kinds, counts, _ = me.counted(me.grams()[0])
+    kinds, counts, _ = me.counted(me.grams())
     return sent(part, me.state, [(b, packed_sorted(kinds[lo:hi]), packed(counts[lo:hi])) for b, lo, hi in ranges(kinds, buckets, me.width)])
 
 
@@ -410,29 +428,41 @@ def asked_here(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return kinds, place, np.cumsum([0, *map(len, hashes)])
 
 
-def answered(g: pd.DataFrame, a: list[bytes], n: int, b: list[bytes] | None = None, size: list[int] | None = None) -> pd.DataFrame:
+def answered(g: pd.DataFrame, n: int, *fields: list[bytes]) -> pd.DataFrame:
     """A row for each of the parts' rows; n stands in the first."""
-    out = pd.DataFrame({"part": g["part"], "state": g["state"], "bucket": g["bucket"], "a": a, "b": b or [b""] * len(g), "size": size or 0, "n": 0})
+    full = [*fields, *([b""] * len(g) for _ in range(3 - len(fields)))]
+    out = pd.DataFrame({"part": g["part"], "state": g["state"], "bucket": g["bucket"], **dict(zip("abc", full, strict=True)), "n": 0})
     out.iloc[0, -1] = n
     return out
 
 
+def total_of(place: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Exact sums: counts of one part are far below 2 ** 53, and so are their sums' halves."""
+    low, high = counts & 0xFFFFFF, counts >> 24
+    add = lambda x: np.bincount(place, weights=x, minlength=n).astype(np.int64)
+    return add(low) + (add(high) << 24) if high.any() else add(low)
+
+
 def add_words(g: pd.DataFrame) -> pd.DataFrame:
-    """Words with their counts over all parts, n: those with a count; and which pairs are sent twice or more, by their cut hashes."""
+    """Words with their counts over all parts, n: those with a count; and which longer grams are sent twice or more, by their cut hashes."""
     kinds, place, starts = asked_here([unpacked_sorted(a) for a in g["a"]])
-    sums, _ = summed(place, joined(g["b"], "<i8"), np.zeros((len(place), 0), np.int64), len(kinds))
-    pairs, at, begins = asked_here([unpacked_sorted(c) for c in g["c"]])
-    met = (np.bincount(at, minlength=len(pairs)) > 1)[at]
-    sizes = np.diff(begins).tolist()
-    flags = [packed(np.packbits(x)) for x in np.split(met, begins[1:-1])]
-    return answered(g, [packed(x) for x in np.split(sums[place], starts[1:-1])], int((sums > 0).sum()), flags, sizes)
+    sums = total_of(place, joined(g["b"], "<i8"), len(kinds))
+    met = []
+    for column in "cd":
+        cut, at, begins = asked_here([unpacked_sorted(x) for x in g[column]])
+        met.append([flags(x) for x in np.split((np.bincount(at, minlength=len(cut)) > 1)[at], begins[1:-1])])
+    return answered(g, int((sums > 0).sum()), [packed(x) for x in np.split(sums[place], starts[1:-1])], *met)
 
 
 def add_up(g: pd.DataFrame) -> pd.DataFrame:
-    """Each part's grams with their counts over all parts."""
+    """Each part's grams with their counts over all parts, and which of them it speaks for."""
     kinds, place, starts = asked_here([unpacked_sorted(a) for a in g["a"]])
-    sums, _ = summed(place, joined(g["b"], "<i8"), np.zeros((len(place), 0), np.int64), len(kinds))
-    return answered(g, [packed(x) for x in np.split(sums[place], starts[1:-1])], 0)
+    sums = total_of(place, joined(g["b"], "<i8"), len(kinds))
+    speaks = np.zeros(len(place), bool)
+    last = np.empty(len(kinds), np.int64)
+    last[place] = np.arange(len(place))
+    speaks[last] = True
+    return answered(g, 0, [packed(x) for x in np.split(sums[place], starts[1:-1])], [flags(x) for x in np.split(speaks, starts[1:-1])])
 
 
 def judge(g: pd.DataFrame, gain: float) -> pd.DataFrame:
@@ -447,7 +477,7 @@ def judge(g: pd.DataFrame, gain: float) -> pd.DataFrame:
     size = np.zeros(len(open_), np.int64)
     size[at] = counts[0]
     verdict[open_] = verdict_of(size, *summed(at, counts[1], terms.T, len(open_)), gain)
-    return answered(g, [packed(x) for x in np.split(verdict[place], starts[1:-1])], int((verdict > 0).sum() + g["n"].sum()))
+    return answered(g, int((verdict > 0).sum() + g["n"].sum()), [packed(x) for x in np.split(verdict[place], starts[1:-1])])
 
 
 def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, gain: float = GAIN, part: int | None = None) -> DataFrame:
@@ -502,25 +532,29 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, gai
     def by_part(answers: DataFrame, run, shape: str) -> DataFrame:
         return answers.repartition(tasks, "part").groupBy("part").applyInPandas(run, shape)
 
-    def by_bucket(rows: DataFrame, run, label: str) -> DataFrame:
+    def by_bucket(rows: DataFrame, run, path: str) -> DataFrame:
         """The answers as a table; a round's shuffle files go when it is done."""
         before = spark.conf.get(CLEAN, "false")
         spark.conf.set(CLEAN, "true")
         try:
-            return materialize(rows.groupBy("bucket").applyInPandas(run, ANSWER), label)
+            rows.groupBy("bucket").applyInPandas(run, ANSWER).write.parquet(path)
         finally:
             spark.conf.set(CLEAN, before)
+        return spark.read.schema(ANSWER).parquet(path)
 
-    words = by_bucket(coded.select("part", "state").repartition(tasks).mapInPandas(send_first, SENT), add_words, "lm-words")
+    paths = [scratch_path(spark, label) for label in ("lm-words", "lm-grams", "lm-verdicts")]
+    words = by_bucket(coded.select("part", "state").repartition(tasks).mapInPandas(send_first, SENT), add_words, paths[0])
     known = int(words.agg(F.sum("n")).first()[0] or 0)
-    grams = by_bucket(by_part(words, send_second, SENT), add_up, "lm-grams")
-    verdicts = by_bucket(by_part(grams, send_third, SENT), lambda g: judge(g, gain), "lm-verdicts")
+    grams = by_bucket(by_part(words, send_second, SENT), add_up, paths[1])
+    discard(spark, paths[0])  # the parts' files hold what it told
+    verdicts = by_bucket(by_part(grams, send_third, SENT), lambda g: judge(g, gain), paths[2])
+    discard(spark, paths[1])
 
     states = int(verdicts.agg(F.sum("n")).first()[0] or 0)
 
     def finish(g: pd.DataFrame) -> pd.DataFrame:
         g, me = opened(g)
-        base, p = me.scores(g, total, known, gain)
+        base, p = me.scores(g, total, known)
         return pd.DataFrame({
             "doc_id": pd.array(me.ids, dtype="Int64"), "held_out": [is_held_out(i) for i in me.ids], "n_tokens": me.sizes, "n_known": np.add.reduceat((me.n[1] > 0).astype(np.int64), me.starts), "train_tokens": total,
             "base_score": np.add.reduceat(np.log10(base), me.starts), "score": np.add.reduceat(np.log10(p), me.starts), "n_states": states})
