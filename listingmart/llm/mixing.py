@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, row_key, table
+from .common import fresh, materialize, n_words, row_key, table
 
 CHUNKS = 1024
 #: A whole copy of a document, in the fractions that are carried.
@@ -126,9 +126,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     the manifest: shard, slot, source number, block, words).
 
     The plan holds one row per source and per (shard, source); sources are checked against max_sources
-    and shards held to max_shards, so its size is bounded whatever the input.
+    and shards held to max_shards, beyond which they hold more than shard_slots slots, so its size is
+    bounded whatever the input. Carried columns must not be called as the result's or with a leading underscore
+    but `_key`.
     """
     spark = docs.sparkSession
+    if bad := [c for c in carry if c != "_key" and (c.startswith("_") or c.lower() in ("doc_id", "source", "size", "source_size", "target", "taken", "k", "block", "uses"))]:
+        raise ValueError(f"carried columns clash: {bad}")
     sized = docs.select("doc_id", "source", *carry, n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("_h"))
     sized = materialize(sized.withColumn("_chunk", F.pmod("_h", F.lit(CHUNKS)).cast("int")), "mix-sizes")
     by_chunk = sized.groupBy("source", "_chunk").agg(F.sum("size").alias("_words"))
@@ -186,9 +190,11 @@ def resampled(docs: DataFrame, **how) -> DataFrame:
     Along each source, by length class, the running sum of taken / size is rounded; a row's copies are the steps
     it makes. So a source's words meet its target to about a document, however long its documents are.
     """
-    keyed = docs.withColumn("_key", row_key(docs, docs.columns))
-    taken = mix(keyed, carry=("_key",), **how)[0].filter("size > 0").select("_key", "source", "size", "taken")
-    taken = taken.withColumns({"_part": F.expr(f"taken * {ONE}L div size"), "_class": F.floor(F.log2("size")).cast("int"), "_chunk": F.pmod("_key", F.lit(CHUNKS)).cast("int")})
+    key, rows_, times_, n, own, copy = fresh(("_key", "_rows", "_times", "_n", "_own", "_copy"), docs.columns)
+    keyed = docs.withColumn(key, row_key(docs, docs.columns))
+    bare = keyed.select("doc_id", "source", "text", F.col(key).alias("_key"))  # the only columns that the mix looks at
+    taken = mix(bare, carry=("_key",), **how)[0].filter("size > 0").select("_key", "source", "size", "taken")
+    taken = taken.withColumns({"_part": F.expr(f"taken * {ONE}L div size"), "_class": F.floor(F.log2("size")).cast("int"), "_chunk": F.pmod(F.xxhash64("_key"), F.lit(CHUNKS)).cast("int")})
     taken = materialize(taken, "mix-taken")
     place = ["source", "_class", "_chunk"]
     ahead = Window.partitionBy("source").orderBy("_class", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -198,11 +204,11 @@ def resampled(docs: DataFrame, **how) -> DataFrame:
     stepped = taken.withColumn("_upto", F.sum("_part").over(inside)).join(heads, F.col("source").eqNullSafe(F.col("_hsource")) & (F.col("_class") == F.col("_h_class")) & (F.col("_chunk") == F.col("_h_chunk")))
     upto = f"_head + _upto + {ONE // 2}"
     stepped = stepped.withColumn("_copies", F.expr(f"({upto}) div {ONE} - ({upto} - _part) div {ONE}"))
-    times = stepped.groupBy("_key").agg(F.sum("_copies").cast("long").alias("_times"), F.count(F.lit(1)).alias("_rows")).filter("_times > 0")
-    same = Window.partitionBy("_key").orderBy("_key")  # rows that are equal in all columns share their times
-    rows = keyed.join(times, "_key").withColumn("_n", F.row_number().over(same))
-    rows = rows.withColumn("_own", F.expr("_times div _rows + if(_n <= _times % _rows, 1, 0)")).filter("_own > 0")
-    return rows.withColumn("_copy", F.explode(F.expr("sequence(1L, _own)"))).select(*docs.columns)
+    times = stepped.groupBy(F.col("_key").alias(key)).agg(F.sum("_copies").cast("long").alias(times_), F.count(F.lit(1)).alias(rows_)).filter(F.col(times_) > 0)
+    same = Window.partitionBy(key).orderBy(key)  # rows that are equal in all columns share their times
+    rows = keyed.join(times, key).withColumn(n, F.row_number().over(same))
+    rows = rows.withColumn(own, F.expr(f"{times_} div {rows_} + if({n} <= {times_} % {rows_}, 1, 0)")).filter(F.col(own) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own)))).select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir):

@@ -2,9 +2,10 @@
 
 Equal fingerprints are one node first. Nodes are dealt into tiles by the population counts of their
 halves; two fingerprints within the radius differ by at most the radius in the summed differences of any
-blocks' counts, so only tile pairs that near meet. A pair of tiles is compared whole by numpy exclusive-or
-and bit counts; a large pair is first cut into smaller tiles by the counts of quarters, bytes, half bytes, and
-pairs of these beyond the radius are skipped. A task returns a spanning forest of the links it finds, never
+blocks' counts, so only tile pairs that near meet. Large tiles are cut into blocks of about BLOCK fingerprints
+before they are dealt, so no task's memory grows with a tile. A pair of blocks is compared whole by numpy
+exclusive-or and bit counts; a large pair is first cut into smaller tiles by the counts of quarters, bytes, half
+bytes, and pairs of these beyond the radius are skipped. A task returns a spanning forest of the links it finds, never
 all pairs; large-star/small-star rounds over tables in the shared folder join the forests to components.
 
 Defined results: null texts and texts without words have fingerprint zero and link like any other; a null
@@ -19,15 +20,19 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, row_key, table
+from .common import fresh, materialize, row_key, table
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Comparisons of a tile pair that is not cut further.
 WHOLE = 1 << 20
+#: Fingerprints of a block, about.
+BLOCK = 1 << 16
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
@@ -50,16 +55,15 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The carried columns and fp."""
-    fields = [docs.schema[c] for c in carry]
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "fp long"])
+    """The carried columns, as they are, and fp."""
+    shape = T.StructType([*(docs.schema[c] for c in carry), T.StructField("fp", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter(map(fingerprint, b["text"]), np.int64, len(b))
-            yield b[list(carry)].assign(fp=fp)
+            fp = pa.array(np.fromiter(map(fingerprint, b.column(len(carry)).to_pylist()), np.int64, b.num_rows))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], fp], names=shape.names)
 
-    return docs.select(*carry, "text").mapInPandas(run, shape)
+    return docs.select(*carry, "text").mapInArrow(run, shape)
 
 
 def counts_by_block(x: np.ndarray, level: int) -> np.ndarray:
@@ -118,7 +122,7 @@ def links(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, level: int =
                 yield from links(x, parts_a[i], parts_b[j], radius, level + 1)
 
 
-def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def linked(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """u, v: forests of the links among distinct fingerprints (fp)."""
     half = lambda shift: F.bit_count(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(0xFFFFFFFF)))
     near = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius]
@@ -127,13 +131,22 @@ def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     dealt = own.withColumn("s", F.explode(steps)).withColumn("p2", F.col("p") + F.col("s.i")).withColumn("q2", F.col("q") + F.col("s.j"))
     dealt = dealt.filter(F.col("p2").between(0, 32) & F.col("q2").between(0, 32))
     here, there = F.col("p") * 33 + F.col("q"), F.col("p2") * 33 + F.col("q2")
-    dealt = dealt.select((F.least(here, there) * 1089 + F.greatest(here, there)).alias("pair"), (here > there).alias("second"), "fp")
+    # a tile is cut into blocks of about `block` fingerprints, and a task compares two blocks
+    sizes = own.groupBy((F.col("p") * 33 + F.col("q")).alias("_tile")).agg(F.count(F.lit(1)).alias("_size"))  # 33 x 33 rows at most
+    parts = lambda name: F.broadcast(sizes.select(F.col("_tile").alias(name), F.ceil(F.col("_size") / block).cast("int").alias(f"{name}_parts")))
+    dealt = dealt.select(here.alias("here"), there.alias("there"), "fp").join(parts("here"), "here").join(parts("there"), "there")  # empty tiles go
+    mine = F.pmod(F.xxhash64("fp"), F.col("here_parts")).cast("int")
+    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("there_parts") - 1)))
+    turn = (F.col("here") > F.col("there")) | ((F.col("here") == F.col("there")) & (F.col("mine") > F.col("other")))
+    ends = [F.struct(F.col(tile).alias("tile"), F.col(part).alias("part")) for tile, part in (("here", "mine"), ("there", "other"))]
+    dealt = dealt.select(F.least(*ends).alias("first"), F.greatest(*ends).alias("last"), turn.alias("second"), "fp")
+    dealt = dealt.select("first.tile", "first.part", F.col("last.tile").alias("tile2"), F.col("last.part").alias("part2"), "second", "fp")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        second, pair = g["second"].to_numpy(bool), int(g["pair"].iloc[0])
+        second, alone = g["second"].to_numpy(bool), (g["tile"].iloc[0], g["part"].iloc[0]) == (g["tile2"].iloc[0], g["part2"].iloc[0])
         x = g["fp"].to_numpy(np.int64).view(np.uint64)
         one = np.flatnonzero(~second)
-        other = one if pair // 1089 == pair % 1089 else np.flatnonzero(second)
+        other = one if alone else np.flatnonzero(second)
         found = list(links(x, one, other, radius))
         if not found:
             return pd.DataFrame({"u": [], "v": []}).astype("int64")
@@ -141,7 +154,7 @@ def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         y = x.view(np.int64)
         return pd.DataFrame({"u": y[node], "v": y[root]})
 
-    return dealt.groupBy("pair").applyInPandas(compare, "u long, v long")
+    return dealt.groupBy("tile", "part", "tile2", "part2").applyInPandas(compare, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,14 +193,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, all columns: the one of smallest id, null ids last, then of smallest key."""
-    keyed = docs.withColumn("_key", row_key(docs, docs.columns))
-    marked = materialize(fingerprints(keyed, ("doc_id", "_key")), "fingerprints")
+    """One row of each component, all columns as they are: the one of smallest id, null ids last, then of smallest key."""
+    key, n = fresh(("_key", "_n"), docs.columns)
+    keyed = docs.withColumn(key, row_key(docs, docs.columns))
+    marked = fingerprints(keyed, ("doc_id", key)).toDF("doc_id", "_key", "fp")
+    marked = materialize(marked, "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
     best = marked.groupBy("fp").agg(F.min(first).alias("best")).join(classes(marked, radius), "fp")
-    kept = best.groupBy("component").agg(F.min("best").alias("best")).select("best._key").distinct()
-    same = Window.partitionBy("_key").orderBy("_key")  # rows that are equal in all columns
-    return keyed.join(kept, "_key").withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(*docs.columns)
+    kept = best.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best._key").alias(key)).distinct()
+    same = Window.partitionBy(key).orderBy(key)  # rows that are equal in all columns
+    return keyed.join(kept, key).withColumn(n, F.row_number().over(same)).filter(F.col(n) == 1).select(*docs.columns)
 
 
 def hexed(fp: Column) -> Column:

@@ -29,7 +29,6 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -308,20 +307,23 @@ def score_documents(docs: DataFrame, tagger: Tagger | None, threshold: float = T
     """doc_id, score, predicted and spans: the toxic words' offsets."""
     held = docs.sparkSession.sparkContext.broadcast(tagger)  # as large as the fit sample's vocabulary at most
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    told = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = held.value
         kept("toxicity", dict)  # drops what other operators left
         memo = Memo(tagger) if tagger else None
         for b in batches:
-            texts = b["text"].fillna("").tolist()
-            if tagger is None:
-                yield b[["doc_id"]].assign(score=0.0, predicted=0, spans=[[] for _ in texts])
-                continue
+            texts = [t or "" for t in b.column("text").to_pylist()]
             hot: list[list[dict]] = [[] for _ in texts]
-            score = tagger.score(tagger.summary(texts, memo, lambda i, p, texts=texts, hot=hot: hot[i].extend(spans(texts[i], p))))
-            yield b[["doc_id"]].assign(score=score, predicted=(score >= threshold).astype("int32"), spans=hot)
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
+            score = np.zeros(len(texts))
+            if tagger:
+                score = tagger.score(tagger.summary(texts, memo, lambda i, p, texts=texts, hot=hot: hot[i].extend(spans(texts[i], p))))
+            predicted = pa.array((score >= threshold).astype("int32"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), predicted, pa.array(hot, told)], names=["doc_id", "score", "predicted", "spans"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
 
 
 def clean_documents(docs: DataFrame, tagger: Tagger | None, threshold: float = THRESHOLD) -> DataFrame:
