@@ -15,6 +15,7 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+# The prefixes in the patterns below are fixed values.
 def normalize_province(c: Column) -> Column:
     name = F.regexp_replace(normalize_token(c), r"^(tp|thanh pho|tinh)\s+", "")
     known = F.create_map(*[F.lit(x) for pair in PROVINCE_ALIASES.items() for x in pair])

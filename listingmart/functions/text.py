@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+#: Unicode's white space.
+BLANKS = "\t\n\x0b\f\r \x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """All white space at both ends; Spark's trim takes spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """All white space at both ends; by default Spark's trim takes spaces only."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 @functools.cache

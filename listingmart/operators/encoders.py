@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import median
 from ..functions.text import strip
+from .quantiles import exact_medians
 
 #: What apply_reference adds, and the predictors.
 REFERENCE_COLUMNS = [
@@ -41,7 +42,10 @@ def normalize_location(df: DataFrame) -> DataFrame:
     return df.withColumns({c: strip(F.coalesce(F.col(c), F.lit("Unknown"))) for c in ("province", "district")})
 
 
-def _stats(rows: DataFrame, level: str, keys: list[str], price: str, ppm2: str) -> DataFrame:
+def _stats(rows: DataFrame, level: str, keys: list[str], price: str, ppm2: str, distributed: bool = False) -> DataFrame:
+    if distributed:  # the keys are never null
+        medians = exact_medians(rows, keys, {price: f"{level}_median_price_million_vnd", ppm2: f"{level}_median_price_per_m2"})
+        return rows.groupBy(*keys).agg(F.count("listing_id").alias(f"{level}_listing_count")).join(medians, keys)
     return rows.groupBy(*keys).agg(F.count("listing_id").alias(f"{level}_listing_count"), median(price).alias(f"{level}_median_price_million_vnd"), median(ppm2).alias(f"{level}_median_price_per_m2"))
 
 
@@ -50,11 +54,17 @@ def _shares(stats: DataFrame, level: str, total: DataFrame, on: list[str]) -> Da
     return joined.withColumn(f"{level}_frequency", F.col(f"{level}_listing_count") / F.greatest("total_rows", F.lit(1))).drop("total_rows")
 
 
-def fit_reference(train: DataFrame, price: str = "target_price_million_vnd", ppm2: str = "target_price_per_m2") -> MarketReference:
+def fit_reference(train: DataFrame, price: str = "target_price_million_vnd", ppm2: str = "target_price_per_m2", distributed: bool = False) -> MarketReference:
+    """distributed: medians of provinces and of all rows in a few passes over train (a table, best) that need no reducer
+    with all distinct values; districts are many and small."""
     rows = normalize_location(train)
-    overall = rows.agg(F.count(F.lit(1)).alias("total_rows"), median(price).alias("global_median_price"), median(ppm2).alias("global_median_price_per_m2"))
-    total = overall.select("total_rows")
-    return MarketReference(_shares(_stats(rows, "province", ["province"], price, ppm2), "province", total, []), _shares(_stats(rows, "district", ["province", "district"], price, ppm2), "district", total, []), overall)
+    size = rows.agg(F.count(F.lit(1)).alias("total_rows"))
+    if distributed:
+        overall = size.crossJoin(exact_medians(rows, [], {price: "global_median_price", ppm2: "global_median_price_per_m2"}))
+    else:
+        overall = rows.agg(F.count(F.lit(1)).alias("total_rows"), median(price).alias("global_median_price"), median(ppm2).alias("global_median_price_per_m2"))
+    total = size
+    return MarketReference(_shares(_stats(rows, "province", ["province"], price, ppm2, distributed), "province", total, []), _shares(_stats(rows, "district", ["province", "district"], price, ppm2), "district", total, []), overall)
 
 
 def _fill(rows: DataFrame) -> DataFrame:
@@ -121,9 +131,10 @@ def top_or_other(df: DataFrame, column: str, k: int, out: str) -> DataFrame:
 def linear_frame(base: DataFrame, ref: MarketReference, keep_top: int = 50, include_optional: bool = True, max_levels: int = 1000) -> DataFrame:
     """Id, numeric predictors, one 0/1 column a level of province, kept district and age bucket, and target."""
     rows = top_or_other(apply_reference(base, ref), "district", keep_top, "district_for_ohe")
+    places = top_or_other(normalize_location(base.select("province", "district", "timeline_bucket")), "district", keep_top, "district_for_ohe")
     numeric = [c for c in predictors(include_optional) if c not in CATEGORICAL]
     columns = ["province", "district_for_ohe", "timeline_bucket"]
-    pairs = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns))).alias("x")).select("x.*")
+    pairs = places.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns))).alias("x")).select("x.*")
     found = pairs.filter("v is not null").distinct().orderBy("c", "v").limit(max_levels + 1).collect()
     if len(found) > max_levels:
         raise ValueError(f"more than {max_levels} levels")
@@ -131,10 +142,10 @@ def linear_frame(base: DataFrame, ref: MarketReference, keep_top: int = 50, incl
     return rows.select("listing_id", *numeric, *hot, TARGET)
 
 
+#: The order of calls that keeps prices of test rows out of features.
 WORKFLOW = [
-    "Split the data before any encoder or market aggregate is fitted.",
-    "Give training rows out-of-fold market aggregates.",
-    "Fit counts and medians on training rows only.",
-    "Join the fitted tables to validation and test rows by province and district.",
-    "Use flags that derive from the target for filtering and analysis, never as predictors.",
+    "train, test = split(feature_mart): nothing is fitted before",
+    "out_of_fold(train): reference columns of the training rows",
+    "apply_reference(test, fit_reference(train)): those of all other rows",
+    "tree_frame() or linear_frame(): predictors without the flags that come from prices",
 ]

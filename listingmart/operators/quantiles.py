@@ -1,45 +1,79 @@
-"""Exact global quantiles without one reducer that holds every distinct value.
+"""Exact quantiles, of a table or of its groups, without a reducer that holds every distinct value.
 
-An approximate pass brackets each quantile by ranks. The second pass counts what lies below a bracket, keeps its
-distinct values with their counts, and finds the two order statistics by a running sum. A bracket holds a few
-ten-thousandths of the rows, so the sort behind the running sum is small whatever the input.
+An approximate pass brackets each quantile by ranks. A second pass counts what lies below the bracket and in each of
+BINS equal steps of values inside it, which names the step that holds the wanted rank. A third pass takes that step's
+distinct values alone and finds the two order statistics by a running sum. A step holds about a millionth of a
+group's distinct values unless they crowd together, so no task holds a large part of a hot group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
+ACCURACY, BINS = 10_000, 1024
 MARGIN = 4 / ACCURACY
 
 
-def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> DataFrame:
-    """One row: for each column an array of its interpolated quantiles, null values left out; nulls if there are none."""
-    keys = [(c, p) for c, ps in wanted.items() for p in ps]
-    ends = [[max(0.0, p - MARGIN), min(1.0, p + MARGIN)] for _, p in keys]
-    approx = df.agg(*(F.percentile_approx(F.col(c).cast("double"), F.array(*map(F.lit, e)), ACCURACY).alias(f"_e{k}") for k, ((c, _), e) in enumerate(zip(keys, ends, strict=True))))
-    rows = df.select(*(F.col(c).cast("double").alias(c) for c in wanted)).crossJoin(F.broadcast(approx))  # one row
-
-    def place(k: int, c: str):
-        """-1 below the bracket, 1 above, 0 inside: only inside values keep their own group."""
-        at = F.when(F.col(c) < F.get(f"_e{k}", F.lit(0)), -1).when(F.col(c) > F.get(f"_e{k}", F.lit(1)), 1).otherwise(0)
-        return F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("k"), at.alias("at"), F.when(at == 0, F.col(c)).alias("v"), F.col(c).alias("x")))
-
-    told = rows.select(F.explode(F.filter(F.array(*(place(k, c) for k, (c, _) in enumerate(keys))), lambda s: s.isNotNull())).alias("s")).select("s.*")
-    groups = told.groupBy("k", "at", "v").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-    # the nearest values outside a bracket stand for their groups' edge
-    spot = F.when(F.col("at") == 1, F.col("low")).when(F.col("at") == -1, F.col("high")).otherwise(F.col("v"))
-    order = Window.partitionBy("k").orderBy("at", "v")
-    ranked = groups.select("k", "at", "v", "n", spot.alias("spot"), F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy("k")).alias("total"))
-    share = F.element_at(F.create_map(*[x for k, (_, p) in enumerate(keys) for x in (F.lit(k), F.lit(p))]), F.col("k"))
-    ranked = ranked.withColumn("r", share * (F.col("total") - 1))
-    lower, upper = (F.min(F.when(F.col("upto") > f(F.col("r")), F.struct("upto", "spot")))["spot"] for f in (F.floor, F.ceil))
-    found = ranked.groupBy("k").agg(lower.alias("a"), upper.alias("b"), F.max("r").alias("r"))
+def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], by: Sequence[str] = ()) -> DataFrame:
+    """The columns of `by`, one row a group (one row in all without them), and for each wanted column an array of its
+    interpolated quantiles; null values are left out, a group without values has nulls. Null keys are a group."""
+    wants = [(c, p) for c, ps in wanted.items() for p in ps]
+    keys = [f"_b{k}" for k in range(len(by))]
+    rows = df.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), *(F.col(c).cast("double").alias(f"_v{k}") for k, c in enumerate(wanted)))
+    value = {c: f"_v{k}" for k, c in enumerate(wanted)}
+    groups = rows.select(*keys).distinct() if by else None
+
+    def bracket(c: str, p: float) -> Column:
+        ends = F.array(F.lit(max(0.0, p - MARGIN)), F.lit(min(1.0, p + MARGIN)))
+        return F.percentile_approx(value[c], ends, ACCURACY)
+
+    brackets = [bracket(c, p).alias(f"_e{k}") for k, (c, p) in enumerate(wants)]
+    if by:
+        approx = rows.groupBy(*keys).agg(*brackets).withColumnsRenamed({k: f"{k}_" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+        placed = rows.join(approx, same, "inner").drop(*(f"{k}_" for k in keys))
+    else:
+        placed = rows.crossJoin(F.broadcast(rows.agg(*brackets)))  # one row
+
+    def place(k: int, c: str) -> Column:
+        """-1 below the bracket, BINS above, else the step."""
+        x, low, high = F.col(value[c]), F.get(f"_e{k}", F.lit(0)), F.get(f"_e{k}", F.lit(1))
+        step = F.least(F.floor(F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0)) * BINS), F.lit(BINS - 1))
+        bin_ = F.when(x < low, -1).when(x > high, BINS).otherwise(step).cast("int")
+        return F.when(x.isNotNull(), F.struct(F.lit(k).alias("_k"), bin_.alias("_bin"), x.alias("_x")))
+
+    told = F.filter(F.array(*(place(k, c) for k, (c, _) in enumerate(wants))), lambda s: s.isNotNull())
+    told = placed.select(*keys, F.explode(told).alias("s")).select(*keys, "s.*")
+    place_of = Window.partitionBy(*keys, "_k")
+    counts = told.groupBy(*keys, "_k", "_bin").agg(F.count(F.lit(1)).alias("_n"))  # BINS + 2 rows a group at most
+    share = F.element_at(F.create_map(*[x for k, (_, p) in enumerate(wants) for x in (F.lit(k), F.lit(p))]), F.col("_k"))
+    counts = counts.withColumn("_upto", F.sum("_n").over(place_of.orderBy("_bin"))).withColumn("_r", share * (F.sum("_n").over(place_of) - 1))
+    # the steps of the two order statistics; ranks count from 0
+    hit = (F.col("_upto") > F.floor("_r")) & (F.col("_upto") - F.col("_n") <= F.ceil("_r"))
+    steps = counts.filter(hit).select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("_k").alias("_k_"), F.col("_bin").alias("_bin_"), (F.col("_upto") - F.col("_n")).alias("_before"), "_r")
+    near = [*(F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys), F.col("_k") == F.col("_k_"), F.col("_bin") == F.col("_bin_")]
+    inside = told.join(F.broadcast(steps) if not by else steps, near).groupBy(*keys, "_k", "_bin", "_before", "_r", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*keys, "_k", "_bin").orderBy("_x")
+    ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(order))
+    lower, upper = (F.min(F.when(F.col("_upto") > f(F.col("_r")), F.col("_x"))) for f in (F.floor, F.ceil))
+    found = ranked.groupBy(*keys, "_k").agg(lower.alias("a"), upper.alias("b"), F.max("_r").alias("r"))
     part = F.col("r") - F.floor("r")
-    value = F.when(part == 0, F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b"))
-    cells = found.select("k", value.alias("q")).agg(*(F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"_q{k}") for k in range(len(keys))))
-    at = {c: [k for k, (name, _) in enumerate(keys) if name == c] for c in wanted}
-    return cells.select(*(F.array(*(F.col(f"_q{k}") for k in ks)).alias(c) for c, ks in at.items()))
+    quantile = F.when(part == 0, F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b"))
+    cells = [F.max(F.when(F.col("_k") == k, F.col("q"))).alias(f"_q{k}") for k in range(len(wants))]
+    out = found.select(*keys, "_k", quantile.alias("q"))
+    out = out.groupBy(*keys).agg(*cells) if by else out.agg(*cells)
+    if by:  # groups without any value
+        named = out.withColumnsRenamed({k: f"{k}_" for k in keys})
+        out = groups.join(named, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], "left")
+    at = {c: [k for k, (name, _) in enumerate(wants) if name == c] for c in wanted}
+    arrays = [F.array(*(F.col(f"_q{k}") for k in ks)).alias(c) for c, ks in at.items()]
+    return out.select(*(F.col(k).alias(b) for k, b in zip(keys, by, strict=True)), *arrays)
+
+
+def exact_medians(df: DataFrame, by: Sequence[str], names: Mapping[str, str]) -> DataFrame:
+    """The columns of `by` and the medians of the named columns, by their new names."""
+    found = exact_quantiles(df, {c: (0.5,) for c in names}, by)
+    return found.select(*by, *(F.get(c, F.lit(0)).alias(out) for c, out in names.items()))

@@ -128,10 +128,10 @@ def extreme_candidates(fact: DataFrame, p: float = 0.995, k: int = 200) -> DataF
     return largest(rows.filter((F.col("area_m2") >= F.col("_a")) | (F.col("price_per_m2") >= F.col("_p"))), k)
 
 
-def effect(fact: DataFrame, column: str, most: int | None = None) -> DataFrame:
-    """Count and medians by a count column; most: values outside 0..most are left out."""
-    rows = fact.filter(F.col(column).isNotNull())
-    rows = rows if most is None else rows.filter(F.col(column).between(0, most))
+def effect(fact: DataFrame, column: str, most: int | None = None, unknown: bool = False) -> DataFrame:
+    """Count and medians by a count column; most: values outside 0..most are left out; unknown: nulls are a group."""
+    keep = F.col(column).isNotNull() if most is None else F.col(column).between(0, most)
+    rows = fact.filter(keep | F.col(column).isNull() if unknown else F.coalesce(keep, F.lit(False)))
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("listing_count"), *_median_pair()).orderBy(column)
 
 

@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import USER, bucket
 from ..functions.stats import median, quantiles
-from ..operators.quantiles import exact_quantiles
+from ..operators.quantiles import exact_medians, exact_quantiles
 
 VERSION = "phase3_v1"
 TARGETS = {"price_million_vnd": "target_price_million_vnd", "price_per_m2": "target_price_per_m2"}
 
 
-def refs(avm: DataFrame, level: str, keys: list[str], total: DataFrame) -> DataFrame:
-    """Count, share of all rows and target medians by keys."""
-    out = avm.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{level}_listing_count_ref"), *(median(t).alias(f"{level}_median_{n}_ref") for n, t in TARGETS.items()))
+def refs(avm: DataFrame, level: str, keys: list[str], total: DataFrame, distributed: bool = False) -> DataFrame:
+    """Count, share of all rows and target medians by keys; distributed: no reducer holds a group's distinct values."""
+    names, count = {t: f"{level}_median_{n}_ref" for n, t in TARGETS.items()}, F.count(F.lit(1)).alias(f"{level}_listing_count_ref")
+    if distributed:
+        found = exact_medians(avm, keys, names).withColumnsRenamed({k: f"{k}_" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+        out = avm.groupBy(*keys).agg(count).join(found, same).drop(*(f"{k}_" for k in keys))
+    else:
+        out = avm.groupBy(*keys).agg(count, *(median(t).alias(n) for t, n in names.items()))
     share = F.col(f"{level}_listing_count_ref") / F.nullif(F.col("_total"), F.lit(0))
     return out.crossJoin(F.broadcast(total)).withColumn(f"{level}_frequency_ref", share).drop("_total")
 
@@ -35,7 +41,7 @@ def feature_mart(avm: DataFrame, distributed: bool = False) -> DataFrame:
     c = F.col
     total = avm.agg(F.count(F.lit(1)).alias("_total"))
     rows = avm.crossJoin(F.broadcast(feature_quantiles(avm, distributed)))  # one row
-    rows = rows.join(refs(avm, "province", ["province"], total), "province", "left").join(refs(avm, "district", ["province", "district"], total), ["province", "district"], "left")
+    rows = rows.join(refs(avm, "province", ["province"], total, distributed), "province", "left").join(refs(avm, "district", ["province", "district"], total), ["province", "district"], "left")
     ratio = lambda name: F.try_divide(c(f"district_median_{name}_ref"), c(f"province_median_{name}_ref"))
     hours = F.coalesce(c("timeline_hours").cast("double"), c("timeline_p50"))
     rounded = F.coalesce(c("timeline_hours"), F.rint("timeline_p50").cast("int"))

@@ -13,7 +13,7 @@ from ..functions.text import strip
 from ..operators import checks, quality
 from ..operators.fact import build_fact, dim_location
 from ..operators.staging import build_staging
-from ..schemas import DIM_LOCATION, FACT, RAW_TEXT, STAGING
+from ..schemas import AVM_MART, DIM_LOCATION, FACT, FEATURE_MART, MARKET_MART, RAW_TEXT, STAGING
 from ..session import build
 from ..sources.csvfile import raw_landing, read_raw_text
 from ..sources.tables import Warehouse, write_csv
@@ -33,7 +33,7 @@ def run_load(spark: SparkSession, raw: DataFrame, root: str, limits: quality.Thr
     try:
         landed = house.replace(raw_landing(raw), "stg_listings_raw_text", RAW_TEXT)
         staging = house.replace(build_staging(landed), "stg_listings_raw", STAGING)
-        counts = {"raw_source_rows": landed.count(), "raw_landing_rows": landed.count(), "staging_rows": staging.count()}
+        counts = {"raw_source_rows": raw.count(), "raw_landing_rows": landed.count(), "staging_rows": staging.count()}
         fact = build_fact(staging)
         found = quality.metrics(staging, fact)
         if not skip_gate:
@@ -42,8 +42,8 @@ def run_load(spark: SparkSession, raw: DataFrame, root: str, limits: quality.Thr
         dim = house.replace(dim_location(fact), "dim_location", DIM_LOCATION)
         counts["fact_rows"] = fact.count()
         if not skip_marts:
-            counts["mart_market_analytics_rows"] = house.replace(stamped(market.market_mart(fact)), "mart_market_analytics").count()
-            counts["mart_avm_features_rows"] = house.replace(stamped(avm.avm_mart(fact, dim, distributed=True)), "mart_avm_features").count()
+            counts["mart_market_analytics_rows"] = house.replace(stamped(market.market_mart(fact)), "mart_market_analytics", MARKET_MART).count()
+            counts["mart_avm_features_rows"] = house.replace(stamped(avm.avm_mart(fact, dim, distributed=True)), "mart_avm_features", AVM_MART).count()
     except Exception as e:
         log.finish(run, "failed", counts, found, str(e)[:2000])
         raise
@@ -53,8 +53,6 @@ def run_load(spark: SparkSession, raw: DataFrame, root: str, limits: quality.Thr
 
 def load_data(house: Warehouse) -> tuple[DataFrame, DataFrame]:
     """Fact and market mart for the analyses: places filled and stripped, URLs filled."""
-
-
     place = {c: strip(F.coalesce(F.col(c), F.lit("Unknown"))) for c in ("province", "district")}
     fact = house.read("fact_listings").withColumns(place | {"detail_url": F.coalesce("detail_url", F.lit(""))})
     return fact, house.read("mart_market_analytics").withColumns(place)
@@ -84,7 +82,7 @@ def run_explore(spark: SparkSession, root: str, out: str, min_district_listings:
     summary = {
         "Insights": report.insights(got["target"], gaps, got["correlations"], got["duplicates"], strong, got["reconciliation"], timeline), "Rows": {"fact": fact.count()}, **{k.capitalize(): v for k, v in got.items()},
         "Timeline": timeline, "Strong predictors": strong, "Multicollinear pairs": rows(eda.multicollinear_pairs(matrix)), "Features": report.recommend_features(gaps, strong)["feature_candidates"], "Strategy": report.modeling_strategy(gaps)}
-    report.save(out, "eda_summary", "Exploratory summary", summary)
+    report.save(spark, out, "eda_summary", "Exploratory summary", summary)
     fact.unpersist()
     return summary
 
@@ -92,12 +90,12 @@ def run_explore(spark: SparkSession, root: str, out: str, min_district_listings:
 def run_features(spark: SparkSession, root: str, out: str | None = None) -> dict:
     """Feature mart, catalog and summary."""
     house = Warehouse(spark, root)
-    mart = house.replace(stamped(features.feature_mart(house.read("mart_avm_features").drop("refreshed_at"), distributed=True)), "mart_avm_features_final")
+    mart = house.replace(stamped(features.feature_mart(house.read("mart_avm_features").drop("refreshed_at"), distributed=True)), "mart_avm_features_final", FEATURE_MART)
     summary = eda.feature_summary(mart).first().asDict()
     if out:
         for name, df in catalog.tables(spark).items():
             write_csv(df, f"{out}/tables/{name}")
-        report.save(out, "feature_summary", "Feature engineering summary", {"Counts": summary, "Target": catalog.TARGET, "Encoding": catalog.ENCODING, "Leakage": catalog.LEAKAGE})
+        report.save(spark, out, "feature_summary", "Feature engineering summary", {"Counts": summary, "Target": catalog.TARGET, "Encoding": catalog.ENCODING, "Leakage": catalog.LEAKAGE})
     return summary
 
 
@@ -107,7 +105,7 @@ def load_final(house: Warehouse) -> DataFrame:
 
 def run_profile(spark: SparkSession, path: str, out: str) -> dict:
     found = profile.build_report(read_raw_text(spark, path), path)
-    report.save(out, "profile", "Raw profile", {k: v if isinstance(v, (dict, list)) else str(v) for k, v in found.items()})
+    report.save(spark, out, "profile", "Raw profile", {k: v if isinstance(v, (dict, list)) else str(v) for k, v in found.items()})
     return found
 
 

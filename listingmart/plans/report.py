@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 #: Candidates for valuation models and why each is one.
 AVM_CANDIDATES = {
     "area_m2": "size", "bedrooms_imputed": "rooms, gaps filled by location", "bathrooms_imputed": "rooms, gaps filled by location", "floors_imputed": "height, gaps filled by location",
@@ -22,7 +23,7 @@ def recommend_features(missing_pct: dict[str, float], strong: dict[str, float])
 
 def modeling_strategy(missing_pct: dict[str, float]) -> dict[str, Any]:
     filled = ["bedrooms", "bathrooms", "floors"]
-    return {
+    return {  # fixed values: the decisions' names
         "missing_strategy": {
             "decision": "retain_raw_and_use_imputed_plus_missing_flags", "target_columns": filled, "imputed_columns": [f"{c}_imputed" for c in filled], "missing_flag_columns": [f"{c}_missing" for c in filled],
             "rule": "district median from 30 observed values on, else province median from 30 on, else the median of all", "observed_missing_pct": {c: float(missing_pct.get(c, 0.0)) for c in filled}},
@@ -64,8 +65,13 @@ def markdown(title: str, sections: dict[str, Any]) -> str:
     return "\n".join(out)
 
 
-def save(folder: str | Path, name: str, title: str, sections: dict[str, Any]) -> None:
-    folder = Path(folder)
-    folder.mkdir(parents=True, exist_ok=True)
-    (folder / f"{name}.json").write_text(json.dumps(sections, indent=2, default=str, ensure_ascii=False))
-    (folder / f"{name}.md").write_text(markdown(title, sections))
+def save(spark: SparkSession, folder: str, name: str, title: str, sections: dict[str, Any]) -> None:
+    """Both texts beside the tables, through Hadoop's file system of the folder."""
+    texts = {f"{name}.json": json.dumps(sections, indent=2, default=str, ensure_ascii=False), f"{name}.md": markdown(title, sections)}
+    for file, text in texts.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{str(folder).rstrip('/')}/{file}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()

@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from .functions import buckets, location, stats, text
 from .operators import checks, encoders, quality
 from .operators import fact as facts
-from .operators.quantiles import exact_quantiles
-from .operators.staging import build_staging
+from .operators.quantiles import exact_medians, exact_quantiles
+from .operators.staging import build_staging, build_staging_strict
 from .plans import avm, eda, features, market, profile
+from .schemas import FACT as FACT_SCHEMA
+from .sources.csvfile import raw_landing, read_copy, read_raw_text
+from .sources.scratch import scratch_path
+from .sources.tables import Warehouse
 from .sources.testdata import STAGING_SQL, raw_text, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,20 +27,45 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def fact(spark: SparkSession, d: str) -> DataFrame:
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, make: Query) -> DataFrame:
+    """A warehouse table over the folder's data: written when the session first needs it, read by every later query."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _stored:
+        path = scratch_path(spark, name)
+        make(spark, d).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def build_fact(spark: SparkSession, d: str) -> DataFrame:
     return facts.build_fact(staging(spark, d), check=False)
 
 
+def build_avm(spark: SparkSession, d: str) -> DataFrame:
+    return avm.avm_mart(fact(spark, d), dim(spark, d), distributed=True)
+
+
+def build_features(spark: SparkSession, d: str) -> DataFrame:
+    return features.feature_mart(avm_mart(spark, d), distributed=True)
+
+
+def fact(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d, "fact", build_fact)
+
+
 def dim(spark: SparkSession, d: str) -> DataFrame:
     return facts.dim_location(fact(spark, d))
 
 
 def avm_mart(spark: SparkSession, d: str) -> DataFrame:
-    return avm.avm_mart(fact(spark, d), dim(spark, d))
+    return stored(spark, d, "avm", build_avm)
 
 
 def feature_mart(spark: SparkSession, d: str) -> DataFrame:
-    return features.feature_mart(avm_mart(spark, d))
+    return stored(spark, d, "features", build_features)
 
 
 def near(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
@@ -157,7 +186,7 @@ def _(spark, d):
 
 @add("fact_listings", "SELECT * FROM fact", FACT)
 def _(spark, d):
-    return fact(spark, d)
+    return build_fact(spark, d)
 
 
 @add("dim_location", "SELECT * FROM dim", f"{FACT}, {DIM}")
@@ -216,7 +245,7 @@ def _(spark, d):
 
 @add("avm_mart", "SELECT * FROM avm", AVM)
 def _(spark, d):
-    return avm_mart(spark, d)
+    return build_avm(spark, d)
 
 
 for _level, _keys in (("province", ["province"]), ("district", ["province", "district"])):
@@ -237,7 +266,7 @@ def _(spark, d):
 
 @add("feature_mart", near_sql("SELECT * FROM features", *_FEATURE_DOUBLES, digits=6), FEATURES)
 def _(spark, d):
-    return near(feature_mart(spark, d), *_FEATURE_DOUBLES, digits=6)
+    return near(build_features(spark, d), *_FEATURE_DOUBLES, digits=6)
 
 
 # --- exploratory pack
@@ -299,6 +328,11 @@ def _(spark, d):
     return eda.top_provinces(fact(spark, d))
 
 
+@add("province_medians_distributed", f"SELECT province, {_MEDIANS} FROM fact GROUP BY province", FACT)
+def _(spark, d):
+    return exact_medians(fact(spark, d), ["province"], {c: f"median_{c}" for c in ("price_million_vnd", "price_per_m2")})
+
+
 @add("district_rank_having", f"SELECT province, district, count(*) AS listing_count, {_MEDIANS} FROM fact GROUP BY province, district HAVING count(*) >= 30", FACT)
 def _(spark, d):
     return eda.district_rank(fact(spark, d))
@@ -400,6 +434,98 @@ def _(spark, d):
     return near(eda.box_summary(fact(spark, d), "bedrooms"), "q1", "median", "q3")
 
 
+@add("effect_range_or_null", f"SELECT bedrooms, count(*) AS listing_count, {_MEDIANS} FROM fact WHERE bedrooms IS NULL OR bedrooms BETWEEN 0 AND 5 GROUP BY bedrooms", FACT)
+def _(spark, d):
+    return eda.effect(fact(spark, d), "bedrooms", 5, unknown=True)
+
+
+@add("sample_size", "SELECT least(count(*), 1000) AS n FROM fact", FACT)
+def _(spark, d):
+    return eda.sample_points(fact(spark, d), 1000).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- readers, sinks, gate
+def raw_file(spark: SparkSession, d: str) -> str:
+    """The raw rows as a CSV file with a header."""
+    key = (spark.sparkContext.applicationId, d, "raw")
+    if key not in _stored:
+        path = scratch_path(spark, "raw")
+        keep = {"nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        raw_text(spark, d).write.options(header=True, escape='"', **keep).csv(path)
+        _stored[key] = path
+    return _stored[key]
+
+
+_STAGED = "SELECT id, nullif(detail_url, '') AS detail_url, title, location, timeline_hours, area_m2, bedrooms, bathrooms, floors, frontage, price_million_vnd FROM staging"
+
+
+@add("csv_load", _STAGED, STAGING)
+def _(spark, d):
+    return build_staging(raw_landing(read_raw_text(spark, raw_file(spark, d))))
+
+
+@add("strict_copy", _STAGED, STAGING)
+def _(spark, d):
+    return build_staging_strict(read_copy(spark, raw_file(spark, d)))
+
+
+@add("table_replace", "SELECT * FROM fact WHERE bedrooms IS NOT NULL", FACT)
+def _(spark, d):
+    """Writes a table, then replaces it by some of its own rows."""
+    house = Warehouse(spark, scratch_path(spark, "house"))
+    rows = house.replace(fact(spark, d), "fact_listings", FACT_SCHEMA)
+    return house.replace(rows.filter("bedrooms IS NOT NULL"), "fact_listings", FACT_SCHEMA)
+
+
+_DAYS = "SELECT strftime(d, '%Y%m%d')::INT AS date_id, d::DATE AS full_date, year(d)::INT AS year, quarter(d)::INT AS quarter, month(d)::INT AS month, week(d)::INT AS week FROM (SELECT unnest(generate_series(DATE '2021-01-01', DATE '2021-03-10', INTERVAL 1 DAY)) AS d)"
+
+
+@add("add_missing_dates", _DAYS)
+def _(spark, d):
+    house = Warehouse(spark, scratch_path(spark, "house"))
+    house.append(facts.dim_time("2021-01-01", "2021-02-10", spark), "dim_time")
+    more = facts.dim_time("2021-02-01", "2021-03-10", spark)
+    house.append(facts.add_missing(house.read("dim_time"), more, "date_id"), "dim_time")
+    return house.read("dim_time")
+
+
+@add("spaces_normalize", "SELECT part.p_partkey, trim(regexp_replace(regexp_replace(concat(' ', p_type, './ ', p_brand, '-', p_name, chr(9)), '[._\\-/]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM part")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/part.parquet")
+    return rows.select("p_partkey", text.normalize_spaces(F.concat(F.lit(" "), "p_type", F.lit("./ "), "p_brand", F.lit("-"), "p_name", F.lit("\t"))).alias("plain"))
+
+
+#: location, province, district.
+_PLACES = [
+    ("Q 12, TP HCM", "Ho Chi Minh", "Quan 12"), ("Đống Đa, Hà Nội", "Ha Noi", "Dong Da"), ("Huyện Củ Chi, Thành phố Hồ Chí Minh", "Ho Chi Minh", "Huyen Cu Chi"), ("Quận 1a, HN", "Ha Noi", "1A"),
+    ("A, B, C", "C", "B"), ("Hà Nội", "Ha Noi", "Unknown"), ("", "Unknown", "Unknown"), (" , ", "Unknown", "Unknown"), ("Tx Sơn_Tây, tỉnh Quảng-Ninh", "Quang Ninh", "Son Tay"),
+]
+
+
+@add("location_cases", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in _PLACES) + ") AS t(location, province, district)")
+def _(spark, d):
+    rows = spark.createDataFrame([(r[0],) for r in _PLACES], "location string")
+    province, district = location.extract_location(F.col("location"))
+    return rows.select("location", location.known(province).alias("province"), location.known(district).alias("district"))
+
+
+_LIMITS = quality.Thresholds(max_null_area_ratio=0.01, max_invalid_price_ratio=0.0, max_duplicate_detail_url_ratio=1.0, min_fact_row_ratio=0.999)
+
+
+@add("gate_violations", f"""SELECT unnest([printf('null_area_ratio=%.4f > 0.0100', count(*) FILTER (area_m2 IS NULL) / count(*)::DOUBLE),
+    printf('fact_row_ratio=%.4f < 0.9990', (SELECT count(*) FROM fact) / count(*)::DOUBLE)]) AS violation FROM staging""", FACT)
+def _(spark, d):
+    found = quality.metrics(staging(spark, d), fact(spark, d))
+    return spark.createDataFrame([(v,) for v in quality.violations(found, _LIMITS)], "violation string")
+
+
+@add("finite_values", "SELECT listing_id, price_million_vnd > 30830 AS is_unknown FROM fact", FACT)
+def _(spark, d):
+    """Powers beyond the largest double are infinite, and read as unknown."""
+    power = F.pow(F.lit(10.0), F.col("price_million_vnd") / 100)
+    return fact(spark, d).select("listing_id", stats.finite(power).isNull().alias("is_unknown"))
+
+
 # --- validation packs
 @add("check_invalid_values", "SELECT " + ", ".join(_COUNT(f"{c} <= 0 OR {c} IS NULL", f"invalid_{n}_rows") for n, c in (("price", "price_million_vnd"), ("area", "area_m2"), ("price_per_m2", "price_per_m2"))) + " FROM fact", FACT)
 def _(spark, d):
@@ -544,7 +670,7 @@ _ENCODE = f"{FEATURES}, {_SPLIT}, ep AS ({_fit('province', 'province', 'train')}
 
 def _reference(spark, d):
     rows = feature_mart(spark, d)
-    return encoders.fit_reference(rows.filter(f"NOT ({_TEST})")), rows.filter(_TEST)
+    return encoders.fit_reference(rows.filter(f"NOT ({_TEST})"), distributed=True), rows.filter(_TEST)
 
 
 for _level in ("province", "district"):
@@ -592,13 +718,13 @@ _LEVELS = ("0_24h", "1_3d", "3_7d", "7_30d", "gt_30d", "unknown")
 @add("linear_one_hot", "SELECT listing_id, " + ", ".join(f"(timeline_bucket = '{x}')::INT AS timeline_bucket_{x}" for x in _LEVELS) + ", total_rooms FROM features", FEATURES)
 def _(spark, d):
     rows = feature_mart(spark, d)
-    return encoders.linear_frame(rows, encoders.fit_reference(rows)).select("listing_id", *(f"timeline_bucket_{x}" for x in _LEVELS), "total_rooms")
+    return encoders.linear_frame(rows, encoders.fit_reference(rows, distributed=True)).select("listing_id", *(f"timeline_bucket_{x}" for x in _LEVELS), "total_rooms")
 
 
 @add("tree_frame", "SELECT listing_id, province, district, timeline_bucket, total_rooms, is_outlier_area FROM features", FEATURES)
 def _(spark, d):
     rows = feature_mart(spark, d)
-    return encoders.tree_frame(rows, encoders.fit_reference(rows))[0].select("listing_id", "province", "district", "timeline_bucket", "total_rooms", "is_outlier_area")
+    return encoders.tree_frame(rows, encoders.fit_reference(rows, distributed=True))[0].select("listing_id", "province", "district", "timeline_bucket", "total_rooms", "is_outlier_area")
 
 
 @add("date_dim_sequence", "SELECT strftime(d, '%Y%m%d')::INT AS date_id, d::DATE AS full_date, year(d)::INT AS year, quarter(d)::INT AS quarter, month(d)::INT AS month, week(d)::INT AS week FROM (SELECT unnest(generate_series(DATE '2020-12-20', DATE '2022-01-10', INTERVAL 1 DAY)) AS d)")

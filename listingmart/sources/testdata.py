@@ -10,7 +10,7 @@ from ..schemas import RAW_COLUMNS
 _FIELDS = """
     concat(l_orderkey, '-', l_linenumber) AS id,
     CASE WHEN l_linenumber % 7 = 0 THEN '' ELSE concat('u/', l_orderkey, '/', l_linenumber) END AS detail_url,
-    concat(l_shipdate, ' ', l_partkey) AS title,
+    concat(CAST(l_shipdate AS DATE), ' ', l_partkey) AS title,
     concat(n_name, ' ', l_partkey % 40, ', ', r_name) AS location,
     CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE {days} % 1000 END AS timeline_hours,
     CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS area_m2,

@@ -9,7 +9,7 @@ from listingmart.operators.staging import build_staging, build_staging_strict
 from listingmart.plans import avm, eda, features, market, pipelines, profile
 from listingmart.schemas import RAW_COLUMNS, STAGING
 from listingmart.sources.csvfile import read_copy, read_raw_text
-from listingmart.sources.tables import Warehouse
+from listingmart.sources.tables import ConcurrentReplacementError, Warehouse
 
 
 def staging(spark, *rows):
@@ -95,6 +95,30 @@ def test_exact_quantiles(spark, n):
         assert got[c] == ([None] * len(got[c]) if want[c] is None else pytest.approx(want[c], rel=1e-12))
 
 
+def test_exact_quantiles_of_groups(spark):
+    """A null group, a group of one value, one without values and a hot one with many distinct values."""
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 7 == 0, "same").when(F.col("id") % 7 == 1, "none").when(F.col("id") % 7 == 2, "few").alias("g"),
+        F.when(F.col("id") % 21 == 0, 5.0).when((F.col("id") % 3 == 0) & (F.col("id") % 7 == 1), None).otherwise(F.rand(3) * F.rand(4)).alias("x"))
+    at = (0.0, 0.1, 0.5, 0.99, 1.0)
+    got = {r["g"]: r["x"] for r in exact_quantiles(rows, {"x": at}, ["g"]).collect()}
+    want = {r["g"]: r["x"] for r in rows.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, at))).alias("x")).collect()}
+    assert got.keys() == want.keys() and len(got) == 5
+    assert all(got[g] == ([None] * 5 if want[g] is None else pytest.approx(want[g], rel=1e-12)) for g in want)
+
+
+def test_replacements_at_once(spark, tmp_path):
+    """The second of two writers that saw the same state fails, and readers keep the version before."""
+    one, two = Warehouse(spark, f"file://{tmp_path}"), Warehouse(spark, f"file://{tmp_path}")
+    one.replace(spark.range(3), "t")
+    before, held = two._pointers("t"), one.read("t")
+    one.replace(spark.range(5), "t")
+    two._pointers = lambda name: before
+    with pytest.raises(ConcurrentReplacementError):
+        two.replace(spark.range(9), "t")
+    assert one.read("t").count() == 5 and held.count() == 3
+
+
 def test_encoder_unseen(spark):
     ref = encoders.fit_reference(frame(spark, ("1", "P", "D", 10.0, 0.0), ("2", "P", "D", 30.0, 0.0), ("3", None, None, 5.0, 1.0)))
     got = {r["listing_id"]: r for r in encoders.apply_reference(frame(spark, ("a", "P", "new", 0.0, 0.0), ("b", "new", "new", 0.0, 0.0), ("c", " P ", "D", 0.0, 0.0)), ref).collect()}
@@ -127,7 +151,9 @@ def test_tables(spark, tmp_path):
     old = house.read("t")
     assert house.replace(old.filter("id > 0"), "t").count() == 2  # reads the version it replaces
     house.append(spark.range(1), "t")
-    assert house.count("t") == 3 and len(list((tmp_path / "t").glob("v*"))) == 1
+    assert house.count("t") == 3 and old.count() == 3  # readers of the version before are not cut off
+    house.replace(spark.range(7), "t")
+    assert house.count("t") == 7 and len(list((tmp_path / "t").glob("v*"))) == 2
 
 
 CSV = 'title,id,detail_url,location,timeline_hours,area_m2,bedrooms,bathrooms,floors,frontage,price_million_vnd,extra\n"a, ""b""",1, u1 ,"Q 12, TP HCM",5,10,2.5,NA,,True,1000,x\nt,2,,,"",N/A,null,1,2,f,abc,y\n'
