@@ -519,7 +519,7 @@ def _(spark, d):
     return spark.createDataFrame([(v,) for v in quality.violations(found, _LIMITS)], "violation string")
 
 
-@add("finite_values", "SELECT listing_id, price_million_vnd > 30830 AS is_unknown FROM fact", FACT)
+@add("finite_values", "SELECT listing_id, price_million_vnd / 100 > log10(1.7976931348623157e308::DOUBLE) AS is_unknown FROM fact", FACT)
 def _(spark, d):
     """Powers beyond the largest double are infinite, and read as unknown."""
     power = F.pow(F.lit(10.0), F.col("price_million_vnd") / 100)
