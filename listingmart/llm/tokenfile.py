@@ -7,8 +7,8 @@ A shard file is MAGIC, then sections, each 8-byte aligned, then a footer of thei
     doc ids    Elias-Fano sequence of the ids' distances to the least one (after `nulls` documents without id)
 
 An Elias-Fano sequence of m numbers up to u keeps the low floor(log2(u / m)) bits packed and the high bits
-in unary, about 2 + log2(u / m) bits a number. A directory of every SAMPLE-th one bit (4-byte places) makes
-select(i) read a few words; no 64-bit offset table is stored.
+in unary, about 2 + log2(u / m) bits a number. A directory of every SAMPLE-th one bit (4-byte places), stored with
+it, makes select(i) read a few words; there is no table of 64-bit offsets. Documents are read back by select.
 
 Documents are range-partitioned and sorted by id; each partition streams its ids to a file under a name
 of its own attempt and renames it, so a repeated or lost task does no harm. Files go through the file system
@@ -22,6 +22,7 @@ coded whole.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import struct
@@ -31,12 +32,12 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, materialize, scratch_path, table
+from .common import kept, materialize, scratch_path, shared_files, table
 
 MAGIC, SAMPLE, END_ID = b"EFTOKEN1", 256, 0
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,10 +46,10 @@ TOKENIZER = "byte_bpe_50k.json"
 class EliasFano:
     """Non-decreasing non-negative numbers in near-minimal space, with select."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little"))[::SAMPLE]
-        self.directory = ones.astype(np.uint32)
+    HEAD = "<QBQQQ"
+
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, directory: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.directory = n, low_bits, low, high, directory
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -57,8 +58,12 @@ class EliasFano:
         k = max(0, (top // n).bit_length() - 1) if n else 0
         bits = ((x[:, None] >> np.arange(k)) & 1).astype(np.uint8).ravel() if k else np.empty(0, np.uint8)
         high = np.zeros(n + (top >> k) + 1, np.uint8)
-        high[(x >> k) + np.arange(n)] = 1
-        return cls(n, k, np.packbits(bits, bitorder="little"), np.packbits(high, bitorder="little"))
+        ones = (x >> k) + np.arange(n)
+        high[ones] = 1
+        directory = ones[::SAMPLE]
+        if n and directory[-1] >> 32:
+            raise ValueError("too many numbers for 4-byte places")
+        return cls(n, k, np.packbits(bits, bitorder="little"), np.packbits(high, bitorder="little"), directory.astype("<u4"))
 
     def _low(self, i: int) -> int:
         at, out = i * self.low_bits, 0
@@ -88,13 +93,14 @@ class EliasFano:
         return (high.astype(np.int64) << self.low_bits) + bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
     def dump(self) -> bytes:
-        return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        sections = [x.tobytes() for x in (self.low, self.high, self.directory)]
+        return struct.pack(self.HEAD, self.n, self.low_bits, *map(len, sections)) + b"".join(sections)
 
     @classmethod
     def load(cls, data: bytes) -> EliasFano:
-        n, k, a, b = struct.unpack_from("<QBQQ", data)
-        at = struct.calcsize("<QBQQ")
-        return cls(n, k, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a))
+        n, k, a, b, c = struct.unpack_from(cls.HEAD, data)
+        at = struct.calcsize(cls.HEAD)
+        return cls(n, k, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a), np.frombuffer(data, "<u4", c // 4, at + a + b))
 
 
 class ShardWriter:
@@ -102,7 +108,7 @@ class ShardWriter:
 
     def __init__(self, out, wide: bool):
         self.out, self.kind = out, np.dtype("<u4" if wide else "<u2")
-        self.starts, self.docs, self.nulls, self.at = [0], [], 0, 0
+        self.starts, self.docs, self.nulls, self.at = array("q", [0]), array("q"), 0, 0
         out.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -117,23 +123,26 @@ class ShardWriter:
 
     def close(self) -> None:
         least = self.docs[0] if self.docs else 0
-        parts = [EliasFano.of(np.array(self.starts)).dump(), EliasFano.of(np.array(self.docs, np.int64) - least).dump()]
+        docs = np.array(self.docs, np.int64)
+        far = bool(len(docs)) and int(docs[-1]) - least >= 1 << 62  # ids of both signs' ends: one by one is no shorter
+        parts = [EliasFano.of(np.array(self.starts, np.int64)).dump(), docs.tobytes() if far else EliasFano.of(docs - least).dump()]
         for p in parts:
             self.out.write(p)
-        self.out.write(struct.pack("<QQQQqB", self.at, len(parts[0]), len(parts[1]), self.nulls, least, self.kind.itemsize) + MAGIC)
+        self.out.write(struct.pack("<QQQQqBB", self.at, len(parts[0]), len(parts[1]), self.nulls, least, self.kind.itemsize, far) + MAGIC)
 
 
 class Shard:
     """A shard file's bytes, read."""
 
     def __init__(self, data: bytes):
-        tail = struct.calcsize("<QQQQqB")
+        tail = struct.calcsize("<QQQQqBB")
         if data[:8] != MAGIC or data[-8:] != MAGIC:
             raise ValueError("not a whole shard file")
-        n, a, b, self.nulls, self.least, width = struct.unpack("<QQQQqB", data[-8 - tail : -8])
+        n, a, b, self.nulls, self.least, width, far = struct.unpack("<QQQQqBB", data[-8 - tail : -8])
         self.ids = np.frombuffer(data, f"<u{width}", n, 8)
         at = 8 + n * width
-        self.bounds, self._docs = EliasFano.load(data[at : at + a]), EliasFano.load(data[at + a : at + a + b])
+        self.bounds, docs = EliasFano.load(data[at : at + a]), data[at + a : at + a + b]
+        self._docs = np.frombuffer(docs, "<i8") if far else EliasFano.load(docs)
 
     def __len__(self) -> int:
         return self.bounds.n - 1
@@ -142,23 +151,18 @@ class Shard:
         """The ids of the i-th document, through select alone."""
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self._docs.all() + self.least).tolist()
-
-
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    def doc_id(self, i: int) -> int | None:
+        if i < self.nulls:
+            return None
+        i -= self.nulls
+        return int(self._docs[i]) if isinstance(self._docs, np.ndarray) else self._docs.select(i) + self.least
 
 
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 @functools.cache
@@ -256,12 +260,16 @@ class Encoder:
     def __init__(self, tokenizer, kind: np.dtype, limit: int = 800_000):
         self.words, told = Words(tokenizer, kind, limit), json.loads(tokenizer.to_str())
         steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [told["pre_tokenizer"]])
+        self.added = [t["content"] for t in told["added_tokens"]]  # the tokenizer looks for these names in texts first
         self.by_word = told["normalizer"] is None and not told["model"].get("ignore_merges") and all(x and x["type"] == "ByteLevel" and not x["add_prefix_space"] and x.get("use_regex", True) for x in steps)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         get, whole, out = self.words.__getitem__, self.words.whole, []
         for t in texts:
-            first, *rest = t.split(" ") if self.by_word else (t,)
+            if not self.by_word or any(name in t for name in self.added):
+                out.append(whole(t))
+                continue
+            first, *rest = t.split(" ")
             try:
                 out.append(whole(first) + b"".join(map(get, rest)))
             except Odd:
@@ -279,23 +287,23 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     spark = docs.sparkSession
     parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select("text").rdd.getNumPartitions())
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         wide = max(vocabulary(tokenizer_path), end_id) > 0xFFFF
         kind = np.dtype("<u4" if wide else "<u2")
         code, end = encoder(tokenizer_path, kind), np.array([end_id], kind).tobytes()
-        fs, top = _filesystem(folder)
+        fs, top = shared_files(folder)
         fs.create_dir(top, recursive=True)
         name, attempt = f"{top}/shard-{context.partitionId():06d}.eft", f"{top}/.attempt-{context.taskAttemptId()}"
         out = writer = None
         for b in batches:
-            if len(b) and writer is None:
+            if b.num_rows and writer is None:
                 out = fs.open_output_stream(attempt)
                 writer = ShardWriter(out, wide)
-            texts = b["text"].fillna("").tolist()
-            ids = b["doc_id"].astype(object).where(b["doc_id"].notna(), None)
-            for lo in range(0, len(texts), 64):
-                for doc_id, coded in zip(ids[lo : lo + 64], code(texts[lo : lo + 64]), strict=True):
+            for lo in range(0, b.num_rows, 64):
+                some = b.slice(lo, 64)
+                texts = [t or "" for t in some.column("text").to_pylist()]
+                for doc_id, coded in zip(some.column("doc_id").to_pylist(), code(texts), strict=True):
                     writer.add(doc_id, coded + end)
         if writer is not None:
             writer.close()
@@ -303,14 +311,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             if fs.get_file_info(name).type.name != "NotFound":
                 fs.delete_file(name)  # a task that ran before; its bytes are the same
             fs.move(attempt, name)
-            yield pd.DataFrame({"shard": [context.partitionId()], "path": [name], "docs": [len(writer.starts) - 1], "tokens": [writer.at]})
+            row = {"shard": pa.array([context.partitionId()], pa.int32()), "path": [name], "docs": [len(writer.starts) - 1], "tokens": [writer.at]}
+            yield pa.RecordBatch.from_pydict(row)
 
-    rows = docs.select("doc_id", "text").repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    return materialize(rows.mapInPandas(write, "shard int, path string, docs long, tokens long"), "shards")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    return materialize(rows.mapInArrow(write, "shard int, path string, docs long, tokens long"), "shards")
 
 
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32. The list has one row a shard."""
+    """Per document, from the files and by select: doc_id, start, n_tokens, ids_crc32. The list has one row a shard."""
     spark = shards.sparkSession
     listed = sorted((r["shard"], r["path"], r["tokens"]) for r in shards.select("shard", "path", "tokens").collect())
     rows, at = [], 0
@@ -318,18 +327,21 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
         rows.append((shard, path, at))
         at += tokens
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, _ = _filesystem(folder)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = shared_files(folder)
         for b in batches:
-            for path, base in zip(b["path"], b["base"], strict=True):
+            for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
                 with fs.open_input_stream(path) as f:
                     s = Shard(f.read())
-                bounds = s.bounds.all()
-                crc = [zlib.crc32(s.ids[a:z].astype("<u4").tobytes()) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(s.doc_ids(), dtype="Int64"), "start": bounds[:-1] + base, "n_tokens": np.diff(bounds), "ids_crc32": crc})
+                for lo in range(0, len(s), 10_000):
+                    some = range(lo, min(lo + 10_000, len(s)))
+                    bounds = np.array([s.bounds.select(i) for i in (*some, some.stop)])
+                    crc = [zlib.crc32(s.ids[a:z].astype("<u4").tobytes()) for a, z in itertools.pairwise(bounds)]
+                    ids = pa.array([s.doc_id(i) for i in some], pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed_df = spark.createDataFrame(rows, "shard int, path string, base long").repartition(max(1, len(rows)))
-    return listed_df.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed_df.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_read(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
