@@ -1,7 +1,10 @@
 """Personal data: pattern matches, then bootstrapped contextual extraction. DataFrame functions only.
 
 Base spans are valid matches of four kinds (email, ip, card, phone). They are the seeds. Look-alikes
-(numbers of 7 or more digits and addresses without a full domain) that no base span covers are candidates.
+(numbers of 7 or more digits, addresses without a full domain or spelt with (at) and (dot)) that no base span
+covers are candidates. A fifth kind, secret, has no base spans: runs of 16 or more letters, digits and _ + / = -
+with a letter and a digit are its candidates, and those with a digest's form its seeds, which too are
+reported only where their context is confident.
 The lexical patterns of an instance are its places' words before and after: the last word, the last two words,
 the next word. Patterns and instances form a graph, held as a table of distinct (kind, pattern, instance)
 links, and score each other for ROUNDS rounds: a pattern's confidence is the mean score of its instances
@@ -46,7 +49,11 @@ VALID = {
 }
 #: Look-alikes: numbers (kind by their digits and dots) and addresses.
 NUMBER = r"[0-9](?<![0-9A-Za-z_][0-9])(?:[\x20().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z_])"
-ADDRESS = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++"
+ADDRESS = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]++(?:\x20?[(\[]dot[)\]]\x20?[A-Za-z0-9-]++)*+"
+#: Secrets' look-alikes, and their seeds' form: 16, 20 or 32 bytes in hexadecimal.
+SECRET, LONGEST_SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+", 512
+DIGEST = "^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
+SECRET_KIND = len(KINDS)
 ROUNDS, PRIOR, SUPPORT, CONFIDENT, SPECIFIC = 3, 0.5, 3, 0.8, 0.1
 CONTEXT = 64
 #: Up to so many words (of CONTEXT letters at most) are sent to all executors; more are counted by a shuffle.
@@ -84,12 +91,14 @@ def base_spans(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         out = out.withColumn(f"_{kind}", _when(holds.get(kind, F.col("_digits")), located(F.col("_t"), PATTERNS[kind]), PLACES))
     out = out.withColumn("_number", _when(F.col("_digits"), located(F.col("_t"), NUMBER), PLACES))
-    out = out.withColumn("_address", _when(holds["email"], located(F.col("_t"), ADDRESS), PLACES))
+    out = out.withColumn("_address", _when(F.rlike("_t", F.lit(r"@|[(\[]at[)\]]")), located(F.col("_t"), ADDRESS), PLACES))
+    out = out.withColumn("_secret", _when(F.col("_digits"), located(F.col("_t"), SECRET), PLACES))
     kept = [f"transform(filter(_{kind}, x -> exists(array(struct(x.m AS m, regexp_replace(x.m, '[^0-9]', '') AS d)), y -> {_bound(VALID[kind])})), x -> struct({k} AS kind, x.start, x.end, x.m))" for k, kind in enumerate(KINDS)]
     out = out.withColumn("_base", F.expr(f"concat({', '.join(kept)})"))
     number = "length(regexp_replace(x.m, '[^0-9]', ''))"
     near = f"""concat(transform(_address, x -> struct(0 AS kind, x.start, x.end, x.m)),
-        transform(_number, x -> struct(if(x.m RLIKE '^[0-9]+([.][0-9]+){{3}}$', 1, if({number} >= 12, 2, 3)) AS kind, x.start, x.end, x.m)))"""
+        transform(_number, x -> struct(if(x.m RLIKE '^[0-9]+([.][0-9]+){{3}}$', 1, if({number} >= 12, 2, 3)) AS kind, x.start, x.end, x.m)),
+        transform(filter(_secret, x -> length(x.m) <= {LONGEST_SECRET} AND x.m RLIKE '[0-9]' AND x.m RLIKE '[A-Za-z]'), x -> struct({SECRET_KIND} AS kind, x.start, x.end, x.m)))"""
     out = out.withColumn("_near", F.expr(f"filter({near}, x -> NOT exists(_base, y -> x.start < y.end AND y.start < x.end))"))
     around = lambda name: _when(F.size(name) > 0, F.transform(name, _in_context), SPANS)
     return out.withColumn("base", around("_base")).withColumn("near", around("_near")).select(*docs.columns, "base", "near")
@@ -139,11 +148,13 @@ def specific(useful: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confident_patterns(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame] | None:
     """(kind, pattern, conf) and (kind, m, score) of what passes, from rows with base and near; None if nothing can."""
-    places = spans.select(F.explode("base").alias("x"), F.lit(1.0).alias("seed")).unionByName(spans.select(F.explode("near").alias("x"), F.lit(0.0).alias("seed")))
+    seed = F.when((F.col("x.kind") == SECRET_KIND) & F.rlike("x.m", F.lit(DIGEST)), 1.0).otherwise(0.0)
+    near = spans.select(F.explode("near").alias("x")).withColumn("seed", seed)
+    places = spans.select(F.explode("base").alias("x"), F.lit(1.0).alias("seed")).unionByName(near)
     links = places.select(F.col("x.kind").alias("kind"), F.col("x.m").alias("m"), "seed", F.explode(patterns(F.col("x"))).alias("pattern"))
     links = materialize(links.groupBy("kind", "pattern", "m").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("places")), "pii-places")
-    # a pattern without enough seeds, or without look-alikes, decides nothing
-    useful = links.groupBy("kind", "pattern").agg(F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("n"), F.sum("places").alias("places")).filter((F.col("seeds") >= SUPPORT) & (F.col("n") > F.col("seeds")))
+    # a pattern without enough seeds, or without look-alikes (as secrets' seeds are), decides nothing
+    useful = links.groupBy("kind", "pattern").agg(F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("n"), F.sum("places").alias("places")).filter((F.col("seeds") >= SUPPORT) & ((F.col("n") > F.col("seeds")) | (F.col("kind") == SECRET_KIND)))
     useful = materialize(useful.select("kind", "pattern", "places", F.explode(F.split(F.substr("pattern", F.lit(4)), " ")).alias("word")), "pii-useful")
     if useful.isEmpty():
         return None
@@ -178,11 +189,27 @@ def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def told(spans: Column) -> Column:
-    names = F.array(*(F.lit(k) for k in KINDS))
+    names = F.array(*(F.lit(k) for k in (*KINDS, "secret")))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
 def op7_pii(spark, sf_dir):
     out = find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.expr(f"filter(base, x -> x.kind = {k})")).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.array_sort(F.concat("base", "found"))).alias("spans"), F.size("found").cast("long").alias("n_found"))
+    return out.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.array_sort(F.concat("base", "found"))).alias("spans"), F.size("found").cast("long").alias("n_found"), (F.size("base") + F.size("found")).cast("long").alias("n_spans"))
+
+
+def pii_base(spark, sf_dir):
+    """Counts of base spans alone."""
+    return op7_pii(spark, sf_dir).select("doc_id", *(f"n_{kind}" for kind in KINDS))
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum([CASE WHEN i % 2 = 1 THEN substr(reverse({_DIGITS}), i, 1)::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(reverse({_DIGITS}), i, 1)::INT + 1] END for i in range(1, len({_DIGITS}) + 1)]) % 10 = 0"
+_BASE_SQL = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len([p for p in string_split(m, '.') if len(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255]) = 0"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", f"len({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 8 AND 15"),
+}
+PII_BASE_SQL = "SELECT doc_id, " + ", ".join(f"coalesce(len([m for m in regexp_extract_all(text, '{pattern}') if {test}]), 0)::BIGINT AS n_{kind}" for kind, (pattern, test) in _BASE_SQL.items()) + " FROM documents"
