@@ -213,3 +213,20 @@ def resampled(docs: DataFrame, **how) -> DataFrame:
 
 def op1_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def mix_targets(spark, sf_dir):
+    """Sizes and targets alone, targets rounded."""
+    return op1_mixing(spark, sf_dir).select("doc_id", "source", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+#: The cap holds for the sources whose size by weight is least; the level that the others share follows from prefix sums.
+MIX_TARGETS_SQL = """
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s),
+r AS (SELECT *, 2.0::DOUBLE * source_size / weight AS most, 1.5::DOUBLE * sum(source_size) OVER () AS total, sum(weight) OVER () AS weights FROM w),
+p AS (SELECT *, coalesce(sum(2 * source_size) OVER before, 0) AS capped, coalesce(sum(weight) OVER before, 0) AS gone FROM r WINDOW before AS (ORDER BY most, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min(level, most) AS level FROM (SELECT (total - capped) / (weights - gone) AS level, most FROM p) WHERE level <= most)
+SELECT doc_id, d.source, size, source_size, round(least(2.0::DOUBLE * source_size, weight * (SELECT level FROM l)), 3) AS target FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+"""

@@ -15,5 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_urls": urls.op9_urls,
     "op10_top_k": topk.op10_top_k,
+    # parts of the above that SQL can express
+    "mix_targets": mixing.mix_targets,
+    "pii_base": pii.pii_base,
+    "url_rules": urls.url_rules,
 }
-SQL = {"op2_chat": chat.OP2_SQL, "op10_top_k": topk.OP10_SQL}
+SQL = {"op2_chat": chat.OP2_SQL, "op10_top_k": topk.OP10_SQL, "mix_targets": mixing.MIX_TARGETS_SQL, "pii_base": pii.PII_BASE_SQL, "url_rules": urls.URL_RULES_SQL}

@@ -13,6 +13,15 @@ def awkward(spark):
     return spark.createDataFrame([(i, t, None, s, None, 0.5, 9, 9, 9, 9) for i, t, s in rows], SHAPE)
 
 
+FAR = 2**53 + 1
+
+
+@pytest.fixture(scope="session")
+def far_ids(spark):
+    """An id that a double cannot hold, in one batch with a null one."""
+    return spark.createDataFrame([(FAR, "a b c d e f g"), (None, "a b c d e f g"), (-FAR, "other words than these")], "doc_id long, text string").coalesce(1)
+
+
 @pytest.fixture(scope="session")
 def nothing(awkward):
     return awkward.filter("doc_id < 0")

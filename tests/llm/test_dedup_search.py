@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from listingmart.llm import decontam, simhash, topk, urls
 
+FAR = 2**53 + 1
+
 
 def fingerprint(text):
     w = (text or "").encode().lower().split()
@@ -50,6 +52,38 @@ def test_components(spark, awkward, nothing):
     assert sorted((str(r["doc_id"]) for r in kept.collect())) == ["1", "2", "5", "7", "8"]
 
 
+def test_clashing_columns_keep_their_values(awkward):
+    kept = simhash.one_of_each(awkward)
+    assert {(r["_key"], r["fp"], r["size"]) for r in kept.collect()} == {(9, 9, 9)}
+
+
+def test_far_ids(spark, far_ids):
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(far_ids).collect()}
+    assert got == {(FAR, FAR), (None, FAR), (-FAR, -FAR)}
+    assert {r["doc_id"] for r in simhash.one_of_each(far_ids).collect()} == {FAR, -FAR}
+    bench = spark.createDataFrame([(FAR + 2, "b c d e f g"), (None, "b c d e f g")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(far_ids, bench).collect()} == {(d, i) for d in (FAR, None) for i in (FAR + 2, None)}
+    pages = spark.createDataFrame([(FAR, "x://b.com/y"), (None, "x://b.org/y")], "page_id long, url string").coalesce(1)
+    assert {r["page_id"] for r in urls.judge(pages).collect()} == {FAR, None}
+
+
+@pytest.mark.parametrize("block", [3, 17])
+def test_cut_tiles(spark, block):
+    """Blocks so small that most tiles are cut, against all pairs."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    x = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(5)] + [np.arange(60, dtype=np.uint64)]))
+    fps = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.linked(fps, 3, block)).collect()}
+    i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x) <= 3)
+    label = np.arange(len(x))
+    node, root = simhash.forest(i, j, len(x))
+    label[node] = root
+    signed = x.view(np.int64)
+    least = {k: min(int(signed[n]) for n in np.flatnonzero(label == k)) for k in set(label.tolist())}
+    assert all(found.get(int(v), int(v)) == least[int(k)] for v, k in zip(signed, label, strict=True))
+
+
 def test_tiles(monkeypatch):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 200, dtype=np.uint64)
@@ -99,9 +133,59 @@ def test_near_copy_and_clean(spark):
     assert set(got) == {1, 2} and got[1]["score"] == pytest.approx(1.0) and 0.8 <= got[2]["overlap"] < 1
 
 
+def all_matches(docs, items):
+    """Every (document, item) by the definition: BM25 of every passage and item, then the overlaps."""
+    split = [(i, decontam.words_of(t)) for i, t in items if decontam.words_of(t)]
+    n, mean = len(split), sum(len(w) for _, w in split) / max(1, len(split))
+    df = {}
+    for _, w in split:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+
+    def weights(w):
+        raw = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in set(w)}
+        return {t: x / sum(raw.values()) for t, x in raw.items()}
+
+    out = {}
+    for i, w in split:
+        own, cut, length = weights(w), -(-2 * len(w) // 3), max(16, 1 << (len(w) - 1).bit_length())
+        size, stride, five = 2 * length + 10, length + 5, min(5, len(w))
+        grams = {tuple(w[k : k + five]) for k in range(len(w) - five + 1)}
+        for d, words in docs:
+            for at in range(0, max(1, len(words) - size + stride), stride):
+                p = words[at : at + size]
+                here = set(p)
+                score = sum(x for t, x in own.items() if t in here)
+                have = {tuple(p[k : k + five]) for k in range(len(p) - five + 1)}
+                shares = [len(grams & have) / len(grams)] + [len(set(part) & here) / len(set(part)) if part else 1.0 for part in (w[:cut], w[cut:])]
+                if score >= 0.5 and min(shares) >= 0.8 and shares[0] > out.get((d, i), (0, 0))[0]:
+                    out[d, i] = (shares[0], score)
+    return out
+
+
+def test_matches_by_definition(spark, data):
+    docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = [(r["doc_id"], decontam.words_of(r["text"] or "")) for r in docs.filter("length(text) < 20000").collect()]
+    want = all_matches(rows, [(r["item_id"], r["text"]) for r in bench.collect()])
+    got = {(r["doc_id"], r["item_id"]): (r["overlap"], r["score"]) for r in decontam.contaminated(docs.filter("length(text) < 20000"), bench, items=9).collect()}
+    assert set(got) == set(want) and len(want) >= 3
+    assert [got[k] for k in sorted(want)] == [pytest.approx(want[k]) for k in sorted(want)]
+
+
+def test_wand_skips():
+    """Block maxima let WAND pass over most items."""
+    rng = random.Random(2)
+    items = [(i, " ".join(rng.choice([f"c{rng.randrange(40)}", f"r{rng.randrange(3000)}"]) for _ in range(30))) for i in range(2000)]
+    (index,) = decontam.Matcher.of_texts(items).indexes
+    seen = decontam.Counter()
+    for k in range(0, 2000, 50):
+        assert k in [item for item, _ in index.search(sorted(set(index.words[k])), seen)]
+    assert seen["skips"] > 0 and seen["scored"] < 40 * 2000 / 20
+
+
 def test_wand(data):
     items = pd.read_parquet(f"{data}/benchmark.parquet")
-    matcher, rng = decontam.Matcher(list(zip(items.item_id, items.text))), random.Random(1)
+    matcher, rng = decontam.Matcher.of_texts(list(zip(items.item_id, items.text))), random.Random(1)
     for index in matcher.indexes:
         for _ in range(100):
             own = set(rng.choice(index.words)) | set(rng.sample(range(len(matcher.known)), 20))
@@ -137,6 +221,37 @@ def test_top_k(spark, block):
     assert topk.top_k(df.filter("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_bounds_hold_and_exclude():
+    """No bound is below a score, and near one another's cluster few candidates are evaluated."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 48)) * 60
+    v = np.floor(centres[rng.integers(30, size=4000)] + rng.normal(size=(4000, 48)) * 8)
+    top = float((v * v).sum(axis=1).max())
+    pivots = topk.Pivots.of(v[:2048], 42, top)
+    q = v[:25]
+    far_q, far_c = pivots.distances(q, False), pivots.distances(v, True)
+    bounds = pivots.bounds((q * q).sum(axis=1), pivots.tips(far_q), pivots.tips(far_c))
+    single = np.abs(np.sqrt(far_q)[:, None, :] - np.sqrt(far_c)[None]).max(axis=2)
+    assert (bounds >= q @ v.T - 1e-6).all() and (bounds <= ((q * q).sum(axis=1)[:, None] + top - single**2) / 2 + 1e-5 * top + 1).all()
+    floors = np.array([topk.floor_of(x, i, v[:2048], np.arange(2048), 20) for i, x in enumerate(q)])
+    found = list(topk.search_block(q, np.arange(25), floors, v, np.arange(4000), pivots, far_q, far_c, 20))
+    assert np.mean([f[3] for f in found]) < 400
+    for i, ids, scores, _ in found:
+        s = q[i] @ v.T
+        s[i] = -np.inf
+        want = np.lexsort((np.arange(4000), -s))[:20]
+        assert ids.tolist() == want.tolist() and scores.tolist() == s[want].tolist()
+
+
+def test_groups_of_queries_drop_candidates(spark):
+    rng = np.random.default_rng(6)
+    v = np.floor(rng.normal(size=(6, 6)) * 500)[rng.integers(6, size=400)] + rng.integers(-40, 40, size=(400, 6))
+    rows = [(i, (x / 64).tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, block=6).collect()
+    assert sorted(tuple(r) for r in got) == top([(i, [int(y) for y in x]) for i, x in enumerate(v)], 5)
+
+
 def test_wide_values_stay_exact(spark):
     df = spark.createDataFrame([(0, [2e7, 1.0]), (1, [2e7, 1.0]), (2, [2e7, 0.984375]), (3, [1e300, 0.0]), (4, [-1e300, 0.0])], "vec_id long, embedding array<double>")
     got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0).collect())
@@ -167,9 +282,59 @@ def test_character_model():
 
 def test_copy_late_in_a_very_long_text():
     """A sum of 32 bits adds two steps of 1/64 for each impact of 1/26 here, and the copy would stay below the threshold."""
-    matcher = decontam.Matcher([(1, " ".join(f"w{i}" for i in range(26)))], threshold=0.9)
+    matcher = decontam.Matcher.of_texts([(1, " ".join(f"w{i}" for i in range(26)))], threshold=0.9)
     before = np.full(11_000_000, -1, np.int32)
     before[::3] = 0
     out = [[]]
     matcher._match([np.concatenate([before, np.full(200, -1, np.int32), np.arange(26, dtype=np.int32), np.full(200, -1, np.int32)])], [0], out)
     assert [m["item_id"] for m in out[0]] == [1]
+
+
+def plain_model(texts):
+    """Next-character counts by context, as read from the definition."""
+    counts = {}
+    for t in texts:
+        s = "\x02" * 5 + t + "\x03"
+        for i in range(5, len(s)):
+            for k in range(6):
+                counts.setdefault(s[i - k : i], {}).setdefault(s[i], 0)
+                counts[s[i - k : i]][s[i]] += 1
+
+    def chance(context, symbol, k=5):
+        if k < 0:
+            return 1 / 257
+        n = counts.get(context[5 - k :], {})
+        total = sum(n.values())
+        if not total or (k > 1 and total == 1):
+            return chance(context, symbol, k - 1)
+        return (n.get(symbol, 0) + len(n) * chance(context, symbol, k - 1)) / (total + len(n))
+
+    return lambda t: sum(np.log10(chance(s[i - 5 : i], s[i])) for s in ["\x02" * 5 + t + "\x03"] for i in range(5, len(s)))
+
+
+def test_model_verdicts_by_definition(spark):
+    """Scores and the cut from the rules' own examples, recomputed."""
+    rng = random.Random(8)
+    made = [f"http://{rng.choice('abc')}.{host}/{rng.choice(word)}/{rng.randrange(90)}" for host, word in (("shop.com", ["buy", "new"]), ("q.net/fr", ["lire", "mot"])) for _ in range(40)]
+    made += [f"http://x.org/{rng.choice(['buy', 'new', 'lire', 'mot'])}/{k}" for k in range(30)]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    known = {r["url"]: r["ruled"] for r in urls.by_rules(pages).collect() if r["ruled"]}
+    hashed = {r["url"]: r["h"] for r in pages.select("url", F.xxhash64("url").alias("h")).collect()}
+    picked = {w: sorted({u for u, x in known.items() if x == w}, key=lambda u: (hashed[u], u)) for w in ("allow", "block")}
+    good, bad = (plain_model([u for i, u in enumerate(picked[w]) if i % 5]) for w in ("allow", "block"))
+    score = lambda u: (good(u) - bad(u)) / (len(u) + 1)
+    ranked = sorted((score(u), w == "allow") for w in picked for u in picked[w][::5])
+    cuts = [(a + b) / 2 for (a, _), (b, _) in zip(ranked, ranked[1:]) if b > a] + [ranked[0][0] - 1e-9]
+    worth = lambda c: sum((s >= c) == y for s, y in ranked if y) / sum(y for _, y in ranked) + sum((s >= c) == y for s, y in ranked if not y) / sum(not y for _, y in ranked)
+    cut = min((c for c in cuts if worth(c) >= max(map(worth, cuts)) - 1e-12), key=abs)
+    got = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    for i, u in enumerate(made):
+        if u not in known:
+            assert got[i]["score"] == pytest.approx(score(u)) and got[i]["verdict"] == ("allow" if score(u) >= cut else "block")
+    assert {got[i]["verdict"] for i, u in enumerate(made) if u not in known} == {"allow", "block"}
+
+
+def test_urls_repeated_and_long(spark):
+    rows = [(1, "http://a.com/x"), (1, "http://a.com/x"), (2, "http://b.org/" + "y" * 200_000), (None, "http://b.net/es/"), (None, None)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == 5 and [r["verdict"] for r in got if r["page_id"] == 1] == ["allow", "allow"] and all(r["verdict"] in ("allow", "block") for r in got)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from listingmart.llm import mixing
 
@@ -65,6 +66,11 @@ def test_mix_like_brute_force(spark, data):
     assert (by["size"] == by["source_size"]).all() and ((by.taken - by.target).abs() <= 1).all() and (rows.taken <= 2 * rows["size"]).all()
     names = sorted(by.index)
     assert m.groupby("k").words.sum().tolist() == by.loc[names].taken.tolist()
+    stream = docs.withColumn("h", F.xxhash64("doc_id", "source", "text")).withColumn("chunk", F.pmod("h", F.lit(mixing.CHUNKS))).toPandas()
+    stream["size"] = [len((t or "").encode().split()) for t in stream.text]
+    stream = stream.sort_values(["chunk", "doc_id", "h"], ignore_index=True)
+    want = brute(stream, m, names, 32)
+    assert dict(zip(stream.doc_id, want.values(), strict=True)) == dict(zip(rows.doc_id, rows.taken, strict=True))
     order = rows.sort_values("doc_id")
     full = {s: sum(order[order.source == s]["size"]) for s in names}
     assert full == by["size"].to_dict() and set(m.groupby(["k", "block"]).size()) <= {1, 2}
@@ -86,3 +92,11 @@ def test_whole_documents_meet_the_target(spark, share):
     docs = spark.createDataFrame([(i, "w " * (2000 + i % 7), "s" if i % 2 else None) for i in range(120)], "doc_id long, text string, source string")
     got = mixing.resampled(docs, weights=(1, 1), share=share, block=16).groupBy("source").agg({"text": "count"}).collect()
     assert {r[0]: r[1] for r in got} == pytest.approx({"s": 60 * share, None: 60 * share}, abs=1.01)
+
+
+def test_clashing_columns_keep_their_values(awkward):
+    again = mixing.resampled(awkward, weights=(1,), share=2.0, block=64)
+    values = {(r["_key"], r["size"], r["fp"], r["predicted"], r["score"]) for r in again.collect()}
+    assert again.columns == awkward.columns and values == {(9, 9, 9, 9, 0.5)}
+    with pytest.raises(ValueError, match="clash"):
+        mixing.mix(awkward, carry=("size",))

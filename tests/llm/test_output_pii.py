@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from listingmart.llm import pii, tokenfile
 
@@ -17,7 +18,7 @@ HARD = ["a  b", "a \nb", "x\n  y", "x\n \ny", " a", "a ", " ", "", "a\n ", "\t b
 
 
 def test_encoder_like_the_tokenizer():
-    tokenizer = tokenfile.load_tokenizer(PATH)
+    tokenizer = Tokenizer.from_file(PATH)
     rng = random.Random(0)
     texts = HARD + ["".join(rng.choice("ab é'.,\n\t 1<|日") for _ in range(rng.randrange(60))) for _ in range(3000)]
     for limit in (1_000_000, 5):
@@ -35,7 +36,7 @@ def test_elias_fano(values):
 
 
 def expected(docs):
-    tokenizer = tokenfile.load_tokenizer(PATH)
+    tokenizer = Tokenizer.from_file(PATH)
     at, out = 0, []
     for i, t in docs:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
@@ -50,6 +51,23 @@ def test_round_trip(spark, data):
     assert [tuple(r) for r in got] == expected(sorted((r["doc_id"], r["text"]) for r in docs.collect()))
 
 
+def test_special_names_and_far_ids(spark):
+    far = 2**53 + 1
+    docs = [(None, "a <|endoftext|> b"), (-far, "x<|endoftext|>"), (far, "<|endoftext|>y z"), (2**63 - 1, "end")]
+    got = sorted((tuple(r) for r in tokenfile.encode_and_read(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()), key=lambda r: r[1])
+    assert got == expected(docs)
+    assert Tokenizer.from_file(PATH).encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
+def test_select_reads_the_stored_directory(monkeypatch):
+    """Neither loading nor select looks at all bits."""
+    values = np.sort(np.random.default_rng(2).integers(0, 10**8, 5000))
+    data = tokenfile.EliasFano.of(values).dump()
+    monkeypatch.setattr(np, "unpackbits", None)
+    coded = tokenfile.EliasFano.load(data)
+    assert [coded.select(i) for i in range(0, 5000, 37)] == values[::37].tolist()
+
+
 def test_awkward(spark, awkward, nothing, tmp_path):
     got = sorted((tuple(r) for r in tokenfile.encode_and_read(awkward).collect()), key=lambda r: r[1])
     ids = [r[0] for r in got]
@@ -117,5 +135,52 @@ def test_bootstrapping(spark):
     assert all(not r["found"] for r in pii.find(common).filter("doc_id < 200").collect() if "the thanks" in r)
 
 
+def planted(n=60, seed=4):
+    """Documents with identifiers of base shape and of none in the same contexts, and numbers that are no identifiers."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    hexa = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    number = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+    shapes = {
+        "handy": (lambda: f"+49 {number(3)} {number(7)}", lambda: f"0{number(3)} {number(7)}"),
+        "mailto": (lambda: f"{rng.choice(words)}{number(3)}@host.example", lambda: rng.choice([f"{rng.choice(words)}{number(3)}@localhost", f"{rng.choice(words)}{number(2)} (at) host (dot) example"])),
+        "gateway": (lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}", lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.{300 + rng.randrange(600)}"),
+        "apikey": (lambda: hexa(40), lambda: "sk-" + hexa(9) + "Zq" + hexa(9)),
+    }
+    rows, hidden, others = [], set(), 0
+    for i in range(n * len(shapes) * 2):
+        name = list(shapes)[i % len(shapes)]
+        seen, unseen = shapes[name]
+        shown = i // len(shapes) % 2
+        value = (seen if shown else unseen)()
+        before, after = (" ".join(rng.choice(words) for _ in range(12)) for _ in range(2))
+        text = f"{before} {name}: {value} {after}"
+        if not shown:
+            hidden.add((i, len(before) + len(name) + 3, len(before) + len(name) + 3 + len(value)))
+        if i % 3 == 0:
+            text += f" order {number(9)} {rng.choice(words)} build {'b' + hexa(18)} {rng.choice(words)}"
+            others += 2
+        rows.append((i, text))
+    return rows, hidden, others
+
+
+def test_recall_of_hidden_identifiers(spark):
+    rows, hidden, others = planted()
+    got = {(r["doc_id"], f["start"], f["end"]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for f in r["found"]}
+    seeds = {(i, s, e) for i, s, e in got if (i, s, e) not in hidden and "apikey" in dict(rows)[i]}
+    right = got & hidden
+    assert others > 100 and len(right) >= 0.9 * len(hidden) and len(got - hidden - seeds) <= 0.02 * len(got)
+
+
+def test_secrets_of_the_test_tables(spark):
+    """The tables' only secrets follow one word; they are found, and nothing else is."""
+    data = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    want = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "")}
+    rows = pii.op7_pii(spark, data).collect()
+    got = {(r["doc_id"], *map(int, s.split(":")[1:])) for r in rows for s in r["spans"].split(",") if s.startswith("secret:")}
+    assert want and got == want and sum(r["n_found"] for r in rows) >= len(want)
+
+
 def test_pii_awkward(awkward, nothing):
     assert pii.find(awkward).count() == 11 and pii.find(nothing).count() == 0

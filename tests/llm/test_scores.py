@@ -70,6 +70,37 @@ def test_lm_awkward(awkward, nothing):
     assert lm.score_documents(awkward.filter("doc_id is null")).toPandas().train_tokens.tolist() == [0, 0]
 
 
+def test_one_model_however_documents_are_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = [lm.score_documents(docs.repartition(k, "doc_id"), part=n).toPandas().sort_values("doc_id", ignore_index=True) for k, n in ((1, 10**9), (8, 3000), (211, 1))]
+    assert all(found[0].equals(other) for other in found[1:])
+    want, states = brute_force([(r["doc_id"], r["text"]) for r in docs.collect()], 3, lm.GAIN)
+    assert found[0].n_states.iloc[0] == len(states) > 0
+    assert found[0].score.tolist() == pytest.approx([want[i] for i in found[0].doc_id], abs=1e-7)
+
+
+def test_far_ids(spark, far_ids):
+    far = 2**53 + 1
+    for rows in (lm.score_documents(far_ids), toxicity.score_documents(far_ids, toxicity.fit(corpus()))):
+        assert {r["doc_id"] for r in rows.collect()} == {far, None, -far}
+
+
+def test_scores_by_definition(spark):
+    """Marginals, their summary and the logistic function, word by word."""
+    tagger = toxicity.fit(corpus())
+    docs = [(i, t) for i, (t, _) in enumerate(corpus(60, seed=5))] + [(98, "bligg"), (99, "")]
+    got = {r["doc_id"]: r for r in toxicity.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), tagger).collect()}
+    for i, t in docs:
+        words = t.lower().split()
+        x = np.zeros(3)
+        if words:
+            emit = [tagger.bias + sum(tagger.weights.get(f, 0.0) for f in toxicity.features(toxicity.normal(w))) for w in words]
+            p, _ = chain(np.clip(emit, -30, 30), tagger.move, tagger.begin)
+            x = np.array([p.max(), np.log1p(p.sum()), p.mean()])
+        want = 1 / (1 + np.exp(-(tagger.logit[0] + x @ tagger.logit[1:])))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-6) and got[i]["predicted"] == int(want >= 0.7)
+
+
 def chain(emit, move, begin):
     w = np.stack([np.ones(len(emit)), np.exp(emit)], 1)
     a = [begin * w[0]]
