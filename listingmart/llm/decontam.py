@@ -4,11 +4,11 @@ Texts are cut into words, lower-cased, without marks. Items fall into length cla
 its own index and cuts documents into passages of twice its greatest length, half of that apart, so any copy of an
 item lies whole in some passage. Impacts are BM25 term weights, with counts and lengths of all items, divided by
 the item's own total, so a whole copy scores 1. Block-max WAND retrieves all items at or above the threshold: best
-impacts choose the pivot, the maxima of blocks of BLOCK neighbouring items skip. Passages for which it would end
-without a single item are found first, for many at once: by a running sum of best impacts, then by the sums of
-the distinct terms' maxima over at most TOPS runs of blocks. A candidate is verified in the passage: at least OVERLAP
-of the item's five-word shingles, and of the distinct words of its question (the first two thirds) and of its answer
-(the rest).
+impacts choose the pivot; maxima on two levels, of at most TOPS runs of blocks and of blocks of BLOCK neighbouring
+items, skip. Best impacts and the runs' maxima are summed for many passages at once: by a running sum, then over
+the distinct terms. Passages that no run can serve are left out, and WAND passes over the other runs. A candidate is
+verified in the passage: at least OVERLAP of the item's five-word shingles, and of the distinct words of its
+question (the first two thirds) and of its answer (the rest).
 
 Items are dealt by hash into blocks of about ITEMS, each an index in a file of the shared folder. Documents are read
 once: a task matches a run of them against one index after the other and holds KEPT indexes at most. Scores do not
@@ -27,6 +27,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,11 @@ from .common import kept, materialize, scratch_path, shared_files, table
 K1, B, SHINGLE = 1.2, 0.75, 5
 THRESHOLD, OVERLAP = 0.5, 0.8
 #: Items of one index file, about; neighbouring items that share block maxima; runs of blocks that share maxima of their own.
-ITEMS, BLOCK, TOPS = 8000, 4, 32
+ITEMS, BLOCK, TOPS = 8000, 4, 64
 #: Words matched at once; index files that a worker holds; words that it matches against each file in turn if there are more.
 STEP, KEPT, RUN = 100_000, 2, 2_000_000
 _NOISE = re.compile(r"[\W_]+")
+END, NEXT = 1 << 62, itemgetter(0)
 
 
 def words_of(text: str) -> list[str]:
@@ -76,6 +78,9 @@ class Index:
                 top[k // BLOCK] = max(x, top.get(k // BLOCK, 0.0))
             self.blocks[t] = [(b * BLOCK + BLOCK - 1, x) for b, x in sorted(top.items())]
         self.best = {t: max(v) for t, v in self.impact.items()}
+        self.run = BLOCK * max(1, -(-len(items) // (BLOCK * TOPS)))
+        for v in self.items.values():
+            v.append(END)
         cut = [-(-2 * len(w) // 3) for w in self.words]
         self.question = [set(w[:c]) for w, c in zip(self.words, cut, strict=True)]
         self.answer = [set(w[c:]) for w, c in zip(self.words, cut, strict=True)]
@@ -83,55 +88,72 @@ class Index:
 
     def tops(self, terms: int) -> np.ndarray:
         """Each term's maxima over the runs of blocks; the last row is of words that no item has."""
-        run = BLOCK * max(1, -(-len(self.ids) // (BLOCK * TOPS)))
-        out = np.zeros((terms + 1, -(-len(self.ids) // run)), np.float32)
+        out = np.zeros((terms + 1, -(-len(self.ids) // self.run)), np.float32)
         for t, v in self.impact.items():
-            np.maximum.at(out[t], np.array(self.items[t]) // run, np.array(v, np.float32))
+            np.maximum.at(out[t], np.array(self.items[t][:-1]) // self.run, np.array(v, np.float32))
         return out
 
-    def search(self, terms: Sequence[int], seen: Counter | None = None) -> list[tuple[int, float]]:
-        """Block-max WAND: every item scoring the threshold or more, with its score. seen counts scored items and skips."""
-        slack, seen = self.threshold - 1e-9, Counter() if seen is None else seen
-        lists = [[0, self.items[t], self.impact[t], self.best[t], 0, self.blocks[t]] for t in terms]
-        out = []
-        while lists:
-            lists.sort(key=lambda c: c[1][c[0]])
-            bound, pivot = 0.0, None
-            for k, c in enumerate(lists):
-                bound += c[3]
+    def search(self, terms: Sequence[int], runs: Sequence[int] | None = None, seen: Counter | None = None) -> list[tuple[int, float]]:
+        """Block-max WAND: every item scoring the threshold or more, with its score. runs: in ascending order, those whose
+        maxima can serve; all, if not given. seen counts scored items and skips."""
+        slack, seen, out = self.threshold - 1e-9, Counter() if seen is None else seen, []
+        able = [(r * self.run, (r + 1) * self.run) for r in runs] if runs is not None else [(0, len(self.ids))]
+        # a list: its next item, that item's place, items (END last), impacts, best impact, place among blocks, blocks
+        lists = [[self.items[t][0], 0, self.items[t], self.impact[t], self.best[t], 0, self.blocks[t]] for t in terms]
+        for c in lists if able and able[0][0] else ():
+            c[1] = bisect_left(c[2], able[0][0])
+            c[0] = c[2][c[1]]
+        now = 0
+        while True:
+            lists.sort(key=NEXT)
+            bound, pivot = 0.0, -1
+            for c in lists:
+                pivot += 1
+                bound += c[4]
                 if bound >= slack:
-                    pivot = k
                     break
-            if pivot is None:
+            if bound < slack or (item := lists[pivot][0]) == END:
+                break
+            while now < len(able) and able[now][1] <= item:
+                now += 1
+            if now == len(able):
                 break
-            item = lists[pivot][1][lists[pivot][0]]
-            while pivot + 1 < len(lists) and lists[pivot + 1][1][lists[pivot + 1][0]] == item:
+            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
                 pivot += 1
-            near, edge = 0.0, None
-            for c in lists[: pivot + 1]:  # the blocks that would hold the pivot's item
-                while c[4] < len(c[5]) and c[5][c[4]][0] < item:
-                    c[4] += 1
-                if c[4] < len(c[5]):
-                    near += c[5][c[4]][1]
-                    edge = c[5][c[4]][0] if edge is None else min(edge, c[5][c[4]][0])
-            if near >= slack and lists[0][1][lists[0][0]] == item:
-                score = 0.0
-                for c in lists[: pivot + 1]:
-                    score += c[2][c[0]]
-                    c[0] += 1
-                seen["scored"] += 1
-                if score >= slack:
-                    out.append((item, score))
+            ahead = lists[: pivot + 1]
+            if item < able[now][0]:
+                seen["skips"] += 1
+                to = able[now][0]
             else:
+                near, edge = 0.0, END
+                for c in ahead:  # the blocks that would hold the pivot's item
+                    at, blocks = c[5], c[6]
+                    while at < len(blocks) and blocks[at][0] < item:
+                        at += 1
+                    c[5] = at
+                    if at < len(blocks):
+                        near += blocks[at][1]
+                        edge = min(edge, blocks[at][0])
+                if near >= slack and lists[0][0] == item:
+                    score = 0.0
+                    for c in ahead:
+                        score += c[3][c[1]]
+                        c[1] += 1
+                        c[0] = c[2][c[1]]
+                    seen["scored"] += 1
+                    if score >= slack:
+                        out.append((item, score))
+                    continue
                 to = item
                 if near < slack:  # no item up to the nearest block end, or before the next list's, can score enough
                     seen["skips"] += 1
                     to = edge + 1
                     if pivot + 1 < len(lists):
-                        to = min(to, lists[pivot + 1][1][lists[pivot + 1][0]])
-                for c in lists[: pivot + 1]:
-                    c[0] = bisect_left(c[1], to, c[0])
-            lists = [c for c in lists if c[0] < len(c[1])]
+                        to = min(to, lists[pivot + 1][0])
+            for c in ahead:
+                if c[0] < to:
+                    c[1] = bisect_left(c[2], to, c[1])
+                    c[0] = c[2][c[1]]
         return out
 
     def verify(self, item: int, passage: Sequence[int]) -> tuple[float, float, float]:
@@ -232,11 +254,12 @@ class Matcher:
             first = np.flatnonzero(np.diff(passage, prepend=-1))
             last = np.append(first[1:], len(pairs))
             found: dict[tuple[int, int], dict] = {}
-            for k in np.flatnonzero(np.add.reduceat(tops[term], first, axis=0).max(axis=1) >= least).tolist():
+            able = np.add.reduceat(tops[term], first, axis=0) >= least
+            for k in np.flatnonzero(able.any(axis=1)).tolist():
                 own = [t for t in term[first[k] : last[k]].tolist() if t in index.items]
                 here = kept[passage[first[k]]]
                 text = None
-                for item, score in index.search(own):
+                for item, score in index.search(own, np.flatnonzero(able[k]).tolist()):
                     text = text or ids[starts[here] : stops[here]].tolist()
                     share, question, answer = index.verify(item, text)
                     key = (int(doc[here]), item)

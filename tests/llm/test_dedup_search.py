@@ -179,7 +179,7 @@ def test_wand_skips():
     (index,) = decontam.Matcher.of_texts(items).indexes
     seen = decontam.Counter()
     for k in range(0, 2000, 50):
-        assert k in [item for item, _ in index.search(sorted(set(index.words[k])), seen)]
+        assert k in [item for item, _ in index.search(sorted(set(index.words[k])), seen=seen)]
     assert seen["skips"] > 0 and seen["scored"] < 40 * 2000 / 20
 
 
@@ -194,7 +194,10 @@ def test_wand(data):
             for t in own:
                 for k, x in zip(index.items[t], index.impact[t]):
                     score[k] += x
-            assert sorted(k for k, _ in index.search(own)) == [k for k, x in score.items() if x >= index.threshold - 1e-9]
+            want = [k for k, x in score.items() if x >= index.threshold - 1e-9]
+            assert sorted(k for k, _ in index.search(own)) == want
+            tops = index.tops(len(matcher.known))[own].sum(axis=0)
+            assert sorted(k for k, _ in index.search(own, np.flatnonzero(tops >= index.threshold - 1e-6).tolist())) == want
 
 
 def top(rows, k):
