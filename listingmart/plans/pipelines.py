@@ -17,7 +17,7 @@ from ..schemas import AVM_MART, DIM_LOCATION, FACT, FEATURE_MART, MARKET_MART, R
 from ..session import build
 from ..sources.csvfile import raw_landing, read_raw_text
 from ..sources.tables import Warehouse, write_csv
-from . import avm, catalog, eda, features, market, profile, report
+from . import avm, catalog, eda, features, figures, market, profile, report
 
 
 def stamped(df: DataFrame) -> DataFrame:
@@ -58,6 +58,27 @@ def load_data(house: Warehouse) -> tuple[DataFrame, DataFrame]:
     return fact, house.read("mart_market_analytics").withColumns(place)
 
 
+def draw(fact: DataFrame, tables: dict[str, DataFrame], timeline: list[dict]) -> dict[str, str]:
+    """Figures by file name. All that is collected is an aggregate or the scatter's bounded sample."""
+    rows = lambda df: [r.asDict() for r in df.collect()]
+    bins = lambda df, column, n=60: rows(eda.histogram(df, column, n))
+    logged = fact.select(F.log1p("price_million_vnd").alias("log_price"))
+    provinces, sample, matrix = rows(tables["location_by_province"]), rows(tables["scatter_sample"]), rows(tables["correlation_matrix"])
+    top = lambda name: [(r["province"], r[name]) for r in sorted(provinces, key=lambda r: (-(r[name] or 0), r["province"]))[:12]]
+    high = fact.agg(F.percentile("price_million_vnd", F.lit(0.99))).first()[0] or 1.0
+    kept = lambda column, most: rows(eda.box_summary(fact.filter(F.col(column).between(0, most)), column))
+    return {
+        "target_distributions.svg": figures.page([figures.histogram("Price", rows(tables["price_histogram"]), "price_million_vnd"), figures.histogram("Log of price", bins(logged, "log_price"), "log(1 + price)"), figures.histogram("Unit price", bins(fact, "price_per_m2"), "price_per_m2")], 3),
+        "location_market_overview.svg": figures.page([figures.bars("Provinces with most listings", top("listing_count"), "listings"), figures.bars("Provinces with the highest median unit price", top("median_price_per_m2"), "price per m2")]),
+        "timeline_distribution.svg": figures.page([figures.bars("Listings by age", [(r["time_bucket"], r["listing_count"]) for r in timeline], "listings")], 1),
+        "size_relationship_scatter.svg": figures.page([figures.points("Area and price", sample, "area_m2", "price_million_vnd"), figures.points("Area and unit price", sample, "area_m2", "price_per_m2")]),
+        "property_feature_analysis.svg": figures.page([
+            figures.boxes("Price by bedrooms", kept("bedrooms", 10), "bedrooms", high), figures.boxes("Price by floors", kept("floors", 15), "floors", high),
+            figures.histogram("Frontage", bins(fact, "frontage", 50), "frontage"), figures.histogram("Bathrooms", bins(fact, "bathrooms", 20), "bathrooms")]),
+        "correlation_heatmap.svg": figures.page([figures.matrix("Correlations", matrix)], 1),
+    }
+
+
 def run_explore(spark: SparkSession, root: str, out: str, min_district_listings: int = 30, max_scatter_points: int = 10_000) -> dict:
     """All analyses; small tables as CSV, JSON and Markdown summaries. Only small results reach the driver."""
     house = Warehouse(spark, root)
@@ -82,6 +103,7 @@ def run_explore(spark: SparkSession, root: str, out: str, min_district_listings:
     summary = {
         "Insights": report.insights(got["target"], gaps, got["correlations"], got["duplicates"], strong, got["reconciliation"], timeline), "Rows": {"fact": fact.count()}, **{k.capitalize(): v for k, v in got.items()},
         "Timeline": timeline, "Strong predictors": strong, "Multicollinear pairs": rows(eda.multicollinear_pairs(matrix)), "Features": report.recommend_features(gaps, strong)["feature_candidates"], "Strategy": report.modeling_strategy(gaps)}
+    report.write(spark, f"{out}/figures", draw(fact, tables, timeline))
     report.save(spark, out, "eda_summary", "Exploratory summary", summary)
     fact.unpersist()
     return summary

@@ -65,13 +65,17 @@ def markdown(title: str, sections: dict[str, Any]) -> str:
     return "\n".join(out)
 
 
-def save(spark: SparkSession, folder: str, name: str, title: str, sections: dict[str, Any]) -> None:
-    """Both texts beside the tables, through Hadoop's file system of the folder."""
-    texts = {f"{name}.json": json.dumps(sections, indent=2, default=str, ensure_ascii=False), f"{name}.md": markdown(title, sections)}
-    for file, text in texts.items():
+def write(spark: SparkSession, folder: str, texts: dict[str, str]) -> None:
+    """Texts by file name, through Hadoop's file system of the folder."""
+    for file, body in texts.items():
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{str(folder).rstrip('/')}/{file}")
         out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
         try:
-            out.write(bytearray(text.encode()))
+            out.write(bytearray(body.encode()))
         finally:
             out.close()
+
+
+def save(spark: SparkSession, folder: str, name: str, title: str, sections: dict[str, Any]) -> None:
+    """Both texts beside the tables."""
+    write(spark, folder, {f"{name}.json": json.dumps(sections, indent=2, default=str, ensure_ascii=False), f"{name}.md": markdown(title, sections)})

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
 import pytest
 from pyspark.sql import functions as F
 
 from listingmart.operators import checks, encoders, fact, quality
 from listingmart.operators.quantiles import exact_quantiles
 from listingmart.operators.staging import build_staging, build_staging_strict
-from listingmart.plans import avm, eda, features, market, pipelines, profile
+from listingmart.plans import avm, eda, features, figures, market, pipelines, profile
 from listingmart.schemas import RAW_COLUMNS, STAGING
 from listingmart.sources.csvfile import read_copy, read_raw_text
 from listingmart.sources.tables import ConcurrentReplacementError, Warehouse
@@ -179,9 +181,21 @@ def test_csv_and_pipeline(spark, tmp_path):
     assert pipelines.run_explore(spark, root, str(tmp_path / "e"))["Rows"]["fact"] == 1
     assert pipelines.run_profile(spark, str(path), str(tmp_path / "p"))["row_count"] == 2
     assert pipelines.run_checks(spark, root)["location_ids"] == [{"avm_rows_without_location_id": 0}]
+    drawn = sorted((tmp_path / "e" / "figures").glob("*.svg"))
+    assert len(drawn) == 6 and all(ElementTree.parse(f).getroot().tag.endswith("svg") for f in drawn)
     assert (tmp_path / "e" / "eda_summary.md").exists() and pipelines.load_final(house).count() == 1
 
 
+def test_figures():
+    """Marks for every value, on round scales."""
+    assert figures.ticks(7) == [0, 2, 4, 6, 8] and figures.ticks(1000)[-1] >= 1000 and figures.ticks(0.3)[-1] >= 0.3
+    made = figures.bars("t <&>", [("a", 3.0), ("b", 0.0)], "n")
+    assert "".join(made.parts).count("<rect") == 2 and "&lt;&amp;&gt;" in made.parts[0]
+    assert figures.tint(1.0) == "#2a78d6" and figures.tint(0.0) == figures.MIDDLE_HEX
+    for empty in (figures.histogram("", [], ""), figures.bars("", [], ""), figures.boxes("", [], "k", 1.0), figures.points("", [], "x", "y"), figures.matrix("", [])):
+        ElementTree.fromstring(figures.page([empty]))
+
+
 def test_strict_copy(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text(",".join(RAW_COLUMNS) + "\n1, u ,t,\"a, b\",5,1.5,2,,3,T,9\n2,u,t,l,5,1.5,abc,,3,T,9\n")
