@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialize, n_words, row_key, table
 
-CHUNKS = 1024
-#: A whole copy of a document, in the fractions that are carried.
-ONE = 1 << 20
+#: Chunks of a source; different rows of a chunk of whole documents, about.
+CHUNKS, KINDS = 1024, 4096
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: float) -> list[float]:
@@ -184,28 +183,43 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     return out.unionByName(none), manifest
 
 
-def resampled(docs: DataFrame, **how) -> DataFrame:
-    """The mix as whole documents, all columns: each row as often as the mix takes its words, rounded with the rest carried.
+def whole_copies(size: np.ndarray, rows: np.ndarray, taken: np.ndarray, most: int) -> np.ndarray:
+    """Copies of each kind of row, in order, so that the words given follow the words taken; at most `most` a row.
 
-    Along each source, by length class, the running sum of taken / size is rounded; a row's copies are the steps
-    it makes. So a source's words meet its target to about a document, however long its documents are.
-    """
+    What a kind's copies leave or exceed is carried to the next kind. With sizes in falling order the end is off by about
+    half a short document."""
+    out, owed = np.zeros(len(size), np.int64), 0
+    for k, (n, r, t) in enumerate(zip(size.tolist(), rows.tolist(), taken.tolist(), strict=True)):
+        owed += t
+        out[k] = copies = min(max((2 * owed + n) // (2 * n), 0), most * r)
+        owed -= copies * n
+    return out
+
+
+def resampled(docs: DataFrame, cap: float = 2.0, **how) -> DataFrame:
+    """The mix as whole documents, all columns as they are: each row as often as the mix takes its words, rounded with the rest
+    carried, and at most `cap` times.
+
+    A source's rows are dealt by hash into chunks of about KINDS different ones; in each, from the longest row on, copies
+    are given as words come due. So a source's words meet its target to about a short document a chunk."""
     key, rows_, times_, n, own, copy = fresh(("_key", "_rows", "_times", "_n", "_own", "_copy"), docs.columns)
     keyed = docs.withColumn(key, row_key(docs, docs.columns))
     bare = keyed.select("doc_id", "source", "text", F.col(key).alias("_key"))  # the only columns that the mix looks at
-    taken = mix(bare, carry=("_key",), **how)[0].filter("size > 0").select("_key", "source", "size", "taken")
-    taken = taken.withColumns({"_part": F.expr(f"taken * {ONE}L div size"), "_class": F.floor(F.log2("size")).cast("int"), "_chunk": F.pmod(F.xxhash64("_key"), F.lit(CHUNKS)).cast("int")})
+    taken = mix(bare, carry=("_key",), cap=cap, **how)[0].filter("size > 0")
+    # rows that are equal in all columns share a key and are one kind
+    taken = taken.groupBy("_key", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
     taken = materialize(taken, "mix-taken")
-    place = ["source", "_class", "_chunk"]
-    ahead = Window.partitionBy("source").orderBy("_class", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    heads = taken.groupBy(*place).agg(F.sum("_part").alias("_sum")).withColumn("_head", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
-    heads = heads.select(*(F.col(c).alias(f"_h{c}") for c in place), "_head")
-    inside = Window.partitionBy(*place).orderBy("_key", "size", "taken").rowsBetween(Window.unboundedPreceding, 0)
-    stepped = taken.withColumn("_upto", F.sum("_part").over(inside)).join(heads, F.col("source").eqNullSafe(F.col("_hsource")) & (F.col("_class") == F.col("_h_class")) & (F.col("_chunk") == F.col("_h_chunk")))
-    upto = f"_head + _upto + {ONE // 2}"
-    stepped = stepped.withColumn("_copies", F.expr(f"({upto}) div {ONE} - ({upto} - _part) div {ONE}"))
-    times = stepped.groupBy(F.col("_key").alias(key)).agg(F.sum("_copies").cast("long").alias(times_), F.count(F.lit(1)).alias(rows_)).filter(F.col(times_) > 0)
-    same = Window.partitionBy(key).orderBy(key)  # rows that are equal in all columns share their times
+    chunks = taken.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / KINDS).alias("_chunks")).withColumnRenamed("source", "_s")  # a row a source
+    dealt = taken.join(F.broadcast(chunks), F.col("source").eqNullSafe(F.col("_s")))
+    dealt = dealt.withColumn("_chunk", F.pmod(F.xxhash64("_key"), F.col("_chunks")))
+
+    def choose(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["size", "_key"], ascending=[False, True])
+        times = whole_copies(*(g[c].to_numpy() for c in ("size", "rows", "taken")), most=int(cap))
+        return pd.DataFrame({key: g["_key"].to_numpy(), times_: times, rows_: g["rows"].to_numpy()})
+
+    times = dealt.groupBy("source", "_chunk").applyInPandas(choose, f"`{key}` string, `{times_}` long, `{rows_}` long").filter(F.col(times_) > 0)
+    same = Window.partitionBy(key).orderBy(key)
     rows = keyed.join(times, key).withColumn(n, F.row_number().over(same))
     rows = rows.withColumn(own, F.expr(f"{times_} div {rows_} + if({n} <= {times_} % {rows_}, 1, 0)")).filter(F.col(own) > 0)
     return rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own)))).select(*docs.columns)

@@ -7,9 +7,10 @@ from these words; forward-backward marginals tag every word of every text. A doc
 logistic function of its largest marginal, the expected number of toxic words and their share, fitted on
 training documents that the field did not see.
 
-The fit uses a bounded sample: at most FIT_TOXIC and FIT_CLEAN labelled documents of up to FIT_CHARS
-characters, those whose ids hash smallest, and FIT_WORDS words of them for the field. Everything else covers all rows and whole texts. Of several
-labels of one id the toxic one counts; null labels don't.
+The fit uses a sample of labelled rows, bounded by the parameters of sample() and fit(): at most FIT_TOXIC and
+FIT_CLEAN documents, of those of up to FIT_CHARS characters the ones whose ids hash smallest; the field learns from
+the first of them that hold FIT_WORDS words, the others tell seeds and calibrate. Everything else covers all rows and
+whole texts. Of several labels of one id the toxic one counts; null labels don't.
 
 Defined results: a null text is an empty one, whose score comes from its length of zero alone; null ids are
 scored and count as the empty text for the fold; if the sample lacks a class, every score is 0; equal rows
@@ -201,8 +202,8 @@ def seeds(toxic: Sequence[Sequence[str]], clean: Sequence[Sequence[str]], least:
     return out
 
 
-def fit(rows: Sequence[tuple[str, int]], steps: int = 40, ridge: float = 0.5) -> Tagger | None:
-    """Fit on (text, toxic) rows; None if a class is missing. Repeated texts count once."""
+def fit(rows: Sequence[tuple[str, int]], steps: int = 40, ridge: float = 0.5, most_words: int = FIT_WORDS) -> Tagger | None:
+    """Fit on (text, toxic) rows; None if a class is missing. Repeated texts count once. most_words: the field's."""
     rows = sorted(dict(rows).items())
     if len({y for _, y in rows}) < 2:
         return None
@@ -220,7 +221,7 @@ def fit(rows: Sequence[tuple[str, int]], steps: int = 40, ridge: float = 0.5) ->
     for pair in itertools.zip_longest(toxic, clean):
         for text, y in filter(None, pair):
             words = _WORD.findall(text)
-            if not words or n > FIT_WORDS:
+            if not words or n > most_words:
                 continue
             starts.append(n)
             for w in words:
@@ -283,16 +284,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> list[tuple[str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN, chars: int = FIT_CHARS) -> list[tuple[str, int]]:
     """The bounded fit sample. Its ids are picked from the labels first, so few texts move."""
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.filter(fold(F.col("doc_id"), folds) != held)
     one = lambda y, n: marks.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    picked = [(r["doc_id"], int(r["toxic"])) for r in one(1, FIT_TOXIC).unionByName(one(0, FIT_CLEAN)).collect()]
+    picked = [(r["doc_id"], int(r["toxic"])) for r in one(1, toxic).unionByName(one(0, clean)).collect()]
     if not picked:
         return []
-    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, _y int")  # at most FIT_TOXIC + FIT_CLEAN rows
-    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, FIT_CHARS)).join(F.broadcast(ids), "doc_id")
+    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, _y int")  # at most toxic + clean rows
+    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, chars)).join(F.broadcast(ids), "doc_id")
     # one text an id, so repeated ids cannot make it larger than the bound
     return [(r["text"], r["_y"]) for r in rows.groupBy("doc_id", "_y").agg(F.min("text").alias("text")).collect()]
 

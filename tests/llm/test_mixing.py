@@ -100,3 +100,24 @@ def test_clashing_columns_keep_their_values(awkward):
     assert again.columns == awkward.columns and values == {(9, 9, 9, 9, 0.5)}
     with pytest.raises(ValueError, match="clash"):
         mixing.mix(awkward, carry=("size",))
+
+
+def test_sources_meet_their_targets_in_whole_documents(spark):
+    """The tables' sources, whose longest documents hold a large part of their words, to 1 % each."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size = mixing.n_words(F.col("text")).alias("size")
+    aims = {r["source"]: r["target"] for r in mixing.mix(docs)[0].select("source", "target").distinct().collect()}
+    got = mixing.resampled(docs).select("doc_id", "source", size)
+    for r in got.groupBy("source").agg(F.sum("size").alias("words")).collect():
+        assert r["words"] == pytest.approx(aims[r["source"]], rel=0.01)
+    assert got.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_copies_follow_the_words():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        size = np.sort(rng.integers(1, 3000, 200))[::-1]
+        rows = rng.integers(1, 4, 200)
+        taken = (size * rows * rng.uniform(0, 2, 200)).astype(np.int64)
+        copies = mixing.whole_copies(size, rows, taken, 2)
+        assert (copies <= 2 * rows).all() and abs((copies * size).sum() - taken.sum()) <= max(size[-5:])
