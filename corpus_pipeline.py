@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from listingmart.llm import decontam, mixing, simhash, tokenfile, toxicity
-from listingmart.llm.common import scratch_path, table
+from listingmart.llm.common import discard, scratch_path, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -55,8 +55,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = scratch_path(spark, "pipeline")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)  # texts; the next stage's copy is whole
+        before = path
     return docs
