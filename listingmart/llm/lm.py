@@ -174,7 +174,7 @@ class Part:
         a, b, c, d, e = files[0]
         self.coded, self.sizes, hashes = unpacked(a, "<i4"), unpacked(b, "<i4").astype(np.int64), unpacked(c, "<u8")
         self.ids = [None if x else int(i) for i, x in zip(unpacked(d, "<i8"), unpacked(e, "?"), strict=True)]
-        n, self.words, self.longest = len(self.coded), len(hashes), depth + 1
+        n, self.hashes, self.longest = len(self.coded), hashes, depth + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.fresh = np.arange(n) - np.repeat(self.starts, self.sizes)
         self.train = np.repeat([not is_held_out(i) for i in self.ids], self.sizes)
@@ -221,6 +221,13 @@ class Part:
             out.append((k, np.flatnonzero(self.whole[k])))
         return out
 
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes in order, and each word number's position among them."""
+        order = np.argsort(self.hashes)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return self.hashes[order], place
+
     def distinct(self, asked: Asked, contexts: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
         """The hashes, each once and in order, and of each list's places the positions among them."""
         hashes = self.context if contexts else self.gram
@@ -243,23 +250,27 @@ class Part:
 
     def learn_words(self, answers: pd.DataFrame) -> None:
         """What round 1 told; grams that no other part has are counted here."""
-        sums, own = joined(answers["a"], "<i8"), self.distinct(self.all_of(1))[1][0]
-        of_word = np.zeros(self.words, np.int64)
-        of_word[self.coded] = sums[own]
-        self.n[1] = sums[own]
+        of_word = joined(answers["a"], "<i8")[self.words()[1]]
+        self.n[1] = of_word[self.coded]
+        found = {}
         for k, told in ((2, answers["b"]), (3, answers["c"])):
             if k <= self.longest:
-                (_, at), own = self.all_of(k)[0], self.distinct(self.all_of(k))[1][0]
-                self.whole[k][at] = np.concatenate([unflagged(x) for x in told])[own]
+                _, counts, (own,) = self.counted(self.all_of(k))
+                found[k] = self.all_of(k)[0][1], own, counts
+                self.whole[k][found[k][0]] = np.concatenate([unflagged(x) for x in told])[own]
         self._spread()
         able = np.ones(len(self.coded), bool)
         for k in range(2, self.longest + 1):
             fits = (self.fresh >= k - 1) & ~self.whole[k]
-            fits[1:] &= able[:-1]
-            at = np.flatnonzero(fits)
-            kinds, counts, places = self.counted([(k, at)])
-            self.n[k][at] = counts[places[0]]
-            self.first_places(k, at, places[0], np.ones(len(kinds), bool))
+            fits[1:] &= able[:-1]  # alike for all places of a gram
+            if k in found:
+                at, own, counts = found[k]
+                at, own = at[fits[at]], own[fits[at]]
+            else:
+                at = np.flatnonzero(fits)
+                _, counts, (own,) = self.counted([(k, at)])
+            self.n[k][at] = counts[own]
+            self.first_places(k, at, own, np.ones(len(counts), bool))
             able = self.whole[k] | (self.n[k] >= self.least)
         self.keep_counts(packed(of_word), flags(self.whole[2]), flags(self.whole[3]))
 
@@ -320,7 +331,10 @@ class Part:
             asked.append((d, at[x]))
             chosen.append(x)
             states += len(np.unique(self.context[d][at[closed & (verdict > 0)]]))
-        self.keep(*(packed(j[2]) for j in judged), *(flags(np.isin(np.arange(len(j[1])), x, assume_unique=True)) for j, x in zip(judged, chosen, strict=True)))
+        masks = [np.zeros(len(j[1]), bool) for j in judged]
+        for mask, x in zip(masks, chosen, strict=True):
+            mask[x] = True
+        self.keep(*(packed(j[2]) for j in judged), *map(flags, masks))
         kinds, places = self.distinct(asked, contexts=True)
         n = len(kinds)
         told, size, repeats, sums = np.zeros(n, np.int8), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, len(WEIGHTS)), np.int64)
@@ -396,7 +410,8 @@ def sent(part: str, state: str, rows: list[tuple], n: int = 0) -> pd.DataFrame:
 
 def send_words(part: str, me: Part, buckets: int, bits: int) -> pd.DataFrame:
     """Words with their counts, and the cut hashes of grams of two and three words."""
-    kinds, counts, _ = me.counted(me.all_of(1))
+    kinds, place = me.words()
+    counts = np.bincount(place[me.coded[me.train]], minlength=len(kinds)).astype(np.int64)
     longer = [me.distinct(me.all_of(k))[0] for k in (2, 3)] if me.longest > 2 else [me.distinct(me.all_of(2))[0], np.zeros(0, np.uint64)]
     cut = [x >> np.uint64(me.width - bits) for x in longer]
     found = [{b: (lo, hi) for b, lo, hi in ranges(x, buckets, w)} for x, w in ((kinds, 64), (longer[0], me.width), (longer[1], me.width))]
