@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .text import normalize_spaces, normalize_token, strip, title
 
 #: Short names of provinces.
-PROVINCE_ALIASES = {"hcm": "ho chi minh", "tp hcm": "ho chi minh", "tphcm": "ho chi minh", "ho chi minh city": "ho chi minh", "hn": "ha noi", "dn": "da nang"}
+PROVINCE_ALIASES = {
+    "hcm": "ho chi minh", "tp hcm": "ho chi minh", "tphcm": "ho chi minh", "ho chi minh city": "ho chi minh", "hn": "ha noi", "dn": "da nang"
+}
 
 
 def blank_to_null(c: Column) -> Column:
@@ -43,7 +45,9 @@ def segments(location: Column) -> Column:
 def extract_location(location: Column, strict_prefix: bool = False) -> tuple[Column, Column]:
     """(province, district): the last part and the one before; null if absent."""
     parts = segments(F.coalesce(location, F.lit("")))
-    return normalize_province(F.try_element_at(parts, F.lit(-1))), F.when(F.size(parts) > 1, normalize_district(F.try_element_at(parts, F.lit(-2)), strict_prefix))
+    return normalize_province(F.try_element_at(parts, F.lit(-1))), F.when(
+        F.size(parts) > 1, normalize_district(F.try_element_at(parts, F.lit(-2)), strict_prefix)
+    )
 
 
 def known(c: Column) -> Column:

@@ -13,16 +13,22 @@ from .quantiles import exact_medians
 
 #: What apply_reference adds, and the predictors.
 REFERENCE_COLUMNS = [
-    "province_listing_count", "district_listing_count", "province_frequency", "district_frequency", "province_median_price_million_vnd", "province_median_price_per_m2",
-    "district_median_price_million_vnd", "district_median_price_per_m2", "district_to_province_price_ratio", "district_to_province_price_per_m2_ratio",
+    "province_listing_count", "district_listing_count", "province_frequency", "district_frequency", "province_median_price_million_vnd",
+    "province_median_price_per_m2",
+    "district_median_price_million_vnd", "district_median_price_per_m2", "district_to_province_price_ratio",
+    "district_to_province_price_per_m2_ratio",
 ]
 REQUIRED_PREDICTORS = [
-    "province", "district", "timeline_bucket", "area_m2", "area_m2_capped_p99", "log_area_m2", "bedrooms_imputed", "bedrooms_missing", "bathrooms_imputed", "bathrooms_missing", "floors_imputed",
-    "floors_missing", "has_frontage", "timeline_hours_imputed", "timeline_log_hours", "is_new_listing", "total_rooms", "area_per_room", "bedroom_density", "bathroom_density", "is_large_property", "is_multi_floor",
+    "province", "district", "timeline_bucket", "area_m2", "area_m2_capped_p99", "log_area_m2", "bedrooms_imputed", "bedrooms_missing",
+    "bathrooms_imputed", "bathrooms_missing", "floors_imputed",
+    "floors_missing", "has_frontage", "timeline_hours_imputed", "timeline_log_hours", "is_new_listing", "total_rooms", "area_per_room",
+    "bedroom_density", "bathroom_density", "is_large_property", "is_multi_floor",
 ]
 OPTIONAL_PREDICTORS = [
-    "province_frequency", "district_frequency", "province_listing_count", "district_listing_count", "province_median_price_million_vnd", "province_median_price_per_m2", "district_median_price_million_vnd",
-    "district_median_price_per_m2", "district_to_province_price_ratio", "district_to_province_price_per_m2_ratio", "has_frontage_x_log_area", "is_outlier_area",
+    "province_frequency", "district_frequency", "province_listing_count", "district_listing_count", "province_median_price_million_vnd",
+    "province_median_price_per_m2", "district_median_price_million_vnd",
+    "district_median_price_per_m2", "district_to_province_price_ratio", "district_to_province_price_per_m2_ratio", "has_frontage_x_log_area",
+    "is_outlier_area",
 ]
 CATEGORICAL = ["province", "district", "timeline_bucket"]
 TARGET = "target_log_price_million_vnd"
@@ -46,7 +52,10 @@ def _stats(rows: DataFrame, level: str, keys: list[str], price: str, ppm2: str,
     if distributed:  # the keys are never null
         medians = exact_medians(rows, keys, {price: f"{level}_median_price_million_vnd", ppm2: f"{level}_median_price_per_m2"})
         return rows.groupBy(*keys).agg(F.count("listing_id").alias(f"{level}_listing_count")).join(medians, keys)
-    return rows.groupBy(*keys).agg(F.count("listing_id").alias(f"{level}_listing_count"), median(price).alias(f"{level}_median_price_million_vnd"), median(ppm2).alias(f"{level}_median_price_per_m2"))
+    return rows.groupBy(*keys).agg(
+        F.count("listing_id").alias(f"{level}_listing_count"), median(price).alias(f"{level}_median_price_million_vnd"),
+        median(ppm2).alias(f"{level}_median_price_per_m2")
+    )
 
 
 def _shares(stats: DataFrame, level: str, total: DataFrame, on: list[str]) -> DataFrame:
@@ -54,7 +63,9 @@ def _shares(stats: DataFrame, level: str, total: DataFrame, on: list[str]) -> Da
     return joined.withColumn(f"{level}_frequency", F.col(f"{level}_listing_count") / F.greatest("total_rows", F.lit(1))).drop("total_rows")
 
 
-def fit_reference(train: DataFrame, price: str = "target_price_million_vnd", ppm2: str = "target_price_per_m2", distributed: bool = False) -> MarketReference:
+def fit_reference(
+    train: DataFrame, price: str = "target_price_million_vnd", ppm2: str = "target_price_per_m2", distributed: bool = False
+) -> MarketReference:
     """distributed: medians of provinces and of all rows in a few passes over train (a table, best) that need no reducer
     with all distinct values; districts are many and small."""
     rows = normalize_location(train)
@@ -62,20 +73,31 @@ def fit_reference(train: DataFrame, price: str = "target_price_million_vnd", ppm
     if distributed:
         overall = size.crossJoin(exact_medians(rows, [], {price: "global_median_price", ppm2: "global_median_price_per_m2"}))
     else:
-        overall = rows.agg(F.count(F.lit(1)).alias("total_rows"), median(price).alias("global_median_price"), median(ppm2).alias("global_median_price_per_m2"))
+        overall = rows.agg(
+            F.count(F.lit(1)).alias("total_rows"), median(price).alias("global_median_price"), median(ppm2).alias("global_median_price_per_m2")
+        )
     total = size
-    return MarketReference(_shares(_stats(rows, "province", ["province"], price, ppm2, distributed), "province", total, []), _shares(_stats(rows, "district", ["province", "district"], price, ppm2), "district", total, []), overall)
+    return MarketReference(
+        _shares(_stats(rows, "province", ["province"], price, ppm2, distributed), "province", total, []),
+        _shares(_stats(rows, "district", ["province", "district"], price, ppm2), "district", total, []), overall
+    )
 
 
 def _fill(rows: DataFrame) -> DataFrame:
     """Unseen places: no count, no share, the next wider median; a ratio to zero is 1."""
     c = F.col
-    rows = rows.withColumns({f"{x}_listing_count": F.coalesce(c(f"{x}_listing_count"), F.lit(0)) for x in ("province", "district")} | {f"{x}_frequency": F.coalesce(c(f"{x}_frequency"), F.lit(0.0)) for x in ("province", "district")})
+    rows = rows.withColumns(
+        {
+            f"{x}_listing_count": F.coalesce(c(f"{x}_listing_count"), F.lit(0)) for x in ("province", "district")
+        } | {f"{x}_frequency": F.coalesce(c(f"{x}_frequency"), F.lit(0.0)) for x in ("province", "district")}
+    )
     for name, wide in (("price_million_vnd", "global_median_price"), ("price_per_m2", "global_median_price_per_m2")):
         rows = rows.withColumn(f"province_median_{name}", F.coalesce(c(f"province_median_{name}"), c(wide)))
         rows = rows.withColumn(f"district_median_{name}", F.coalesce(c(f"district_median_{name}"), c(f"province_median_{name}")))
     ratio = lambda name: F.coalesce(F.try_divide(c(f"district_median_{name}"), c(f"province_median_{name}")), F.lit(1.0))
-    return rows.withColumns({"district_to_province_price_ratio": ratio("price_million_vnd"), "district_to_province_price_per_m2_ratio": ratio("price_per_m2")}).drop("global_median_price", "global_median_price_per_m2")
+    return rows.withColumns(
+        {"district_to_province_price_ratio": ratio("price_million_vnd"), "district_to_province_price_per_m2_ratio": ratio("price_per_m2")}
+    ).drop("global_median_price", "global_median_price_per_m2")
 
 
 def apply_reference(df: DataFrame, ref: MarketReference) -> DataFrame:
@@ -92,7 +114,10 @@ def positional_fold(df: DataFrame, n_splits: int) -> DataFrame:
     return df.withColumn("fold", ((F.row_number().over(Window.orderBy("listing_id")) - 1) % n_splits).cast("int"))
 
 
-def out_of_fold(train: DataFrame, n_splits: int = 5, seed: int = 42, fold: Column | None = None, price: str = "target_price_million_vnd", ppm2: str = "target_price_per_m2") -> DataFrame:
+def out_of_fold(
+    train: DataFrame, n_splits: int = 5, seed: int = 42, fold: Column | None = None, price: str = "target_price_million_vnd",
+    ppm2: str = "target_price_per_m2"
+) -> DataFrame:
     """listing_id, fold and the reference columns, each row's fitted on the other folds only.
 
     Medians cannot be made from parts, so each row is dealt to the folds it trains and one grouped pass per level
@@ -104,12 +129,18 @@ def out_of_fold(train: DataFrame, n_splits: int = 5, seed: int = 42, fold: Colum
         raise ValueError("fewer rows than folds")
     rows = normalize_location(train).withColumn("fold", fold_of(F.col("listing_id"), n_splits, seed) if fold is None else fold)
     rows = rows.select("listing_id", "province", "district", "fold", price, ppm2)
-    dealt = rows.withColumn("_to", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(n_splits - 1)), F.array("fold")))).drop("fold").withColumnRenamed("_to", "fold")
-    overall = dealt.groupBy("fold").agg(F.count(F.lit(1)).alias("total_rows"), median(price).alias("global_median_price"), median(ppm2).alias("global_median_price_per_m2"))  # a row a fold
+    dealt = rows.withColumn(
+        "_to", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(n_splits - 1)), F.array("fold")))
+    ).drop("fold").withColumnRenamed("_to", "fold")
+    overall = dealt.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("total_rows"), median(price).alias("global_median_price"), median(ppm2).alias("global_median_price_per_m2")
+    )  # a row a fold
     total = overall.select("fold", "total_rows")
     province = _shares(_stats(dealt, "province", ["fold", "province"], price, ppm2), "province", total, ["fold"])
     district = _shares(_stats(dealt, "district", ["fold", "province", "district"], price, ppm2), "district", total, ["fold"])
-    out = rows.join(province, ["fold", "province"], "left").join(district, ["fold", "province", "district"], "left").join(F.broadcast(overall.drop("total_rows")), "fold")
+    out = rows.join(province, ["fold", "province"], "left").join(
+        district, ["fold", "province", "district"], "left"
+    ).join(F.broadcast(overall.drop("total_rows")), "fold")
     return _fill(out).select("listing_id", "fold", *REFERENCE_COLUMNS)
 
 

@@ -66,7 +66,10 @@ def dim_location(fact: DataFrame) -> DataFrame:
 def dim_time(first: str, last: str, spark) -> DataFrame:
     day = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 day")))
     days = spark.range(1).select(day.alias("full_date"))
-    return days.select(F.date_format("full_date", "yyyyMMdd").cast("int").alias("date_id"), "full_date", F.year("full_date").alias("year"), F.quarter("full_date").alias("quarter"), F.month("full_date").alias("month"), F.weekofyear("full_date").alias("week"))
+    return days.select(
+        F.date_format("full_date", "yyyyMMdd").cast("int").alias("date_id"), "full_date", F.year("full_date").alias("year"),
+        F.quarter("full_date").alias("quarter"), F.month("full_date").alias("month"), F.weekofyear("full_date").alias("week")
+    )
 
 
 def add_missing(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

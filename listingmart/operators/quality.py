@@ -36,18 +36,24 @@ class Thresholds:
 def duplicate_url_rows(staging: DataFrame) -> DataFrame:
     """Rows in groups of equal non-blank URLs, all members counted."""
     urls = staging.select(blank_to_null(strip(F.col("detail_url"))).alias("u")).filter("u is not null")
-    return urls.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_non_empty_detail_url_rows"))
+    return urls.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_non_empty_detail_url_rows")
+    )
 
 
 def metrics_frame(staging: DataFrame, fact: DataFrame) -> DataFrame:
     """One row of counts and ratios."""
     price, area = F.col("price_million_vnd"), F.col("area_m2")
     counts = staging.agg(
-        F.count(F.lit(1)).alias("total_rows"), F.count_if(price.isNull()).alias("null_price_count"), F.count_if(price <= 0).alias("invalid_price_count"),
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(price.isNull()).alias("null_price_count"),
+        F.count_if(price <= 0).alias("invalid_price_count"),
         F.count_if(area.isNull()).alias("null_area_count"), F.count_if(area <= 0).alias("invalid_area_count"))
     out = counts.crossJoin(duplicate_url_rows(staging)).crossJoin(fact.agg(F.count(F.lit(1)).alias("fact_rows")))
     ratio = lambda n: F.when(F.col("total_rows") > 0, F.col(n) / F.col("total_rows")).otherwise(0.0)
-    names = {"null_price": "null_price_count", "invalid_price": "invalid_price_count", "null_area": "null_area_count", "invalid_area": "invalid_area_count", "duplicate_non_empty_detail_url": "duplicate_non_empty_detail_url_rows", "fact_row": "fact_rows"}
+    names = {
+        "null_price": "null_price_count", "invalid_price": "invalid_price_count", "null_area": "null_area_count",
+        "invalid_area": "invalid_area_count", "duplicate_non_empty_detail_url": "duplicate_non_empty_detail_url_rows", "fact_row": "fact_rows"
+    }
     return out.withColumns({f"{k}_ratio": ratio(v) for k, v in names.items()})
 
 
@@ -57,7 +63,11 @@ def metrics(staging: DataFrame, fact: DataFrame) -> dict:
 
 def violations(found: dict, limits: Thresholds) -> list[str]:
     """Strict comparisons: a ratio at its threshold passes."""
-    upper = {"null_price_ratio": limits.max_null_price_ratio, "invalid_price_ratio": limits.max_invalid_price_ratio, "null_area_ratio": limits.max_null_area_ratio, "invalid_area_ratio": limits.max_invalid_area_ratio, "duplicate_non_empty_detail_url_ratio": limits.max_duplicate_detail_url_ratio}
+    upper = {
+        "null_price_ratio": limits.max_null_price_ratio, "invalid_price_ratio": limits.max_invalid_price_ratio,
+        "null_area_ratio": limits.max_null_area_ratio, "invalid_area_ratio": limits.max_invalid_area_ratio,
+        "duplicate_non_empty_detail_url_ratio": limits.max_duplicate_detail_url_ratio
+    }
     out = [f"{k}={found[k]:.4f} > {most:.4f}" for k, most in upper.items() if found[k] > most]
     if found["fact_row_ratio"] < limits.min_fact_row_ratio:
         out.append(f"fact_row_ratio={found['fact_row_ratio']:.4f} < {limits.min_fact_row_ratio:.4f}")
@@ -83,12 +93,18 @@ class RunLog:
         self.warehouse.append(spark.createDataFrame([tuple(full[f.name] for f in RUN_LOG)], RUN_LOG), self.TABLE)
 
     def start(self, pipeline: str, limits: Thresholds) -> dict:
-        run = {"run_id": time.time_ns() // 1000 * 1000 + uuid.uuid4().int % 1000, "pipeline_name": pipeline, "started_at": datetime.now(UTC).replace(tzinfo=None), "thresholds": json.dumps(asdict(limits), sort_keys=True)}
+        run = {
+            "run_id": time.time_ns() // 1000 * 1000 + uuid.uuid4().int % 1000, "pipeline_name": pipeline,
+            "started_at": datetime.now(UTC).replace(tzinfo=None), "thresholds": json.dumps(asdict(limits), sort_keys=True)
+        }
         self._add(**run, status="running", sequence=0)
         return run
 
     def finish(self, run: dict, status: str, counts: dict | None = None, found: dict | None = None, error: str | None = None) -> None:
-        self._add(**run, status=status, finished_at=datetime.now(UTC).replace(tzinfo=None), error_message=error, quality_metrics=json.dumps(found, sort_keys=True) if found else None, sequence=1, **(counts or {}))
+        self._add(
+            **run, status=status, finished_at=datetime.now(UTC).replace(tzinfo=None), error_message=error,
+            quality_metrics=json.dumps(found, sort_keys=True) if found else None, sequence=1, **(counts or {})
+        )
 
     def latest(self) -> DataFrame:
         return latest_runs(self.warehouse.read(self.TABLE))

@@ -22,7 +22,9 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], by: Se
     interpolated quantiles; null values are left out, a group without values has nulls. Null keys are a group."""
     wants = [(c, p) for c, ps in wanted.items() for p in ps]
     keys = [f"_b{k}" for k in range(len(by))]
-    rows = df.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), *(F.col(c).cast("double").alias(f"_v{k}") for k, c in enumerate(wanted)))
+    rows = df.select(
+        *(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), *(F.col(c).cast("double").alias(f"_v{k}") for k, c in enumerate(wanted))
+    )
     value = {c: f"_v{k}" for k, c in enumerate(wanted)}
     groups = rows.select(*keys).distinct() if by else None
 
@@ -53,9 +55,14 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], by: Se
     counts = counts.withColumn("_upto", F.sum("_n").over(place_of.orderBy("_bin"))).withColumn("_r", share * (F.sum("_n").over(place_of) - 1))
     # the steps of the two order statistics; ranks count from 0
     hit = (F.col("_upto") > F.floor("_r")) & (F.col("_upto") - F.col("_n") <= F.ceil("_r"))
-    steps = counts.filter(hit).select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("_k").alias("_k_"), F.col("_bin").alias("_bin_"), (F.col("_upto") - F.col("_n")).alias("_before"), "_r")
+    steps = counts.filter(hit).select(
+        *(F.col(k).alias(f"{k}_") for k in keys), F.col("_k").alias("_k_"), F.col("_bin").alias("_bin_"),
+        (F.col("_upto") - F.col("_n")).alias("_before"), "_r"
+    )
     near = [*(F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys), F.col("_k") == F.col("_k_"), F.col("_bin") == F.col("_bin_")]
-    inside = told.join(F.broadcast(steps) if not by else steps, near).groupBy(*keys, "_k", "_bin", "_before", "_r", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    inside = told.join(
+        F.broadcast(steps) if not by else steps, near
+    ).groupBy(*keys, "_k", "_bin", "_before", "_r", "_x").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*keys, "_k", "_bin").orderBy("_x")
     ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(order))
     lower, upper = (F.min(F.when(F.col("_upto") > f(F.col("_r")), F.col("_x"))) for f in (F.floor, F.ceil))

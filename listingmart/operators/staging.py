@@ -25,7 +25,11 @@ def build_staging_strict(raw: DataFrame) -> DataFrame:
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
     number = lambda c, kind: text(c).cast(kind)
     low = F.lower(F.trim("frontage"))
-    frontage = F.when(low.isin("true", "t", "1"), 1.0).when(low.isin("false", "f", "0"), 0.0).when(F.trim("frontage").rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.trim("frontage").try_cast("double"))
+    frontage = F.when(low.isin("true", "t", "1"), 1.0).when(low.isin("false", "f", "0"), 0.0).when(
+        F.trim("frontage").rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.trim("frontage").try_cast("double")
+    )
     return raw.select(
-        *(text(c).alias(c) for c in ("id", "detail_url", "title", "location")), number("timeline_hours", "int").alias("timeline_hours"), number("area_m2", "double").alias("area_m2"),
-        *(number(c, "int").alias(c) for c in ("bedrooms", "bathrooms", "floors")), frontage.alias("frontage"), number("price_million_vnd", "double").alias("price_million_vnd"))
+        *(text(c).alias(c) for c in ("id", "detail_url", "title", "location")), number("timeline_hours", "int").alias("timeline_hours"),
+        number("area_m2", "double").alias("area_m2"),
+        *(number(c, "int").alias(c) for c in ("bedrooms", "bathrooms", "floors")), frontage.alias("frontage"),
+        number("price_million_vnd", "double").alias("price_million_vnd"))

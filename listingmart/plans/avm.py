@@ -26,7 +26,9 @@ def impute(rows: DataFrame, min_observed: int = MIN_OBSERVED) -> DataFrame:
     """Own value, else the median of the district, of the province (each from enough observed values), of all."""
     for c in IMPUTED:
         enough = [F.when(F.col(f"{level}_{c}_count") >= min_observed, F.col(f"{level}_median_{c}")) for level in ("district", "province")]
-        rows = rows.withColumn(f"{c}_missing", F.col(c).isNull()).withColumn(f"{c}_imputed", F.coalesce(F.col(c), *enough, F.col(f"global_median_{c}")))
+        rows = rows.withColumn(f"{c}_missing", F.col(c).isNull()).withColumn(
+            f"{c}_imputed", F.coalesce(F.col(c), *enough, F.col(f"global_median_{c}"))
+        )
     return rows
 
 
@@ -70,5 +72,7 @@ def avm_mart(fact: DataFrame, dim: DataFrame, distributed: bool = False) -> Data
     rows = flag_outliers(impute(rows))
     filled = [x for c in IMPUTED for x in (c, f"{c}_missing", f"{c}_imputed")]
     return rows.select(
-        "listing_id", "location_id", "province", "district", "timeline_hours", "time_bucket", "area_m2", *filled, "frontage", "district_median_price_million_vnd", "district_median_price_per_m2",
-        *(f"is_outlier_{x}" for x in ("price", "area", "price_per_m2", "any")), "is_robust_train_candidate", F.col("price_million_vnd").alias("target_price_million_vnd"), F.col("price_per_m2").alias("target_price_per_m2"))
+        "listing_id", "location_id", "province", "district", "timeline_hours", "time_bucket", "area_m2", *filled, "frontage",
+        "district_median_price_million_vnd", "district_median_price_per_m2",
+        *(f"is_outlier_{x}" for x in ("price", "area", "price_per_m2", "any")), "is_robust_train_candidate",
+        F.col("price_million_vnd").alias("target_price_million_vnd"), F.col("price_per_m2").alias("target_price_per_m2"))

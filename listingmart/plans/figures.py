@@ -53,7 +53,9 @@ class Panel:
         return place
 
     def box(self, x: float, y: float, w: float, h: float, said: str, fill: str = HUE) -> None:
-        self.parts.append(f'<rect x="{x:.1f}" y="{y:.1f}" width="{max(w, 0.5):.1f}" height="{max(h, 0):.1f}" fill="{fill}"><title>{escape(said)}</title></rect>')
+        self.parts.append(
+            f'<rect x="{x:.1f}" y="{y:.1f}" width="{max(w, 0.5):.1f}" height="{max(h, 0):.1f}" fill="{fill}"><title>{escape(said)}</title></rect>'
+        )
 
 
 def histogram(title: str, rows: Sequence[dict], name: str) -> Panel:
@@ -64,7 +66,9 @@ def histogram(title: str, rows: Sequence[dict], name: str) -> Panel:
         y, span, wide = p.y_axis(max(r["n"] for r in rows)), (most - least) or 1.0, WIDTH - 10 - LEFT
         for r in rows:
             x = LEFT + wide * (r["low"] - least) / span
-            p.box(x, y(r["n"]), wide * (r["high"] - r["low"]) / span - 1, y(0) - y(r["n"]), f"{short(r['low'])} to {short(r['high'])}: {short(r['n'])}")
+            p.box(
+                x, y(r["n"]), wide * (r["high"] - r["low"]) / span - 1, y(0) - y(r["n"]), f"{short(r['low'])} to {short(r['high'])}: {short(r['n'])}"
+            )
         p.parts += [text(LEFT + wide * k / 4, HEIGHT - BOTTOM + 16, short(least + span * k / 4)) for k in range(5)]
     return p
 
@@ -92,7 +96,10 @@ def boxes(title: str, rows: Sequence[dict], key: str, most: float) -> Panel:
             said = f"{key} {r[key]}: {short(r['q1'])}, {short(r['median'])}, {short(r['q3'])}"
             p.parts.append(f'<line x1="{middle:.1f}" x2="{middle:.1f}" y1="{y(ends[0]):.1f}" y2="{y(ends[1]):.1f}" stroke="{SOFT}"/>')
             p.box(middle - wide * 0.3, y(r["q3"]), wide * 0.6, y(r["q1"]) - y(r["q3"]), said)
-            p.parts.append(f'<line x1="{middle - wide * 0.3:.1f}" x2="{middle + wide * 0.3:.1f}" y1="{y(r["median"]):.1f}" y2="{y(r["median"]):.1f}" stroke="{SURFACE}" stroke-width="2"/>')
+            p.parts.append(
+                f'<line x1="{middle - wide * 0.3:.1f}" x2="{middle + wide * 0.3:.1f}" y1="{y(r["median"]):.1f}" y2="{y(r["median"]):.1f}" '
+                f'stroke="{SURFACE}" stroke-width="2"/>'
+            )
             p.parts.append(text(middle, HEIGHT - BOTTOM + 16, str(r[key])))
     return p
 
@@ -118,9 +125,14 @@ def matrix(title: str, rows: Sequence[dict]) -> Panel:
     for r in rows:
         i, j = names.index(r["variable_1"]), names.index(r["variable_2"])
         value = r["corr"]
-        p.box(130 + j * wide, TOP + i * high, wide - 2, high - 2, f"{names[i]}, {names[j]}: {'unknown' if value is None else f'{value:.3f}'}", MIDDLE_HEX if value is None else tint(value))
+        p.box(
+            130 + j * wide, TOP + i * high, wide - 2, high - 2, f"{names[i]}, {names[j]}: {'unknown' if value is None else f'{value:.3f}'}",
+            MIDDLE_HEX if value is None else tint(value)
+        )
         strong = value is not None and abs(value) > 0.75
-        p.parts.append(text(130 + (j + 0.5) * wide - 1, TOP + (i + 0.5) * high + 3, "" if value is None else f"{value:.2f}", color=SURFACE if strong else INK))
+        p.parts.append(
+            text(130 + (j + 0.5) * wide - 1, TOP + (i + 0.5) * high + 3, "" if value is None else f"{value:.2f}", color=SURFACE if strong else INK)
+        )
     for k, name in enumerate(names):
         p.parts += [text(124, TOP + (k + 0.5) * high + 3, name, "end"), text(130 + (k + 0.5) * wide, HEIGHT - 52 + 12 * (k % 3), name, size=9)]
     return p
@@ -130,5 +142,7 @@ def page(panels: Sequence[Panel], columns: int = 2) -> str:
     """Panels side by side as one SVG document."""
     rows = -(-len(panels) // columns)
     size = f'width="{WIDTH * min(columns, len(panels))}" height="{HEIGHT * rows}"'
-    body = "".join(f'<g transform="translate({WIDTH * (k % columns)},{HEIGHT * (k // columns)})">{"".join(p.parts)}</g>' for k, p in enumerate(panels))
+    body = "".join(
+        f'<g transform="translate({WIDTH * (k % columns)},{HEIGHT * (k // columns)})">{"".join(p.parts)}</g>' for k, p in enumerate(panels)
+    )
     return f'<svg xmlns="http://www.w3.org/2000/svg" {size} font-family="sans-serif"><rect width="100%" height="100%" fill="{SURFACE}"/>{body}</svg>'

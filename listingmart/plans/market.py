@@ -13,7 +13,10 @@ KEYS = ["province", "district", "time_bucket"]
 
 def market_mart(fact: DataFrame) -> DataFrame:
     rows = fact.select("province", "district", bucket(F.col("timeline_hours"), MART).alias("time_bucket"), "price_million_vnd", "price_per_m2")
-    return rows.groupBy(*KEYS).agg(median("price_million_vnd").alias("median_price_million_vnd"), median("price_per_m2").alias("median_price_per_m2"), F.count(F.lit(1)).alias("listing_count"))
+    return rows.groupBy(*KEYS).agg(
+        median("price_million_vnd").alias("median_price_million_vnd"), median("price_per_m2").alias("median_price_per_m2"),
+        F.count(F.lit(1)).alias("listing_count")
+    )
 
 
 def reconcile(mart: DataFrame, fact: DataFrame, eps: float = 1e-9) -> DataFrame:

@@ -24,7 +24,9 @@ def stamped(df: DataFrame) -> DataFrame:
     return df.withColumn("refreshed_at", F.current_timestamp().cast("timestamp_ntz"))
 
 
-def run_load(spark: SparkSession, raw: DataFrame, root: str, limits: quality.Thresholds | None = None, skip_marts: bool = False, skip_gate: bool = False) -> dict:
+def run_load(
+    spark: SparkSession, raw: DataFrame, root: str, limits: quality.Thresholds | None = None, skip_marts: bool = False, skip_gate: bool = False
+) -> dict:
     """Raw texts to fact, dimension and marts, with a run log. Raw and staging land before the fact is built or the gate
     speaks, so a failure of either leaves them to look at."""
     house, limits = Warehouse(spark, root), limits or quality.Thresholds()
@@ -43,7 +45,9 @@ def run_load(spark: SparkSession, raw: DataFrame, root: str, limits: quality.Thr
         counts["fact_rows"] = fact.count()
         if not skip_marts:
             counts["mart_market_analytics_rows"] = house.replace(stamped(market.market_mart(fact)), "mart_market_analytics", MARKET_MART).count()
-            counts["mart_avm_features_rows"] = house.replace(stamped(avm.avm_mart(fact, dim, distributed=True)), "mart_avm_features", AVM_MART).count()
+            counts["mart_avm_features_rows"] = house.replace(
+                stamped(avm.avm_mart(fact, dim, distributed=True)), "mart_avm_features", AVM_MART
+            ).count()
     except Exception as e:
         log.finish(run, "failed", counts, found, str(e)[:2000])
         raise
@@ -68,13 +72,34 @@ def draw(fact: DataFrame, tables: dict[str, DataFrame], timeline: list[dict]) ->
     high = fact.agg(F.percentile("price_million_vnd", F.lit(0.99))).first()[0] or 1.0
     kept = lambda column, most: rows(eda.box_summary(fact.filter(F.col(column).between(0, most)), column))
     return {
-        "target_distributions.svg": figures.page([figures.histogram("Price", rows(tables["price_histogram"]), "price_million_vnd"), figures.histogram("Log of price", bins(logged, "log_price"), "log(1 + price)"), figures.histogram("Unit price", bins(fact, "price_per_m2"), "price_per_m2")], 3),
-        "location_market_overview.svg": figures.page([figures.bars("Provinces with most listings", top("listing_count"), "listings"), figures.bars("Provinces with the highest median unit price", top("median_price_per_m2"), "price per m2")]),
-        "timeline_distribution.svg": figures.page([figures.bars("Listings by age", [(r["time_bucket"], r["listing_count"]) for r in timeline], "listings")], 1),
-        "size_relationship_scatter.svg": figures.page([figures.points("Area and price", sample, "area_m2", "price_million_vnd"), figures.points("Area and unit price", sample, "area_m2", "price_per_m2")]),
+        "target_distributions.svg": figures.page(
+            [
+                figures.histogram("Price", rows(tables["price_histogram"]), "price_million_vnd"),
+                figures.histogram("Log of price", bins(logged, "log_price"), "log(1 + price)"),
+                figures.histogram("Unit price", bins(fact, "price_per_m2"), "price_per_m2")
+            ],
+            3
+        ),
+        "location_market_overview.svg": figures.page(
+            [
+                figures.bars("Provinces with most listings", top("listing_count"), "listings"),
+                figures.bars("Provinces with the highest median unit price", top("median_price_per_m2"), "price per m2")
+            ]
+        ),
+        "timeline_distribution.svg": figures.page(
+            [figures.bars("Listings by age", [(r["time_bucket"], r["listing_count"]) for r in timeline], "listings")], 1
+        ),
+        "size_relationship_scatter.svg": figures.page(
+            [
+                figures.points("Area and price", sample, "area_m2", "price_million_vnd"),
+                figures.points("Area and unit price", sample, "area_m2", "price_per_m2")
+            ]
+        ),
         "property_feature_analysis.svg": figures.page([
-            figures.boxes("Price by bedrooms", kept("bedrooms", 10), "bedrooms", high), figures.boxes("Price by floors", kept("floors", 15), "floors", high),
-            figures.histogram("Frontage", bins(fact, "frontage", 50), "frontage"), figures.histogram("Bathrooms", bins(fact, "bathrooms", 20), "bathrooms")]),
+            figures.boxes("Price by bedrooms", kept("bedrooms", 10), "bedrooms", high),
+            figures.boxes("Price by floors", kept("floors", 15), "floors", high),
+            figures.histogram("Frontage", bins(fact, "frontage", 50), "frontage"),
+            figures.histogram("Bathrooms", bins(fact, "bathrooms", 20), "bathrooms")]),
         "correlation_heatmap.svg": figures.page([figures.matrix("Correlations", matrix)], 1),
     }
 
@@ -87,22 +112,31 @@ def run_explore(spark: SparkSession, root: str, out: str, min_district_listings:
     rows = lambda df: [r.asDict() for r in df.collect()]
     matrix = eda.correlation_matrix(fact)
     tables = {
-        "quality_missing_summary": eda.missing_summary(fact), "quality_numeric_ranges": eda.quality_ranges(fact), "location_by_province": eda.province_rank(fact),
-        "location_by_district": eda.district_rank(fact, min_district_listings), "timeline_bucket_summary": eda.timeline_summary(fact), "size_outlier_candidates": eda.extreme_candidates(fact),
-        "feature_bedrooms_stats": eda.effect(fact, "bedrooms", 10), "feature_floors_stats": eda.effect(fact, "floors", 15), "correlation_matrix": matrix,
-        "mart_reconciliation": market.reconcile(mart, fact).filter("is_mismatch"), "price_histogram": eda.histogram(fact, "price_million_vnd", 60), "price_by_bedrooms": eda.box_summary(fact, "bedrooms"),
+        "quality_missing_summary": eda.missing_summary(fact), "quality_numeric_ranges": eda.quality_ranges(fact),
+        "location_by_province": eda.province_rank(fact),
+        "location_by_district": eda.district_rank(fact, min_district_listings), "timeline_bucket_summary": eda.timeline_summary(fact),
+        "size_outlier_candidates": eda.extreme_candidates(fact),
+        "feature_bedrooms_stats": eda.effect(fact, "bedrooms", 10), "feature_floors_stats": eda.effect(fact, "floors", 15),
+        "correlation_matrix": matrix,
+        "mart_reconciliation": market.reconcile(mart, fact).filter("is_mismatch"), "price_histogram": eda.histogram(fact, "price_million_vnd", 60),
+        "price_by_bedrooms": eda.box_summary(fact, "bedrooms"),
         "scatter_sample": eda.sample_points(fact, max_scatter_points).select("area_m2", "price_million_vnd", "price_per_m2"),
     }
     for name, df in tables.items():
         write_csv(df, f"{out}/tables/{name}")
     gaps = {r["column_name"]: r["missing_pct"] for r in rows(tables["quality_missing_summary"])}
     strong = {r["feature"]: r["corr"] for r in rows(eda.strong_predictors(matrix))}
-    one = {"target": eda.target_distribution(fact), "duplicates": eda.duplicate_checks(fact), "correlations": eda.correlations(fact), "reconciliation": market.reconcile_counts(mart, fact)}
+    one = {
+        "target": eda.target_distribution(fact), "duplicates": eda.duplicate_checks(fact), "correlations": eda.correlations(fact),
+        "reconciliation": market.reconcile_counts(mart, fact)
+    }
     got = {k: df.first().asDict() for k, df in one.items()}
     timeline = rows(tables["timeline_bucket_summary"])
     summary = {
-        "Insights": report.insights(got["target"], gaps, got["correlations"], got["duplicates"], strong, got["reconciliation"], timeline), "Rows": {"fact": fact.count()}, **{k.capitalize(): v for k, v in got.items()},
-        "Timeline": timeline, "Strong predictors": strong, "Multicollinear pairs": rows(eda.multicollinear_pairs(matrix)), "Features": report.recommend_features(gaps, strong)["feature_candidates"], "Strategy": report.modeling_strategy(gaps)}
+        "Insights": report.insights(got["target"], gaps, got["correlations"], got["duplicates"], strong, got["reconciliation"], timeline),
+        "Rows": {"fact": fact.count()}, **{k.capitalize(): v for k, v in got.items()},
+        "Timeline": timeline, "Strong predictors": strong, "Multicollinear pairs": rows(eda.multicollinear_pairs(matrix)),
+        "Features": report.recommend_features(gaps, strong)["feature_candidates"], "Strategy": report.modeling_strategy(gaps)}
     report.write(spark, f"{out}/figures", draw(fact, tables, timeline))
     report.save(spark, out, "eda_summary", "Exploratory summary", summary)
     fact.unpersist()
@@ -112,12 +146,18 @@ def run_explore(spark: SparkSession, root: str, out: str, min_district_listings:
 def run_features(spark: SparkSession, root: str, out: str | None = None) -> dict:
     """Feature mart, catalog and summary."""
     house = Warehouse(spark, root)
-    mart = house.replace(stamped(features.feature_mart(house.read("mart_avm_features").drop("refreshed_at"), distributed=True)), "mart_avm_features_final", FEATURE_MART)
+    mart = house.replace(
+        stamped(features.feature_mart(house.read("mart_avm_features").drop("refreshed_at"), distributed=True)), "mart_avm_features_final",
+        FEATURE_MART
+    )
     summary = eda.feature_summary(mart).first().asDict()
     if out:
         for name, df in catalog.tables(spark).items():
             write_csv(df, f"{out}/tables/{name}")
-        report.save(spark, out, "feature_summary", "Feature engineering summary", {"Counts": summary, "Target": catalog.TARGET, "Encoding": catalog.ENCODING, "Leakage": catalog.LEAKAGE})
+        report.save(
+            spark, out, "feature_summary", "Feature engineering summary",
+            {"Counts": summary, "Target": catalog.TARGET, "Encoding": catalog.ENCODING, "Leakage": catalog.LEAKAGE}
+        )
     return summary
 
 
@@ -134,7 +174,10 @@ def run_profile(spark: SparkSession, path: str, out: str) -> dict:
 def run_checks(spark: SparkSession, root: str) -> dict[str, list[dict]]:
     """Both validation packs over the warehouse's tables, and the last five runs."""
     house = Warehouse(spark, root)
-    names = {"staging": "stg_listings_raw", "staging_raw_text": "stg_listings_raw_text", "fact": "fact_listings", "dim_location": "dim_location", "mart_market_analytics": "mart_market_analytics", "mart_avm_features": "mart_avm_features"}
+    names = {
+        "staging": "stg_listings_raw", "staging_raw_text": "stg_listings_raw_text", "fact": "fact_listings", "dim_location": "dim_location",
+        "mart_market_analytics": "mart_market_analytics", "mart_avm_features": "mart_avm_features"
+    }
     found = checks.phase1({k: house.read(t) for k, t in names.items()})
     if house.exists("mart_avm_features_final"):
         found |= {f"features_{k}": v for k, v in checks.phase3(house.read("mart_avm_features"), house.read("mart_avm_features_final")).items()}

@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 #: Candidates for valuation models and why each is one.
 AVM_CANDIDATES = {
-    "area_m2": "size", "bedrooms_imputed": "rooms, gaps filled by location", "bathrooms_imputed": "rooms, gaps filled by location", "floors_imputed": "height, gaps filled by location",
-    "bedrooms_missing": "not told", "bathrooms_missing": "not told", "floors_missing": "not told", "frontage": "street access", "province": "regional level", "district": "local level",
-    "timeline_hours": "listing age", "district_median_price_million_vnd": "local price level", "district_median_price_per_m2": "local unit price", "is_outlier_price": "unusual price",
+    "area_m2": "size", "bedrooms_imputed": "rooms, gaps filled by location", "bathrooms_imputed": "rooms, gaps filled by location",
+    "floors_imputed": "height, gaps filled by location",
+    "bedrooms_missing": "not told", "bathrooms_missing": "not told", "floors_missing": "not told", "frontage": "street access",
+    "province": "regional level", "district": "local level",
+    "timeline_hours": "listing age", "district_median_price_million_vnd": "local price level", "district_median_price_per_m2": "local unit price",
+    "is_outlier_price": "unusual price",
     "is_outlier_area": "unusual size", "is_outlier_price_per_m2": "unusual unit price", "is_outlier_any": "any of the three",
 }
 
@@ -25,14 +28,20 @@ def modeling_strategy(missing_pct: dict[str, float]) -> dict[str, Any]:
     filled = ["bedrooms", "bathrooms", "floors"]
     return {  # fixed values: the decisions' names
         "missing_strategy": {
-            "decision": "retain_raw_and_use_imputed_plus_missing_flags", "target_columns": filled, "imputed_columns": [f"{c}_imputed" for c in filled], "missing_flag_columns": [f"{c}_missing" for c in filled],
-            "rule": "district median from 30 observed values on, else province median from 30 on, else the median of all", "observed_missing_pct": {c: float(missing_pct.get(c, 0.0)) for c in filled}},
+            "decision": "retain_raw_and_use_imputed_plus_missing_flags", "target_columns": filled,
+            "imputed_columns": [f"{c}_imputed" for c in filled], "missing_flag_columns": [f"{c}_missing" for c in filled],
+            "rule": "district median from 30 observed values on, else province median from 30 on, else the median of all",
+            "observed_missing_pct": {c: float(missing_pct.get(c, 0.0)) for c in filled}},
         "outlier_strategy": {
-            "decision": "keep_rows_use_flags_and_compare_with_robust_subset", "flag_columns": ["is_outlier_price", "is_outlier_area", "is_outlier_price_per_m2", "is_outlier_any"], "robust_subset_column": "is_robust_train_candidate"},
+            "decision": "keep_rows_use_flags_and_compare_with_robust_subset",
+            "flag_columns": ["is_outlier_price", "is_outlier_area", "is_outlier_price_per_m2", "is_outlier_any"],
+            "robust_subset_column": "is_robust_train_candidate"},
     }
 
 
-def insights(target: dict, missing_pct: dict[str, float], corr: dict, duplicates: dict, strong: dict[str, float], reconciled: dict, timeline: list[dict]) -> list[str]:
+def insights(
+    target: dict, missing_pct: dict[str, float], corr: dict, duplicates: dict, strong: dict[str, float], reconciled: dict, timeline: list[dict]
+) -> list[str]:
     """Every sentence is computed."""
     number = lambda x, form: "n/a" if x is None else format(x, form)
     total = sum(r["listing_count"] for r in timeline) or 1

@@ -29,7 +29,9 @@ JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed staging rows. The small dimensions are joined first, lineitem once."""
     read = lambda name, *cols: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
-    place = read("nation", "n_nationkey", "n_name", "n_regionkey").join(read("region", "r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
+    place = read("nation", "n_nationkey", "n_name", "n_regionkey").join(
+        read("region", "r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
     customer = read("customer", "c_custkey", "c_nationkey").join(place, F.col("c_nationkey") == F.col("n_nationkey"))
     orders = read("orders", "o_orderkey", "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey"))
     lines = read("lineitem", "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
@@ -42,7 +44,11 @@ def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows as a raw file's reader gives them: texts with blanks, true/false words; missing values null."""
     rows = staging(spark, sf_dir)
-    padded = [F.concat(F.lit(" "), F.col(c).cast("string"), F.lit("\t")).alias(c) for c in ("timeline_hours", "area_m2", "bedrooms", "bathrooms", "floors")]
+    padded = [
+        F.concat(F.lit(" "), F.col(c).cast("string"), F.lit("\t")).alias(c) for c in ("timeline_hours", "area_m2", "bedrooms", "bathrooms", "floors")
+    ]
     frontage = F.when(F.col("frontage") == 1, " True").when(F.col("frontage") == 0, "f").alias("frontage")
     title = F.concat(F.lit("  "), "title", F.lit(" ")).alias("title")
-    return rows.select("id", "detail_url", title, "location", *padded, frontage, F.col("price_million_vnd").cast("string").alias("price_million_vnd")).select(*RAW_COLUMNS)
+    return rows.select(
+        "id", "detail_url", title, "location", *padded, frontage, F.col("price_million_vnd").cast("string").alias("price_million_vnd")
+    ).select(*RAW_COLUMNS)

@@ -23,7 +23,9 @@ def test_numbers(spark):
 
 
 def test_frontage(spark):
-    assert one(spark, text.coerce_frontage, ["true", " T ", "1", "False", "f", "0", "2.5", "x", None]) == [1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 2.5, None, None]
+    assert one(
+        spark, text.coerce_frontage, ["true", " T ", "1", "False", "f", "0", "2.5", "x", None]
+    ) == [1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 2.5, None, None]
 
 
 def test_accents(spark):
@@ -46,8 +48,10 @@ def test_title(spark):
 
 
 @pytest.mark.parametrize(("place", "expected"), [
-    ("Q 12, TP HCM", ("Ho Chi Minh", "Quan 12")), ("Đống Đa, Hà Nội", ("Ha Noi", "Dong Da")), ("Hoàn Kiếm, Hà Nội", ("Ha Noi", "Huyen Oan Kiem")), ("A, B, C", ("C", "B")), ("Hà Nội", ("Ha Noi", None)),
-    ("", (None, None)), (None, (None, None)), (",", (None, None)), ("huyen Cu Chi, tinh X", ("X", "Huyen Cu Chi")), ("TX Son Tay, HN", ("Ha Noi", "Son Tay"))])
+    ("Q 12, TP HCM", ("Ho Chi Minh", "Quan 12")), ("Đống Đa, Hà Nội", ("Ha Noi", "Dong Da")), ("Hoàn Kiếm, Hà Nội", ("Ha Noi", "Huyen Oan Kiem")),
+    ("A, B, C", ("C", "B")), ("Hà Nội", ("Ha Noi", None)),
+    ("", (None, None)), (None, (None, None)), (",", (None, None)), ("huyen Cu Chi, tinh X", ("X", "Huyen Cu Chi")),
+    ("TX Son Tay, HN", ("Ha Noi", "Son Tay"))])
 def test_location(spark, place, expected):
     province, district = location.extract_location(F.col("c"))
     row = spark.createDataFrame([(place,)], "c string").select(province.alias("p"), district.alias("d")).first()
@@ -60,14 +64,19 @@ def test_strict_prefix(spark):
 
 def test_buckets(spark):
     hours = [None, -1, 0, 23, 24, 71, 72, 167, 168, 719, 720, 721]
-    assert one(spark, buckets.bucket, hours, "int") == ["unknown", "0_24h", "0_24h", "0_24h", "24_72h", "24_72h", "3_7d", "3_7d", "8_30d", "8_30d", "gt_30d", "gt_30d"]
+    assert one(spark, buckets.bucket, hours, "int") == [
+        "unknown", "0_24h", "0_24h", "0_24h", "24_72h", "24_72h", "3_7d", "3_7d", "8_30d", "8_30d", "gt_30d", "gt_30d"
+    ]
     assert one(spark, lambda c: buckets.bucket(c, buckets.USER), [24, 168], "int") == ["1_3d", "7_30d"]
     assert one(spark, buckets.ordinal, ["0_24h", "gt_30d", "unknown"]) == [1, 5, 99]
 
 
 def test_statistics(spark):
     rows = spark.createDataFrame([(1.0, 5.0, None), (2.0, 5.0, 1.0), (3.0, 5.0, 2.0), (4.0, 5.0, 4.0)], "x double, k double, y double")
-    got = rows.agg(stats.median("x").alias("m"), stats.lower_median("x").alias("l"), stats.corr("x", "k").alias("c"), stats.corr("x", "y").alias("r"), stats.skew_adjusted("k").alias("s"), stats.skew_adjusted("y").alias("t")).first()
+    got = rows.agg(
+        stats.median("x").alias("m"), stats.lower_median("x").alias("l"), stats.corr("x", "k").alias("c"), stats.corr("x", "y").alias("r"),
+        stats.skew_adjusted("k").alias("s"), stats.skew_adjusted("y").alias("t")
+    ).first()
     assert (got["m"], got["l"], got["c"], got["s"]) == (2.5, 2, None, None)
     assert got["r"] == pytest.approx(0.9819805060619659)
     assert got["t"] == pytest.approx(0.9352195295828237)

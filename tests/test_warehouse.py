@@ -15,13 +15,17 @@ from listingmart.sources.tables import ConcurrentReplacementError, Warehouse
 
 
 def staging(spark, *rows):
-    base = {"id": "1", "detail_url": "u", "title": "t", "location": "Q 1, HN", "timeline_hours": 5, "area_m2": 10.0, "bedrooms": None, "bathrooms": None, "floors": None, "frontage": None, "price_million_vnd": 100.0}
+    base = {
+        "id": "1", "detail_url": "u", "title": "t", "location": "Q 1, HN", "timeline_hours": 5, "area_m2": 10.0, "bedrooms": None, "bathrooms": None,
+        "floors": None, "frontage": None, "price_million_vnd": 100.0
+    }
     return spark.createDataFrame([tuple((base | r)[c] for c in RAW_COLUMNS) for r in rows], STAGING)
 
 
 def test_fact(spark):
     rows = staging(
-        spark, {"id": "1", "timeline_hours": 9}, {"id": "1", "timeline_hours": 2, "price_million_vnd": 1200.0}, {"id": "2", "detail_url": " ", "location": ""},
+        spark, {"id": "1", "timeline_hours": 9}, {"id": "1", "timeline_hours": 2, "price_million_vnd": 1200.0},
+        {"id": "2", "detail_url": " ", "location": ""},
         {"id": "3", "detail_url": "w", "price_million_vnd": 0.0}, {"id": "4", "detail_url": "x", "timeline_hours": None, "area_m2": 8.0})
     got = {r["listing_id"]: r for r in fact.build_fact(rows).collect()}
     assert sorted(got) == ["1", "2", "4"]
@@ -30,7 +34,10 @@ def test_fact(spark):
 
 
 def test_dedupe_order(spark):
-    rows = staging(spark, {"id": "b", "timeline_hours": None, "floors": 1}, {"id": "a", "timeline_hours": 3}, {"id": "c", "timeline_hours": 3, "bedrooms": 2}, {"id": "d", "timeline_hours": 3, "bathrooms": 2})
+    rows = staging(
+        spark, {"id": "b", "timeline_hours": None, "floors": 1}, {"id": "a", "timeline_hours": 3}, {"id": "c", "timeline_hours": 3, "bedrooms": 2},
+        {"id": "d", "timeline_hours": 3, "bathrooms": 2}
+    )
     assert [r["id"] for r in fact.dedupe_latest(rows).collect()] == ["c"]
 
 
@@ -50,9 +57,17 @@ def test_empty(spark):
 
 
 def test_quality(spark):
-    rows = staging(spark, {"detail_url": "a", "price_million_vnd": None}, {"detail_url": "a ", "price_million_vnd": -1.0}, {"detail_url": "", "area_m2": None}, {"detail_url": "b", "area_m2": 0.0})
+    rows = staging(
+        spark, {"detail_url": "a", "price_million_vnd": None}, {"detail_url": "a ", "price_million_vnd": -1.0}, {"detail_url": "", "area_m2": None},
+        {"detail_url": "b", "area_m2": 0.0}
+    )
     got = quality.metrics(rows, rows.limit(2).select(F.col("id").alias("listing_id")))
-    assert [got[k] for k in ("total_rows", "fact_rows", "null_price_count", "invalid_price_count", "null_area_count", "invalid_area_count", "duplicate_non_empty_detail_url_rows")] == [4, 2, 1, 1, 1, 1, 2]
+    assert [
+        got[k] for k in (
+            "total_rows", "fact_rows", "null_price_count", "invalid_price_count", "null_area_count", "invalid_area_count",
+            "duplicate_non_empty_detail_url_rows"
+        )
+    ] == [4, 2, 1, 1, 1, 1, 2]
     with pytest.raises(quality.QualityGateError, match="null_price_ratio=0.2500 > 0.1000"):
         quality.enforce(got)
     quality.enforce(got, quality.Thresholds(0.25, 0.25, 0.25, 0.25, 0.5, 0.5))  # at the thresholds
@@ -60,7 +75,9 @@ def test_quality(spark):
 
 @pytest.mark.parametrize(("observed", "level"), [(29, "province"), (30, "district")])
 def test_imputation_levels(spark, observed, level):
-    f = [{"id": f"d{i}", "detail_url": f"d{i}", "location": "D1, P", "bedrooms": 1} for i in range(observed)] + [{"id": f"p{i}", "detail_url": f"p{i}", "location": "D2, P", "bedrooms": 7} for i in range(40)]
+    f = [
+        {"id": f"d{i}", "detail_url": f"d{i}", "location": "D1, P", "bedrooms": 1} for i in range(observed)
+    ] + [{"id": f"p{i}", "detail_url": f"p{i}", "location": "D2, P", "bedrooms": 7} for i in range(40)]
     f += [{"id": "gap", "detail_url": "gap", "location": "D1, P"}, {"id": "far", "detail_url": "far", "location": "E, Z"}]
     rows = fact.build_fact(staging(spark, *f))
     got = {r["listing_id"]: r for r in avm.avm_mart(rows, fact.dim_location(rows)).filter("bedrooms is null").collect()}
@@ -84,12 +101,16 @@ def test_marts(spark, data):
 
 
 def frame(spark, *rows):
-    return spark.createDataFrame(list(rows), "listing_id string, province string, district string, target_price_million_vnd double, target_price_per_m2 double")
+    return spark.createDataFrame(
+        list(rows), "listing_id string, province string, district string, target_price_million_vnd double, target_price_per_m2 double"
+    )
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 999, 30_000])
 def test_exact_quantiles(spark, n):
-    rows = spark.range(n).select(F.when(F.col("id") % 7 != 3, F.rand(1) * 1000).alias("x"), (F.col("id") % 5).cast("int").alias("y"), F.lit(None).cast("double").alias("z"))
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 7 != 3, F.rand(1) * 1000).alias("x"), (F.col("id") % 5).cast("int").alias("y"), F.lit(None).cast("double").alias("z")
+    )
     at = (0.0, 0.01, 0.25, 0.5, 0.75, 0.995, 1.0)
     got = exact_quantiles(rows, {"x": at, "y": (0.5,), "z": (0.5,)}).first()
     want = rows.agg(*(F.percentile(c, F.array(*map(F.lit, p))).alias(c) for c, p in (("x", at), ("y", (0.5,)), ("z", (0.5,))))).first()
@@ -123,8 +144,14 @@ def test_replacements_at_once(spark, tmp_path):
 
 def test_encoder_unseen(spark):
     ref = encoders.fit_reference(frame(spark, ("1", "P", "D", 10.0, 0.0), ("2", "P", "D", 30.0, 0.0), ("3", None, None, 5.0, 1.0)))
-    got = {r["listing_id"]: r for r in encoders.apply_reference(frame(spark, ("a", "P", "new", 0.0, 0.0), ("b", "new", "new", 0.0, 0.0), ("c", " P ", "D", 0.0, 0.0)), ref).collect()}
-    assert (got["a"]["district_listing_count"], got["a"]["district_median_price_million_vnd"], got["a"]["district_to_province_price_ratio"]) == (0, 20.0, 1.0)
+    got = {
+        r["listing_id"]: r for r in encoders.apply_reference(
+            frame(spark, ("a", "P", "new", 0.0, 0.0), ("b", "new", "new", 0.0, 0.0), ("c", " P ", "D", 0.0, 0.0)), ref
+        ).collect()
+    }
+    assert (
+        got["a"]["district_listing_count"], got["a"]["district_median_price_million_vnd"], got["a"]["district_to_province_price_ratio"]
+    ) == (0, 20.0, 1.0)
     assert (got["b"]["province_listing_count"], got["b"]["province_frequency"], got["b"]["province_median_price_million_vnd"]) == (0, 0.0, 10.0)
     assert got["c"]["province_listing_count"] == 2 and got["c"]["district_to_province_price_per_m2_ratio"] == 1.0
 
@@ -167,7 +194,9 @@ def test_csv_and_pipeline(spark, tmp_path):
     raw = read_raw_text(spark, str(path))
     assert raw.columns == RAW_COLUMNS
     got = {r["id"]: r for r in build_staging(raw).collect()}
-    assert (got["1"]["title"], got["1"]["detail_url"], got["1"]["bedrooms"], got["1"]["bathrooms"], got["1"]["frontage"]) == ('a, "b"', "u1", 2, None, 1.0)
+    assert (
+        got["1"]["title"], got["1"]["detail_url"], got["1"]["bedrooms"], got["1"]["bathrooms"], got["1"]["frontage"]
+    ) == ('a, "b"', "u1", 2, None, 1.0)
     assert (got["2"]["area_m2"], got["2"]["price_million_vnd"], got["2"]["detail_url"], got["2"]["location"]) == (None, None, None, None)
     root = f"file://{tmp_path}/house"
     with pytest.raises(quality.QualityGateError):
@@ -192,7 +221,10 @@ def test_figures():
     made = figures.bars("t <&>", [("a", 3.0), ("b", 0.0)], "n")
     assert "".join(made.parts).count("<rect") == 2 and "&lt;&amp;&gt;" in made.parts[0]
     assert figures.tint(1.0) == "#2a78d6" and figures.tint(0.0) == figures.MIDDLE_HEX
-    for empty in (figures.histogram("", [], ""), figures.bars("", [], ""), figures.boxes("", [], "k", 1.0), figures.points("", [], "x", "y"), figures.matrix("", [])):
+    for empty in (
+        figures.histogram("", [], ""), figures.bars("", [], ""), figures.boxes("", [], "k", 1.0), figures.points("", [], "x", "y"),
+        figures.matrix("", [])
+    ):
         ElementTree.fromstring(figures.page([empty]))
 
 
@@ -206,9 +238,15 @@ def test_strict_copy(spark, tmp_path):
 
 
 def test_profile_duplicates(spark):
-    rows = staging(spark, {"id": "1", "detail_url": "a"}, {"id": "1", "detail_url": "a"}, {"id": None, "detail_url": None}, {"id": None, "detail_url": "b"}, {"id": "2", "detail_url": ""})
+    rows = staging(
+        spark, {"id": "1", "detail_url": "a"}, {"id": "1", "detail_url": "a"}, {"id": None, "detail_url": None}, {"id": None, "detail_url": "b"},
+        {"id": "2", "detail_url": ""}
+    )
     got = profile.duplicates(rows).first().asDict()
-    assert got == {"duplicate_id_rows": 4, "duplicate_id_keys": 2, "duplicate_detail_url_all_rows": 2, "duplicate_detail_url_all_keys": 1, "duplicate_detail_url_rows": 2, "duplicate_detail_url_keys": 1, "full_row_duplicates": 1}
+    assert got == {
+        "duplicate_id_rows": 4, "duplicate_id_keys": 2, "duplicate_detail_url_all_rows": 2, "duplicate_detail_url_all_keys": 1,
+        "duplicate_detail_url_rows": 2, "duplicate_detail_url_keys": 1, "full_row_duplicates": 1
+    }
 
 
 def test_add_missing(spark):
