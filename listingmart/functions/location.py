@@ -53,3 +53,12 @@ def extract_location(location: Column, strict_prefix: bool = False) -> tuple[Col
 def known(c: Column) -> Column:
     """Unknown for null and blank."""
     return F.coalesce(blank_to_null(strip(c)), F.lit("Unknown"))
+
+
+def legacy_places(location: Column) -> tuple[Column, Column]:
+    """(province, district) as an older SQL load had them: the second and the first part whatever their number, with
+    capitals and marks kept. Only for comparison with tables of that load."""
+    part = lambda k: strip(F.split_part(location, F.lit(","), F.lit(k)))
+    runs = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1))
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))
+    return known(F.array_join(F.transform(runs(part(2)), capital), "")), known(F.array_join(F.transform(runs(part(1)), capital), ""))

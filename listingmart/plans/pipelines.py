@@ -208,7 +208,8 @@ def main(argv: list[str] | None = None) -> None:
     spark = build()
     if a.command == "load":
         chosen = quality.Thresholds(**{f.name: getattr(a, f.name) for f in fields(quality.Thresholds)})
-        print(run_load(spark, read_raw_text(spark, a.csv_path), a.warehouse, chosen, a.skip_marts, a.skip_quality_gate))
+        done = run_load(spark, read_raw_text(spark, a.csv_path), a.warehouse, chosen, a.skip_marts, a.skip_quality_gate)
+        print("\n".join(f"{k}: {report.told(v)}" for k, v in done.items()))
     elif a.command == "explore":
         print("\n".join(run_explore(spark, a.warehouse, a.output_dir, a.min_district_listings, a.max_scatter_points)["Insights"]))
     elif a.command == "features":

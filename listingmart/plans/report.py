@@ -58,16 +58,27 @@ def insights(
     ]
 
 
+def told(value: Any) -> str:
+    """Whole numbers with thousands separators, ratios of four digits, all else as it is."""
+    if isinstance(value, bool) or value is None:
+        return str(value)
+    return f"{value:,}" if isinstance(value, int) else f"{value:,.4f}".rstrip("0").rstrip(".") if isinstance(value, float) else str(value)
+
+
+def percent(share: float) -> str:
+    return f"{share * 100:.2f}%"
+
+
 def markdown(title: str, sections: dict[str, Any]) -> str:
     """Lists of dicts as tables, dicts as key lists, lists as bullets."""
     out = [f"# {title}", ""]
     for name, body in sections.items():
         out += [f"## {name}", ""]
         if isinstance(body, dict):
-            out += [f"- {k}: {v}" for k, v in body.items()]
+            out += [f"- {k}: {percent(v) if k.endswith('ratio') and v is not None else told(v)}" for k, v in body.items()]
         elif body and isinstance(body[0], dict):
             keys = list(body[0])
-            out += ["| " + " | ".join(keys) + " |", "|" + "---|" * len(keys), *("| " + " | ".join(str(r[k]) for k in keys) + " |" for r in body)]
+            out += ["| " + " | ".join(keys) + " |", "|" + "---|" * len(keys), *("| " + " | ".join(told(r[k]) for k in keys) + " |" for r in body)]
         else:
             out += [f"- {x}" for x in body] if isinstance(body, list) else [str(body)]
         out.append("")

@@ -744,6 +744,18 @@ def _(spark, d):
     return rows.select("location", location.known(province).alias("province"), location.known(district).alias("district"))
 
 
+_CAPITAL = "array_to_string([upper(w[1]) || w[2:] for w in string_split(lower(split_part(location, ', ', {0})), ' ')], ' ')"
+
+
+@add(
+    "legacy_locations",
+    f"SELECT DISTINCT location, {_CAPITAL.format(2)} AS province, {_CAPITAL.format(1)} AS district FROM staging", STAGING
+)
+def _(spark, d):
+    province, district = location.legacy_places(F.col("location"))
+    return staging(spark, d).select("location").distinct().select("location", province.alias("province"), district.alias("district"))
+
+
 _LIMITS = quality.Thresholds(max_null_area_ratio=0.01, max_invalid_price_ratio=0.0, max_duplicate_detail_url_ratio=1.0, min_fact_row_ratio=0.999)
 
 

@@ -36,7 +36,7 @@ FAST = [
     "market_mart", "staging_cast", "accent_strip", "fact_listings", "avm_mart", "feature_mart", "missing_summary", "corr_matrix_long",
     "skew_adjusted", "mart_reconcile_full_outer", "quality_metrics", "profile_stats", "profile_iqr", "profile_duplicates", "encoder_apply",
     "encoder_oof", "date_dim_sequence", "dedupe_latest", "linear_one_hot", "csv_load", "strict_copy", "table_replace", "add_missing_dates",
-    "spaces_normalize", "location_cases", "gate_violations", "finite_values", "effect_range_or_null", "sample_size", "province_medians_distributed",
+    "spaces_normalize", "location_cases", "gate_violations", "finite_values", "effect_range_or_null", "sample_size", "legacy_locations", "province_medians_distributed",
     "province_refs", "encoder_fit_province"
 ]
 

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from listingmart.functions import buckets, location, stats, text
+from listingmart.plans import report
 
 
 def one(spark, column, values, kind="string"):
@@ -82,3 +83,15 @@ def test_statistics(spark):
     assert got["t"] == pytest.approx(0.9352195295828237)
     none = rows.filter("x > 9").agg(stats.median("x").alias("m"), stats.lower_median("x").alias("l"), stats.corr("x", "y").alias("c")).first()
     assert tuple(none) == (None, None, None)
+
+
+def test_legacy_places(spark):
+    df = spark.createDataFrame([("quận 1a, HÀ NỘI",), ("a, b, c",), ("x",), (None,)], "location string")
+    province, district = location.legacy_places(F.col("location"))
+    got = [tuple(r) for r in df.select(province, district).collect()]
+    assert got == [("Hà Nội", "Quận 1a"), ("B", "A"), ("Unknown", "X"), ("Unknown", "Unknown")]
+
+
+def test_told():
+    assert [report.told(x) for x in (66912, 0.5, 1234.5678, True, None, "a")] == ["66,912", "0.5", "1,234.5678", "True", "None", "a"]
+    assert report.percent(0.2476) == "24.76%" and "- null_area_ratio: 24.76%" in report.markdown("t", {"x": {"null_area_ratio": 0.2476}})
