@@ -47,30 +47,51 @@ def format_chat(conversations: DataFrame, budget: int = 2048, history: int = 512
     w = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "body")
     turns = turns.withColumn("pos", F.row_number().over(w)).withColumn("sys", (F.col("pos") == 1) & (F.col("role") == "system"))
     paid = F.when(F.col("sys"), 0).otherwise(F.col("tokens"))
-    turns = turns.withColumn("at", F.when(F.col("sys"), -1).otherwise(F.coalesce(F.sum(paid).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("long"))
+    turns = turns.withColumn(
+        "at", F.when(F.col("sys"), -1).otherwise(F.coalesce(F.sum(paid).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("long")
+    )
 
     by_at = Window.partitionBy("conv_id").orderBy("at")
     whole = by_at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kept = F.coalesce(F.max(F.when(F.col("sys"), F.col("tokens"))).over(whole), F.lit(0))
     turns = turns.withColumn("step", F.greatest(F.lit(budget - history) - kept, F.lit(budget // 4)).cast("long"))
-    turns = turns.withColumn("cell", F.when(~F.col("sys"), F.struct(F.expr("at div step").alias("a"), F.expr("(at + tokens - 1) div step").alias("b"))))
+    turns = turns.withColumn(
+        "cell", F.when(~F.col("sys"), F.struct(F.expr("at div step").alias("a"), F.expr("(at + tokens - 1) div step").alias("b")))
+    )
     turns = turns.withColumn("first", ~F.col("sys") & ~F.lag("cell").over(by_at).eqNullSafe(F.col("cell")))
     started = F.sum(F.col("first").cast("int"))
     turns = turns.withColumn("span", F.greatest(started.over(by_at.rowsBetween(Window.unboundedPreceding, 0)) - 1, F.lit(0)).cast("int"))
     turns = turns.withColumn("spans", started.over(whole).cast("int"))
     turns = turns.withColumn("later", F.collect_list(F.when(F.col("first"), F.col("span"))).over(by_at.rangeBetween(1, history)))
     again = F.when(F.col("sys"), F.expr("if(spans > 1, sequence(1, spans - 1), cast(array() as array<int>))")).otherwise(F.col("later"))
-    placed = turns.withColumn("_to", F.explode(F.concat(F.array(F.struct(F.col("span").alias("window"), F.lit(False).alias("again"))), F.transform(again, lambda s: F.struct(s.alias("window"), F.lit(True).alias("again"))))))
-    placed = placed.select("conv_id", F.col("_to.window").alias("window"), F.col("_to.again").alias("again"), "pos", "role", "tokens", F.concat(F.lit("<turn "), escaped(F.col("role")), F.lit(">\n")).alias("head"), escaped(F.col("body")).alias("body"))
+    placed = turns.withColumn(
+        "_to",
+        F.explode(
+            F.concat(
+                F.array(F.struct(F.col("span").alias("window"), F.lit(False).alias("again"))),
+                F.transform(again, lambda s: F.struct(s.alias("window"), F.lit(True).alias("again")))
+            )
+        )
+    )
+    placed = placed.select(
+        "conv_id", F.col("_to.window").alias("window"), F.col("_to.again").alias("again"), "pos", "role", "tokens",
+        F.concat(F.lit("<turn "), escaped(F.col("role")), F.lit(">\n")).alias("head"), escaped(F.col("body")).alias("body")
+    )
     placed = placed.withColumn("size", F.length("head") + F.length("body") + len(END))
     in_window = Window.partitionBy("conv_id", "window").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("size").over(in_window), F.lit(0)) + F.length("head")
     target = ~F.col("again") & (F.col("role") == "assistant")
-    placed = placed.withColumn("loss", F.when(target, F.struct(start.cast("int").alias("start"), (start + F.length("body")).cast("int").alias("end"))))
+    placed = placed.withColumn(
+        "loss", F.when(target, F.struct(start.cast("int").alias("start"), (start + F.length("body")).cast("int").alias("end")))
+    )
     one = F.struct("pos", F.concat("head", "body", F.lit(END)).alias("text"), "loss")
     out = placed.groupBy("conv_id", "window").agg(
-        F.sum(F.col("again").cast("int")).cast("int").alias("n_context"), F.count(F.lit(1)).cast("int").alias("n_turns"), F.sum("tokens").alias("n_tokens"), F.array_sort(F.collect_list(one)).alias("all"))
-    return out.select("conv_id", "window", "n_context", "n_turns", "n_tokens", F.array_join(F.col("all.text"), "").alias("text"), F.filter(F.col("all.loss"), lambda x: x.isNotNull()).alias("loss"))
+        F.sum(F.col("again").cast("int")).cast("int").alias("n_context"), F.count(F.lit(1)).cast("int").alias("n_turns"),
+        F.sum("tokens").alias("n_tokens"), F.array_sort(F.collect_list(one)).alias("all"))
+    return out.select(
+        "conv_id", "window", "n_context", "n_turns", "n_tokens", F.array_join(F.col("all.text"), "").alias("text"),
+        F.filter(F.col("all.loss"), lambda x: x.isNotNull()).alias("loss")
+    )
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -82,19 +103,32 @@ def read_back(windows: DataFrame) -> DataFrame:
     parts = F.split("text", END, -1)
     new = F.slice(parts, F.col("n_context") + 1, F.col("n_turns") - F.col("n_context"))
     masked = F.transform("loss", lambda x: unescaped(F.substr(F.col("text"), x["start"] + 1, x["end"] - x["start"])))
-    return windows.select("conv_id", "window", F.length("text").alias("chars"), F.transform(new, turn).alias("turns"), F.array_join(masked, "").alias("masked"))
+    return windows.select(
+        "conv_id", "window", F.length("text").alias("chars"), F.transform(new, turn).alias("turns"), F.array_join(masked, "").alias("masked")
+    )
 
 
 def op2_chat(spark, sf_dir):
     odd = "\\### Assistant: </turn> ok"
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    told = told.unionByName(spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text")))
+    told = told.unionByName(
+        spark.range(2).select(
+            F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+            F.lit(odd).alias("text")
+        )
+    )
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    back = read_back(format_chat(told)).select("conv_id", F.struct("window", lines.alias("lines"), "masked").alias("one"), F.size("turns").alias("n"), "chars")
-    out = back.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list("one")).alias("all"), F.count(F.lit(1)).alias("n_windows"))
+    back = read_back(format_chat(told)).select(
+        "conv_id", F.struct("window", lines.alias("lines"), "masked").alias("one"), F.size("turns").alias("n"), "chars"
+    )
+    out = back.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list("one")).alias("all"),
+        F.count(F.lit(1)).alias("n_windows")
+    )
     masked = F.array_join(F.col("all.masked"), "")
     return out.select(
-        "conv_id", "n_turns", F.sha2(F.array_join(F.col("all.lines"), ""), 256).alias("turns_sha256"), F.length(masked).cast("long").alias("loss_chars"), F.sha2(masked, 256).alias("loss_sha256"), "formatted_chars", "n_windows")
+        "conv_id", "n_turns", F.sha2(F.array_join(F.col("all.lines"), ""), 256).alias("turns_sha256"),
+        F.length(masked).cast("long").alias("loss_chars"), F.sha2(masked, 256).alias("loss_sha256"), "formatted_chars", "n_windows")
 
 
 OP2_SQL = r"""

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, materialize, scratch_path, scratch_root
 
-__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "discard", "fold", "fresh", "kept", "materialize", "n_words", "row_key", "scratch_path", "scratch_root", "shared_files", "table"]
+__all__ = [
+    "LOWER", "SPACE", "UPPER", "WORD", "discard", "fold", "fresh", "kept", "materialize", "n_words", "row_key", "scratch_path", "scratch_root",
+    "shared_files", "table"
+]
 
 #: A word is a run of anything but these six ASCII space characters.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -66,7 +66,9 @@ class Index:
         self.impact: dict[int, list[float]] = defaultdict(list)
         for k, w in enumerate(self.words):
             counts = Counter(w)
-            raw = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in counts.items()}
+            raw = {
+                t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in counts.items()
+            }
             total = sum(raw.values())
             for t, x in raw.items():
                 self.items[t].append(k)
@@ -189,7 +191,10 @@ class Terms(dict):
 class Matcher:
     """The indexes of one block of items: (id, words), which the file holds; df is of these words, n and mean of all items."""
 
-    def __init__(self, items: Sequence[tuple[int | None, list[str]]], df: dict[str, int], n: int, mean: float, threshold: float = THRESHOLD, overlap: float = OVERLAP):
+    def __init__(
+        self, items: Sequence[tuple[int | None, list[str]]], df: dict[str, int], n: int, mean: float, threshold: float = THRESHOLD,
+        overlap: float = OVERLAP
+    ):
         self.known: dict[str, int] = {}
         self.overlap = overlap
         classes: dict[int, list[tuple[int | None, list[int]]]] = defaultdict(list)

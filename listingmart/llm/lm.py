@@ -299,7 +299,9 @@ class Part:
         """Whether no other part has the context."""
         return np.zeros(len(at), bool) if d == 1 else ~self.whole[d][at]
 
-    def verdicts(self, total: int, gain: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def verdicts(self, total: int, gain: float) -> Iterator[
+        tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+    ]:
         """By depth: words, places, verdicts (-1: not known here), whether no other part has the context, their counts, and of
         the places that speak for a symbol that follows twice or more: positions, the symbols' counts and gains."""
         for d, at, about, c, above in self.weighed(total):
@@ -433,7 +435,12 @@ def send_gains(part: str, me: Part, total: int, gain: float, buckets: int) -> pd
     for b, lo, hi in ranges(kinds, buckets, me.width):
         at = np.flatnonzero(repeats[lo:hi])
         own = lo + at
-        rows.append((b, packed_sorted(kinds[lo:hi]), packed(told[lo:hi]), packed(at.astype(np.int32)), packed(np.stack([size[own], repeats[own]])), packed(sums[own].T)))
+        rows.append(
+            (
+                b, packed_sorted(kinds[lo:hi]), packed(told[lo:hi]), packed(at.astype(np.int32)), packed(np.stack([size[own], repeats[own]])),
+                packed(sums[own].T)
+            )
+        )
     return sent(part, me.state, rows, states)
 
 
@@ -514,7 +521,9 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, gai
             hashes = np.fromiter((xxhash.xxh64_intdigest(names[i]) for i in order), np.uint64, len(names))
             n = int(sizes[[not is_held_out(i) for i in ids]].sum())
             null = np.array([i is None for i in ids])
-            state = folder.put(packed(to[coded]), packed(sizes.astype(np.int32)), packed(hashes), packed(np.array([i or 0 for i in ids], np.int64)), packed(null))
+            state = folder.put(
+                packed(to[coded]), packed(sizes.astype(np.int32)), packed(hashes), packed(np.array([i or 0 for i in ids], np.int64)), packed(null)
+            )
             yield pa.RecordBatch.from_pydict({"part": [f"{task}-{k}"], "state": [state], "n": pa.array([n], pa.int64())})
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(code, "part string, state string, n long")
@@ -571,10 +580,14 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, gai
         g, me = opened(g)
         base, p = me.scores(g, total, known)
         return pd.DataFrame({
-            "doc_id": pd.array(me.ids, dtype="Int64"), "held_out": [is_held_out(i) for i in me.ids], "n_tokens": me.sizes, "n_known": np.add.reduceat((me.n[1] > 0).astype(np.int64), me.starts), "train_tokens": total,
+            "doc_id": pd.array(me.ids, dtype="Int64"), "held_out": [is_held_out(i) for i in me.ids], "n_tokens": me.sizes,
+            "n_known": np.add.reduceat((me.n[1] > 0).astype(np.int64), me.starts), "train_tokens": total,
             "base_score": np.add.reduceat(np.log10(base), me.starts), "score": np.add.reduceat(np.log10(p), me.starts), "n_states": states})
 
-    return by_part(verdicts, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_states long")
+    return by_part(
+        verdicts, finish,
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_states long"
+    )
 
 
 def op3_lm_score(spark, sf_dir):

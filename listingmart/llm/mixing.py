@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialize, n_words, row_key, table
 
-#: Chunks of a source; different rows of a chunk of whole documents, about.
-CHUNKS, KINDS = 1024, 4096
+#: Chunks of a source at least, and documents for each chunk; different rows of a chunk of whole documents, about.
+CHUNKS, SHARE, KINDS = 1024, 50_000, 4096
+#: Rows of the plan at most: with many sources there are fewer shards.
+PLAN = 2_000_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: float) -> list[float]:
@@ -120,20 +122,29 @@ def plan_shards(slots: Sequence[int], shard_slots: int, max_shards: int, seed: i
     return np.array(out).reshape(shards, len(slots))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 1024, shard_slots: int = 4096, max_shards: int = 1024, max_sources: int = 100_000, seed: int = 7, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def mix(
+    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 1024, shard_slots: int = 4096,
+    max_shards: int = 1024, max_sources: int = 100_000, seed: int = 7, carry: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """(per document: doc_id, source, size, source_size, target, taken and the carried columns;
     the manifest: shard, slot, source number, block, words).
 
     The plan holds one row per source and per (shard, source); sources are checked against max_sources
-    and shards held to max_shards, beyond which they hold more than shard_slots slots, so its size is
-    bounded whatever the input. Carried columns must not be called as the result's or with a leading underscore
+    and shards held to max_shards and PLAN rows in all, beyond which they hold more than shard_slots slots,
+    so its size is bounded whatever the input. Carried columns must not be called as the result's or with a leading underscore
     but `_key`.
     """
     spark = docs.sparkSession
-    if bad := [c for c in carry if c != "_key" and (c.startswith("_") or c.lower() in ("doc_id", "source", "size", "source_size", "target", "taken", "k", "block", "uses"))]:
+    if bad := [
+        c for c in carry if c != "_key" and (
+            c.startswith("_") or c.lower() in ("doc_id", "source", "size", "source_size", "target", "taken", "k", "block", "uses")
+        )
+    ]:
         raise ValueError(f"carried columns clash: {bad}")
     sized = docs.select("doc_id", "source", *carry, n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("_h"))
-    sized = materialize(sized.withColumn("_chunk", F.pmod("_h", F.lit(CHUNKS)).cast("int")), "mix-sizes")
+    sized = materialize(sized, "mix-sizes")
+    chunks = max(CHUNKS, -(-sized.count() // SHARE))
+    sized = sized.withColumn("_chunk", F.pmod("_h", F.lit(chunks)).cast("int"))
     by_chunk = sized.groupBy("source", "_chunk").agg(F.sum("size").alias("_words"))
     totals = by_chunk.groupBy("source").agg(F.sum("_words").alias("size")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
@@ -141,9 +152,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     plan = plan_sources([(r["source"], int(r["size"])) for r in totals], weights, share, cap, block, seed)
     named = spark.createDataFrame([(p["k"], p["source"], p["size"], p["target"]) for p in plan], "k int, _s string, source_size long, target double")
 
-    counts = plan_shards([p["slots"] for p in plan], shard_slots, max_shards, seed)
+    counts = plan_shards([p["slots"] for p in plan], shard_slots, max(1, min(max_shards, PLAN // max(1, len(plan)))), seed)
     first = np.cumsum(counts, axis=0) - counts
-    rows = [(s, p["k"], p["source"], p["n"], p["size"], p["slots"], p["last"], int(first[s, p["k"]]), int(counts[s, p["k"]])) for s in range(len(counts)) for p in plan if counts[s, p["k"]]]
+    rows = [
+        (
+            s, p["k"], p["source"], p["n"], p["size"], p["slots"], p["last"], int(first[s, p["k"]]), int(counts[s, p["k"]])
+        ) for s in range(len(counts)) for p in plan if counts[s, p["k"]]
+    ]
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -160,14 +175,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
                     yield pd.DataFrame({"shard": r.shard, "slot": j, "k": r.k, "block": at, "words": words})
 
     shape = "shard int, k int, source string, n long, size long, slots long, last long, first long, count long"
-    manifest = spark.createDataFrame(rows, shape).repartition(max(1, min(len(rows), 256)), "shard", "k").mapInPandas(slots, "shard int, slot long, k int, block long, words long")
+    manifest = spark.createDataFrame(rows, shape).repartition(max(1, min(len(rows), 256)), "shard", "k").mapInPandas(
+        slots, "shard int, slot long, k int, block long, words long"
+    )
 
     ahead = Window.partitionBy("source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     heads = by_chunk.withColumn("_head", F.coalesce(F.sum("_words").over(ahead), F.lit(0))).join(named, F.col("source").eqNullSafe(F.col("_s")))
     heads = heads.select(F.col("source").alias("_hs"), F.col("_chunk").alias("_hc"), "_head", "k", "source_size", "target")
     inside = Window.partitionBy("source", "_chunk").orderBy("doc_id", "_h", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(heads, F.col("source").eqNullSafe(F.col("_hs")) & (F.col("_chunk") == F.col("_hc"))).withColumn("_start", F.col("_start") + F.col("_head"))
+    placed = placed.join(
+        heads, F.col("source").eqNullSafe(F.col("_hs")) & (F.col("_chunk") == F.col("_hc"))
+    ).withColumn("_start", F.col("_start") + F.col("_head"))
     keep = ["doc_id", "source", *carry, "size", "source_size", "target"]
 
     uses = manifest.withColumn("_full", F.col("words")).groupBy("k", "block").agg(F.collect_list("words").alias("uses"))

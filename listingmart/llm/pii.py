@@ -44,7 +44,8 @@ PATTERNS = {
 VALID = {
     "email": "true",
     "ip": "forall(split(m, '[.]'), p -> length(trim(LEADING '0' FROM p)) <= 3 AND coalesce(try_cast(trim(LEADING '0' FROM p) AS int), 0) <= 255)",
-    "card": "aggregate(sequence(1, length(d)), 0, (a, i) -> a + if(i % 2 = 1, int(substr(d, -i, 1)), int(element_at(array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9), int(substr(d, -i, 1)) + 1)))) % 10 = 0",
+    "card": "aggregate(sequence(1, length(d)), 0, (a, i) -> a + if(i % 2 = 1, int(substr(d, -i, 1)), int(element_at(array(0, 2, 4, 6, 8, 1, 3, 5, 7, "
+    "9), int(substr(d, -i, 1)) + 1)))) % 10 = 0",
     "phone": "length(d) BETWEEN 8 AND 15",
 }
 #: Look-alikes: numbers (kind by their digits and dots) and addresses.
@@ -68,7 +69,9 @@ def located(text: Column, pattern: str) -> Column:
     def step(at: Column, one: Column) -> Column:
         start = at["at"] + F.length(one["gap"])
         end = start + F.length(one["m"])
-        return F.struct(end.alias("at"), F.concat(at["all"], F.array(F.struct(start.alias("start"), end.alias("end"), one["m"].alias("m")))).alias("all"))
+        return F.struct(
+            end.alias("at"), F.concat(at["all"], F.array(F.struct(start.alias("start"), end.alias("end"), one["m"].alias("m")))).alias("all")
+        )
 
     steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
     none = F.expr("named_struct('at', 0, 'all', cast(array() as array<struct<start:int,end:int,m:string>>))")
@@ -93,7 +96,11 @@ def base_spans(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_number", _when(F.col("_digits"), located(F.col("_t"), NUMBER), PLACES))
     out = out.withColumn("_address", _when(F.rlike("_t", F.lit(r"@|[(\[]at[)\]]")), located(F.col("_t"), ADDRESS), PLACES))
     out = out.withColumn("_secret", _when(F.col("_digits"), located(F.col("_t"), SECRET), PLACES))
-    kept = [f"transform(filter(_{kind}, x -> exists(array(struct(x.m AS m, regexp_replace(x.m, '[^0-9]', '') AS d)), y -> {_bound(VALID[kind])})), x -> struct({k} AS kind, x.start, x.end, x.m))" for k, kind in enumerate(KINDS)]
+    kept = [
+        f"transform(filter(_{kind}, x -> exists(array(struct(x.m AS m, regexp_replace(x.m, '[^0-9]', '') AS d)), y -> {_bound(VALID[kind])})), "
+        f"x -> struct({k} AS kind, x.start, x.end, x.m))" for k,
+        kind in enumerate(KINDS)
+    ]
     out = out.withColumn("_base", F.expr(f"concat({', '.join(kept)})"))
     number = "length(regexp_replace(x.m, '[^0-9]', ''))"
     near = f"""concat(transform(_address, x -> struct(0 AS kind, x.start, x.end, x.m)),
@@ -116,7 +123,10 @@ def _in_context(x: Column) -> Column:
     words = F.filter(F.split(before, EDGE), lambda w: w != "")
     last = lambda k: F.coalesce(F.try_element_at(words, F.lit(-k)), F.lit(""))
     following = F.coalesce(F.try_element_at(F.filter(F.split(after, EDGE), lambda w: w != ""), F.lit(1)), F.lit(""))
-    return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), last(1).alias("left1"), F.concat(last(2), F.lit(" "), last(1)).alias("left2"), following.alias("right1"))
+    return F.struct(
+        x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), last(1).alias("left1"),
+        F.concat(last(2), F.lit(" "), last(1)).alias("left2"), following.alias("right1")
+    )
 
 
 def patterns(x: Column) -> Column:
@@ -154,8 +164,12 @@ def confident_patterns(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS)
     links = places.select(F.col("x.kind").alias("kind"), F.col("x.m").alias("m"), "seed", F.explode(patterns(F.col("x"))).alias("pattern"))
     links = materialize(links.groupBy("kind", "pattern", "m").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("places")), "pii-places")
     # a pattern without enough seeds, or without look-alikes (as secrets' seeds are), decides nothing
-    useful = links.groupBy("kind", "pattern").agg(F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("n"), F.sum("places").alias("places")).filter((F.col("seeds") >= SUPPORT) & ((F.col("n") > F.col("seeds")) | (F.col("kind") == SECRET_KIND)))
-    useful = materialize(useful.select("kind", "pattern", "places", F.explode(F.split(F.substr("pattern", F.lit(4)), " ")).alias("word")), "pii-useful")
+    useful = links.groupBy("kind", "pattern").agg(F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("n"), F.sum("places").alias("places")).filter(
+        (F.col("seeds") >= SUPPORT) & ((F.col("n") > F.col("seeds")) | (F.col("kind") == SECRET_KIND))
+    )
+    useful = materialize(
+        useful.select("kind", "pattern", "places", F.explode(F.split(F.substr("pattern", F.lit(4)), " ")).alias("word")), "pii-useful"
+    )
     if useful.isEmpty():
         return None
     links = materialize(links.join(specific(useful, docs), ["kind", "pattern"], "left_semi"), "pii-links")
@@ -164,11 +178,18 @@ def confident_patterns(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS)
     scores = links.groupBy("kind", "m").agg(F.max("seed").alias("score"))
     held = None
     for k in range(rounds):
-        now = links.join(scores, ["kind", "m"]).groupBy("kind", "pattern").agg((F.sum("score") / (F.count(F.lit(1)) + PRIOR)).alias("conf"), F.sum("seed").alias("seeds"))
+        now = links.join(scores, ["kind", "m"]).groupBy("kind", "pattern").agg(
+            (F.sum("score") / (F.count(F.lit(1)) + PRIOR)).alias("conf"), F.sum("seed").alias("seeds")
+        )
         held = materialize(now, f"pii-patterns-{k}")
         away = F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9))))
-        scores = materialize(links.join(held, ["kind", "pattern"]).groupBy("kind", "m").agg(F.greatest(F.max(links["seed"]), 1 - F.exp(away)).alias("score")), f"pii-instances-{k}")
-    return held.filter((F.col("conf") >= CONFIDENT) & (F.col("seeds") >= SUPPORT)).select("kind", "pattern", "conf"), scores.filter(F.col("score") >= CONFIDENT)
+        scores = materialize(
+            links.join(held, ["kind", "pattern"]).groupBy("kind", "m").agg(F.greatest(F.max(links["seed"]), 1 - F.exp(away)).alias("score")),
+            f"pii-instances-{k}"
+        )
+    return held.filter(
+        (F.col("conf") >= CONFIDENT) & (F.col("seeds") >= SUPPORT)
+    ).select("kind", "pattern", "conf"), scores.filter(F.col("score") >= CONFIDENT)
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -185,18 +206,25 @@ def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     near = near.withColumn("pattern", F.explode(patterns(F.col("x"))))
     hits = near.join(good, ["kind", "pattern"], "left_semi").join(instances, ["kind", "m"], "left_semi")
     hits = hits.groupBy("_row").agg(F.collect_set(F.struct("x.kind", "x.start", "x.end")).alias("found"))
-    return rows.join(hits, "_row", "left").select("doc_id", short(F.col("base")).alias("base"), F.coalesce(F.array_sort("found"), none).alias("found"))
+    return rows.join(hits, "_row", "left").select(
+        "doc_id", short(F.col("base")).alias("base"), F.coalesce(F.array_sort("found"), none).alias("found")
+    )
 
 
 def told(spans: Column) -> Column:
     names = F.array(*(F.lit(k) for k in (*KINDS, "secret")))
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
 
 
 def op7_pii(spark, sf_dir):
     out = find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.expr(f"filter(base, x -> x.kind = {k})")).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.array_sort(F.concat("base", "found"))).alias("spans"), F.size("found").cast("long").alias("n_found"), (F.size("base") + F.size("found")).cast("long").alias("n_spans"))
+    return out.select(
+        "doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.array_sort(F.concat("base", "found"))).alias("spans"),
+        F.size("found").cast("long").alias("n_found"), (F.size("base") + F.size("found")).cast("long").alias("n_spans")
+    )
 
 
 def pii_base(spark, sf_dir):
@@ -208,8 +236,14 @@ _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum([CASE WHEN i % 2 = 1 THEN substr(reverse({_DIGITS}), i, 1)::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(reverse({_DIGITS}), i, 1)::INT + 1] END for i in range(1, len({_DIGITS}) + 1)]) % 10 = 0"
 _BASE_SQL = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len([p for p in string_split(m, '.') if len(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255]) = 0"),
+    "ip": (
+        r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "len([p for p in string_split(m, '.') if len(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255]) = 0"
+    ),
     "card": (r"[0-9](?:[\x20-]?[0-9])+", f"len({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 8 AND 15"),
 }
-PII_BASE_SQL = "SELECT doc_id, " + ", ".join(f"coalesce(len([m for m in regexp_extract_all(text, '{pattern}') if {test}]), 0)::BIGINT AS n_{kind}" for kind, (pattern, test) in _BASE_SQL.items()) + " FROM documents"
+PII_BASE_SQL = "SELECT doc_id, " + ", ".join(
+    f"coalesce(len([m for m in regexp_extract_all(text, '{pattern}') if {test}]), 0)::BIGINT AS n_{kind}" for kind,
+    (pattern, test) in _BASE_SQL.items()
+) + " FROM documents"

@@ -20,4 +20,7 @@ QUERIES = {
     "pii_base": pii.pii_base,
     "url_rules": urls.url_rules,
 }
-SQL = {"op2_chat": chat.OP2_SQL, "op10_top_k": topk.OP10_SQL, "mix_targets": mixing.MIX_TARGETS_SQL, "pii_base": pii.PII_BASE_SQL, "url_rules": urls.URL_RULES_SQL}
+SQL = {
+    "op2_chat": chat.OP2_SQL, "op10_top_k": topk.OP10_SQL, "mix_targets": mixing.MIX_TARGETS_SQL, "pii_base": pii.PII_BASE_SQL,
+    "url_rules": urls.URL_RULES_SQL
+}

@@ -100,7 +100,9 @@ class EliasFano:
     def load(cls, data: bytes) -> EliasFano:
         n, k, a, b, c = struct.unpack_from(cls.HEAD, data)
         at = struct.calcsize(cls.HEAD)
-        return cls(n, k, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a), np.frombuffer(data, "<u4", c // 4, at + a + b))
+        return cls(
+            n, k, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a), np.frombuffer(data, "<u4", c // 4, at + a + b)
+        )
 
 
 class ShardWriter:
@@ -261,7 +263,9 @@ class Encoder:
         self.words, told = Words(tokenizer, kind, limit), json.loads(tokenizer.to_str())
         steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [told["pre_tokenizer"]])
         self.added = [t["content"] for t in told["added_tokens"]]  # the tokenizer looks for these names in texts first
-        self.by_word = told["normalizer"] is None and not told["model"].get("ignore_merges") and all(x and x["type"] == "ByteLevel" and not x["add_prefix_space"] and x.get("use_regex", True) for x in steps)
+        self.by_word = told["normalizer"] is None and not told["model"].get("ignore_merges") and all(
+            x and x["type"] == "ByteLevel" and not x["add_prefix_space"] and x.get("use_regex", True) for x in steps
+        )
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         get, whole, out = self.words.__getitem__, self.words.whole, []
@@ -314,7 +318,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             row = {"shard": pa.array([context.partitionId()], pa.int32()), "path": [name], "docs": [len(writer.starts) - 1], "tokens": [writer.at]}
             yield pa.RecordBatch.from_pydict(row)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(
+        parts, F.asc_nulls_first("doc_id"), F.xxhash64("text")
+    ).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     return materialize(rows.mapInArrow(write, "shard int, path string, docs long, tokens long"), "shards")
 
 
@@ -338,7 +344,10 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
                     bounds = np.array([s.bounds.select(i) for i in (*some, some.stop)])
                     crc = [zlib.crc32(s.ids[a:z].astype("<u4").tobytes()) for a, z in itertools.pairwise(bounds)]
                     ids = pa.array([s.doc_id(i) for i in some], pa.int64())
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                    )
 
     listed_df = spark.createDataFrame(rows, "shard int, path string, base long").repartition(max(1, len(rows)))
     return listed_df.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -109,7 +109,10 @@ def floor_of(q: np.ndarray, q_id: int, sample: np.ndarray, sample_ids: np.ndarra
     return int(np.partition(found, -k)[-k]) if len(found) >= k else NONE
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, c: np.ndarray, c_ids: np.ndarray, pivots: Pivots | None, q_far: np.ndarray, c_far: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+def search_block(
+    q: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, c: np.ndarray, c_ids: np.ndarray, pivots: Pivots | None, q_far: np.ndarray,
+    c_far: np.ndarray, k: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """(query's place, candidate ids, scores, candidates evaluated) of the k best of the block that reach the query's floor,
     ties to smaller ids. *_far: squared distances to the pivots."""
     step_of = max(1, (1 << 23) // max(1, len(c)))
@@ -139,13 +142,22 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, c: np.nda
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, block: int = 131_072, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    whole = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    whole = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(
+        "embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    )
     rows = vectors.select("vec_id", "embedding").filter(F.coalesce(whole, F.lit(False)))
     rows = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
     rows = rows.withColumn("dim", F.size("v")).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    tops = {r["dim"]: r for r in rows.groupBy("dim").agg(F.max("norm").alias("top"), F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(is_query, F.col("vec_id"))).alias("q")).collect()}
+    tops = {
+        r["dim"]: r for r in rows.groupBy("dim").agg(
+            F.max("norm").alias("top"), F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(is_query, F.col("vec_id"))).alias("q")
+        ).collect()
+    }
     shape = "query_id long, rank int, vec_id long, score long"
-    found = [_top_k_of(rows.filter(F.col("dim") == dim), is_query, k, block, pivots, r["n"], r["q"], r["top"]) for dim, r in sorted(tops.items()) if r["q"] and dim]
+    found = [
+        _top_k_of(rows.filter(F.col("dim") == dim), is_query, k, block, pivots, r["n"], r["q"], r["top"]) for dim,
+        r in sorted(tops.items()) if r["q"] and dim
+    ]
     if not found:
         return spark.createDataFrame([], shape)
     out = found[0]
@@ -173,17 +185,23 @@ def _top_k_of(rows: DataFrame, is_query: Column, k: int, block: int, most: int,
             near = far_q[:, :groups].argmin(axis=1) if groups > 1 else np.zeros(len(v), int)
             floors = np.array([floor_of(x, i, some, some_ids, k) if a else NONE for x, i, a in zip(v, ids, asked, strict=True)], dtype=np.int64)
             yield pd.DataFrame({
-                "vec_id": ids, "asked": asked, "v": [x.tobytes() for x in v], "far_c": [x.tobytes() for x in far_c], "far_q": [x.tobytes() if a else None for x, a in zip(far_q, asked, strict=True)],
-                "floor": floors, "norm": (v * v).sum(axis=1), "near": near.astype(np.int32), "low": [x.tolist() if a else None for x, a in zip(np.sqrt(far_q), asked, strict=True)]})
+                "vec_id": ids, "asked": asked, "v": [x.tobytes() for x in v], "far_c": [x.tobytes() for x in far_c],
+                "far_q": [x.tobytes() if a else None for x, a in zip(far_q, asked, strict=True)],
+                "floor": floors, "norm": (v * v).sum(axis=1), "near": near.astype(np.int32),
+                "low": [x.tolist() if a else None for x, a in zip(np.sqrt(far_q), asked, strict=True)]})
 
     shape = "vec_id long, asked boolean, v binary, far_c binary, far_q binary, floor long, norm double, near int, low array<double>"
     found = rows.select("vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asked")).mapInPandas(measured, shape)
     pivot_table = materialize(found, "pivot-table")
-    asked = pivot_table.filter("asked").groupBy("vec_id").agg(F.min(F.struct("v", "far_q", "floor", "norm", "near", "low")).alias("s")).select("vec_id", "s.*")
+    asked = pivot_table.filter("asked").groupBy("vec_id").agg(
+        F.min(F.struct("v", "far_q", "floor", "norm", "near", "low")).alias("s")
+    ).select("vec_id", "s.*")
     spread = lambda count, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), count).cast("int")
     sizes = asked.groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.min("floor").alias("floor"), F.max("norm").alias("norm"))
     if groups > 1:  # a row a group, a number a pivot
-        wide = [F.array(*(f(F.get("low", F.lit(j))) for j in range(len(pivots.points)))).alias(name) for name, f in (("least", F.min), ("most", F.max))]
+        wide = [
+            F.array(*(f(F.get("low", F.lit(j))) for j in range(len(pivots.points)))).alias(name) for name, f in (("least", F.min), ("most", F.max))
+        ]
         sizes = sizes.join(asked.groupBy("near").agg(*wide), "near")
     held = {r["near"]: r for r in sizes.collect()}
     parts = {g: -(-r["n"] // block) for g, r in held.items()}
@@ -202,22 +220,32 @@ def _top_k_of(rows: DataFrame, is_query: Column, k: int, block: int, most: int,
                 for part in range(parts[g]):
                     yield b[able].assign(near=np.int32(g), qb=np.int32(part))
 
-    c = pivot_table.select(spread(F.lit(c_blocks), 1).alias("cb"), "vec_id", "v", "far_c").mapInPandas(dealt, "near int, qb int, cb int, vec_id long, v binary, far_c binary")
+    c = pivot_table.select(spread(F.lit(c_blocks), 1).alias("cb"), "vec_id", "v", "far_c").mapInPandas(
+        dealt, "near int, qb int, cb int, vec_id long, v binary, far_c binary"
+    )
     c = c.select("cb", "near", "qb", F.lit(False).alias("asked"), "vec_id", "v", F.col("far_c").alias("far"), F.lit(0).cast("long").alias("floor"))
     every = F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb")
-    q = asked.select(every, "near", spread(F.element_at(blocks_of, F.col("near")), 2).alias("qb"), F.lit(True).alias("asked"), "vec_id", "v", F.col("far_q").alias("far"), "floor")
+    q = asked.select(
+        every, "near", spread(F.element_at(blocks_of, F.col("near")), 2).alias("qb"), F.lit(True).alias("asked"), "vec_id", "v",
+        F.col("far_q").alias("far"), "floor"
+    )
     # equal rows would share a block by their hash; a block's share of one id is as large as the id's rows
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
         def side(s: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            return tuple(np.frombuffer(b"".join(s[x]), dtype=np.float64).reshape(len(s), -1) for x in ("v", "far")) + (s["vec_id"].to_numpy(np.int64),)
+            return tuple(
+                np.frombuffer(b"".join(s[x]), dtype=np.float64).reshape(len(s), -1) for x in ("v", "far")
+            ) + (s["vec_id"].to_numpy(np.int64),)
 
         if g["asked"].all() or not g["asked"].any():
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         g = g.sort_values("vec_id", kind="stable")
         asks = g[g["asked"]]
         (qv, qf, qi), (cv, cf, ci) = side(asks), side(g[~g["asked"]])
-        parts = [(np.full(len(ids), qi[i]), ids, scores) for i, ids, scores, _ in search_block(qv, qi, asks["floor"].to_numpy(np.int64), cv, ci, pivots, qf, cf, k)]
+        parts = [
+            (np.full(len(ids), qi[i]), ids, scores) for i, ids, scores,
+            _ in search_block(qv, qi, asks["floor"].to_numpy(np.int64), cv, ci, pivots, qf, cf, k)
+        ]
         return pd.DataFrame({name: np.concatenate([p[j] for p in parts]) for j, name in enumerate(("query_id", "vec_id", "score"))})
 
     return q.unionByName(c).groupBy("cb", "near", "qb").applyInPandas(search, "query_id long, vec_id long, score long")

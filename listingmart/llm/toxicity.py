@@ -252,7 +252,12 @@ def fit(rows: Sequence[tuple[str, int]], steps: int = 40, ridge: float = 0.5, mo
         emit = bias + np.bincount(owner, weights=weights[flat], minlength=n)
         p, pairs, _ = scan(emit, starts, np.exp(trans), begin, pairs=True)
         gap = y - p
-        for k, (grad, now) in enumerate(((np.bincount(flat, weights=gap[owner], minlength=len(names)) - ridge * weights, None), (gap.sum(), None), (seen - pairs - ridge * trans, None))):
+        for k, (grad, now) in enumerate(
+            (
+                (np.bincount(flat, weights=gap[owner], minlength=len(names)) - ridge * weights, None), (gap.sum(), None),
+                (seen - pairs - ridge * trans, None)
+            )
+        ):
             gains[k] = gains[k] + grad**2
             step = 0.7 * grad / np.sqrt(gains[k])
             if k == 0:
@@ -284,7 +289,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN, chars: int = FIT_CHARS) -> list[tuple[str, int]]:
+def sample(
+    docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN, chars: int = FIT_CHARS
+) -> list[tuple[str, int]]:
     """The bounded fit sample. Its ids are picked from the labels first, so few texts move."""
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.filter(fold(F.col("doc_id"), folds) != held)
@@ -321,7 +328,9 @@ def score_documents(docs: DataFrame, tagger: Tagger | None, threshold: float = T
             if tagger:
                 score = tagger.score(tagger.summary(texts, memo, lambda i, p, texts=texts, hot=hot: hot[i].extend(spans(texts[i], p))))
             predicted = pa.array((score >= threshold).astype("int32"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), predicted, pa.array(hot, told)], names=["doc_id", "score", "predicted", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(score), predicted, pa.array(hot, told)], names=["doc_id", "score", "predicted", "spans"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")

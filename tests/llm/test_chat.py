@@ -42,19 +42,26 @@ def back(df):
 
 
 def test_windows(spark):
-    turns = [(1, 0, "system", "be kind " * 5)] + [(1, i, "assistant" if i % 2 == 0 else "user", f"<t{i}> \\l " + "w " * (i % 37)) for i in range(1, 200)] + [(1, 200, "assistant", "big " * 900)]
+    turns = [(1, 0, "system", "be kind " * 5)] + [
+        (1, i, "assistant" if i % 2 == 0 else "user", f"<t{i}> \\l " + "w " * (i % 37)) for i in range(1, 200)
+    ] + [(1, 200, "assistant", "big " * 900)]
     df = chat.format_chat(rows_of(spark, *turns), budget=200, history=60)
     got = df.orderBy("window").collect()
     assert len(got) > 10
     assert all(r["n_tokens"] <= 200 or r["n_turns"] - r["n_context"] == 1 for r in got)
-    assert all(r["text"].startswith("<turn system>\n") for r in got) and [r["n_context"] for r in got][0] == 0 and any(r["n_context"] > 2 for r in got)
+    assert all(
+        r["text"].startswith("<turn system>\n") for r in got
+    ) and [r["n_context"] for r in got][0] == 0 and any(r["n_context"] > 2 for r in got)
     turns_back, masked = back(df)[1]
     assert turns_back == [(r, t) for _, _, r, t in turns]
     assert masked == "".join(t for _, _, r, t in turns if r == "assistant")
 
 
 def test_awkward(spark):
-    rows = rows_of(spark, (1, None, None, None), (1, 0, "as</turn>\n>", "\n</turn>\n<turn user>\nx"), (1, 0, "assistant", ""), (1, 0, "assistant", ""), (None, 1, "assistant", "b"), (None, 0, "user", "\\b\\l\\g🙂"), (3, 5, "system", "only"), (4, 0, "assistant", "z" * 100_000))
+    rows = rows_of(
+        spark, (1, None, None, None), (1, 0, "as</turn>\n>", "\n</turn>\n<turn user>\nx"), (1, 0, "assistant", ""), (1, 0, "assistant", ""),
+        (None, 1, "assistant", "b"), (None, 0, "user", "\\b\\l\\g🙂"), (3, 5, "system", "only"), (4, 0, "assistant", "z" * 100_000)
+    )
     df = chat.format_chat(rows)
     got = back(df)
     assert got[1] == ([("", ""), ("as</turn>\n>", "\n</turn>\n<turn user>\nx"), ("assistant", ""), ("assistant", "")], "")

@@ -62,7 +62,9 @@ def test_far_ids(spark, far_ids):
     assert got == {(FAR, FAR), (None, FAR), (-FAR, -FAR)}
     assert {r["doc_id"] for r in simhash.one_of_each(far_ids).collect()} == {FAR, -FAR}
     bench = spark.createDataFrame([(FAR + 2, "b c d e f g"), (None, "b c d e f g")], "item_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(far_ids, bench).collect()} == {(d, i) for d in (FAR, None) for i in (FAR + 2, None)}
+    assert {
+        (r["doc_id"], r["item_id"]) for r in decontam.contaminated(far_ids, bench).collect()
+    } == {(d, i) for d in (FAR, None) for i in (FAR + 2, None)}
     pages = spark.createDataFrame([(FAR, "x://b.com/y"), (None, "x://b.org/y")], "page_id long, url string").coalesce(1)
     assert {r["page_id"] for r in urls.judge(pages).collect()} == {FAR, None}
 
@@ -72,7 +74,11 @@ def test_cut_tiles(spark, block):
     """Blocks so small that most tiles are cut, against all pairs."""
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    x = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(5)] + [np.arange(60, dtype=np.uint64)]))
+    x = np.unique(
+        np.concatenate(
+            [base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(5)] + [np.arange(60, dtype=np.uint64)]
+        )
+    )
     fps = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
     found = {r["node"]: r["root"] for r in simhash.components(simhash.linked(fps, 3, block)).collect()}
     i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x) <= 3)
@@ -118,16 +124,23 @@ def test_decontamination(spark, data, awkward, nothing):
     assert got == {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench, items=7).collect()}
     kept = decontam.clean_documents(docs, bench)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {d for d, _ in rows} - {d for d, _ in got}
-    tests = spark.createDataFrame([(1, "a b c d e f"), (None, "A, B c d e f!"), (2, None), (3, ""), (4, "..."), (5, "é ü"), (5, "é ü")], "item_id long, text string")
+    tests = spark.createDataFrame(
+        [(1, "a b c d e f"), (None, "A, B c d e f!"), (2, None), (3, ""), (4, "..."), (5, "é ü"), (5, "é ü")], "item_id long, text string"
+    )
     found = decontam.contaminated(awkward, tests).collect()
-    assert sorted((str(r["doc_id"]), str(r["item_id"])) for r in found) == sorted([(d, i) for d in ("1", "None", "6", "6") for i in ("1", "None")] + [("7", "5"), ("7", "5")])
+    assert sorted((str(r["doc_id"]), str(r["item_id"])) for r in found) == sorted(
+        [(d, i) for d in ("1", "None", "6", "6") for i in ("1", "None")] + [("7", "5"), ("7", "5")]
+    )
     assert decontam.contaminated(nothing, tests).count() == 0 and decontam.contaminated(awkward, tests.filter("item_id > 9")).count() == 0
 
 
 def test_near_copy_and_clean(spark):
     item = [f"q{i}" for i in range(30)]
     edited = [*item[:8], "other", *item[9:]]
-    docs = [(1, "x " * 50 + " ".join(item) + " y" * 50), (2, "x " * 70 + " ".join(edited)), (3, " ".join(item[:14]) + " z" * 40), (4, " ".join(reversed(item)))]
+    docs = [
+        (1, "x " * 50 + " ".join(item) + " y" * 50), (2, "x " * 70 + " ".join(edited)), (3, " ".join(item[:14]) + " z" * 40),
+        (4, " ".join(reversed(item)))
+    ]
     bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert set(got) == {1, 2} and got[1]["score"] == pytest.approx(1.0) and 0.8 <= got[2]["overlap"] < 1
@@ -143,7 +156,9 @@ def all_matches(docs, items):
             df[t] = df.get(t, 0) + 1
 
     def weights(w):
-        raw = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in set(w)}
+        raw = {
+            t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in set(w)
+        }
         return {t: x / sum(raw.values()) for t, x in raw.items()}
 
     out = {}
@@ -167,7 +182,11 @@ def test_matches_by_definition(spark, data):
     docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = [(r["doc_id"], decontam.words_of(r["text"] or "")) for r in docs.filter("length(text) < 20000").collect()]
     want = all_matches(rows, [(r["item_id"], r["text"]) for r in bench.collect()])
-    got = {(r["doc_id"], r["item_id"]): (r["overlap"], r["score"]) for r in decontam.contaminated(docs.filter("length(text) < 20000"), bench, items=9).collect()}
+    got = {
+        (r["doc_id"], r["item_id"]): (r["overlap"], r["score"]) for r in decontam.contaminated(
+            docs.filter("length(text) < 20000"), bench, items=9
+        ).collect()
+    }
     assert set(got) == set(want) and len(want) >= 3
     assert [got[k] for k in sorted(want)] == [pytest.approx(want[k]) for k in sorted(want)]
 
@@ -216,9 +235,15 @@ def test_top_k(spark, block):
     v = rng.normal(size=(300, 8)).astype(np.float32)
     v[50:200] = v[7]  # ties
     rows = [(i, v[i].tolist()) for i in range(300)]
-    rows += [(1000, None), (1020, [1.0] * 7 + [float("nan")]), (1040, [1.0] * 7 + [float("inf")]), (1060, [1.0] * 7 + [None]), (None, [1.0] * 8), (1080, [2.0, 1.0]), (1100, [0.0] * 8), (1101, [3.0, 1.0]), (1120, [])]
+    rows += [
+        (1000, None), (1020, [1.0] * 7 + [float("nan")]), (1040, [1.0] * 7 + [float("inf")]), (1060, [1.0] * 7 + [None]), (None, [1.0] * 8),
+        (1080, [2.0, 1.0]), (1100, [0.0] * 8), (1101, [3.0, 1.0]), (1120, [])
+    ]
     df = spark.createDataFrame([(i, x, 5, 6) for i, x in rows], "vec_id long, embedding array<float>, rank int, v int")
-    ints = [(i, None if x is None or any(y is None or not np.isfinite(y) for y in x) else [int(np.floor(64.0 * float(np.float32(y)))) for y in x]) for i, x in rows]
+    ints = [
+        (i, None if x is None or any(y is None or not np.isfinite(y) for y in x) else [int(np.floor(64.0 * float(np.float32(y)))) for y in x]) for i,
+        x in rows
+    ]
     got = topk.top_k(df, F.col("vec_id") % 20 == 0, block=block).collect()
     assert sorted(tuple(r) for r in got) == [r for r in top([x for x in ints if x[1] != []], 20)]
     assert topk.top_k(df.filter("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
@@ -256,18 +281,30 @@ def test_groups_of_queries_drop_candidates(spark):
 
 
 def test_wide_values_stay_exact(spark):
-    df = spark.createDataFrame([(0, [2e7, 1.0]), (1, [2e7, 1.0]), (2, [2e7, 0.984375]), (3, [1e300, 0.0]), (4, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    df = spark.createDataFrame(
+        [(0, [2e7, 1.0]), (1, [2e7, 1.0]), (2, [2e7, 0.984375]), (3, [1e300, 0.0]), (4, [-1e300, 0.0])], "vec_id long, embedding array<double>"
+    )
     got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0).collect())
     big = (64 * 20_000_000) ** 2
     assert got == [(1, 3, 2**63 - 1), (2, 1, big + 64 * 64), (3, 2, big + 64 * 63), (4, 4, -(2**63))]
 
 
 def test_urls(spark, data):
-    rows = [("http://A.example.com/en/x", "a.example.com", "/en/x", "example.com/en/", "block"), ("https://www.example.com/en/?q=1", "www.example.com", "/en/", "www.example.com/en/", "allow"), ("x://b.com/y#z", "b.com", "/y", "com/", "allow"), ("s://q.net/fr/1", "q.net", "/fr/1", "net/fr/", "block"), ("s://xcom/", "xcom", "/", None, None), ("s://a.com", "a.com", "", None, None), ("no scheme", "", "", None, None), (None, "", "", None, None), ("s://a://b.com/c", "a:", "//b.com/c", None, None)]
-    df = spark.createDataFrame([(i, r[0], "h", "p", 1.0) for i, r in enumerate(rows)], "page_id long, url string, host string, verdict string, score double")
+    rows = [
+        ("http://A.example.com/en/x", "a.example.com", "/en/x", "example.com/en/", "block"),
+        ("https://www.example.com/en/?q=1", "www.example.com", "/en/", "www.example.com/en/", "allow"),
+        ("x://b.com/y#z", "b.com", "/y", "com/", "allow"), ("s://q.net/fr/1", "q.net", "/fr/1", "net/fr/", "block"),
+        ("s://xcom/", "xcom", "/", None, None), ("s://a.com", "a.com", "", None, None), ("no scheme", "", "", None, None), (None, "", "", None, None),
+        ("s://a://b.com/c", "a:", "//b.com/c", None, None)
+    ]
+    df = spark.createDataFrame(
+        [(i, r[0], "h", "p", 1.0) for i, r in enumerate(rows)], "page_id long, url string, host string, verdict string, score double"
+    )
     got = {r["page_id"]: r for r in urls.judge(df).collect()}
     for i, (_, host, path, rule, verdict) in enumerate(rows):
-        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule) and got[i]["verdict"] in ([verdict] if verdict else ["allow", "block"])
+        assert (
+            got[i]["host"], got[i]["path"], got[i]["rule"]
+        ) == (host, path, rule) and got[i]["verdict"] in ([verdict] if verdict else ["allow", "block"])
     assert urls.judge(df.filter("page_id < 0")).count() == 0
     assert {r["verdict"] for r in urls.judge(df.filter("page_id > 3")).collect()} == {"allow"}  # nothing to learn from
     pages = spark.read.parquet(f"{data}/pages.parquet")
@@ -318,7 +355,10 @@ def plain_model(texts):
 def test_model_verdicts_by_definition(spark):
     """Scores and the cut from the rules' own examples, recomputed."""
     rng = random.Random(8)
-    made = [f"http://{rng.choice('abc')}.{host}/{rng.choice(word)}/{rng.randrange(90)}" for host, word in (("shop.com", ["buy", "new"]), ("q.net/fr", ["lire", "mot"])) for _ in range(40)]
+    made = [
+        f"http://{rng.choice('abc')}.{host}/{rng.choice(word)}/{rng.randrange(90)}" for host,
+        word in (("shop.com", ["buy", "new"]), ("q.net/fr", ["lire", "mot"])) for _ in range(40)
+    ]
     made += [f"http://x.org/{rng.choice(['buy', 'new', 'lire', 'mot'])}/{k}" for k in range(30)]
     pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
     known = {r["url"]: r["ruled"] for r in urls.by_rules(pages).collect() if r["ruled"]}
@@ -328,7 +368,9 @@ def test_model_verdicts_by_definition(spark):
     score = lambda u: (good(u) - bad(u)) / (len(u) + 1)
     ranked = sorted((score(u), w == "allow") for w in picked for u in picked[w][::5])
     cuts = [(a + b) / 2 for (a, _), (b, _) in zip(ranked, ranked[1:]) if b > a] + [ranked[0][0] - 1e-9]
-    worth = lambda c: sum((s >= c) == y for s, y in ranked if y) / sum(y for _, y in ranked) + sum((s >= c) == y for s, y in ranked if not y) / sum(not y for _, y in ranked)
+    worth = lambda c: sum((s >= c) == y for s, y in ranked if y) / sum(y for _, y in ranked) + sum(
+        (s >= c) == y for s, y in ranked if not y
+    ) / sum(not y for _, y in ranked)
     cut = min((c for c in cuts if worth(c) >= max(map(worth, cuts)) - 1e-12), key=abs)
     got = {r["page_id"]: r for r in urls.judge(pages).collect()}
     for i, u in enumerate(made):
@@ -340,4 +382,6 @@ def test_model_verdicts_by_definition(spark):
 def test_urls_repeated_and_long(spark):
     rows = [(1, "http://a.com/x"), (1, "http://a.com/x"), (2, "http://b.org/" + "y" * 200_000), (None, "http://b.net/es/"), (None, None)]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
-    assert len(got) == 5 and [r["verdict"] for r in got if r["page_id"] == 1] == ["allow", "allow"] and all(r["verdict"] in ("allow", "block") for r in got)
+    assert len(got) == 5 and [r["verdict"] for r in got if r["page_id"] == 1] == ["allow", "allow"] and all(
+        r["verdict"] in ("allow", "block") for r in got
+    )

@@ -14,7 +14,10 @@ from tokenizers import Tokenizer
 from listingmart.llm import pii, tokenfile
 
 PATH = public_tokenizers.path(tokenfile.TOKENIZER)
-HARD = ["a  b", "a \nb", "x\n  y", "x\n \ny", " a", "a ", " ", "", "a\n ", "\t b c", "\n\n c", "<|endoftext|> x <|endoftext|>", "a\u0085 b  c", "日本 語 12 3's don't a.' it's, x-y ...", "\x1c a \x1d", "é ñ, ß! Ÿ ǆ. ɏ ɐ", "word," * 2000, "🙂 🙂"]
+HARD = [
+    "a  b", "a \nb", "x\n  y", "x\n \ny", " a", "a ", " ", "", "a\n ", "\t b c", "\n\n c", "<|endoftext|> x <|endoftext|>", "a\u0085 b  c",
+    "日本 語 12 3's don't a.' it's, x-y ...", "\x1c a \x1d", "é ñ, ß! Ÿ ǆ. ɏ ɐ", "word," * 2000, "🙂 🙂"
+]
 
 
 def test_encoder_like_the_tokenizer():
@@ -27,7 +30,9 @@ def test_encoder_like_the_tokenizer():
         assert [np.frombuffer(b, "<u2").tolist() for b in code(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-@pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [0, 1, 2, 3], [7, 7, 900, 10**9], sorted(np.random.default_rng(0).integers(0, 10**6, 3000).tolist())])
+@pytest.mark.parametrize(
+    "values", [[], [0], [5], [0, 0, 0], [0, 1, 2, 3], [7, 7, 900, 10**9], sorted(np.random.default_rng(0).integers(0, 10**6, 3000).tolist())]
+)
 def test_elias_fano(values):
     coded = tokenfile.EliasFano.load(tokenfile.EliasFano.of(np.array(values, np.int64)).dump())
     assert coded.all().tolist() == values and [coded.select(i) for i in range(len(values))] == values
@@ -54,7 +59,10 @@ def test_round_trip(spark, data):
 def test_special_names_and_far_ids(spark):
     far = 2**53 + 1
     docs = [(None, "a <|endoftext|> b"), (-far, "x<|endoftext|>"), (far, "<|endoftext|>y z"), (2**63 - 1, "end")]
-    got = sorted((tuple(r) for r in tokenfile.encode_and_read(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()), key=lambda r: r[1])
+    got = sorted(
+        (tuple(r) for r in tokenfile.encode_and_read(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()),
+        key=lambda r: r[1]
+    )
     assert got == expected(docs)
     assert Tokenizer.from_file(PATH).encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
 
@@ -85,14 +93,19 @@ def test_awkward(spark, awkward, nothing, tmp_path):
     assert not list(tmp_path.glob(".attempt*"))
 
 
-BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]"
+}
 
 
 def valid(kind, m):
     d = re.sub("[^0-9]", "", m)
     digits = [int(c) for c in d][::-1]
     luhn = (sum(digits[0::2]) + sum(sum(divmod(2 * x, 10)) for x in digits[1::2])) % 10 == 0
-    return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m.split(".")), "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15}[kind]
+    return {
+        "email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m.split(".")), "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15
+    }[kind]
 
 
 def base(text):
@@ -106,7 +119,11 @@ def spans(df):
 
 def test_base_spans(spark):
     rng = random.Random(3)
-    texts = ["a@b.c_d@e.f x@y.z.", "..a@b..c a@b.c.d@e.f", "1.2.3.4.5.6.7.8 300.1.2.3.4 001.02.3.0004 1.2.3", "4111 1111 1111 1111 5 4111-1111-1111-1111 4111111111111111-", "+1 (555) 123-4567 ++12345678+9 +1-------2 +123", "é@x.com ñ a@é.com 🙂 q@w.e 🙂 10.0.0.1"]
+    texts = [
+        "a@b.c_d@e.f x@y.z.", "..a@b..c a@b.c.d@e.f", "1.2.3.4.5.6.7.8 300.1.2.3.4 001.02.3.0004 1.2.3",
+        "4111 1111 1111 1111 5 4111-1111-1111-1111 4111111111111111-", "+1 (555) 123-4567 ++12345678+9 +1-------2 +123",
+        "é@x.com ñ a@é.com 🙂 q@w.e 🙂 10.0.0.1"
+    ]
     texts += ["9" * 50_000, "a" * 100_000, "a@" * 3000, None, "", "1 " * 20_000, "+1 " + "(" * 5000, "a.b@c-d.e-f.g%h@i.j 4012888888881881x"]
     texts += ["".join(rng.choice("01459.-+ @a()") for _ in range(rng.randrange(5, 120))) for _ in range(1500)]
     got = {r["doc_id"]: r["s"] for r in spans(pii.base_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
@@ -123,7 +140,10 @@ def test_query(spark, data):
 
 def test_bootstrapping(spark):
     names = "ana bob cy dee eva fay gus hal ivy jon kim lou".split()
-    rows = [(i, f"{n} met us {x} please call mobile +1 555 123 {1000 + i} thanks {x}") for i, (n, x) in enumerate((n, x) for n in names for x in ("today", "soon"))]
+    rows = [
+        (i, f"{n} met us {x} please call mobile +1 555 123 {1000 + i} thanks {x}") for i,
+        (n, x) in enumerate((n, x) for n in names for x in ("today", "soon"))
+    ]
     rows += [(100 + i, f"so {n} please call mobile 555 987 {2000 + i} thanks") for i, n in enumerate(names)]
     rows += [(200 + i, f"order number 8888{i}77777 shipped") for i in range(5)] + [(300, "the the the " * 50)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -131,7 +151,9 @@ def test_bootstrapping(spark):
     assert {i for i, f in found.items() if f} == set(range(100, 112))
     text = dict(rows)[100]
     assert [text[f["start"] : f["end"]] for f in found[100]] == ["555 987 2000"]
-    common = df.select("doc_id", F.regexp_replace("text", "call mobile", "the").alias("text")).union(spark.createDataFrame([(999, "x the y " * 900)], df.schema))
+    common = df.select(
+        "doc_id", F.regexp_replace("text", "call mobile", "the").alias("text")
+    ).union(spark.createDataFrame([(999, "x the y " * 900)], df.schema))
     assert all(not r["found"] for r in pii.find(common).filter("doc_id < 200").collect() if "the thanks" in r)
 
 
@@ -143,8 +165,14 @@ def planted(n=60, seed=4):
     number = lambda k: "".join(rng.choice("123456789") for _ in range(k))
     shapes = {
         "handy": (lambda: f"+49 {number(3)} {number(7)}", lambda: f"0{number(3)} {number(7)}"),
-        "mailto": (lambda: f"{rng.choice(words)}{number(3)}@host.example", lambda: rng.choice([f"{rng.choice(words)}{number(3)}@localhost", f"{rng.choice(words)}{number(2)} (at) host (dot) example"])),
-        "gateway": (lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}", lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.{300 + rng.randrange(600)}"),
+        "mailto": (
+            lambda: f"{rng.choice(words)}{number(3)}@host.example",
+            lambda: rng.choice([f"{rng.choice(words)}{number(3)}@localhost", f"{rng.choice(words)}{number(2)} (at) host (dot) example"])
+        ),
+        "gateway": (
+            lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}",
+            lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.{300 + rng.randrange(600)}"
+        ),
         "apikey": (lambda: hexa(40), lambda: "sk-" + hexa(9) + "Zq" + hexa(9)),
     }
     rows, hidden, others = [], set(), 0
@@ -166,7 +194,9 @@ def planted(n=60, seed=4):
 
 def test_recall_of_hidden_identifiers(spark):
     rows, hidden, others = planted()
-    got = {(r["doc_id"], f["start"], f["end"]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for f in r["found"]}
+    got = {
+        (r["doc_id"], f["start"], f["end"]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for f in r["found"]
+    }
     seeds = {(i, s, e) for i, s, e in got if (i, s, e) not in hidden and "apikey" in dict(rows)[i]}
     right = got & hidden
     assert others > 100 and len(right) >= 0.9 * len(hidden) and len(got - hidden - seeds) <= 0.02 * len(got)

@@ -22,7 +22,13 @@ def held_out(i):
 def check_base(rows, docs):
     counts = collections.Counter(t for i, x in docs if not held_out(i) for t in tokens(x))
     n, v = sum(counts.values()), len(counts)
-    want = sorted((round(sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens(x)), 5), len(tokens(x)), sum(counts[t] > 0 for t in tokens(x)), n, held_out(i)) for i, x in docs)
+    want = sorted(
+        (
+            round(sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens(x)), 5), len(tokens(x)),
+            sum(counts[t] > 0 for t in tokens(x)), n, held_out(i)
+        ) for i,
+        x in docs
+    )
     got = sorted((round(r.base_score, 5), r.n_tokens, r.n_known, r.train_tokens, r.held_out) for r in rows.itertuples())
     assert [w[1:] for w in want] == [g[1:] for g in got]
     assert [w[0] for w in want] == pytest.approx([g[0] for g in got])
@@ -72,7 +78,10 @@ def test_lm_awkward(awkward, nothing):
 
 def test_one_model_however_documents_are_dealt(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    found = [lm.score_documents(docs.repartition(k, "doc_id"), part=n).toPandas().sort_values("doc_id", ignore_index=True) for k, n in ((1, 10**9), (8, 3000), (211, 1))]
+    found = [
+        lm.score_documents(docs.repartition(k, "doc_id"), part=n).toPandas().sort_values("doc_id", ignore_index=True) for k,
+        n in ((1, 10**9), (8, 3000), (211, 1))
+    ]
     assert all(found[0].equals(other) for other in found[1:])
     want, states = brute_force([(r["doc_id"], r["text"]) for r in docs.collect()], 3, lm.GAIN)
     assert found[0].n_states.iloc[0] == len(states) > 0
@@ -189,7 +198,11 @@ def brute_force(docs, depth, gain):
     for s in list(follow):
         n = sum(follow[s].values())
         if s and n > 1:
-            worth = [sum(c * (math.log(c - 1 + a * n * (p := chance(s[1:], w))) - math.log(p)) for w, c in follow[s].items()) - n * math.log(n - 1 + a * n) for a in lm.WEIGHTS]
+            worth = [
+                sum(
+                    c * (math.log(c - 1 + a * n * (p := chance(s[1:], w))) - math.log(p)) for w, c in follow[s].items()
+                ) - n * math.log(n - 1 + a * n) for a in lm.WEIGHTS
+            ]
             if max(worth) >= gain:
                 states[s] = (n, n * lm.WEIGHTS[worth.index(max(worth))])
     out = {}
@@ -226,6 +239,9 @@ def test_contexts_do_not_need_a_share_of_the_corpus(spark):
 def test_contexts_count_over_all_parts(spark):
     """A context is spread thinly over the parts; a caller's share is of the whole corpus, however files fall into parts."""
     docs = spark.createDataFrame(rare_phrase(), "doc_id long, text string")
-    one, many = (lm.score_documents(docs.repartition(k), share=2.5e-4 / 1.5, gain=5.0, part=n).toPandas().sort_values("doc_id") for k, n in ((1, 10**6), (6, 300)))
+    one, many = (
+        lm.score_documents(docs.repartition(k), share=2.5e-4 / 1.5, gain=5.0, part=n).toPandas().sort_values("doc_id") for k,
+        n in ((1, 10**6), (6, 300))
+    )
     assert one.n_states.iloc[0] == many.n_states.iloc[0] > 0
     assert one.score.tolist() == pytest.approx(many.score.tolist(), abs=1e-8)
