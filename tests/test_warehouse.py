@@ -10,6 +10,7 @@ from listingmart.operators.quantiles import exact_quantiles
 from listingmart.operators.staging import build_staging, build_staging_strict
 from listingmart.plans import avm, eda, features, figures, market, pipelines, profile
 from listingmart.schemas import RAW_COLUMNS, STAGING
+from listingmart.sources import scratch
 from listingmart.sources.csvfile import read_copy, read_raw_text
 from listingmart.sources.tables import ConcurrentReplacementError, Warehouse
 
@@ -253,3 +254,9 @@ def test_add_missing(spark):
     days = fact.dim_time("2021-01-01", "2021-01-03", spark)
     assert [r["week"] for r in days.orderBy("date_id").collect()] == [53, 53, 53]
     assert fact.add_missing(days.limit(1), days, "date_id").count() == 2
+
+
+def test_scratch_paths(spark):
+    """A bare path gets its file system's scheme, so that other readers than Spark find it."""
+    assert scratch.qualified(spark, "/a/b") == "file:/a/b" and scratch.qualified(spark, "hdfs://n/a") == "hdfs://n/a"
+    assert scratch.scratch_root(spark).startswith("file:") and scratch.materialize(spark.range(3), "t").count() == 3
