@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..sources.scratch import discard, materialize, scratch_path, scratch_root
 
 __all__ = [
     "LOWER", "SPACE", "UPPER", "WORD", "discard", "fold", "fresh", "kept", "materialize", "n_words", "row_key", "scratch_path", "scratch_root",
-    "shared_files", "table"
+    "shared_files", "slices", "table", "tidy"
 ]
 
 #: A word is a run of anything but these six ASCII space characters.
@@ -27,10 +28,32 @@ def kept(owner: str, make: Callable[[], object]) -> object:
     """What a Python worker remembers from task to task. It holds one operator's memory at a time: another owner's goes."""
     if owner not in _kept:
         _kept.clear()
+        tidy()
         _kept[owner] = make()
     return _kept[owner]
 
 
+def tidy() -> None:
+    """Give memory that nothing uses back to the system, which the worker's allocators would keep for themselves."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """The batches in smaller steps, so that few texts are held as Python's."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

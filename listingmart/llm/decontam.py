@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, materialize, scratch_path, shared_files, table
+from .common import kept, materialize, scratch_path, shared_files, slices, table
 
 K1, B, SHINGLE = 1.2, 0.75, 5
 THRESHOLD, OVERLAP = 0.5, 0.8
@@ -306,7 +306,7 @@ class Files:
         """The batches with each text's matches of all files. With more files than are held, runs of batches go through
         them together, so that each file is read once a run."""
         waiting, size = [], 0
-        for b in batches:
+        for b in slices(batches):
             waiting.append(b)
             size += b.column("text").nbytes // 6
             if len(self.names) <= KEPT or size >= RUN:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, row_key, table
+from .common import fresh, kept, materialize, row_key, slices, table
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Comparisons of a tile pair that is not cut further.
@@ -59,7 +59,8 @@ def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     shape = T.StructType([*(docs.schema[c] for c in carry), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        kept("simhash", dict)  # drops what other operators left
+        for b in slices(batches):
             fp = pa.array(np.fromiter(map(fingerprint, b.column(len(carry)).to_pylist()), np.int64, b.num_rows))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], fp], names=shape.names)
 
@@ -200,9 +201,9 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     marked = materialize(marked, "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
     best = marked.groupBy("fp").agg(F.min(first).alias("best")).join(classes(marked, radius), "fp")
-    kept = best.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best._key").alias(key)).distinct()
+    chosen = best.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best._key").alias(key)).distinct()
     same = Window.partitionBy(key).orderBy(key)  # rows that are equal in all columns
-    return keyed.join(kept, key).withColumn(n, F.row_number().over(same)).filter(F.col(n) == 1).select(*docs.columns)
+    return keyed.join(chosen, key).withColumn(n, F.row_number().over(same)).filter(F.col(n) == 1).select(*docs.columns)
 
 
 def hexed(fp: Column) -> Column:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, kept, table
+from .common import fold, kept, slices, table
 
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS, FIT_WORDS = 1500, 3000, 60_000, 500_000
 THRESHOLD = 0.7
@@ -321,7 +321,7 @@ def score_documents(docs: DataFrame, tagger: Tagger | None, threshold: float = T
         tagger = held.value
         kept("toxicity", dict)  # drops what other operators left
         memo = Memo(tagger) if tagger else None
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             hot: list[list[dict]] = [[] for _ in texts]
             score = np.zeros(len(texts))
@@ -346,7 +346,7 @@ def clean_documents(docs: DataFrame, tagger: Tagger | None, threshold: float = T
         tagger = held.value
         kept("toxicity", dict)  # drops what other operators left
         memo = Memo(tagger)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             yield b.filter(pa.array(tagger.score(tagger.summary(texts, memo)) < threshold))
 
