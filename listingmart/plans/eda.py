@@ -11,6 +11,7 @@ from ..functions import stats
 from ..functions.buckets import USER, bucket, ordinal
 from ..functions.text import strip
 from ..operators.fact import dedupe_key
+from ..operators.quantiles import exact_medians, exact_quantiles
 
 #: Columns whose gaps are reported, columns with ranges, columns of the correlation matrix.
 KEY_COLUMNS = ["price_million_vnd", "area_m2", "bedrooms", "bathrooms", "floors", "frontage", "province", "district"]
@@ -24,9 +25,14 @@ PAIRS = {
     "corr_bedrooms_bathrooms": ("bedrooms", "bathrooms"), "corr_bedrooms_floors": ("bedrooms", "floors"),
     "corr_price_ppm2": ("price_million_vnd", "price_per_m2"),
 }
-_median_pair = lambda: (
-    stats.median("price_million_vnd").alias("median_price_million_vnd"), stats.median("price_per_m2").alias("median_price_per_m2")
-)
+MEDIANS = {"price_million_vnd": "median_price_million_vnd", "price_per_m2": "median_price_per_m2"}
+
+
+def market_by(rows: DataFrame, key: str) -> DataFrame:
+    """Count and both medians by a column of few values, so of large groups: no reducer holds a group's distinct values."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("listing_count"))
+    medians = exact_medians(rows, [key], MEDIANS).withColumnRenamed(key, "_key")
+    return counts.join(medians, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def long_form(row: DataFrame, names: Sequence[str], fields: Sequence[str], key: str) -> DataFrame:
@@ -49,21 +55,22 @@ def missing_summary(fact: DataFrame, columns: Sequence[str] = KEY_COLUMNS) -> Da
 def numeric_ranges(fact: DataFrame, columns: Sequence[str] = RANGE_COLUMNS) -> DataFrame:
     aggs = [
         x for c in columns for x in (
-            F.min(F.col(c).cast("double")).alias(f"{c}__min_value"), stats.median(c).alias(f"{c}__median_value"),
-            F.max(F.col(c).cast("double")).alias(f"{c}__max_value")
+            F.min(F.col(c).cast("double")).alias(f"{c}__min_value"), F.max(F.col(c).cast("double")).alias(f"{c}__max_value")
         )
     ]
-    return long_form(fact.agg(*aggs), columns, ["min_value", "median_value", "max_value"], "metric").orderBy("metric")
+    row = fact.agg(*aggs).crossJoin(exact_medians(fact, [], {c: f"{c}__median_value" for c in columns}))  # one row each
+    return long_form(row, columns, ["min_value", "median_value", "max_value"], "metric").orderBy("metric")
 
 
 def quality_ranges(fact: DataFrame, columns: Sequence[str] = RANGE_COLUMNS) -> DataFrame:
     aggs = [
         x for c in columns for x in (
             F.count(c).alias(f"{c}__count"), F.min(F.col(c).cast("double")).alias(f"{c}__min"),
-            stats.quantiles(c, (0.5, 0.95, 0.99)).alias(f"{c}__q"), F.max(F.col(c).cast("double")).alias(f"{c}__max")
+            F.max(F.col(c).cast("double")).alias(f"{c}__max")
         )
     ]
-    row = fact.agg(*aggs).withColumns({f"{c}__{p}": F.get(f"{c}__q", F.lit(k)) for c in columns for k, p in enumerate(("p50", "p95", "p99"))})
+    edges = exact_quantiles(fact, dict.fromkeys(columns, (0.5, 0.95, 0.99))).withColumnsRenamed({c: f"{c}__q" for c in columns})
+    row = fact.agg(*aggs).crossJoin(edges).withColumns({f"{c}__{p}": F.get(f"{c}__q", F.lit(k)) for c in columns for k, p in enumerate(("p50", "p95", "p99"))})
     return long_form(row, columns, ["count", "min", "p50", "p95", "p99", "max"], "column")
 
 
@@ -78,16 +85,15 @@ def duplicate_checks(fact: DataFrame) -> DataFrame:
 def skew_population(fact: DataFrame) -> DataFrame:
     p = "price_million_vnd"
     return fact.agg(
-        F.count(p).alias("n"), F.avg(p).alias("mean_price"), stats.median(p).alias("median_price"), F.stddev_pop(p).alias("std_price"),
-        F.skewness(p).alias("skewness_price")
-    )
+        F.count(p).alias("n"), F.avg(p).alias("mean_price"), F.stddev_pop(p).alias("std_price"), F.skewness(p).alias("skewness_price")
+    ).crossJoin(exact_medians(fact, [], {p: "median_price"}))
 
 
 def moments(fact: DataFrame, column, name: str) -> DataFrame:
-    return fact.select(column.alias("x")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias(f"mean_{name}"), stats.median("x").alias(f"median_{name}"),
-        F.stddev_pop("x").alias(f"std_{name}")
-    )
+    rows = fact.select(column.alias("x"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias(f"mean_{name}"), F.stddev_pop("x").alias(f"std_{name}")
+    ).crossJoin(exact_medians(rows, [], {"x": f"median_{name}"}))
 
 
 def target_distribution(fact: DataFrame) -> DataFrame:
@@ -101,13 +107,12 @@ def target_distribution(fact: DataFrame) -> DataFrame:
 
 
 def province_rank(fact: DataFrame) -> DataFrame:
-    rows = fact.groupBy("province").agg(F.count(F.lit(1)).alias("listing_count"), *_median_pair())
-    return rows.orderBy(F.desc_nulls_first("median_price_per_m2"), F.desc("listing_count"), "province")
+    return market_by(fact, "province").orderBy(F.desc_nulls_first("median_price_per_m2"), F.desc("listing_count"), "province")
 
 
 def district_rank(fact: DataFrame, min_listings: int = 30) -> DataFrame:
     rows = fact.groupBy("province", "district").agg(
-        F.count(F.lit(1)).alias("listing_count"), *_median_pair()
+        F.count(F.lit(1)).alias("listing_count"), *(stats.median(c).alias(name) for c, name in MEDIANS.items())
     ).filter(F.col("listing_count") >= min_listings)
     return rows.orderBy(F.desc_nulls_first("median_price_per_m2"), F.desc("listing_count"), "province", "district")
 
@@ -117,10 +122,7 @@ def top_provinces(fact: DataFrame, by: str = "listing_count", k: int = 12) -> Da
 
 
 def timeline_summary(fact: DataFrame) -> DataFrame:
-    rows = fact.withColumn("time_bucket", bucket(F.col("timeline_hours"), USER)).groupBy("time_bucket").agg(
-        F.count(F.lit(1)).alias("listing_count"), *_median_pair()
-    )
-    return rows.orderBy(ordinal(F.col("time_bucket")))
+    return market_by(fact.withColumn("time_bucket", bucket(F.col("timeline_hours"), USER)), "time_bucket").orderBy(ordinal(F.col("time_bucket")))
 
 
 def correlations(fact: DataFrame, pairs: dict[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -162,7 +164,8 @@ def largest(fact: DataFrame, k: int = 50) -> DataFrame:
 
 def extreme_candidates(fact: DataFrame, p: float = 0.995, k: int = 200) -> DataFrame:
     """Listings at or above the p-quantile of area or unit price, largest first."""
-    edge = fact.agg(F.percentile("area_m2", F.lit(p)).alias("_a"), F.percentile("price_per_m2", F.lit(p)).alias("_p"))
+    edge = exact_quantiles(fact, {"area_m2": (p,), "price_per_m2": (p,)})
+    edge = edge.select(F.get("area_m2", F.lit(0)).alias("_a"), F.get("price_per_m2", F.lit(0)).alias("_p"))
     rows = fact.select(*_CANDIDATE).crossJoin(F.broadcast(edge))  # one row
     return largest(rows.filter((F.col("area_m2") >= F.col("_a")) | (F.col("price_per_m2") >= F.col("_p"))), k)
 
@@ -171,7 +174,7 @@ def effect(fact: DataFrame, column: str, most: int | None = None, unknown: bool
     """Count and medians by a count column; most: values outside 0..most are left out; unknown: nulls are a group."""
     keep = F.col(column).isNotNull() if most is None else F.col(column).between(0, most)
     rows = fact.filter(keep | F.col(column).isNull() if unknown else F.coalesce(keep, F.lit(False)))
-    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("listing_count"), *_median_pair()).orderBy(column)
+    return market_by(rows, column).orderBy(column)
 
 
 def missing_ratios(fact: DataFrame) -> DataFrame:
